@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallwise.session import cut_lineage
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -25,5 +27,45 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+#: op9's rules; the longest that fits decides.
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stallwise.llm import mixing
+
+    sizes = cut_lineage(mixing.sized(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text"))
+    return mixing.mix(sizes, weights=[5, 2, 1], share=1.5).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stallwise.llm import url_filter
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stallwise.llm import sharding
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    keyed = cut_lineage(sharding.with_keys(docs).withColumn("text_crc32", crc).drop("text"))
+    return sharding.assign(keyed, shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_mixing": op3_mixing,
+    "op9_url_filter": op9_url_filter,
+    "op10_sharding": op10_sharding,
+}
 ORACLE_SQL: dict[str, str] = {}
