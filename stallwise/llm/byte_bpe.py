@@ -25,7 +25,6 @@ import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Longest look-ahead of the pattern; boundaries closer to a cut are not trusted.
 LOOKAHEAD = 3
@@ -90,84 +89,79 @@ def _whole(df: DataFrame, text: Column, ranks, pattern: str) -> DataFrame:
 
 
 def _chunked(df: DataFrame, text: str, keep: list[str], ranks, pattern: str, size: int, overlap: int) -> DataFrame:
+    @F.arrow_udf("struct<head:array<int>,tail:array<int>>")
+    def boundaries(bodies: pa.Array) -> pa.Array:
+        """Piece starts inside the overlaps with the chunk before and the chunk after, from the chunk's start."""
+        find, heads, tails = _codec(ranks, pattern).find, [], []
+        for body in bodies.to_pylist():
+            ends = np.cumsum(np.fromiter(map(len, find(body)), np.int32), dtype=np.int32)
+            heads.append(np.append(np.int32(0), ends[ends < overlap]))
+            tails.append(ends[(ends >= size) & (ends <= size + overlap - LOOKAHEAD)])
+        return pa.StructArray.from_arrays([_lists(heads), _lists(tails)], ["head", "tail"])
+
     @F.arrow_udf("array<int>")
-    def piece_ends(chunks: pa.Array) -> pa.Array:
-        find = _codec(ranks, pattern).find
-        return _lists([np.cumsum(np.fromiter(map(len, find(c)), np.int32), dtype=np.int32) for c in chunks.to_pylist()])
+    def encode_part(bodies: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+        """The ids of each body from a true boundary up to the next chunk's first one."""
+        codec = _codec(ranks, pattern)
+        rows = zip(bodies.to_pylist(), starts.to_pylist(), stops.to_pylist())
+        return _lists([codec.encode_pieces(_pieces(codec, body, lo, hi)) for body, lo, hi in rows])
 
-    def encode_segment(group: pa.Table) -> pa.Table:
+    def encode_joined(group: pa.Table) -> pa.Table:
         codec = _codec(ranks, pattern)
-        rows = sorted(group.to_pylist(), key=lambda r: r["_chunk"])
-        first, last = rows[0], rows[-1]
-        base = first["_chunk"] * size
-        lo, hi = first["_from"] - base, (last["_to"] - base if last["_to"] is not None else None)
-        if len(rows) == 1:
-            body, ends = first["_body"], [e for e in first["_ends"] if e > lo and (hi is None or e <= hi)]
-            pieces = [body[a:b] for a, b in zip([lo, *ends], ends)]
-        else:
-            whole = "".join([r["_body"][:size] for r in rows[:-1]] + [last["_body"]])
-            pieces = codec.find(whole, lo)
-            if hi is not None:
-                reach = np.searchsorted(np.cumsum([len(p) for p in pieces]), hi - lo)
-                pieces = pieces[: int(reach) + 1]
-        return pa.table(
-            {
-                "_row": pa.array([first["_row"]], pa.int64()),
-                "_segment": pa.array([first["_segment"]], pa.int64()),
-                "_rest": group.column("_rest").take([int(np.argmin(group.column("_chunk").to_numpy()))]),
-                "_ids": _lists([codec.encode_pieces(pieces)]),
-            }
-        )
+        rows = list({r["_chunk"]: r for r in sorted(group.to_pylist(), key=lambda r: r["_chunk"])}.values())
+        base = rows[0]["_chunk"] * size
+        hi = None if rows[-1]["_to"] is None else rows[-1]["_to"] - base
+        whole = "".join([r["_body"][:size] for r in rows[:-1]] + [rows[-1]["_body"]])
+        ids = codec.encode_pieces(_pieces(codec, whole, rows[0]["_from"] - base, hi))
+        return pa.table({"_row": [rows[0]["_row"]], "_segment": [rows[0]["_segment"]], "_ids": _lists([ids])})
+
+    same = [F.col(c) for c in dict.fromkeys([*keep, text])]
+    rows = df.withColumn("_row", F.concat(F.hex(F.xxhash64(F.lit(0), *same)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *same))))
+    cuts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
+    chunks = rows.select(
+        "_row",
+        F.posexplode(F.transform(cuts, lambda i: F.substring(F.col(text), i * size + 1, F.lit(size + overlap)))).alias("_chunk", "_body"),
+    ).repartition("_row", "_chunk")
 
-    n = F.length(text)
-    chunks = (
-        df.withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_rest", F.struct(*[F.col(c) for c in keep], F.lit(True).alias("_there")))
-        .select(
-            "_row",
-            "_rest",
-            F.posexplode(
-                F.transform(
-                    F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")),
-                    lambda i: F.substring(F.col(text), i * size + 1, F.lit(size + overlap)),
-                )
-            ).alias("_chunk", "_body"),
-        )
-        .withColumn("_rest", F.when(F.col("_chunk") == 0, F.col("_rest")))
-        .repartition("_row", "_chunk")
-        .withColumn("_ends", piece_ends("_body"))
-    )
     start = F.col("_chunk") * size
     of_text = Window.partitionBy("_row").orderBy("_chunk")
-    near = chunks.withColumns(
-        {
-            "_head": F.transform(F.filter("_ends", lambda e: e < overlap), lambda e: e + start),
-            "_tail": F.transform(
-                F.filter("_ends", lambda e: (e >= size) & (e <= size + overlap - LOOKAHEAD)), lambda e: e + start
-            ),
-        }
-    )
     synced = (
-        near.withColumn("_sync", F.array_min(F.array_intersect(F.lag("_tail").over(of_text), F.array_append("_head", start))))
+        chunks.select("_row", "_chunk", boundaries("_body").alias("_near"))
+        .select(
+            "_row",
+            "_chunk",
+            F.transform("_near.head", lambda e: e + start).alias("_head"),
+            F.transform("_near.tail", lambda e: e + start).alias("_tail"),
+        )
+        .dropDuplicates(["_row", "_chunk"])
+        .withColumn("_sync", F.array_min(F.array_intersect(F.lag("_tail").over(of_text), "_head")))
         .withColumn("_from", F.when(F.col("_chunk") == 0, F.lit(0)).otherwise(F.col("_sync")))
         .withColumn("_to", F.lead("_sync").over(of_text))
         .withColumn("_segment", F.count("_from").over(of_text))
+        .withColumn("_chunks", F.count("*").over(Window.partitionBy("_row", "_segment")))
+        .select("_row", "_chunk", "_from", "_to", "_segment", "_chunks")
     )
-    piece = T.StructType.fromDDL("_row bigint, _segment bigint").add("_rest", synced.schema["_rest"].dataType)
-    encoded = (
-        synced.select("_row", "_segment", "_chunk", "_from", "_to", "_body", "_ends", "_rest")
-        .repartition("_row", "_segment")
-        .groupBy("_row", "_segment")
-        .applyInArrow(encode_segment, piece.add("_ids", T.ArrayType(T.IntegerType())))
+    placed = chunks.join(synced, ["_row", "_chunk"])
+    single = placed.filter("_chunks = 1").select(
+        "_row", "_segment", encode_part("_body", F.col("_from") - start, F.col("_to") - start).alias("_ids")
     )
-    return (
-        encoded.groupBy("_row")
-        .agg(
-            F.first("_rest", ignorenulls=True).alias("_rest"),
-            F.array_sort(F.collect_list(F.struct("_segment", "_ids"))).alias("_parts"),
-        )
-        .select(*[F.col(f"_rest.{c}").alias(c) for c in keep], F.flatten("_parts._ids").alias("ids"))
+    joined = (
+        placed.filter("_chunks > 1")
+        .groupBy("_row", "_segment")
+        .applyInArrow(encode_joined, "_row string, _segment bigint, _ids array<int>")
     )
+    parts = F.array_sort(F.array_distinct(F.collect_list(F.struct("_segment", "_ids"))))
+    ids = single.unionByName(joined).groupBy("_row").agg(F.flatten(parts["_ids"]).alias("ids"))
+    return rows.select("_row", *keep).join(ids, "_row").select(*keep, "ids")
+
+
+def _pieces(codec: Codec, body: str, lo: int, hi: int | None) -> list[str]:
+    """The pieces from ``lo``, a true boundary, up to ``hi``, another one (None: the end)."""
+    pieces = codec.find(body, lo)
+    if hi is None:
+        return pieces
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64))
+    return pieces[: int(np.searchsorted(ends, hi - lo)) + 1]
 
 
 def encode(
@@ -176,7 +170,7 @@ def encode(
     pattern: str,
     text: str = "text",
     keep: list[str] | None = None,
-    chunk_chars: int = 16_384,
+    chunk_chars: int = 32_768,
     overlap: int = 256,
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all of them by default) and ``ids array<int>``."""
