@@ -44,6 +44,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes, weights=[5, 2, 1], share=1.5).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stallwise.llm import quality
+
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    return quality.judge(docs).drop("lang", "text")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stallwise.llm import url_filter
 
@@ -65,6 +72,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
