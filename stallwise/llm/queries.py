@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwise.session import cut_lineage
@@ -51,6 +51,21 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).drop("lang", "text")
 
 
+def fold(column: str, parts: int) -> Column:
+    """Part of a row by the checksum of its id's text (null: the empty text)."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stallwise.llm import toxicity
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = fold("doc_id", 4) == 2
+    model = toxicity.fit(*zip(*(toxicity.training_rows(docs, labels, held_out) or [("", 0)])))
+    return toxicity.score(docs, model, spans=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stallwise.llm import url_filter
 
@@ -73,6 +88,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
