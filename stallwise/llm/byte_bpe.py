@@ -7,7 +7,9 @@ ahead but never behind, so two pre-tokenisations that share one boundary agree
 from there on: neighbouring chunks are stitched at the first boundary both have
 inside their overlap. Chunks without such a boundary (one pre-token longer than
 the overlap) are joined and pre-tokenised as one segment. The pieces of each
-segment are then encoded, each piece on its own.
+segment are then encoded, each piece on its own. A stitch never follows white
+space, whose pieces depend on what comes next, so a segment has the same pieces by
+itself as inside its text and the tokenizer library can encode it in one call.
 
 Null and empty texts give an empty list of ids. Rows are never merged: repeated
 ids or texts each give a row. A column of ``docs`` that is called like a result
@@ -17,7 +19,6 @@ column is replaced.
 from __future__ import annotations
 
 import base64
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,6 @@ from pyspark.sql import functions as F
 
 #: Longest look-ahead of the pattern; boundaries closer to a cut are not trusted.
 LOOKAHEAD = 3
-#: Entries of a worker's piece cache before it starts anew.
-CACHE_PIECES = 400_000
 
 _codecs: dict = {}
 
@@ -41,7 +40,7 @@ def load_ranks(path: str) -> bytes:
 
 
 class Codec:
-    """One worker's encoder: pre-tokeniser, piece cache and id table."""
+    """One worker's pre-tokeniser, encoder and id table."""
 
     def __init__(self, ranks: bytes, pattern: str):
         table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}
@@ -50,15 +49,10 @@ class Codec:
         self.bytes_of = [b""] * (max(table.values(), default=-1) + 1)
         for piece, rank in table.items():
             self.bytes_of[rank] = piece
-        self.cache: dict[str, list[int]] = {}
 
-    def encode_pieces(self, pieces: list[str]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        for p in set(pieces).difference(cache):
-            cache[p] = self.encoder._encode_single_piece(p.encode("utf-8"))
-        return np.fromiter(chain.from_iterable(map(cache.__getitem__, pieces)), np.int32)
+    def encode(self, segment: str) -> np.ndarray:
+        """The ids of a segment's pieces."""
+        return self.encoder.encode_to_numpy(segment, disallowed_special=()).astype(np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -83,7 +77,7 @@ def _whole(df: DataFrame, text: Column, ranks, pattern: str) -> DataFrame:
     @F.arrow_udf("array<int>")
     def encode_text(texts: pa.Array) -> pa.Array:
         codec = _codec(ranks, pattern)
-        return _lists([codec.encode_pieces(codec.find(t)) if t else np.empty(0, np.int32) for t in texts.to_pylist()])
+        return _lists([codec.encode(t or "") for t in texts.to_pylist()])
 
     return df.withColumn("ids", encode_text(text))
 
@@ -94,7 +88,9 @@ def _chunked(df: DataFrame, text: str, keep: list[str], ranks, pattern: str, siz
         """Piece starts inside the overlaps with the chunk before and the chunk after, from the chunk's start."""
         find, heads, tails = _codec(ranks, pattern).find, [], []
         for body in bodies.to_pylist():
-            ends = np.cumsum(np.fromiter(map(len, find(body)), np.int32), dtype=np.int32)
+            pieces = find(body)
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int32), dtype=np.int32)
+            ends = ends[[not p[-1].isspace() for p in pieces]]
             heads.append(np.append(np.int32(0), ends[ends < overlap]))
             tails.append(ends[(ends >= size) & (ends <= size + overlap - LOOKAHEAD)])
         return pa.StructArray.from_arrays([_lists(heads), _lists(tails)], ["head", "tail"])
@@ -104,7 +100,7 @@ def _chunked(df: DataFrame, text: str, keep: list[str], ranks, pattern: str, siz
         """The ids of each body from a true boundary up to the next chunk's first one."""
         codec = _codec(ranks, pattern)
         rows = zip(bodies.to_pylist(), starts.to_pylist(), stops.to_pylist())
-        return _lists([codec.encode_pieces(_pieces(codec, body, lo, hi)) for body, lo, hi in rows])
+        return _lists([codec.encode(body[lo:hi]) for body, lo, hi in rows])
 
     def encode_joined(group: pa.Table) -> pa.Table:
         codec = _codec(ranks, pattern)
@@ -112,7 +108,7 @@ def _chunked(df: DataFrame, text: str, keep: list[str], ranks, pattern: str, siz
         base = rows[0]["_chunk"] * size
         hi = None if rows[-1]["_to"] is None else rows[-1]["_to"] - base
         whole = "".join([r["_body"][:size] for r in rows[:-1]] + [rows[-1]["_body"]])
-        ids = codec.encode_pieces(_pieces(codec, whole, rows[0]["_from"] - base, hi))
+        ids = codec.encode(whole[rows[0]["_from"] - base : hi])
         return pa.table({"_row": [rows[0]["_row"]], "_segment": [rows[0]["_segment"]], "_ids": _lists([ids])})
 
     same = [F.col(c) for c in dict.fromkeys([*keep, text])]
@@ -155,15 +151,6 @@ def _chunked(df: DataFrame, text: str, keep: list[str], ranks, pattern: str, siz
     return rows.select("_row", *keep).join(ids, "_row").select(*keep, "ids")
 
 
-def _pieces(codec: Codec, body: str, lo: int, hi: int | None) -> list[str]:
-    """The pieces from ``lo``, a true boundary, up to ``hi``, another one (None: the end)."""
-    pieces = codec.find(body, lo)
-    if hi is None:
-        return pieces
-    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64))
-    return pieces[: int(np.searchsorted(ends, hi - lo)) + 1]
-
-
 def encode(
     docs: DataFrame,
     ranks_path: str,
