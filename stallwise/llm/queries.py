@@ -27,6 +27,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stallwise.llm import order_minhash
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return order_minhash.against_next(documents(spark, sf_dir), parts)
+
+
 #: op9's rules; the longest that fits decides.
 URL_RULES = [
     ("allow", "org/"),
@@ -86,6 +93,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_order_minhash": op2_order_minhash,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
