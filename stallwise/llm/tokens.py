@@ -28,6 +28,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def runs(texts: list[str | None], chars: int = 2_000_000) -> list[tuple[int, int]]:
+    """Bounds of consecutive runs of about ``chars`` characters, for bounded work memory; a longer text is a run."""
+    out, start, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "") + 1
+        if held >= chars:
+            out.append((start, i + 1))
+            start, held = i + 1, 0
+    return [*out, (start, len(texts))] if start < len(texts) else out
+
+
 class Tokens:
     """The tokens of ``texts``, A-Z lower-cased.
 

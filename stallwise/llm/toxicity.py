@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.llm.tokens import Tokens, mix64
+from stallwise.llm.tokens import Tokens, mix64, runs
 
 #: Features are hashed to so many weights.
 WEIGHTS = 1 << 21
@@ -197,6 +197,26 @@ def distinct_rows(rows: list[tuple[str, int]], sample_chars: int, overlap: float
     return out
 
 
+def _spans(texts: list[str | None], tokens: Tokens | None, p: np.ndarray | None) -> list[list[dict]]:
+    """Of each text the runs of neighbouring toxic tokens: code point offsets and highest chance."""
+    found: list[list[dict]] = [[] for _ in texts]
+    if p is None or not len(p):
+        return found
+    at = np.cumsum([0, *(len((t or "").encode("utf-8")) + 1 for t in texts)])
+    chars = np.cumsum((tokens.data & 0xC0) != 0x80)  # characters up to and with each byte
+    last = -2
+    for i in np.flatnonzero(p >= 0.5).tolist():
+        own = found[tokens.doc[i]]
+        start = int(chars[tokens.starts[i]] - chars[at[tokens.doc[i]]])
+        end = start + int(chars[tokens.ends[i] - 1] - chars[tokens.starts[i]]) + 1
+        if own and last == i - 1:
+            own[-1] |= {"end": end, "p": max(own[-1]["p"], float(p[i]))}
+        else:
+            own.append({"start": start, "end": end, "p": float(p[i])})
+        last = i
+    return found
+
+
 def score(docs: DataFrame, model: dict | None, threshold: float = 0.3, spans: bool = True, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and, if asked for, ``spans``: character offsets and chance of each toxic run."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -204,23 +224,14 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.3, spans: bo
     @F.arrow_udf("struct<score:double,spans:array<struct<start:int,end:int,p:double>>>")
     def run(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
-        scores, tokens, p = tag(shared.value, rows)
-        found: list[list] = [[] for _ in rows]
-        if spans and p is not None and len(p):
-            at = np.cumsum([0, *(len((t or "").encode("utf-8")) + 1 for t in rows)])
-            chars = np.cumsum((tokens.data & 0xC0) != 0x80)  # characters up to and with each byte
-            for i in np.flatnonzero(p >= 0.5):
-                d = tokens.doc[i]
-                start = int(chars[tokens.starts[i]] - chars[at[d]])
-                end = start + int(chars[tokens.ends[i] - 1] - chars[tokens.starts[i]]) + 1
-                own = found[d]
-                if own and own[-1]["next"] == i:
-                    own[-1] |= {"end": end, "p": max(own[-1]["p"], float(p[i])), "next": i + 1}
-                else:
-                    own.append({"start": start, "end": end, "p": float(p[i]), "next": i + 1})
+        scores, found = [], []
+        for a, b in runs(rows):
+            own_scores, tokens, p = tag(shared.value, rows[a:b])
+            scores.append(own_scores)
+            found += _spans(rows[a:b], tokens, p) if spans else [[]] * (b - a)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-        lists = pa.array([[{k: s[k] for k in ("start", "end", "p")} for s in own] for own in found], kind)
-        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), lists], ["score", "spans"])
+        values = np.concatenate(scores) if scores else np.empty(0)
+        return pa.StructArray.from_arrays([pa.array(values, pa.float64()), pa.array(found, kind)], ["score", "spans"])
 
     kept = [c for c in docs.columns if c not in ("score", "predicted", "spans", "_toxic")]
     out = docs.withColumn("_toxic", run(F.col(text))).select(*kept, F.col("_toxic.score").alias("score"), F.col("_toxic.spans").alias("spans"))
