@@ -73,6 +73,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, spans=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stallwise.llm import jaccard_join
+
+    return jaccard_join.join(documents(spark, sf_dir), k=5, percent=80)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stallwise.llm import url_filter
 
@@ -97,6 +103,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
