@@ -73,6 +73,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, spans=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stallwise.llm import pitman_yor
+
+    held_out = fold("doc_id", 7) == 2
+    return pitman_yor.score(documents(spark, sf_dir), held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stallwise.llm import jaccard_join
 
@@ -103,6 +112,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_pitman_yor": op6_pitman_yor,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
