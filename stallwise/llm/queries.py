@@ -12,21 +12,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded_digests(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, ``ids``, and the digests of the ids and of the text decoded from them."""
     import public_tokenizers as tokenizers
 
     from stallwise.llm import byte_bpe
 
     ranks = tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(documents(spark, sf_dir), ranks, tokenizers.PATTERN, keep=["doc_id"])
+    encoded = byte_bpe.encode(docs, ranks, tokenizers.PATTERN, keep=keep)
     return byte_bpe.decode(encoded, ranks, tokenizers.PATTERN).select(
-        "doc_id",
+        *keep,
+        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(documents(spark, sf_dir), ["doc_id"]).drop("ids")
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stallwise.llm import order_minhash
 
@@ -63,14 +69,18 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``, learnt from the labels outside the held-out fold."""
     from stallwise.llm import toxicity
 
-    docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    held_out = fold("doc_id", 4) == 2
-    model = toxicity.fit(*zip(*(toxicity.training_rows(docs, labels, held_out) or [("", 0)])))
-    return toxicity.score(docs, model, spans=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    sample = toxicity.training_rows(docs, labels, fold("doc_id", 4) == 2) or [("", 0)]
+    return toxicity.score(docs, toxicity.fit(*zip(*sample)), spans=False)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return toxicity_scores(spark, docs, sf_dir).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
