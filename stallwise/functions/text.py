@@ -45,7 +45,12 @@ def _split_range(raw: Column) -> tuple[Column, Column]:
 
 def parse_price(raw: Column) -> Column:
     """Price text to DECIMAL(18,4): the low end of a range, ``k`` as thousands; null if unreadable or implausible."""
-    text = F.regexp_replace(_split_range(F.trim(raw))[0], CURRENCY_NOISE, " ")
+    return _parse_one(_split_range(F.trim(raw))[0])
+
+
+def _parse_one(raw: Column) -> Column:
+    """``parse_price`` of a text that is no range."""
+    text = F.regexp_replace(raw, CURRENCY_NOISE, " ")
     digits = F.replace(F.regexp_extract(text, NUMBER, 1), F.lit(","), F.lit(""))
     value = F.nullif(digits, F.lit("")).try_cast("decimal(18,4)")
     value = F.when(F.regexp_extract(text, NUMBER, 2) != "", value * 1000).otherwise(value).try_cast("decimal(18,4)")
@@ -55,8 +60,9 @@ def parse_price(raw: Column) -> Column:
 def parse_price_range(raw: Column) -> Column:
     """Both ends in ascending order; one price is both ends; null if an end is unreadable."""
     low_text, high_text = _split_range(F.trim(raw))
-    low, high = parse_price(low_text), F.when(high_text.isNull(), parse_price(raw)).otherwise(parse_price(high_text))
-    return F.when(low.isNotNull() & high.isNotNull(), F.struct(F.least(low, high).alias("low"), F.greatest(low, high).alias("high")))
+    low, high = _parse_one(low_text), _parse_one(_split_range(high_text)[0])
+    both = F.array_sort(F.array(low, F.when(high_text.isNull(), low).otherwise(high)))
+    return F.transform(F.array(both), lambda p: F.when(p[1].isNotNull() & p[0].isNotNull(), F.struct(p[0].alias("low"), p[1].alias("high"))))[0]
 
 
 def clean_title(raw: Column) -> Column:
