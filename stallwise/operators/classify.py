@@ -32,63 +32,72 @@ def any_word(words: list[str], suffix: str = "") -> str:
     return r"(?i)\b(" + "|".join(re.escape(w) for w in ordered) + r")" + suffix + r"\b"
 
 
-def _matches_none() -> Column:
-    return F.array().cast("array<struct<code:string,hits:int>>")
-
-
 def enrich(listings: DataFrame, rules: Taxonomy, title: str = "title", breadcrumb: str | None = "breadcrumb") -> DataFrame:
     """``listings`` with ``category_code``, ``all_matches``, ``hit_count``, ``is_service``, ``confidence``, ``classified_by`` and ``aggregatable``."""
     crumb = F.lower(F.col(breadcrumb)) if breadcrumb else F.lit(None).cast("string")
     rows = listings.withColumn("_blob", F.nullif(F.concat_ws(" ", clean_title(F.col(title)), F.nullif(crumb, F.lit(""))), F.lit("")))
     counted = [
-        F.struct(F.lit(code).alias("code"), F.regexp_count("_blob", F.lit(any_word(words))).alias("hits"))
+        F.struct((-F.regexp_count("_blob", F.lit(any_word(words)))).alias("minus"), F.lit(code).alias("code"))
         for code, words in sorted(rules.keywords.items())
     ]
-    # most hits first, then by code: the counts are below 10,000, so a sortable text key does
-    hits = F.filter(F.array(*counted), lambda m: m["hits"] > 0) if counted else _matches_none()
-    rows = rows.withColumn("_hits", F.coalesce(hits, _matches_none()))
-    ranked = F.transform(
-        F.array_sort(F.transform("_hits", lambda m: F.struct((-m["hits"]).alias("minus"), m["code"].alias("code")))),
-        lambda m: F.struct(m["code"].alias("code"), (-m["minus"]).alias("hits")),
-    )
-    rows = rows.withColumn("_ranked", ranked)
-    override = F.get(F.filter("_ranked", lambda m: m["code"].isin(rules.condition_overrides)), F.lit(0)) if rules.condition_overrides else None
-    first = F.get("_ranked", F.lit(0))
-    rows = rows.withColumn("_won", F.coalesce(override, first) if override is not None else first)
-    won, n = F.col("_won.code"), F.coalesce(F.col("_won.hits"), F.lit(0))
-
+    none = F.array().cast("array<struct<minus:int,code:string>>")
+    # most hits first, then by code
+    ranked = F.array_sort(F.filter(F.array(*counted), lambda m: m["minus"] < 0)) if counted else none
     # the first marker found decides, also when it decides to leave the winner
     owner: Column = F.lit(None).cast("string")
     markers = [(F.col("_blob").rlike(rf"(?i)\b{re.escape(w)}s?\b"), o) for w, o in sorted(rules.accessory_markers.items(), key=lambda m: -len(m[0]))]
     markers += [(F.col("_blob").rlike(rf"(?i)\b{re.escape(w)}\b") & F.col("_blob").rlike(any_word(needs)), o) for w, o, needs in rules.qualified_markers]
     for found, o in reversed(markers):
         owner = F.when(found, F.lit(o)).otherwise(owner)
-    exempt = won.isin(rules.guard_exempt) if rules.guard_exempt else F.lit(False)
-    stays = F.coalesce(exempt, F.lit(False)) | (won.isNotNull() & (n >= 2))
-    rows = rows.withColumn("_owner", F.when(~stays, owner))
-    moved = F.col("_owner").isNotNull() & ~F.col("_owner").eqNullSafe(won)
-    rescued = moved & won.isNull()
-    service = F.col("_blob").rlike(any_word(rules.service_markers)) if rules.service_markers else F.lit(False)
-    rows = rows.withColumns({"_moved": moved, "is_service": F.coalesce(service, F.lit(False)) & won.isNotNull()})
-    contested = (F.size("_ranked") > 1) & (F.get("_ranked", F.lit(0))["hits"] == F.get("_ranked", F.lit(1))["hits"])
+    service = F.coalesce(F.col("_blob").rlike(any_word(rules.service_markers)), F.lit(False)) if rules.service_markers else F.lit(False)
+    rows = _once(rows, "_m", F.struct(F.coalesce(ranked, none).alias("ranked"), owner.alias("owner"), service.alias("service")))
+
+    first = F.get("_m.ranked", F.lit(0))
+    override = F.get(F.filter("_m.ranked", lambda m: m["code"].isin(rules.condition_overrides)), F.lit(0)) if rules.condition_overrides else first
+    won = F.coalesce(override, first)
+    contested = (F.size("_m.ranked") > 1) & (first["minus"] == F.get("_m.ranked", F.lit(1))["minus"])
+    rows = _once(
+        rows,
+        "_w",
+        F.struct(
+            won["code"].alias("code"), F.coalesce(-won["minus"], F.lit(0)).alias("hits"), contested.alias("contested"),
+            F.col("_m.ranked.code").alias("all"), F.col("_m.owner").alias("owner"), F.col("_m.service").alias("service"),
+        ),
+    )
+    code, n, owner = F.col("_w.code"), F.col("_w.hits"), F.col("_w.owner")
+    exempt = F.coalesce(code.isin(rules.guard_exempt), F.lit(False)) if rules.guard_exempt else F.lit(False)
+    moved = owner.isNotNull() & ~exempt & ~(code.isNotNull() & (n >= 2)) & ~owner.eqNullSafe(code)
+    rescued = moved & code.isNull()
+    is_service = F.col("_w.service") & code.isNotNull()
     confidence = (
         F.when(rescued, "medium")
-        .when(won.isNull(), "none")
-        .when(F.col("is_service"), "low")
-        .when(F.col("_moved") | contested | (n < 2), "medium")
+        .when(code.isNull(), "none")
+        .when(is_service, "low")
+        .when(moved | F.col("_w.contested") | (n < 2), "medium")
         .otherwise("high")
     )
-    out = rows.withColumns(
-        {
-            "category_code": F.when(F.col("_moved"), F.col("_owner")).otherwise(won),
-            "all_matches": F.col("_ranked.code"),
-            "hit_count": F.when(rescued, 1).otherwise(n),
-            "confidence": confidence,
-            "classified_by": F.when(F.col("_moved"), "accessory_guard").when(won.isNotNull(), "keyword"),
-        }
+    result = F.struct(
+        F.when(moved, owner).otherwise(code).alias("category_code"),
+        F.col("_w.all").alias("all_matches"),
+        F.when(rescued, 1).otherwise(n).alias("hit_count"),
+        is_service.alias("is_service"),
+        confidence.alias("confidence"),
+        F.when(moved, "accessory_guard").when(code.isNotNull(), "keyword").alias("classified_by"),
     )
-    fit = F.col("category_code").isNotNull() & F.col("confidence").isin("high", "medium") & ~F.col("is_service")
-    return out.withColumn("aggregatable", fit).drop("_blob", "_hits", "_ranked", "_won", "_owner", "_moved")
+    out = _once(rows, "_r", result)
+    fit = F.col("_r.category_code").isNotNull() & F.col("_r.confidence").isin("high", "medium") & ~F.col("_r.is_service")
+    added = ("category_code", "all_matches", "hit_count", "is_service", "confidence", "classified_by")
+    kept = [c for c in listings.columns if c not in (*added, "aggregatable")]
+    return out.select(*kept, *[F.col(f"_r.{c}").alias(c) for c in added], fit.alias("aggregatable"))
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once a row.
+
+    A projection that is used several times, and filters above it, would have its
+    patterns copied into each use; a generated column is not copied.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
 def commission(listings: DataFrame, rates: DataFrame) -> DataFrame:
