@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Longest look-ahead of the pattern; boundaries closer to a cut are not trusted.
 LOOKAHEAD = 3
+#: Texts of a batch that are Python strings at once.
+ROWS = 256
 
 _codecs: dict = {}
 
@@ -77,7 +79,7 @@ def _whole(df: DataFrame, text: Column, ranks, pattern: str) -> DataFrame:
     @F.arrow_udf("array<int>")
     def encode_text(texts: pa.Array) -> pa.Array:
         codec = _codec(ranks, pattern)
-        return _lists([codec.encode(t or "") for t in texts.to_pylist()])
+        return _lists([codec.encode(t or "") for i in range(0, len(texts), ROWS) for t in texts.slice(i, ROWS).to_pylist()])
 
     return df.withColumn("ids", encode_text(text))
 
@@ -178,6 +180,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids")
     @F.arrow_udf("binary")
     def bytes_of(column: pa.Array) -> pa.Array:
         codec = _codec(ranks, pattern)
-        return pa.array([codec.decode(x or ()) for x in column.to_pylist()], pa.binary())
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        # one text's ids at a time become Python numbers
+        return pa.array((codec.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])), pa.binary())
 
     return encoded.withColumn("decoded", bytes_of(F.col(ids)))
