@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallwise.llm import oracles
 from stallwise.session import cut_lineage
 
 
@@ -127,4 +128,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.OP3, "op8_jaccard_join": oracles.OP8, "op9_url_filter": oracles.op9(URL_RULES)}
