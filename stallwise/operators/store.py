@@ -138,3 +138,14 @@ def guard_not_empty(rows: DataFrame, expected: DataFrame, minimum: int) -> DataF
     counts = rows.groupBy("platform_code").agg(F.count("*").alias("n_rows"))
     joined = expected.join(counts, "platform_code", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
     return joined.withColumn("passed", F.col("n_rows") >= minimum)
+
+
+def write_rollup(rollups: DataFrame, path: str) -> None:
+    """Store rollups by day; writing a day again replaces that day and no other."""
+    rollups.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("observed_on").parquet(path)
+
+
+def append_question_log(answers: DataFrame, path: str) -> None:
+    """Add answered questions to the log, by day; accounts appear under their pseudonym only."""
+    columns = ["account_ref", "asked_at", "question", "intent", "answered", "text", "observation_ct"]
+    answers.select(*columns, F.to_date("asked_at").alias("day")).write.mode("append").partitionBy("day").parquet(path)

@@ -105,6 +105,39 @@ def a3_count_store(spark, sf_dir):
     return V.listings(spark, sf_dir).groupBy("platform_code").agg(F.count("*").alias("n_rows"))
 
 
+def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a product page with JSON-LD, inside a graph for every other brand, and as a card and an item."""
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    product = F.concat(
+        F.lit('{"@type":"Product","name":"'), "p_name", F.lit('","sku":"'), F.col("p_partkey").cast("string"), F.lit('","brand":{"name":"'), "p_brand",
+        F.lit('"},"offers":{"price":"'), price, F.lit('","availability":"InStock"}}'),
+    )
+    graph = F.when(F.col("p_size") > 25, F.concat(F.lit('{"@graph":[{"@type":"WebPage"},'), product, F.lit("]}"))).otherwise(product)
+    key = F.col("p_partkey").cast("string")
+    card = F.concat(F.lit('<article class="prd x"><a href="/p-'), key, F.lit('.html" data-sku="'), key, F.lit('"><h3 class="name">'), "p_name", F.lit(' &amp; co</h3><div class="prc">KSh '), price, F.lit("</div></a></article>"))
+    item = F.concat(F.lit('<div class="product-item"><a href="/i-'), key, F.lit('"><p class="title">'), "p_name", F.lit('</p><i class="price">'), price, F.lit("</i></a>"))
+    html = F.concat(F.lit('<script type="application/ld+json">'), graph, F.lit("</script>"), card, card, item)
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("http://x/"), key).alias("url"), html.alias("html"), F.lit("2026-01-01").cast("date").alias("fetched_on"))
+
+
+_IN_RANGE = "CAST(p_retailprice AS DECIMAL(12,2)) >= 10"
+
+
+@query(f"SELECT 'http://x/' || p_partkey AS source_url, p_name AS title, CAST(p_retailprice AS DECIMAL(12,2)) AS price_kes, 'web:' || p_partkey AS source_key, p_brand AS brand, true AS in_stock FROM part WHERE {_IN_RANGE}")
+def a5_extract_products(spark, sf_dir):
+    return P.extract_products(_product_pages(spark, sf_dir), "web").select("source_url", "title", "price_kes", "source_key", "brand", "in_stock")
+
+
+@query(f"SELECT '/p-' || p_partkey || '.html' AS source_url, p_name || ' & co' AS title, CAST(p_retailprice AS DECIMAL(12,2)) AS price_kes, 'web:' || p_partkey AS source_key FROM part WHERE {_IN_RANGE}")
+def a8_extract_cards(spark, sf_dir):
+    return P.extract_cards(_product_pages(spark, sf_dir), "web").select("source_url", "title", "price_kes", "source_key")
+
+
+@query(f"SELECT '/i-' || p_partkey AS source_url, p_name AS title, CAST(p_retailprice AS DECIMAL(12,2)) AS price_kes, 'web:i-' || p_partkey AS source_key FROM part WHERE {_IN_RANGE} AND length(p_name) >= 6")
+def a9_extract_items(spark, sf_dir):
+    return P.extract_items(_product_pages(spark, sf_dir), "web").select("source_url", "title", "price_kes", "source_key")
+
+
 _CLEAN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 
 
@@ -195,6 +228,13 @@ def b9_url_policy(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.url_allowed(F.col("url"), _U).alias("allowed"))
 
 
+@query(f"""SELECT url FROM pages WHERE suffix(url, '.html') AND (suffix({_PATH_SQL}, '.html') OR starts_with({_PATH_SQL}, '/en/7') OR NOT (starts_with({_PATH_SQL}, '/es/') OR starts_with({_PATH_SQL}, '/en/1') OR contains({_PATH_SQL}, '/99')))""")
+def a12_sitemap_urls(spark, sf_dir):
+    """Every page's url as the one location of a product sitemap."""
+    maps = table(spark, sf_dir, "pages").select(F.concat(F.lit("product-"), F.col("page_id").cast("string")).alias("name"), F.concat(F.lit("<urlset><loc> "), "url", F.lit(" </loc></urlset>")).alias("content"))
+    return P.sitemap_urls(maps, _U).select("url")
+
+
 @query("SELECT page_id, regexp_matches(lower(html[:4000]), '" + P.CHALLENGE + "') AS blocked FROM pages")
 def b10_blocked_page(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.blocked_page(F.col("html")).alias("blocked"))

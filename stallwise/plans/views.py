@@ -35,7 +35,6 @@ TAXONOMY = Taxonomy(
     condition_overrides=["used"],
     service_markers=["large rod"],
 )
-RATES = [("small", "0.1100"), ("large", "0.1300"), ("STANDARD", "0.0500"), ("ECONOMY", "0.1100"), ("PROMO", "0.0800")]
 URL_RULES = {
     "allowed_paths": ["/*.html", "/en/7"],
     "disallowed_prefixes": ["/es/", "/en/1"],

@@ -108,6 +108,24 @@ def extract_cards(pages: DataFrame, platform: str) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth", "url", "pos")
 
 
+def extract_items(pages: DataFrame, platform: str, shortest_title: int = 6) -> DataFrame:
+    """Listings from pages that mark each product as a ``product-item`` block; a product counts once a page."""
+    item = r'(?is)<div[^>]*class="[^"]*product-item[^"]*"[^>]*>(.*?)(?=<div[^>]*class="[^"]*product-item|\z)'
+    items = pages.select("url", "fetched_on", F.posexplode(F.regexp_extract_all("html", F.lit(item), 1)).alias("pos", "_item"))
+    link = F.nullif(F.regexp_extract("_item", r'(?is)<a[^>]*href="([^"]+)"', 1), F.lit(""))
+    rows = items.select(
+        F.lit(platform).alias("platform_code"),
+        "url", "pos",
+        link.alias("source_url"),
+        clean_markup(F.regexp_extract("_item", r'(?is)<[^>]*class="[^"]*title[^"]*"[^>]*>(.*?)</', 1)).alias("title"),
+        parse_price(clean_markup(F.regexp_extract("_item", r'(?is)<[^>]*class="[^"]*price[^"]*"[^>]*>(.*?)</', 1))).cast("decimal(12,2)").alias("price_kes"),
+        normalise_sku(F.lit(platform), link).alias("source_key"),
+        F.col("fetched_on").alias("observed_on"),
+    ).filter((F.length("title") >= shortest_title) & F.col("price_kes").isNotNull() & F.col("source_key").isNotNull())
+    order = Window.partitionBy("url", "source_key", "observed_on").orderBy("pos")
+    return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth", "url", "pos")
+
+
 def url_allowed(url: Column, rules: dict) -> Column:
     """Whether a url may be fetched: query strings first, then explicit allows, prefixes and fragments; else yes."""
     path = F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
