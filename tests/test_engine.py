@@ -251,3 +251,40 @@ def test_examples_nearest_the_middle(spark):
 def test_partitions_do_not_change_the_rollup(spark, n):
     rows = spark.createDataFrame([listing(i, 7 * i % 97 + 1) for i in range(60)], LISTING)
     assert rollup.rollup(rows.repartition(n)).collect() == rollup.rollup(rows).collect()
+
+
+def test_item_pages(spark):
+    item = '<div class="c product-item"><a href="/i-{0}"><!--f--><p class="product-title">Nice thing {0}</p><b class="product-price">KSh {1}</b></a>'
+    html = item.format(1, 500) + item.format(2, "soon") + item.format(1, 700) + item.format(3, 90)
+    got = pages.extract_items(spark.createDataFrame([("u", html, DAY)], "url string, html string, fetched_on date"), "p").orderBy("source_key").collect()
+    assert [(r["title"], int(r["price_kes"]), r["source_key"]) for r in got] == [("Nice thing 1", 500, "p:i-1"), ("Nice thing 3", 90, "p:i-3")]
+
+
+def test_dims_and_taxonomy(spark, tmp_path):
+    from stallwise.sources import dims
+
+    for name in dims.SCHEMAS:
+        (tmp_path / f"{name}.jsonl").write_text("")
+    (tmp_path / "category.jsonl").write_text('{"code":"audio","name":"Audio","commission_rate":0.11,"keywords":["earbud"]}\n')
+    (tmp_path / "rule.jsonl").write_text('{"kind":"accessory","word":"charger","owner":"power"}\n{"kind":"qualified","word":"case for","owner":"phone","requires":["tecno"]}\n')
+    d = dims.load_dims(spark, str(tmp_path))
+    rules = dims.taxonomy(d["category"], d["rule"])
+    assert rules.keywords == {"audio": ["earbud"]} and rules.accessory_markers == {"charger": "power"} and rules.qualified_markers == [("case for", "phone", ["tecno"])]
+    assert d["county"].count() == 0
+
+
+def test_catalogue_answers(spark):
+    ranked = spark.createDataFrame([("phone_cases", "p", 9.5, 2.0), ("audio", "p", 12.0, 3.0)], "category_code string, platform_code string, activity_score double, listings_per_seller double")
+    facts = spark.createDataFrame([("p", "P", "payout", "7 day cycle", True)], "platform_code string, platform_name string, topic string, fact string, confirmed boolean")
+    asked = spark.createDataFrame([(0, "what is most popular"), (1, "where is there room"), (2, "when do i get paid"), (3, "refund policy")], "id int, question string")
+    routed = questions.route_questions(asked, {"platform_code": {}})
+    got = [r["text"] for r in questions.catalogue_answers(routed, ranked, ranked, facts, "p").orderBy("id").collect()]
+    assert got[0].startswith("Most sellers list: audio on p, phone cases on p.") and got[1] == "Fewest listings a seller: phone cases on p, audio on p." and got[2] == "P: 7 day cycle." and got[3] is None
+
+
+def test_rollups_are_replaced_by_day(spark, tmp_path):
+    path = str(tmp_path / "rollup")
+    rows = spark.createDataFrame([(DAY, 1), (DAY + dt.timedelta(1), 2)], "observed_on date, n int")
+    store.write_rollup(rows, path)
+    store.write_rollup(rows.filter("n = 1").withColumn("n", F.lit(5)), path)
+    assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [2, 5]
