@@ -78,3 +78,43 @@ k AS (SELECT template, (sum(blocked) + {strength} * any_value(o.p))::DOUBLE / (s
 m AS (SELECT t.host, t.shape, (coalesce(bb, 0) + {strength} * prior) / (coalesce(bn, 0) + {strength}) AS purity FROM tree t JOIN k USING (template) LEFT JOIN j ON j.host = t.host AND j.template = t.template)
 SELECT page_id, r.host, path, rule, coalesce(decision, CASE WHEN purity >= {threshold} THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN m ON m.host = r.host AND m.shape = r.shape
 """
+
+
+def _chars(inside: str) -> str:
+    return f"length(regexp_replace(t, '[^{inside}]', '', 'g'))"
+
+
+_P_LOG = lambda p, q: f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END)"
+
+OP4 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '{WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS lines,
+      {_chars('#*$%&|<>')} AS n_symbols, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars FROM d),
+k AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS key FROM w),
+dup AS (SELECT r, i FROM k QUALIFY count(*) OVER (PARTITION BY r, key) > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY r),
+base AS (SELECT w.r, len(ws) AS n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (r)),
+c AS (SELECT r, lang, length(t) AS n, [{_chars(chr(92) + 'p{Ll}')}, {_chars(chr(92) + 'p{Lu}')}, {_chars(chr(92) + 'p{Nd}')}, {_chars(chr(92) + 'p{Zs}' + chr(92) + 'x09-' + chr(92) + 'x0D')},
+      {_chars(chr(92) + 'p{Po}' + chr(92) + 'p{Pd}')} - {_chars('#%&*!@' + chr(92) * 2)}, {_chars('#*$%&|<>!@' + chr(92) * 2 + chr(92) + '^~=+_')}] AS six FROM d),
+c7 AS (SELECT r, lang, n, list_append(six, n - list_sum(six)::BIGINT) AS counts FROM c WHERE n >= 200),
+st AS (SELECT lang, unnest(range(1, 8)) AS cls, unnest(list_transform(counts, lambda x: CAST(round_even(x * (1000.0::DOUBLE / n), 0) AS BIGINT))) AS step FROM c7),
+md AS (SELECT lang, cls, step FROM st QUALIFY row_number() OVER (PARTITION BY lang, cls ORDER BY step) = CAST(ceil(count(*) OVER (PARTITION BY lang, cls) / 2.0) AS BIGINT)),
+pf AS (SELECT lang, list(step ORDER BY cls) AS q, sum(step) AS total FROM md GROUP BY lang),
+pw AS (SELECT r, lang, unnest(regexp_extract_all(translate(translate(t, '{UPPER}', '{LOWER}'), '"''`()[]{{}}.,:;!?#*$%&|<>', ''), '{WORD}')) AS word FROM d),
+dw AS (SELECT r, lang, word, count(*) AS c FROM pw GROUP BY ALL),
+lw AS (SELECT lang, sum(c) AS n FROM dw GROUP BY lang),
+al AS (SELECT sum(n) AS n FROM lw),
+refs AS (SELECT lw.lang, lw.n FROM lw, al WHERE lw.n >= greatest(2000, al.n / 20000.0)),
+cw AS (SELECT dw.lang, word, sum(c) AS n FROM dw, al GROUP BY dw.lang, word HAVING sum(c) >= any_value(al.n) / 20000.0),
+rw AS (SELECT cw.lang, word, cw.n::DOUBLE / refs.n AS q FROM cw JOIN refs ON cw.lang IS NOT DISTINCT FROM refs.lang),
+rt AS (SELECT lang, count(*) AS words, sum(q) AS qs FROM rw GROUP BY lang),
+tot AS (SELECT r, lang, sum(c)::DOUBLE AS m FROM dw GROUP BY ALL),
+hit AS (SELECT dw.r, sum({_P_LOG('(dw.c / tot.m)', 'rw.q')}) AS s, sum(dw.c) / any_value(tot.m) AS ps, sum(rw.q) AS qs FROM dw JOIN tot ON tot.r = dw.r JOIN rw ON rw.word = dw.word AND rw.lang IS NOT DISTINCT FROM dw.lang GROUP BY dw.r),
+wd AS (SELECT tot.r, sqrt(greatest(0, (coalesce(s, 0) + {_P_LOG('(1 - coalesce(ps, 0))', '(1 - rt.qs)')} + rt.qs - coalesce(hit.qs, 0)) / 2)) AS dist
+       FROM tot JOIN rt ON rt.lang IS NOT DISTINCT FROM tot.lang LEFT JOIN hit ON hit.r = tot.r WHERE rt.words >= 20),
+cx AS (SELECT c7.r, unnest(counts)::DOUBLE / c7.n AS p, unnest(q)::DOUBLE / total AS q FROM c7 JOIN pf ON pf.lang IS NOT DISTINCT FROM c7.lang JOIN refs ON refs.lang IS NOT DISTINCT FROM c7.lang),
+cd AS (SELECT r, sqrt(greatest(0, sum({_P_LOG('p', 'q')}) / 2)) AS dist FROM cx GROUP BY r),
+v AS (SELECT doc_id, base.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(cd.dist, 0) AS cdist, CASE WHEN n_words >= 60 THEN coalesce(wd.dist, 0) ELSE 0 END AS wdist
+      FROM d JOIN base USING (r) LEFT JOIN cd USING (r) LEFT JOIN wd USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (cdist > 0.185 OR wdist > 0.62 + 1.2 / sqrt(greatest(n_words, 1))) AS kept FROM v
+"""

@@ -62,7 +62,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stallwise.llm import quality
 
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
-    return quality.judge(docs).drop("lang", "text")
+    return quality.judge(docs).drop("lang", "text", "class_distance", "word_distance")
 
 
 def fold(column: str, parts: int) -> Column:
@@ -128,4 +128,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.OP3, "op8_jaccard_join": oracles.OP8, "op9_url_filter": oracles.op9(URL_RULES)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.OP3, "op4_quality": oracles.OP4, "op8_jaccard_join": oracles.OP8, "op9_url_filter": oracles.op9(URL_RULES)}
