@@ -118,3 +118,32 @@ v AS (SELECT doc_id, base.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words
       FROM d JOIN base USING (r) LEFT JOIN cd USING (r) LEFT JOIN wd USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (cdist > 0.185 OR wdist > 0.62 + 1.2 / sqrt(greatest(n_words, 1))) AS kept FROM v
 """
+
+
+def _crc_entry(n: int) -> int:
+    """An entry of the checksum's table, by its reversed polynomial."""
+    for _ in range(8):
+        n = 0xEDB88320 ^ n >> 1 if n & 1 else n >> 1
+    return n
+
+
+_CRC_TABLE = "[" + ", ".join(str(_crc_entry(n)) for n in range(256)) + "]::BIGINT[]"
+
+OP10 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+hx AS (SELECT r, hex(encode(t)) AS h FROM d),
+crc AS (SELECT r, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+        lambda c, b: xor(({_CRC_TABLE})[1 + (xor(c, b) & 255)], c // 256))) AS v FROM hx),
+k AS (SELECT r, doc_id, CAST(strlen(t) AS BIGINT) + 16 AS size, substr(md5(t), 1, 16) || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16) AS key FROM d),
+total AS (SELECT sum(size)::DOUBLE AS b FROM k),
+goals AS (SELECT unnest(range(1, 40)) AS i),
+depths AS (SELECT unnest(range(3, 34, 3)) AS d),
+buckets AS (SELECT d, substr(key, 1, d) AS p, sum(size) AS b, count(*) AS n FROM k, depths GROUP BY 1, 2),
+edges AS (SELECT d, n, b, sum(b) OVER (PARTITION BY d ORDER BY p) AS hi FROM buckets),
+near AS (SELECT i, d, min(abs(e - i * total.b / 40)) AS off, arg_min(e, (abs(e - i * total.b / 40), e)) AS edge FROM (SELECT d, hi AS e FROM edges UNION ALL SELECT d, 0 FROM depths), goals, total GROUP BY 1, 2),
+holder AS (SELECT i, d, max(n) AS n FROM edges, goals, total WHERE hi - edges.b <= i * total.b / 40 AND hi > i * total.b / 40 GROUP BY 1, 2),
+chosen AS (SELECT i, arg_min(edge, d) AS edge FROM near JOIN holder USING (i, d), total WHERE off <= 0.005 * total.b / 40 OR holder.n = 1 OR d >= 32 GROUP BY 1),
+ranked AS (SELECT k.*, coalesce(sum(size) OVER (ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS below FROM k),
+placed AS (SELECT ranked.*, (SELECT count(*) FROM chosen WHERE edge <= below) AS shard FROM ranked)
+SELECT doc_id, size, v AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY key) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed JOIN crc USING (r)
+"""

@@ -128,4 +128,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.OP3, "op4_quality": oracles.OP4, "op8_jaccard_join": oracles.OP8, "op9_url_filter": oracles.op9(URL_RULES)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.OP3, "op4_quality": oracles.OP4, "op10_sharding": oracles.OP10, "op8_jaccard_join": oracles.OP8, "op9_url_filter": oracles.op9(URL_RULES)}
