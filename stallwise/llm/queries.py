@@ -93,6 +93,16 @@ def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` by the pieces and scores of ``piece_bpe_32k.model``, taken as a unigram vocabulary."""
+    import public_tokenizers as tokenizers
+
+    from stallwise.llm import token_counts
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return token_counts.count(docs, token_counts.load_pieces(tokenizers.path("piece_bpe_32k.model"))).drop("text")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stallwise.llm import jaccard_join
 
@@ -124,6 +134,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_pitman_yor": op6_pitman_yor,
+    "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stallwise.llm import byte_bpe, jaccard_join, mixing, order_minhash, pitman_yor, quality, sharding, toxicity, url_filter
+from stallwise.llm import byte_bpe, jaccard_join, mixing, order_minhash, pitman_yor, quality, sharding, token_counts, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -267,6 +267,44 @@ def test_language_model(docs, rows, none, share):
     assert pitman_yor.score(none, held).count() == 0
 
 
+# ---- 7 ------------------------------------------------------------------------------------------------------------
+
+
+def unigram(pieces):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.Unigram(pieces, 0, True))
+    own.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_counts.MARK, prepend_scheme="always", split=True)
+    return own
+
+
+def test_token_counts_are_the_librarys(docs, rows, none, spark):
+    import public_tokenizers as tokenizers
+
+    pieces = token_counts.load_pieces(tokenizers.path("piece_bpe_32k.model"))
+    own = unigram(pieces)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in token_counts.count(docs, pieces).collect())
+    assert got == sorted((i is None, i or 0, len(own.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
+    assert token_counts.count(none, pieces).count() == 0
+    given = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    counter = token_counts.Counter(pieces)
+    for t in given.values():
+        assert counter.text(t)[1] == len(own.encode(t, add_special_tokens=False).ids)
+
+
+def test_token_count_ties():
+    """Few distinct scores, so that many paths tie; rare and unknown characters; pieces of several bytes."""
+    bytes_ = [(f"<0x{b:02X}>", -9.0) for b in range(256)]
+    rng = np.random.default_rng(4)
+    alphabet = "abcé日" + token_counts.MARK
+    words = {"".join(rng.choice(list(alphabet), int(rng.integers(1, 5)))) for _ in range(80)} - {""}
+    pieces = [("<unk>", 0.0), *bytes_, *((w, float(-rng.integers(1, 4))) for w in sorted(words) if w != "c")]
+    own, counter = unigram(pieces), token_counts.Counter(pieces)
+    for n in range(300):
+        t = "".join(rng.choice(list("abcé日 \nx" + "𝄞"), int(rng.integers(0, 40))))
+        assert counter.text(t)[1] == len(own.encode(t, add_special_tokens=False).ids), t
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 
