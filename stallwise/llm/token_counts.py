@@ -55,34 +55,32 @@ class Counter:
 
     def word(self, word: str) -> tuple[int, float]:
         """Pieces and score of the best path through a word."""
-        n = len(word)
-        scores, counts, at = [0.0] * (n + 1), [0] * (n + 1), 0
-        best, pieces = None, 0
-        singles, unknown = self.singles, self.unknown
-
-        def close(end: int) -> None:
-            """The passing of a character that is no piece comes last, as it starts last."""
-            nonlocal best, pieces
-            char = word[end - 1]
-            if char not in singles:
-                passed = unknown + scores[end - 1]
-                if best is None or passed > best:
-                    best, pieces = passed, counts[end - 1] + len(char.encode("utf-8"))
-            scores[end], counts[end] = best, pieces
-            best = None
-
-        for last, (length, score) in self.automaton.iter(word):  # longest first at each end
+        scores, counts, singles = [0.0], [0], self.singles
+        best, pieces, at = None, 0, 0  # of the paths to position ``at + 1`` so far
+        for last, (length, score) in self.automaton.iter(word):  # by end, the longest first
             while at < last:
+                if word[at] not in singles:
+                    best, pieces = self.passed(word[at], best, pieces, scores[at], counts[at])
+                scores.append(best)
+                counts.append(pieces)
+                best = None
                 at += 1
-                close(at)
             start = last + 1 - length
             path = score + scores[start]
             if best is None or path > best:
                 best, pieces = path, counts[start] + 1
-        while at < n:
-            at += 1
-            close(at)
-        return counts[n], scores[n]
+        for char in word[at:]:
+            if char not in singles:
+                best, pieces = self.passed(char, best, pieces, scores[-1], counts[-1])
+            scores.append(best)
+            counts.append(pieces)
+            best = None
+        return counts[-1], scores[-1]
+
+    def passed(self, char: str, best: float | None, pieces: int, before: float, count: int) -> tuple[float, int]:
+        """The better of the paths by pieces and of passing a character that is none, which starts last and so loses ties."""
+        path = self.unknown + before
+        return (path, count + len(char.encode("utf-8"))) if best is None or path > best else (best, pieces)
 
     def text(self, text: str) -> tuple[int, int, float]:
         """Words, tokens and score of a text."""
