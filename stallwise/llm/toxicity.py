@@ -47,6 +47,14 @@ def _slots(tokens: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.stack([(mix64(f + np.uint64(977 * i)) & mask).astype(np.int32) for i, f in enumerate(features)]), marks
 
 
+def _log_odds(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Each token's log-odds by its features."""
+    e = np.zeros(slots.shape[1])
+    for own in slots:
+        e += weights[own]
+    return e
+
+
 class _Chains:
     """The tokens of several documents, laid out so that all documents step together, longest first."""
 
@@ -123,16 +131,21 @@ def fit(texts: list[str], labels: list[int], steps: int = 80, rate: float = 0.5,
     toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
         return None
-    tokens = Tokens(texts, letters=True)
-    slots, marks = _slots(tokens)
-    y = mark_tokens(marks, tokens.doc, toxic)
+    parts = []
+    for a, b in runs(texts):
+        tokens = Tokens(texts[a:b], letters=True)
+        parts.append((*_slots(tokens), tokens.doc + a))
+    doc = np.concatenate([p[2] for p in parts])
+    y = mark_tokens([np.concatenate(m) for m in zip(*(p[1] for p in parts))], doc, toxic)
+    slots = np.concatenate([p[0] for p in parts], axis=1)
+    del parts
     if not y.any():
         return None
     # a toxic document without any marked token says nothing of its tokens
     told = np.ones(len(texts), bool)
-    told[toxic] = np.bincount(tokens.doc[y], minlength=len(texts))[toxic] > 0
-    use = told[tokens.doc]
-    slots, y, doc = slots[:, use], y[use].astype(float), tokens.doc[use]
+    told[toxic] = np.bincount(doc[y], minlength=len(texts))[toxic] > 0
+    use = told[doc]
+    slots, y, doc = slots[:, use], y[use].astype(float), doc[use]
     chains = _Chains(np.bincount(doc, minlength=len(texts)))
     inner = doc[:-1] == doc[1:]
     a, b = y[:-1][inner], y[1:][inner]
@@ -141,10 +154,12 @@ def fit(texts: list[str], labels: list[int], steps: int = 80, rate: float = 0.5,
     m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))
     w[slots[-1][0] if slots.size else 0] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     for step in range(1, steps + 1):
-        e = w[slots].sum(axis=0)
+        e = _log_odds(w, slots)
         p, forward, backward = chains.marginals(e, trans)
         off = p - y
-        g = sum(np.bincount(s, off, WEIGHTS) for s in slots) / y.sum() + l2 * w
+        g = l2 * w
+        for own in slots:
+            g += np.bincount(own, off / y.sum(), WEIGHTS)
         gt = (_pairs(e, forward, backward, trans, inner) - seen) / y.sum() + l2 * trans
         for value, grad, first, second in ((w, g, m, v), (trans, gt, mt, vt)):
             first += 0.1 * (grad - first)
@@ -161,13 +176,13 @@ def tag(model: dict | None, texts: list[str | None]) -> tuple[np.ndarray, Tokens
     if not len(tokens):
         return np.zeros(len(texts)), tokens, np.empty(0)
     slots, _ = _slots(tokens)
-    e = model["weights"][slots].sum(axis=0, dtype=np.float64)
+    e = _log_odds(model["weights"], slots)
     p, _, _ = _Chains(tokens.counts()).marginals(e, model["trans"])
     clean = np.log1p(-np.minimum(np.where(p >= FLOOR, p, 0), 1 - 1e-12))
     return 1 - np.exp(np.bincount(tokens.doc, clean, tokens.n_docs)), tokens, p
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = 1_500, sample_chars: int = 8_000_000, longest: int = 10_000) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = 1_000, sample_chars: int = 4_000_000, longest: int = 10_000) -> list:
     """(text, label) of the bounded training sample, by hash order of the ids."""
     fold = F.lit(True) if held_out is None else ~held_out
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
