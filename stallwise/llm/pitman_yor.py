@@ -1,24 +1,22 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Every token is a customer of the restaurant of its context: the word before it
-where that word has ``context_share`` of the training tokens, else one restaurant
-for all other contexts. The tables of the context restaurants are customers of one
-shared parent restaurant, whose base is uniform over the known words and one
-unknown. A dish's tables are sampled given all else (blocked Gibbs steps: by the
-exact distribution with generalised Stirling numbers up to ``EXACT`` customers,
-beyond that by seating blocks of customers), first in the contexts, then in the
-parent; after ``burn_in`` sweeps the predictive probabilities are averaged, and a
-text's score is the sum of their logarithms.
-
-The words that have ``frequent_share`` of a batch's training tokens, and
-``LEAST_COUNT`` of them, are counted exactly; the seating of those with that share
-of all tokens, at most ``1/frequent_share`` words by ``1/context_share`` contexts,
-is shared with all tasks. The tokens of all other words travel once, in blobs by
-hash shard, so a shard has every customer of its words from the whole corpus; it
-samples their seating and sends back per block of documents the sums of its
-documents. All counts are exact whichever way a word goes. The restaurants' sizes
-that the sampler needs are counts over the corpus, with a table for each customer
-of the infrequent dishes as their estimate.
+Every token is a customer of the restaurant of its context: the word before it, of
+a text's first token the end token. Every word has its restaurant. The tables of
+the context restaurants are customers of one shared parent restaurant, whose base is
+uniform over the known words and one unknown. A dish's tables are sampled given all
+else (blocked Gibbs steps: by the exact distribution with generalised Stirling
+numbers up to ``EXACT`` customers, beyond that by seating blocks of customers),
+first in the contexts, then in the parent; after ``burn_in`` sweeps the predictive
+probabilities are averaged, and a text's score is the sum of their logarithms.
+
+Documents are cut in blocks, and a block sends each of its distinct dishes (word and
+context) once, with its customers, in blobs to hash shards. A word's dishes are in
+one shard; those of the words that have ``frequent_share`` of all training tokens, at
+most ``1/frequent_share``, are dealt by word and context. All counts are exact. The
+shards exchange the customers and tables of each context by context shards: first
+with one table a dish, then with sampled tables, on which the scores rest. A frequent
+word's parent probability is sampled once from all its dishes and shared with all
+tasks. The shards send back one logarithm a dish, and each block sums its documents.
 
 Null and empty texts are one end token. Repeated rows each count and each get a
 row. With no training token all counts are 0 and the probabilities uniform.
@@ -27,8 +25,9 @@ row. With no training token all counts are 0 and the probabilities uniform.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +35,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.llm.tokens import Tokens, runs
+from stallwise.llm.tokens import Tokens, mix64, runs
 from stallwise.session import cut_lineage
 
 END = np.uint64(0x5EED0FE7D0C5)
 EXACT = 64
-#: Tokens of a batch that make a word a candidate for the shared part, so that a small batch does not name all its words.
-LEAST_COUNT = 8
-#: Tokens of the corpus a shard stands for.
-SHARD_TOKENS = 4_000_000
+#: Characters of the corpus a shard stands for, and of a block of documents.
+SHARD_CHARS = 24_000_000
+BLOCK_CHARS = 8_000_000
+DEALT = "block bigint, shard int, ids array<bigint>, lengths binary, words binary, sizes binary, contexts binary, customers binary, docs binary, times binary"
+ASKED = "shard int, home int, contexts binary, customers binary, tables binary"
+TOTALS = "shard int, home int, customers binary, tables binary, all_tables double"
 
 
 @dataclass
@@ -59,20 +60,36 @@ class Settings:
     sweeps: int = 3
     seed: int = 7
     frequent_share: float = 1 / 65_536
-    context_share: float = 1 / 256
 
 
 @dataclass
 class Corpus:
-    """What all tasks share; arrays by frequent word or by context (0: all other contexts)."""
+    """What all tasks share: training tokens, known words, and the frequent words, sorted, with their counts."""
 
     n: int
+    known: int
     words: np.ndarray
     counts: np.ndarray
+
+
+@dataclass
+class Parent:
+    """The parent's customers, and the frequent words' probabilities in each kept sweep."""
+
+    customers: float
+    p: np.ndarray
+
+
+@dataclass
+class Shard:
+    """A shard's dishes: ``word`` and ``context`` number ``words`` and ``contexts``, ``dish`` has the sent dishes' numbers."""
+
+    words: np.ndarray
     contexts: np.ndarray
-    customers: np.ndarray
-    tables: np.ndarray
-    log_p: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
+    word: np.ndarray
+    context: np.ndarray
+    c: np.ndarray
+    dish: np.ndarray
 
 
 def stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,15 +111,66 @@ def find(sorted_words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(sorted_words[at] == h, at, -1)
 
 
-def context_of(h: np.ndarray, doc: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Each token's restaurant: 1 and up by the word before it, else 0."""
-    before = find(contexts, h) + 1
-    out = np.concatenate(([0], before[:-1])) if len(h) else before
-    if len(h):
-        out[np.concatenate(([True], doc[1:] != doc[:-1]))] = 0
+def context_of(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The word before each token, of a text's first token ``END``."""
+    out = np.concatenate((h[:0], [END], h[:-1])).astype(np.uint64)[: len(h)]
+    out[1:][doc[1:] != doc[:-1]] = END
     return out
 
 
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+
+
+def summed(words: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and the sums of their counts."""
+    kinds, number = np.unique(words, return_inverse=True)
+    return kinds, np.bincount(number, times, len(kinds)).astype(np.int64)
+
+
+def joined(blobs: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+def pack(words: np.ndarray, corpus: Corpus) -> bytes:
+    """Hashes in little room: the frequent words' places, then the hashes of the others."""
+    at = (find(corpus.words, words) + 1).astype(code_type(corpus))
+    return at.tobytes() + words[at == 0].tobytes()
+
+
+def unpack(blob: bytes, n: int, corpus: Corpus) -> np.ndarray:
+    """The ``n`` hashes of ``pack``."""
+    kind = code_type(corpus)
+    at = np.frombuffer(blob, kind, n)
+    out = np.empty(n, np.uint64)
+    out[at > 0] = corpus.words[at[at > 0].astype(np.int64) - 1]
+    out[at == 0] = np.frombuffer(blob[n * kind.itemsize :], np.uint64)
+    return out
+
+
+def code_type(corpus: Corpus) -> np.dtype:
+    return np.dtype(np.uint16 if len(corpus.words) < 1 << 16 else np.uint32)
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Small whole numbers, the bytes of one place beside each other."""
+    x = x.astype(np.int64)
+    return zlib.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def expand(blobs: list[bytes]) -> np.ndarray:
+    """The numbers of ``squeeze``."""
+    parts = [np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for b in blobs]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+def rows_table(rows: list[tuple], schema: str) -> pa.Table:
+    """``rows`` as a table of the named columns."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    names = [c.split() for c in schema.split(", ")]
+    return pa.table({n: pa.array(v, kinds[k]) for (n, k), v in zip(names, zip(*rows) if rows else [()] * len(names))})
+
+
 def stirling(discount: float, n: int = EXACT) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers S(c, t), c and t up to ``n``."""
     log_s = np.full((n + 1, n + 1), -np.inf)
@@ -139,101 +207,98 @@ def seat(c: np.ndarray, a: np.ndarray, discount: float, log_s: np.ndarray, rng:
     return t
 
 
-def sample(word: np.ndarray, context: np.ndarray, c: np.ndarray, n_words: int, corpus: Corpus, new_words: float, s: Settings, seed: int):
-    """Averaged predictive probabilities of (word, context) dishes, and the last sweep's context tables.
+def seat_dishes(c: np.ndarray, a: np.ndarray, discount: float, log_s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """As ``seat``; most dishes have one customer and so one table."""
+    t = np.minimum(c, 1).astype(np.int64)
+    many = np.flatnonzero(c > 1)
+    t[many] = seat(c[many], a[many], discount, log_s, rng)
+    return t
+
 
-    ``word`` numbers the dishes' words from 0 and ``c`` has their customers;
-    ``new_words`` is the parent's table count, taken as one table a known word.
+def sample_parent(word: np.ndarray, c: np.ndarray, room: np.ndarray, ones: np.ndarray, corpus: Corpus, customers: float, s: Settings, rng: np.random.Generator):
+    """Each sweep's tables of the dishes, and the words' parent probabilities after it.
+
+    ``word`` numbers the dishes' words from 0, ``c`` has their customers, ``room`` the
+    weight of a new table in their contexts; ``ones`` are further dishes of each word
+    with one customer.
     """
-    rng = np.random.default_rng((s.seed, seed))
     below, above = stirling(s.discount), stirling(s.parent_discount)
-    room = s.strength + s.discount * corpus.tables[context]
-    whole = s.strength + corpus.customers[context]
-    parent_whole = s.parent_strength + corpus.tables.sum()
-    open_parent = (s.parent_strength + s.parent_discount * new_words) / (new_words + 1)
-    p_word = np.full(n_words, 1.0)
-    np.add.at(p_word, word, c)
-    p_word /= max(1, corpus.n)
-    total = np.zeros(len(c))
-    for sweep in range(s.burn_in + s.sweeps):
-        t = seat(c, room * p_word[word], s.discount, below, rng)
-        guests = np.bincount(word, t, n_words).astype(np.int64)
+    n_words = len(ones)
+    open_parent = (s.parent_strength + s.parent_discount * corpus.known) / (corpus.known + 1)
+    p_word = (np.bincount(word, c, n_words) + ones) / max(1, corpus.n)
+    for _ in range(s.burn_in + s.sweeps):
+        t = seat_dishes(c, room * p_word[word], s.discount, below, rng)
+        guests = (np.bincount(word, t, n_words) + ones).astype(np.int64)
         tables = seat(guests, np.full(n_words, open_parent), s.parent_discount, above, rng)
-        p_word = (guests - s.parent_discount * tables + open_parent) / parent_whole
-        if sweep >= s.burn_in:
-            total += np.maximum(c - s.discount * t, 0) / whole + room / whole * p_word[word]
-    return total / s.sweeps, t
+        p_word = (guests - s.parent_discount * tables + open_parent) / (s.parent_strength + customers)
+        yield t, p_word
 
 
-def frequent_words(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray, np.ndarray]:
-    """Training tokens, and the candidates: words frequent in some batch, with their counts in those batches."""
+def sample(shard: Shard, customers: np.ndarray, tables: np.ndarray, corpus: Corpus, parent: Parent, s: Settings, seed: int):
+    """Averaged predictive probabilities of a shard's dishes, and the last sweep's tables.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t for t, out in zip(batch["text"].to_pylist(), batch["held_out"].to_pylist()) if not out]
-            parts = [np.unique(stream(texts[a:b])[0], return_counts=True) for a, b in runs(texts)]
-            words = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
-            kinds, number = np.unique(words, return_inverse=True)
-            times = np.bincount(number, np.concatenate([p[1] for p in parts]) if parts else None, len(kinds)).astype(np.int64)
-            keep = times >= max(LEAST_COUNT, s.frequent_share * times.sum())
-            word = pa.array([None, *kinds[keep].view(np.int64).tolist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([word, pa.array([int(times.sum()), *times[keep].tolist()], pa.int64())], ["word", "n"])
-
-    found = docs.select("text", "held_out").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = found.toLocalIterator()
-    words, counts, total = [], [], 0
-    for r in rows:
-        if r["word"] is None:
-            total = r["n"]
-        else:
-            words.append(r["word"])
-            counts.append(r["n"])
-    words = np.array(words, np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return total, words[order], np.array(counts, np.int64)[order]
+    ``customers`` and ``tables`` are the whole restaurants' of the shard's contexts.
+    """
+    rng = np.random.default_rng((s.seed, seed))
+    below = stirling(s.discount)
+    room = (s.strength + s.discount * tables)[shard.context]
+    whole = (s.strength + customers)[shard.context]
+    at = find(corpus.words, shard.words)
+    total, last = np.zeros(len(shard.c)), np.zeros(len(shard.c), np.int64)
+    hot = at[shard.word] >= 0
+    rare = np.flatnonzero(~hot)
+    kinds, word = np.unique(shard.word[rare], return_inverse=True)
+    c, r, w = shard.c[rare], room[rare], whole[rare]
+    sweeps = sample_parent(word, c, r, np.zeros(len(kinds), np.int64), corpus, parent.customers, s, rng)
+    for sweep, (t, p_word) in enumerate(sweeps):
+        if sweep >= s.burn_in:
+            total[rare] += np.maximum(c - s.discount * t, 0) / w + r / w * p_word[word]
+        last[rare] = t
+    hot = np.flatnonzero(hot)
+    word, c, r, w = at[shard.word[hot]], shard.c[hot], room[hot], whole[hot]
+    for p_word in parent.p:
+        t = seat_dishes(c, r * p_word[word], s.discount, below, rng)
+        total[hot] += np.maximum(c - s.discount * t, 0) / w + r / w * p_word[word]
+        last[hot] = t
+    return total / s.sweeps, last
 
 
-def learn_frequent(docs: DataFrame, s: Settings) -> Corpus:
-    """The shared part: exact counts of frequent words by context, and their averaged probabilities."""
-    spark = docs.sparkSession
-    n, candidates, rough = frequent_words(docs, s)
-    contexts = candidates[rough >= max(1.0, s.context_share * n)]
-    shared = spark.sparkContext.broadcast((candidates, contexts))
+def vocabulary(docs: DataFrame, s: Settings, shards: int) -> Corpus:
+    """Training tokens, known words and the frequent words, from sums over the whole corpus."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, starts = shared.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t for t, out in zip(batch["text"].to_pylist(), batch["held_out"].to_pylist()) if not out]
-            cells = np.zeros(0, np.int64)
-            times = np.zeros(0, np.int64)
-            for a, b in runs(texts):
-                h, doc = stream(texts[a:b])
-                cell = context_of(h, doc, starts) * (len(words) + 1) + find(words, h) + 1
-                kinds, many = np.unique(np.concatenate((cells, cell)), return_inverse=True)
-                times = np.bincount(many, np.concatenate((times, np.ones(len(cell), np.int64)))).astype(np.int64)
-                cells = kinds
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times)], ["cell", "n"])
-
-    cells = docs.select("text", "held_out").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(contexts) + 1, len(candidates) + 1), np.int64)
-    for r in cells.toLocalIterator():  # at most contexts by candidates cells
-        counts[r["cell"] // (len(candidates) + 1), r["cell"] % (len(candidates) + 1)] = r["n"]
-    own = counts[:, 1:]
-    keep = own.sum(axis=0) >= max(1.0, s.frequent_share * n)
-    customers = counts.sum(axis=1)
-    words, own = candidates[keep], own[:, keep]
-    rare = customers - own.sum(axis=1)
-    corpus = Corpus(n, words, own.sum(axis=0), contexts, customers, rare + np.count_nonzero(own, axis=1))
-    context, word = np.divmod(np.arange(own.size), max(1, own.shape[1]))
-    for _ in range(2):  # the second time with the first one's table counts
-        p, t = sample(word, context, own.ravel(), own.shape[1], corpus, max(1.0, float(rare.sum())), s, -1 % (1 << 32))
-        corpus.tables = rare + t.reshape(own.shape).sum(axis=1) if own.size else rare
-    corpus.log_p = np.log10(p).reshape(own.shape).astype(np.float32)
-    return corpus
+            parts = [np.unique(stream(texts[a:b])[0], return_counts=True) for a, b in runs(texts)]
+            if parts:
+                words, times = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                shard = shard_of(words, shards)
+                rows = [(k, words[shard == k].tobytes(), times[shard == k].astype(np.uint32).tobytes()) for k in np.unique(shard).tolist()]
+                yield from rows_table(rows, "shard int, words binary, counts binary").to_batches()
+
+    def add(group: pa.Table) -> pa.Table:
+        words, times = summed(joined(group["words"].to_pylist(), np.uint64), joined(group["counts"].to_pylist(), np.uint32))
+        keep = times >= s.frequent_share * times.sum()  # a part of the tokens, so none of the frequent words is missed
+        return rows_table([(int(times.sum()), len(words), words[keep].tobytes(), times[keep].tobytes())], "n bigint, known bigint, words binary, counts binary")
+
+    counted = docs.select("text", "held_out").mapInArrow(count, "shard int, words binary, counts binary")
+    found = cut_lineage(counted.groupBy("shard").applyInArrow(add, "n bigint, known bigint, words binary, counts binary"))
+    n, known = (int(x or 0) for x in found.agg(F.sum("n"), F.sum("known")).first())
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, times = joined(batch["words"].to_pylist(), np.uint64), joined(batch["counts"].to_pylist(), np.int64)
+            keep = times >= max(1.0, s.frequent_share * n)
+            yield from rows_table([(words[keep].tobytes(), times[keep].tobytes())], "words binary, counts binary").to_batches()
+
+    rows = list(found.select("words", "counts").mapInArrow(trim, "words binary, counts binary").toLocalIterator())
+    words, counts = joined([bytes(r["words"]) for r in rows], np.uint64), joined([bytes(r["counts"]) for r in rows], np.int64)
+    order = np.argsort(words)
+    return Corpus(n, known, words[order], counts[order])
 
 
 def deal(docs: DataFrame, shared, shards: int) -> DataFrame:
-    """Blocks of documents: a header with the frequent words' sums, and one blob a shard with the other tokens."""
+    """Blocks of documents: a header with each dish's documents, and one row a shard with the block's dishes in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus: Corpus = shared.value
@@ -241,90 +306,137 @@ def deal(docs: DataFrame, shared, shards: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             out = np.array([bool(x) for x in batch["held_out"].to_pylist()], bool)
-            for a, b in runs(texts, 8_000_000):
+            for a, b in runs(texts, BLOCK_CHARS):
                 h, doc = stream(texts[a:b])
-                at, context = find(corpus.words, h), context_of(h, doc, corpus.contexts)
-                known = at >= 0
-                d = b - a
-                logs = np.log10(corpus.counts + 1.0)
-                head = np.stack([
-                    np.bincount(doc, minlength=d),
-                    np.bincount(doc[known], minlength=d),
-                    np.bincount(doc[known], logs[at[known]] if len(logs) else None, d),
-                    np.bincount(doc[known], corpus.log_p[context[known], at[known]].astype(float), d),
-                ]).astype(np.float64)
-                rare, own, ctx = h[~known], doc[~known], context[~known].astype(np.uint16)
-                shard = ((rare >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
+                before, train = context_of(h, doc), ~out[a:b][doc]
+                key = np.where(find(corpus.words, h) >= 0, mix64(h ^ mix64(before)), h)
+                order = np.lexsort((before, h, shard_of(key, shards)))
+                hs, bs, ss = h[order], before[order], shard_of(key[order], shards)
+                new_word = np.concatenate(([True], (hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])))
+                new_dish = new_word | np.concatenate(([True], bs[1:] != bs[:-1]))
+                first = np.flatnonzero(new_dish)
+                c = np.add.reduceat(train[order].astype(np.uint32), first, dtype=np.uint32)
+                word_at = np.flatnonzero(new_word[first])
+                sizes = np.diff(np.append(word_at, len(first))).astype(np.uint32)
+                words, contexts, of_dish, of_word = hs[first][word_at], bs[first], ss[first], ss[first][word_at]
                 name = part * (1 << 32) + number
                 number += 1
-                rows = [(name, number % shards, ids[a:b], head.tobytes(), None, None, None)]
-                packed = (own.astype(np.uint32) << np.uint32(1)) | (~out[a:b][own]).astype(np.uint32)
-                for k in range(shards):
-                    at_k = order[cuts[k] : cuts[k + 1]]
-                    if len(at_k):
-                        rows.append((name, k, None, None, rare[at_k].tobytes(), ctx[at_k].tobytes(), packed[at_k].tobytes()))
-                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["block", "shard", "ids", "head", "words", "contexts", "docs"]
-                )
-
-    return docs.select("doc_id", "text", "held_out").mapInArrow(
-        run, "block bigint, shard int, ids array<bigint>, head binary, words binary, contexts binary, docs binary"
-    )
-
-
-def score_shard(group: pa.Table, corpus: Corpus, shards: int, s: Settings) -> pa.Table:
-    """Of one shard's words: the sums of each block's documents (numbers and three sums), the headers, and the count of known words."""
-    rows = sorted(group.to_pylist(), key=lambda r: (r["block"], r["ids"] is None))
-    blobs = [r for r in rows if r["words"] is not None]
-    out = [(r["block"], 0, r["ids"], r["head"]) for r in rows if r["words"] is None]
-    if blobs:
-        h = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in blobs])
-        ctx = np.concatenate([np.frombuffer(r["contexts"], np.uint16) for r in blobs])
-        packed = np.concatenate([np.frombuffer(r["docs"], np.uint32) for r in blobs])
-        train = (packed & 1).astype(np.int64)
-        order = np.lexsort((ctx, h))
-        hs, cs = h[order], ctx[order]
-        new_word = np.concatenate(([True], hs[1:] != hs[:-1]))
-        new_dish = new_word | np.concatenate(([True], cs[1:] != cs[:-1]))
-        dish = np.empty(len(h), np.int64)
-        dish[order] = np.cumsum(new_dish) - 1
-        word = (np.cumsum(new_word) - 1)[new_dish]
-        c = np.bincount(dish, train).astype(np.int64)
-        seen = np.bincount(word, c).astype(np.int64)
-        known = int((seen > 0).sum())
-        p, _ = sample(word, cs[new_dish].astype(np.int64), c, len(seen), corpus, len(corpus.words) + known * shards, s, int(group["shard"][0].as_py()))
-        of_token = seen[word[dish]]
-        sums = (of_token > 0).astype(float), np.log10(of_token + 1.0), np.log10(p)[dish]
-        at = 0
-        for r in blobs:
-            m = len(r["words"]) // 8
-            docs, number = np.unique(packed[at : at + m] >> 1, return_inverse=True)
-            columns = np.stack([docs.astype(np.float64), *(np.bincount(number, x[at : at + m], len(docs)) for x in sums)])
-            out.append((r["block"], 1, None, columns.tobytes()))
-            at += m
-        out.append((-1, 2, None, np.array([known], np.float64).tobytes()))
-    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-    return pa.table({n: pa.array(v, t) for n, v, t in zip(("block", "kind", "ids", "sums"), zip(*out) if out else [()] * 4, kinds)})
-
-
-def gather_block(group: pa.Table) -> pa.Table:
-    """The documents of a block with their sums over all shards."""
+                lengths, times = squeeze(np.bincount(doc, minlength=b - a)), squeeze(np.diff(np.append(first, len(h))))
+                rows = [(name, name % shards, ids[a:b], lengths, None, None, None, None, squeeze(doc[order]), times)]
+                for k in np.unique(of_dish).tolist():
+                    d, w = slice(*np.searchsorted(of_dish, (k, k + 1))), slice(*np.searchsorted(of_word, (k, k + 1)))
+                    rows.append((name, k, None, None, pack(words[w], corpus), squeeze(sizes[w]), pack(contexts[d], corpus), squeeze(c[d]), None, None))
+                yield from rows_table(rows, DEALT).to_batches()
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, DEALT)
+
+
+def read_shard(group: pa.Table, corpus: Corpus) -> tuple[list[dict], Shard]:
+    """A shard's rows, in the order of their blocks, and their dishes."""
+    rows = sorted(group.select(["block", "shard", "words", "sizes", "contexts", "customers"]).to_pylist(), key=lambda r: r["block"])
+    sizes = [expand([r["sizes"]]) for r in rows]
+    words = np.concatenate([np.repeat(unpack(r["words"], len(n), corpus), n) for r, n in zip(rows, sizes)])
+    contexts = np.concatenate([unpack(r["contexts"], int(n.sum()), corpus) for r, n in zip(rows, sizes)])
+    c = expand([r["customers"] for r in rows])
+    order = np.lexsort((contexts, words))
+    ws, cs = words[order], contexts[order]
+    new_word = np.concatenate(([True], ws[1:] != ws[:-1]))
+    new_dish = new_word | np.concatenate(([True], cs[1:] != cs[:-1]))
+    dish = np.empty(len(words), np.int64)
+    dish[order] = np.cumsum(new_dish) - 1
+    kinds, context = np.unique(cs[new_dish], return_inverse=True)
+    return rows, Shard(ws[new_word], kinds, (np.cumsum(new_word) - 1)[new_dish], context, np.bincount(dish, c).astype(np.int64), dish)
+
+
+def read_totals(totals: pa.Table, contexts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The whole restaurants' customers and tables of a shard's contexts."""
+    order = np.argsort(shard_of(contexts, shards), kind="stable")
+    rows = sorted(totals.select(["home", "customers", "tables"]).to_pylist(), key=lambda r: r["home"])
+    out = np.empty((2, len(contexts)))
+    out[0, order], out[1, order] = (expand([r[c] for r in rows]) for c in ("customers", "tables"))
+    return out[0], out[1]
+
+
+def ask(shard: Shard, number: int, t: np.ndarray, corpus: Corpus, shards: int) -> pa.Table:
+    """A shard's customers and tables of each of its contexts, for the contexts' own shards."""
+    home = shard_of(shard.contexts, shards)
+    order = np.argsort(home, kind="stable")
+    cuts = np.cumsum(np.bincount(home, minlength=shards))[:-1]
+    n = len(shard.contexts)
+    sums = shard.contexts, np.bincount(shard.context, shard.c, n), np.bincount(shard.context, t, n)
+    parts = zip(*(np.split(x[order], cuts) for x in sums))
+    return rows_table([(number, k, pack(p[0], corpus), squeeze(p[1]), squeeze(p[2])) for k, p in enumerate(parts) if len(p[0])], ASKED)
+
+
+def total(group: pa.Table, corpus: Corpus) -> pa.Table:
+    """The sums over all shards, for each shard's contexts in the order it sent them."""
     rows = group.to_pylist()
-    head = next(r for r in rows if r["kind"] == 0)
-    n_tokens, *sums = np.frombuffer(head["sums"], np.float64).reshape(4, -1)
-    sums = np.array(sums)
-    for part in sorted((r["sums"] for r in rows if r["kind"] == 1)):
-        docs, *more = np.frombuffer(part, np.float64).reshape(4, -1)
-        sums[:, docs.astype(np.int64)] += more
+    asked = [expand([r["customers"]]) for r in rows]
+    _, number = np.unique(np.concatenate([unpack(r["contexts"], len(c), corpus) for r, c in zip(rows, asked)]), return_inverse=True)
+    sums = np.bincount(number, np.concatenate(asked)), np.bincount(number, expand([r["tables"] for r in rows]))
+    cuts = np.cumsum([len(c) for c in asked])[:-1]
+    parts = zip(*(np.split(x[number], cuts) for x in sums))
+    alone = [float(sums[1].sum()), *[0.0] * (len(rows) - 1)]
+    return rows_table([(r["shard"], r["home"], squeeze(c), squeeze(t), x) for r, (c, t), x in zip(rows, parts, alone)], TOTALS)
+
+
+def ask_frequent(group: pa.Table, totals: pa.Table, corpus: Corpus, shards: int, s: Settings) -> pa.Table:
+    """A shard's dishes of frequent words: those with several customers, and the number of the others."""
+    _, shard = read_shard(group, corpus)
+    _, tables = read_totals(totals, shard.contexts, shards)
+    at = find(corpus.words, shard.words)[shard.word]
+    ones = np.bincount(at[(at >= 0) & (shard.c == 1)], minlength=len(corpus.words)).astype(np.uint32)
+    many = np.flatnonzero((at >= 0) & (shard.c > 1))
+    room = (s.strength + s.discount * tables)[shard.context[many]]
+    rows = []
+    for k in range(min(shards, len(corpus.words))):
+        own = at[many] % shards == k
+        columns = (at[many][own] // shards).astype(np.uint32), shard.c[many][own].astype(np.uint32), room[own]
+        rows.append((k, ones[k::shards].tobytes(), *(x.tobytes() for x in columns)))
+    return rows_table(rows, "part int, ones binary, words binary, customers binary, rooms binary")
+
+
+def sample_frequent(group: pa.Table, corpus: Corpus, customers: float, s: Settings) -> pa.Table:
+    """The parent probabilities of a part of the frequent words in the kept sweeps."""
+    rows = sorted(group.to_pylist(), key=lambda r: (r["ones"], r["words"], r["customers"], r["rooms"]))
+    ones = sum(np.frombuffer(r["ones"], np.uint32).astype(np.int64) for r in rows)
+    word, c = (joined([r[k] for r in rows], np.uint32).astype(np.int64) for k in ("words", "customers"))
+    rng = np.random.default_rng((s.seed, rows[0]["part"], 1))
+    sweeps = [p for _, p in sample_parent(word, c, joined([r["rooms"] for r in rows], np.float64), ones, corpus, customers, s, rng)]
+    return rows_table([(rows[0]["part"], np.stack(sweeps[s.burn_in :]).tobytes())], "part int, p binary")
+
+
+def score_shard(group: pa.Table, totals: pa.Table, corpus: Corpus, parent: Parent, shards: int, s: Settings) -> pa.Table:
+    """For each block the logarithms of its dishes' probabilities, and its words' counts."""
+    rows, shard = read_shard(group, corpus)
+    p, _ = sample(shard, *read_totals(totals, shard.contexts, shards), corpus, parent, s, rows[0]["shard"])
+    at = find(corpus.words, shard.words)
+    seen = np.bincount(shard.word, shard.c).astype(np.int64)
+    seen[at >= 0] = corpus.counts[at[at >= 0]]
+    logs, out, start = np.log10(p).astype(np.float32), [], 0
+    for r in rows:
+        sizes = expand([r["sizes"]])
+        own = shard.dish[start : start + int(sizes.sum())]
+        start += len(own)
+        of_word = shard.word[own[np.cumsum(sizes) - sizes]]
+        out.append((r["block"], r["shard"], r["sizes"], logs[own].tobytes(), squeeze(seen[of_word])))
+    return rows_table(out, "block bigint, shard int, sizes binary, logs binary, counts binary")
+
+
+def gather_block(header: pa.Table, values: pa.Table) -> pa.Table:
+    """The documents of a block with their sums."""
+    head = header.to_pylist()[0]
+    rows = sorted(values.to_pylist(), key=lambda r: r["shard"])
+    lengths, doc, times = (expand([head[c]]) for c in ("lengths", "docs", "times"))
+    d = len(lengths)
+    logs = np.repeat(joined([r["logs"] for r in rows], np.float32).astype(float), times)
+    seen = np.repeat(np.repeat(expand([r["counts"] for r in rows]), expand([r["sizes"] for r in rows])), times)
     return pa.table({
         "doc_id": pa.array(head["ids"], pa.int64()),
-        "n_tokens": n_tokens.astype(np.int64),
-        "n_known": np.rint(sums[0]).astype(np.int64),
-        "log_counts": sums[1],
-        "score": sums[2],
+        "n_tokens": lengths,
+        "n_known": np.bincount(doc[seen > 0], minlength=d).astype(np.int64),
+        "log_counts": np.bincount(doc, np.log10(seen + 1.0), d),
+        "score": np.bincount(doc, logs, d),
     })
 
 
@@ -334,16 +446,47 @@ def score(docs: DataFrame, held_out: Column, s: Settings | None = None) -> DataF
     The model learns from the rows that ``held_out`` does not hold for.
     """
     s = s or Settings()
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    corpus = learn_frequent(rows, s)
-    shards = max(1, math.ceil(corpus.n / SHARD_TOKENS))
-    shared = docs.sparkSession.sparkContext.broadcast(corpus)
-    dealt = deal(rows, shared, shards)
-    schema = "block bigint, kind int, ids array<bigint>, sums binary"
-    scored = cut_lineage(dealt.groupBy("shard").applyInArrow(lambda group: score_shard(group, shared.value, shards, s), schema))
-    known = len(corpus.words) + sum(int(np.frombuffer(r["sums"], np.float64)[0]) for r in scored.filter("kind = 2").select("sums").toLocalIterator())
-    out = scored.filter("kind < 2").groupBy("block").applyInArrow(
+    shards = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / SHARD_CHARS))
+    corpus = vocabulary(rows, s, shards)
+    shared = spark.sparkContext.broadcast(corpus)
+    dealt = cut_lineage(deal(rows, shared, shards))
+    dishes = dealt.filter("ids IS NULL").drop("ids", "lengths", "docs", "times").groupBy("shard")
+
+    def ask_all(group: pa.Table) -> pa.Table:
+        _, shard = read_shard(group, shared.value)
+        return ask(shard, group["shard"][0].as_py(), np.minimum(shard.c, 1), shared.value, shards)
+
+    def summed_up(asked: DataFrame) -> tuple[DataFrame, float]:
+        totals = cut_lineage(asked.groupBy("home").applyInArrow(lambda group: total(group, shared.value), TOTALS))
+        return totals.drop("all_tables"), float(totals.agg(F.sum("all_tables")).first()[0] or 0)
+
+    totals, customers = summed_up(dishes.applyInArrow(ask_all, ASKED))
+    p = np.zeros((s.sweeps, len(corpus.words)))
+    frequent = dishes.cogroup(totals.groupBy("shard")).applyInArrow(
+        lambda left, right: ask_frequent(left, right, shared.value, shards, s), "part int, ones binary, words binary, customers binary, rooms binary"
+    )
+    sampled = frequent.groupBy("part").applyInArrow(lambda group: sample_frequent(group, shared.value, customers, s), "part int, p binary")
+    for r in sampled.toLocalIterator():  # at most 1/frequent_share words
+        p[:, r["part"] :: shards] = np.frombuffer(r["p"], np.float64).reshape(s.sweeps, -1)
+    first = spark.sparkContext.broadcast(Parent(customers, p))
+
+    def ask_again(group: pa.Table, right: pa.Table) -> pa.Table:
+        _, shard = read_shard(group, shared.value)
+        number = group["shard"][0].as_py()
+        _, t = sample(shard, *read_totals(right, shard.contexts, shards), shared.value, first.value, s, number)
+        return ask(shard, number, t, shared.value, shards)
+
+    totals, seated = summed_up(dishes.cogroup(totals.groupBy("shard")).applyInArrow(ask_again, ASKED))
+    # the same tables, of a parent that has all sampled tables as customers
+    last = spark.sparkContext.broadcast(Parent(seated, p * (s.parent_strength + customers) / (s.parent_strength + seated)))
+    values = dishes.cogroup(totals.groupBy("shard")).applyInArrow(
+        lambda left, right: score_shard(left, right, shared.value, last.value, shards, s), "block bigint, shard int, sizes binary, logs binary, counts binary"
+    )
+    headers = dealt.filter("ids IS NOT NULL").select("block", "ids", "lengths", "docs", "times")
+    out = headers.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
         gather_block, "doc_id bigint, n_tokens bigint, n_known bigint, log_counts double, score double"
     )
-    base = F.col("log_counts") - F.col("n_tokens") * math.log10(corpus.n + known + 1)
+    base = F.col("log_counts") - F.col("n_tokens") * math.log10(corpus.n + corpus.known + 1)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(corpus.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

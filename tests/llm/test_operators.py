@@ -267,6 +267,34 @@ def test_language_model(docs, rows, none, share):
     assert pitman_yor.score(none, held).count() == 0
 
 
+def test_every_context_has_its_restaurant(spark, monkeypatch):
+    """600 words, each below a 1/256 share of the tokens, each always followed by its own second word."""
+    monkeypatch.setattr(pitman_yor, "SHARD_CHARS", 40_000)
+    monkeypatch.setattr(pitman_yor, "BLOCK_CHARS", 20_000)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rng.integers(0, 600, 50)), "en", "a", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for share in (1 / 65_536, 0.005):
+        out = [r for r in pitman_yor.score(df, F.col("doc_id") % 5 == 0, pitman_yor.Settings(frequent_share=share)).collect() if r["doc_id"] % 5 == 0]
+        assert len(out) == 60
+        # a first word has a chance of 1 in 600 (-2.8), a second one follows; without its context it has about -3.1
+        assert sum(r["score"] for r in out) / sum(r["n_tokens"] for r in out) > -2
+
+
+def test_context_probabilities_sum_to_one():
+    """Over all words of a context, with the tables that the restaurants have."""
+    words, contexts = np.arange(4, dtype=np.uint64), np.arange(3, dtype=np.uint64)
+    word, context = np.repeat(np.arange(4), 3), np.tile(np.arange(3), 4)
+    c = np.random.default_rng(2).integers(0, 4000, 12)
+    shard = pitman_yor.Shard(words, contexts, word, context, c, np.arange(12))
+    corpus, s = pitman_yor.Corpus(int(c.sum()), 4, words[:0], c[:0]), pitman_yor.Settings()
+    tables = np.full(3, 4.0)
+    for _ in range(6):
+        p, t = pitman_yor.sample(shard, np.bincount(context, c), tables, corpus, pitman_yor.Parent(tables.sum(), np.zeros((s.sweeps, 0))), s, 1)
+        tables = np.bincount(context, t).astype(float)
+    assert np.allclose(np.bincount(context, p), 1, atol=0.1)
+
+
 # ---- 7 ------------------------------------------------------------------------------------------------------------
 
 
