@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +385,17 @@ def test_jaccard_join_of_edited_copies(spark, monkeypatch, seed):
     assert got == components_brute(rows)
 
 
+@pytest.mark.parametrize("size", [80, 81])
+def test_list_search_reaches_every_admissible_block(size):
+    """Over three blocks of sets of one size, the least that links with a set of 100, and that set."""
+    node = np.arange(101)
+    n = np.where(node < 100, size, 100)
+    columns = {"shingle": node * 0, "node": node, "n": n, "pos": node * 0, "component": node, "hub": node, "distance": node * 0.0}
+    found = jaccard_join._search_lists(pa.table(columns), 80)
+    pairs = set(zip(found["x"].to_pylist(), found["y"].to_pylist()))
+    assert {(j, 100) for j in range(100)} <= pairs
+
+
 # ---- 9 ------------------------------------------------------------------------------------------------------------
 
 
