@@ -634,6 +634,5 @@ def h3_incremental_rollup(spark, sf_dir):
 def h4_windowed_activity(spark, sf_dir):
     rows = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category_code"), F.col("user_id").alias("seller_name"))
     folder = _scratch(spark, "h4")
-    out = ingest.daily_activity(rows)
-    _ended(out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start())
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+    _ended(ingest.activity_counts(rows, f"{folder}/store", f"{folder}/checkpoint"))
+    return ingest.activity_rows(spark.read.parquet(f"{folder}/store"))
