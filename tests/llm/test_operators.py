@@ -296,6 +296,17 @@ def test_context_probabilities_sum_to_one():
     assert np.allclose(np.bincount(context, p), 1, atol=0.1)
 
 
+def test_frequent_words_do_not_depend_on_the_batches(spark, rows):
+    """Also where no partition holds eight occurrences of a word."""
+    df = spark.createDataFrame([(r[0], r[1], False) for r in rows], "doc_id long, text string, held_out boolean")
+    counts = Counter(w for r in rows for w in [*(r[1] or "").encode().lower().split(), None])
+    n = sum(counts.values())
+    for parts in (1, 40):
+        corpus = pitman_yor.vocabulary(df.repartition(parts), pitman_yor.Settings(frequent_share=5 / n), 3)
+        assert (corpus.n, corpus.known) == (n, len(counts))
+        assert sorted(corpus.counts.tolist()) == sorted(c for c in counts.values() if c >= 5)
+
+
 # ---- 7 ------------------------------------------------------------------------------------------------------------
 
 
