@@ -396,15 +396,55 @@ def test_jaccard_join_of_edited_copies(spark, monkeypatch, seed):
     assert got == components_brute(rows)
 
 
+def near_threshold(seed, count):
+    """Copies of one text of 104 words with a few words changed, so that their likeness to it is around the threshold; some are cut short."""
+    rng, rows = np.random.default_rng(seed), []
+    base = [f"w{i}" for i in range(104)]
+    for i in range(count):
+        w = list(base)
+        for at in rng.choice(104, int(rng.integers(1, 6)), replace=False):
+            w[at] = f"e{rng.integers(0, 40)}"
+        cut = int(rng.integers(0, 30)) if rng.random() < 0.5 else 0
+        rows.append((i, " ".join(w[: len(w) - cut] if rng.random() < 0.5 else w[cut:]), "en", "a", 1))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_join_around_the_threshold(spark, monkeypatch, seed):
+    """Sets that do not link with their hub but with others of its star, over several blocks of a star."""
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 16)
+    monkeypatch.setattr(jaccard_join, "SHARD_SETS", 20)
+    rows = near_threshold(seed, 150)
+    got = sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == components_brute(rows)
+
+
 @pytest.mark.parametrize("size", [80, 81])
-def test_list_search_reaches_every_admissible_block(size):
-    """Over three blocks of sets of one size, the least that links with a set of 100, and that set."""
-    node = np.arange(101)
-    n = np.where(node < 100, size, 100)
-    columns = {"shingle": node * 0, "node": node, "n": n, "pos": node * 0, "component": node, "hub": node, "distance": node * 0.0}
-    found = jaccard_join._search_lists(pa.table(columns), 80)
-    pairs = set(zip(found["x"].to_pylist(), found["y"].to_pylist()))
-    assert {(j, 100) for j in range(100)} <= pairs
+def test_jaccard_join_of_sizes_at_the_threshold(spark, size):
+    """Over three blocks of sets of one size, the least that links with a set of 100, which holds one of them."""
+    long = [f"w{i}" for i in range(104)]
+    rows = [(i, " ".join([*long[: size - 30], *(f"x{i}y{j}" for j in range(34))]), "en", "a", 1) for i in range(100)]
+    rows += [(100, " ".join(long), "en", "a", 1), (101, " ".join(long[: size + 4]), "en", "a", 1)]
+    got = sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == components_brute(rows) and got[-1][-1] == 100
+
+
+def test_links_of_a_large_group_are_few(spark):
+    """2,000 copies that mostly do not link with each other: the rows made are in proportion to them."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(64)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for at in rng.choice(64, 2, replace=False):
+            w[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(w), "en", "a", 1))
+    out = jaccard_join.join(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    sets = {r[0]: {tuple(r[1].split()[j : j + 5]) for j in range(60)} for r in rows}
+    got = {r["doc_id"]: r["component_id"] for r in out.collect()}
+    for i, j in rng.integers(0, 2000, (4000, 2)).tolist():
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            assert got[i] == got[j]
 
 
 # ---- 9 ------------------------------------------------------------------------------------------------------------
