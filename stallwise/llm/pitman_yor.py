@@ -7,19 +7,27 @@ uniform over the known words and one unknown. A dish's tables are sampled given
 else (blocked Gibbs steps: by the exact distribution with generalised Stirling
 numbers up to ``EXACT`` customers, beyond that by seating blocks of customers),
 first in the contexts, then in the parent; after ``burn_in`` sweeps the predictive
-probabilities are averaged, and a text's score is the sum of their logarithms.
+probabilities of each sweep's seating are averaged. Each sweep's probabilities of all
+known words and the unknown one sum to 1. A text's score is the sum of the logarithms.
 
 Documents are cut in blocks, and a block sends each of its distinct dishes (word and
-context) once, with its customers, in blobs to hash shards. A word's dishes are in
-one shard; those of the words that have ``frequent_share`` of all training tokens, at
-most ``1/frequent_share``, are dealt by word and context. All counts are exact. The
-shards exchange the customers and tables of each context by context shards: first
-with one table a dish, then with sampled tables, on which the scores rest. A frequent
-word's parent probability is sampled once from all its dishes and shared with all
-tasks. The shards send back one logarithm a dish, and each block sums its documents.
+context) once, with its customers, in blobs to hash shards; a row is sent for shards
+that a block has dishes of, so there are never more rows than dishes. A word's dishes
+are in one shard; those of the words that have ``frequent_share`` of all training
+tokens, at most ``1/frequent_share``, are dealt by word and context. The dealt table is
+stored by shard, so that the passes over it move no dish again:
+
+1. each shard counts the customers of its contexts, and one table a dish;
+2. in each of ``turns`` turns, given the whole restaurants' sums, each shard samples its
+   dishes' tables;
+3. given the sums of the last turn's tables, each shard samples the same tables anew (the
+   generators are its own) and sends back one logarithm a dish, which blocks sum up.
+
+All counts are exact, and no result depends on how the rows are partitioned.
 
 Null and empty texts are one end token. Repeated rows each count and each get a
-row. With no training token all counts are 0 and the probabilities uniform.
+row. With no training token all counts are 0 and the probabilities uniform. Only
+``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,26 +44,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.llm.tokens import Tokens, mix64, runs
-from stallwise.session import cut_lineage
+from stallwise.session import cut_lineage, stored_by
 
 END = np.uint64(0x5EED0FE7D0C5)
 EXACT = 64
 #: Characters of the corpus a shard stands for, and of a block of documents.
 SHARD_CHARS = 24_000_000
 BLOCK_CHARS = 8_000_000
-DEALT = "block bigint, shard int, ids array<bigint>, lengths binary, words binary, sizes binary, contexts binary, customers binary, docs binary, times binary"
-ASKED = "shard int, home int, contexts binary, customers binary, tables binary"
-TOTALS = "shard int, home int, customers binary, tables binary, all_tables double"
+DEALT = "shard int, block bigint, ids array<bigint>, lengths binary, words binary, sizes binary, contexts binary, customers binary, docs binary, times binary"
+#: What shards ask of the contexts' and the frequent words' home shards, and the answers; a shard of -1 is for the driver.
+ASKED = "home int, shard int, contexts binary, customers binary, tables binary, frequent binary, rare binary"
+TOTALS = "turn int, shard int, home int, customers binary, tables binary, frequent binary, rare binary"
+VALUES = "home int, block bigint, shard int, sizes binary, logs binary, counts binary"
 
 
 @dataclass
 class Settings:
-    """Discounts and strengths of the context restaurants and of their parent, and the sampler's sweeps."""
+    """Discounts and strengths of the context restaurants and of their parent, and the sampler's turns and sweeps."""
 
     discount: float = 0.8
     strength: float = 1.0
     parent_discount: float = 0.85
     parent_strength: float = 1.0
+    turns: int = 2
     burn_in: int = 2
     sweeps: int = 3
     seed: int = 7
@@ -74,9 +85,10 @@ class Corpus:
 
 @dataclass
 class Parent:
-    """The parent's customers, and the frequent words' probabilities in each kept sweep."""
+    """Of each sweep the parent's customers and the weight of a new dish, and the frequent words' probabilities."""
 
-    customers: float
+    customers: np.ndarray
+    opening: np.ndarray
     p: np.ndarray
 
 
@@ -207,60 +219,60 @@ def seat(c: np.ndarray, a: np.ndarray, discount: float, log_s: np.ndarray, rng:
     return t
 
 
-def seat_dishes(c: np.ndarray, a: np.ndarray, discount: float, log_s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """As ``seat``; most dishes have one customer and so one table."""
-    t = np.minimum(c, 1).astype(np.int64)
-    many = np.flatnonzero(c > 1)
-    t[many] = seat(c[many], a[many], discount, log_s, rng)
-    return t
+def parent_of(guests: np.ndarray, frequent: np.ndarray, rare: np.ndarray, corpus: Corpus, s: Settings, turn: int) -> Parent:
+    """The parent of each sweep, from all tables of the contexts, those of the frequent words and the rare words' parent tables."""
+    rng = np.random.default_rng((s.seed, 1 << 32, turn))
+    seats = stirling(s.parent_discount)
+    weight = np.full(len(corpus.words), (s.parent_strength + s.parent_discount * corpus.known) / (corpus.known + 1))
+    tables = np.array([seat(f, weight, s.parent_discount, seats, rng) for f in frequent]).reshape(frequent.shape)
+    opening = (s.parent_strength + s.parent_discount * (rare + tables.sum(axis=1))) / (corpus.known + 1)
+    p = (frequent - s.parent_discount * tables + opening[:, None]) / (s.parent_strength + guests[:, None])
+    return Parent(guests.astype(float), opening, p)
 
 
-def sample_parent(word: np.ndarray, c: np.ndarray, room: np.ndarray, ones: np.ndarray, corpus: Corpus, customers: float, s: Settings, rng: np.random.Generator):
-    """Each sweep's tables of the dishes, and the words' parent probabilities after it.
+def sample(shard: Shard, tables: np.ndarray, corpus: Corpus, parent: Parent, s: Settings, seed: int, turn: int):
+    """In a turn before the last one sweep's, in the last each kept sweep's tables of a shard's dishes, and its words' customers and tables in the parent.
 
-    ``word`` numbers the dishes' words from 0, ``c`` has their customers, ``room`` the
-    weight of a new table in their contexts; ``ones`` are further dishes of each word
-    with one customer.
+    ``tables`` are the whole restaurants' of the shard's contexts, ``parent`` is the
+    state before the first sweep. Frequent words are not all in one shard: they keep
+    that state's probability.
     """
+    rng, sweeps = np.random.default_rng((s.seed, seed, turn)), s.sweeps if turn == s.turns else 1
     below, above = stirling(s.discount), stirling(s.parent_discount)
-    n_words = len(ones)
-    open_parent = (s.parent_strength + s.parent_discount * corpus.known) / (corpus.known + 1)
-    p_word = (np.bincount(word, c, n_words) + ones) / max(1, corpus.n)
-    for _ in range(s.burn_in + s.sweeps):
-        t = seat_dishes(c, room * p_word[word], s.discount, below, rng)
-        guests = (np.bincount(word, t, n_words) + ones).astype(np.int64)
-        tables = seat(guests, np.full(n_words, open_parent), s.parent_discount, above, rng)
-        p_word = (guests - s.parent_discount * tables + open_parent) / (s.parent_strength + customers)
-        yield t, p_word
+    n_words = len(shard.words)
+    at = find(corpus.words, shard.words)
+    many = np.flatnonzero(shard.c > 1)
+    c, word = shard.c[many], shard.word[many]
+    room = (s.strength + s.discount * tables)[shard.context[many]]
+    once = np.bincount(shard.word, shard.c == 1, n_words).astype(np.int64)
+    t = np.minimum(shard.c, 1).astype(np.int64)
+    p_word = np.bincount(shard.word, shard.c, n_words) / max(1, corpus.n)
+    p_word[at >= 0] = parent.p[0][at[at >= 0]]
+    open_parent = np.full(n_words, parent.opening[0])
+    for sweep in range(s.burn_in + sweeps):
+        t[many] = seat(c, room * p_word[word], s.discount, below, rng)
+        guests = once + np.bincount(word, t[many], n_words).astype(np.int64)
+        own = seat(guests, open_parent, s.parent_discount, above, rng)
+        p_new = (guests - s.parent_discount * own + parent.opening[0]) / (s.parent_strength + parent.customers[0])
+        p_word = np.where(at >= 0, p_word, p_new)
+        if sweep >= s.burn_in:
+            yield t.copy(), guests, own
 
 
-def sample(shard: Shard, customers: np.ndarray, tables: np.ndarray, corpus: Corpus, parent: Parent, s: Settings, seed: int):
-    """Averaged predictive probabilities of a shard's dishes, and the last sweep's tables.
+def predict(shard: Shard, seatings, customers: np.ndarray, tables: np.ndarray, corpus: Corpus, parent: Parent, s: Settings) -> np.ndarray:
+    """The dishes' predictive probabilities, averaged over the sweeps' seatings.
 
-    ``customers`` and ``tables`` are the whole restaurants' of the shard's contexts.
+    ``customers`` and ``tables`` (of each sweep) are the whole restaurants'.
     """
-    rng = np.random.default_rng((s.seed, seed))
-    below = stirling(s.discount)
-    room = (s.strength + s.discount * tables)[shard.context]
-    whole = (s.strength + customers)[shard.context]
     at = find(corpus.words, shard.words)
-    total, last = np.zeros(len(shard.c)), np.zeros(len(shard.c), np.int64)
-    hot = at[shard.word] >= 0
-    rare = np.flatnonzero(~hot)
-    kinds, word = np.unique(shard.word[rare], return_inverse=True)
-    c, r, w = shard.c[rare], room[rare], whole[rare]
-    sweeps = sample_parent(word, c, r, np.zeros(len(kinds), np.int64), corpus, parent.customers, s, rng)
-    for sweep, (t, p_word) in enumerate(sweeps):
-        if sweep >= s.burn_in:
-            total[rare] += np.maximum(c - s.discount * t, 0) / w + r / w * p_word[word]
-        last[rare] = t
-    hot = np.flatnonzero(hot)
-    word, c, r, w = at[shard.word[hot]], shard.c[hot], room[hot], whole[hot]
-    for p_word in parent.p:
-        t = seat_dishes(c, r * p_word[word], s.discount, below, rng)
-        total[hot] += np.maximum(c - s.discount * t, 0) / w + r / w * p_word[word]
-        last[hot] = t
-    return total / s.sweeps, last
+    whole = (s.strength + customers)[shard.context]
+    out = np.zeros(len(shard.c))
+    for k, (t, guests, own) in enumerate(seatings):
+        p_word = (guests - s.parent_discount * own + parent.opening[k]) / (s.parent_strength + parent.customers[k])
+        p_word[at >= 0] = parent.p[k][at[at >= 0]]
+        room = (s.strength + s.discount * tables[k])[shard.context]
+        out += (shard.c - s.discount * t + room * p_word[shard.word]) / whole
+    return out / s.sweeps
 
 
 def vocabulary(docs: DataFrame, s: Settings, shards: int) -> Corpus:
@@ -322,10 +334,10 @@ def deal(docs: DataFrame, shared, shards: int) -> DataFrame:
                 name = part * (1 << 32) + number
                 number += 1
                 lengths, times = squeeze(np.bincount(doc, minlength=b - a)), squeeze(np.diff(np.append(first, len(h))))
-                rows = [(name, name % shards, ids[a:b], lengths, None, None, None, None, squeeze(doc[order]), times)]
+                rows = [(name % shards, name, ids[a:b], lengths, None, None, None, None, squeeze(doc[order]), times)]
                 for k in np.unique(of_dish).tolist():
                     d, w = slice(*np.searchsorted(of_dish, (k, k + 1))), slice(*np.searchsorted(of_word, (k, k + 1)))
-                    rows.append((name, k, None, None, pack(words[w], corpus), squeeze(sizes[w]), pack(contexts[d], corpus), squeeze(c[d]), None, None))
+                    rows.append((k, name, None, None, pack(words[w], corpus), squeeze(sizes[w]), pack(contexts[d], corpus), squeeze(c[d]), None, None))
                 yield from rows_table(rows, DEALT).to_batches()
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, DEALT)
@@ -348,68 +360,74 @@ def read_shard(group: pa.Table, corpus: Corpus) -> tuple[list[dict], Shard]:
     return rows, Shard(ws[new_word], kinds, (np.cumsum(new_word) - 1)[new_dish], context, np.bincount(dish, c).astype(np.int64), dish)
 
 
-def read_totals(totals: pa.Table, contexts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The whole restaurants' customers and tables of a shard's contexts."""
+def read_totals(totals: pa.Table, turn: int, contexts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The whole restaurants' customers, and their tables in each sweep of a turn, of a shard's contexts."""
     order = np.argsort(shard_of(contexts, shards), kind="stable")
-    rows = sorted(totals.select(["home", "customers", "tables"]).to_pylist(), key=lambda r: r["home"])
-    out = np.empty((2, len(contexts)))
-    out[0, order], out[1, order] = (expand([r[c] for r in rows]) for c in ("customers", "tables"))
-    return out[0], out[1]
-
-
-def ask(shard: Shard, number: int, t: np.ndarray, corpus: Corpus, shards: int) -> pa.Table:
-    """A shard's customers and tables of each of its contexts, for the contexts' own shards."""
+    rows = sorted((r for r in totals.to_pylist() if r["turn"] == turn), key=lambda r: r["home"])
+    customers = np.empty(len(contexts), np.int64)
+    customers[order] = expand([r["customers"] for r in rows])
+    parts = [expand([r["tables"]]) for r in rows]
+    sizes = [len(expand([r["customers"]])) for r in rows]
+    tables = np.concatenate([p.reshape(-1, n) for p, n in zip(parts, sizes) if n], axis=1) if len(contexts) else np.empty((1, 0))
+    out = np.empty(tables.shape)
+    out[:, order] = tables
+    return customers, out
+
+
+def ask(shard: Shard, number: int, tables: list[np.ndarray], rare: list[int], corpus: Corpus, shards: int) -> pa.Table:
+    """A shard's customers and tables (of each sweep) of each of its contexts, and its tables of the frequent words."""
     home = shard_of(shard.contexts, shards)
     order = np.argsort(home, kind="stable")
-    cuts = np.cumsum(np.bincount(home, minlength=shards))[:-1]
+    ends = np.cumsum(np.bincount(home, minlength=shards))
     n = len(shard.contexts)
-    sums = shard.contexts, np.bincount(shard.context, shard.c, n), np.bincount(shard.context, t, n)
-    parts = zip(*(np.split(x[order], cuts) for x in sums))
-    return rows_table([(number, k, pack(p[0], corpus), squeeze(p[1]), squeeze(p[2])) for k, p in enumerate(parts) if len(p[0])], ASKED)
+    customers = np.bincount(shard.context, shard.c, n)[order]
+    own = np.stack([np.bincount(shard.context, t, n)[order] for t in tables])
+    at = find(corpus.words, shard.words)[shard.word]
+    hot = at >= 0
+    frequent = np.stack([np.bincount(at[hot], t[hot], len(corpus.words)) for t in tables]).astype(np.uint32)
+    rows = []
+    for k, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)):
+        words = frequent[:, k::shards]
+        if hi > lo or words.any() or not k:
+            tables_of = squeeze(own[:, lo:hi].ravel())
+            rows.append((k, number, pack(shard.contexts[order][lo:hi], corpus), squeeze(customers[lo:hi]), tables_of, squeeze(words.ravel()), np.array(rare if not k else [0] * len(tables), np.int64).tobytes()))
+    return rows_table(rows, ASKED)
 
 
-def total(group: pa.Table, corpus: Corpus) -> pa.Table:
-    """The sums over all shards, for each shard's contexts in the order it sent them."""
-    rows = group.to_pylist()
+def total(group: pa.Table, corpus: Corpus, turn: int) -> pa.Table:
+    """The sums over all shards, for each shard's contexts in the order it sent them, and for the driver."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["shard"])
     asked = [expand([r["customers"]]) for r in rows]
+    tables = [expand([r["tables"]]).reshape(-1, len(c)) if len(c) else None for r, c in zip(rows, asked)]
     _, number = np.unique(np.concatenate([unpack(r["contexts"], len(c), corpus) for r, c in zip(rows, asked)]), return_inverse=True)
-    sums = np.bincount(number, np.concatenate(asked)), np.bincount(number, expand([r["tables"] for r in rows]))
+    rare = sum(np.frombuffer(r["rare"], np.int64) for r in rows)
+    sweeps = len(rare)
+    customers = np.bincount(number, np.concatenate(asked))
+    sums = np.stack([np.bincount(number, np.concatenate([t[k] for t in tables if t is not None] or [asked[0]])) for k in range(sweeps)])
     cuts = np.cumsum([len(c) for c in asked])[:-1]
-    parts = zip(*(np.split(x[number], cuts) for x in sums))
-    alone = [float(sums[1].sum()), *[0.0] * (len(rows) - 1)]
-    return rows_table([(r["shard"], r["home"], squeeze(c), squeeze(t), x) for r, (c, t), x in zip(rows, parts, alone)], TOTALS)
+    home = rows[0]["home"]
+    out = [(turn, r["shard"], home, squeeze(customers[own]), squeeze(sums[:, own].ravel()), None, None) for r, own in zip(rows, np.split(number, cuts)) if len(own)]
+    frequent = sum(expand([r["frequent"]]) for r in rows)
+    return rows_table([*out, (turn, -1, home, None, squeeze(sums.sum(axis=1)), squeeze(frequent), rare.tobytes())], TOTALS)
 
 
-def ask_frequent(group: pa.Table, totals: pa.Table, corpus: Corpus, shards: int, s: Settings) -> pa.Table:
-    """A shard's dishes of frequent words: those with several customers, and the number of the others."""
-    _, shard = read_shard(group, corpus)
-    _, tables = read_totals(totals, shard.contexts, shards)
-    at = find(corpus.words, shard.words)[shard.word]
-    ones = np.bincount(at[(at >= 0) & (shard.c == 1)], minlength=len(corpus.words)).astype(np.uint32)
-    many = np.flatnonzero((at >= 0) & (shard.c > 1))
-    room = (s.strength + s.discount * tables)[shard.context[many]]
-    rows = []
-    for k in range(min(shards, len(corpus.words))):
-        own = at[many] % shards == k
-        columns = (at[many][own] // shards).astype(np.uint32), shard.c[many][own].astype(np.uint32), room[own]
-        rows.append((k, ones[k::shards].tobytes(), *(x.tobytes() for x in columns)))
-    return rows_table(rows, "part int, ones binary, words binary, customers binary, rooms binary")
+def gather_totals(totals: DataFrame, corpus: Corpus, sweeps: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tables, the frequent words' tables (``1/frequent_share`` words at most) and the rare words' parent tables, of each sweep."""
+    guests, rare = np.zeros(sweeps, np.int64), np.zeros(sweeps, np.int64)
+    frequent = np.zeros((sweeps, len(corpus.words)), np.int64)
+    for r in totals.filter("shard < 0").toLocalIterator():
+        guests += expand([r["tables"]])
+        rare += np.frombuffer(r["rare"], np.int64)
+        frequent[:, r["home"] :: shards] += expand([r["frequent"]]).reshape(sweeps, -1)
+    return guests, frequent, rare
 
 
-def sample_frequent(group: pa.Table, corpus: Corpus, customers: float, s: Settings) -> pa.Table:
-    """The parent probabilities of a part of the frequent words in the kept sweeps."""
-    rows = sorted(group.to_pylist(), key=lambda r: (r["ones"], r["words"], r["customers"], r["rooms"]))
-    ones = sum(np.frombuffer(r["ones"], np.uint32).astype(np.int64) for r in rows)
-    word, c = (joined([r[k] for r in rows], np.uint32).astype(np.int64) for k in ("words", "customers"))
-    rng = np.random.default_rng((s.seed, rows[0]["part"], 1))
-    sweeps = [p for _, p in sample_parent(word, c, joined([r["rooms"] for r in rows], np.float64), ones, corpus, customers, s, rng)]
-    return rows_table([(rows[0]["part"], np.stack(sweeps[s.burn_in :]).tobytes())], "part int, p binary")
-
-
-def score_shard(group: pa.Table, totals: pa.Table, corpus: Corpus, parent: Parent, shards: int, s: Settings) -> pa.Table:
+def score_shard(group: pa.Table, totals: pa.Table, corpus: Corpus, before: Parent, after: Parent, shards: int, s: Settings) -> pa.Table:
     """For each block the logarithms of its dishes' probabilities, and its words' counts."""
     rows, shard = read_shard(group, corpus)
-    p, _ = sample(shard, *read_totals(totals, shard.contexts, shards), corpus, parent, s, rows[0]["shard"])
+    _, tables = read_totals(totals, s.turns - 1, shard.contexts, shards)
+    seatings = sample(shard, tables[0], corpus, before, s, rows[0]["shard"], s.turns)
+    p = predict(shard, seatings, *read_totals(totals, s.turns, shard.contexts, shards), corpus, after, s)
     at = find(corpus.words, shard.words)
     seen = np.bincount(shard.word, shard.c).astype(np.int64)
     seen[at >= 0] = corpus.counts[at[at >= 0]]
@@ -419,14 +437,18 @@ def score_shard(group: pa.Table, totals: pa.Table, corpus: Corpus, parent: Paren
         own = shard.dish[start : start + int(sizes.sum())]
         start += len(own)
         of_word = shard.word[own[np.cumsum(sizes) - sizes]]
-        out.append((r["block"], r["shard"], r["sizes"], logs[own].tobytes(), squeeze(seen[of_word])))
-    return rows_table(out, "block bigint, shard int, sizes binary, logs binary, counts binary")
+        out.append((r["block"] % shards, r["block"], r["shard"], r["sizes"], logs[own].tobytes(), squeeze(seen[of_word])))
+    return rows_table(out, VALUES)
+
 
+def gather_blocks(headers: pa.Table, values: pa.Table) -> pa.Table:
+    """The documents of some blocks with their sums."""
+    blocks = values["block"].to_numpy()
+    return pa.concat_tables([_gather(h, values.filter(pa.array(blocks == h["block"])).to_pylist()) for h in headers.to_pylist()])
 
-def gather_block(header: pa.Table, values: pa.Table) -> pa.Table:
-    """The documents of a block with their sums."""
-    head = header.to_pylist()[0]
-    rows = sorted(values.to_pylist(), key=lambda r: r["shard"])
+
+def _gather(head: dict, values: list[dict]) -> pa.Table:
+    rows = sorted(values, key=lambda r: r["shard"])
     lengths, doc, times = (expand([head[c]]) for c in ("lengths", "docs", "times"))
     d = len(lengths)
     logs = np.repeat(joined([r["logs"] for r in rows], np.float32).astype(float), times)
@@ -451,42 +473,44 @@ def score(docs: DataFrame, held_out: Column, s: Settings | None = None) -> DataF
     shards = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / SHARD_CHARS))
     corpus = vocabulary(rows, s, shards)
     shared = spark.sparkContext.broadcast(corpus)
-    dealt = cut_lineage(deal(rows, shared, shards))
-    dishes = dealt.filter("ids IS NULL").drop("ids", "lengths", "docs", "times").groupBy("shard")
 
-    def ask_all(group: pa.Table) -> pa.Table:
-        _, shard = read_shard(group, shared.value)
-        return ask(shard, group["shard"][0].as_py(), np.minimum(shard.c, 1), shared.value, shards)
-
-    def summed_up(asked: DataFrame) -> tuple[DataFrame, float]:
-        totals = cut_lineage(asked.groupBy("home").applyInArrow(lambda group: total(group, shared.value), TOTALS))
-        return totals.drop("all_tables"), float(totals.agg(F.sum("all_tables")).first()[0] or 0)
-
-    totals, customers = summed_up(dishes.applyInArrow(ask_all, ASKED))
-    p = np.zeros((s.sweeps, len(corpus.words)))
-    frequent = dishes.cogroup(totals.groupBy("shard")).applyInArrow(
-        lambda left, right: ask_frequent(left, right, shared.value, shards, s), "part int, ones binary, words binary, customers binary, rooms binary"
-    )
-    sampled = frequent.groupBy("part").applyInArrow(lambda group: sample_frequent(group, shared.value, customers, s), "part int, p binary")
-    for r in sampled.toLocalIterator():  # at most 1/frequent_share words
-        p[:, r["part"] :: shards] = np.frombuffer(r["p"], np.float64).reshape(s.sweeps, -1)
-    first = spark.sparkContext.broadcast(Parent(customers, p))
-
-    def ask_again(group: pa.Table, right: pa.Table) -> pa.Table:
+    def count_shard(group: pa.Table) -> pa.Table:
         _, shard = read_shard(group, shared.value)
-        number = group["shard"][0].as_py()
-        _, t = sample(shard, *read_totals(right, shard.contexts, shards), shared.value, first.value, s, number)
-        return ask(shard, number, t, shared.value, shards)
-
-    totals, seated = summed_up(dishes.cogroup(totals.groupBy("shard")).applyInArrow(ask_again, ASKED))
-    # the same tables, of a parent that has all sampled tables as customers
-    last = spark.sparkContext.broadcast(Parent(seated, p * (s.parent_strength + customers) / (s.parent_strength + seated)))
-    values = dishes.cogroup(totals.groupBy("shard")).applyInArrow(
-        lambda left, right: score_shard(left, right, shared.value, last.value, shards, s), "block bigint, shard int, sizes binary, logs binary, counts binary"
-    )
-    headers = dealt.filter("ids IS NOT NULL").select("block", "ids", "lengths", "docs", "times")
-    out = headers.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
-        gather_block, "doc_id bigint, n_tokens bigint, n_known bigint, log_counts double, score double"
-    )
+        return ask(shard, group["shard"][0].as_py(), [np.minimum(shard.c, 1)], [0], shared.value, shards)
+
+    def sampler(parent, turn: int):
+        def sample_shard(group: pa.Table, totals: pa.Table) -> pa.Table:
+            _, shard = read_shard(group, shared.value)
+            _, tables = read_totals(totals, turn - 1, shard.contexts, shards)
+            number = group["shard"][0].as_py()
+            seatings = list(sample(shard, tables[0], shared.value, parent.value, s, number, turn))
+            own = find(shared.value.words, shard.words) < 0
+            return ask(shard, number, [t for t, _, _ in seatings], [int(w[own].sum()) for _, _, w in seatings], shared.value, shards)
+
+        return sample_shard
+
+    def summed_up(asked: DataFrame, turn: int) -> DataFrame:
+        return cut_lineage(asked.groupBy("home").applyInArrow(lambda group: total(group, shared.value, turn), TOTALS))
+
+    with stored_by(deal(rows, shared, shards), "shard", shards) as dealt:
+        dishes = dealt.filter("ids IS NULL").select("shard", "block", "words", "sizes", "contexts", "customers").groupBy("shard")
+        totals = summed_up(dishes.applyInArrow(count_shard, ASKED), 0)
+        guests, frequent, _ = gather_totals(totals, corpus, 1, shards)
+        after = spark.sparkContext.broadcast(parent_of(guests, frequent, np.array([max(0, corpus.known - len(corpus.words))]), corpus, s, 0))
+        for turn in range(1, s.turns + 1):
+            own, before = totals.filter("shard >= 0"), after
+            asked = dishes.cogroup(own.groupBy("shard")).applyInArrow(sampler(before, turn), ASKED)
+            totals = summed_up(asked, turn)
+            sums = gather_totals(totals, corpus, s.sweeps if turn == s.turns else 1, shards)
+            after = spark.sparkContext.broadcast(parent_of(*sums, corpus, s, turn))
+        both = own.unionByName(totals.filter("shard >= 0"))
+        values = dishes.cogroup(both.groupBy("shard")).applyInArrow(
+            lambda left, right: score_shard(left, right, shared.value, before.value, after.value, shards, s), VALUES
+        )
+        headers = dealt.filter("ids IS NOT NULL").select("shard", "block", "ids", "lengths", "docs", "times")
+        out = headers.groupBy("shard").cogroup(values.groupBy("home")).applyInArrow(
+            gather_blocks, "doc_id bigint, n_tokens bigint, n_known bigint, log_counts double, score double"
+        )
+        out = cut_lineage(out)
     base = F.col("log_counts") - F.col("n_tokens") * math.log10(corpus.n + corpus.known + 1)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(corpus.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

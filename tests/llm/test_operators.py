@@ -16,7 +16,7 @@ from stallwise.llm import byte_bpe, jaccard_join, mixing, order_minhash, pitman_
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names the operators use for their results or inside.
-CLASHING = "ids size shard slot kept score component_id n_shingles host path target taken fingerprint class_distance".split()
+CLASHING = "ids size shard slot kept score component_id n_shingles host path target taken fingerprint class_distance rank block sid goal n_docs purity template shape n_words predicted _at".split()
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -282,18 +282,114 @@ def test_every_context_has_its_restaurant(spark, monkeypatch):
         assert sum(r["score"] for r in out) / sum(r["n_tokens"] for r in out) > -2
 
 
-def test_context_probabilities_sum_to_one():
-    """Over all words of a context, with the tables that the restaurants have."""
-    words, contexts = np.arange(4, dtype=np.uint64), np.arange(3, dtype=np.uint64)
-    word, context = np.repeat(np.arange(4), 3), np.tile(np.arange(3), 4)
-    c = np.random.default_rng(2).integers(0, 4000, 12)
-    shard = pitman_yor.Shard(words, contexts, word, context, c, np.arange(12))
-    corpus, s = pitman_yor.Corpus(int(c.sum()), 4, words[:0], c[:0]), pitman_yor.Settings()
-    tables = np.full(3, 4.0)
-    for _ in range(6):
-        p, t = pitman_yor.sample(shard, np.bincount(context, c), tables, corpus, pitman_yor.Parent(tables.sum(), np.zeros((s.sweeps, 0))), s, 1)
-        tables = np.bincount(context, t).astype(float)
-    assert np.allclose(np.bincount(context, p), 1, atol=0.1)
+def toy_shard(counts):
+    """All dishes of ``counts`` (contexts by words, the last word unknown) as one shard."""
+    n_contexts, n_words = counts.shape
+    word, context = np.repeat(np.arange(n_words), n_contexts), np.tile(np.arange(n_contexts), n_words)
+    return pitman_yor.Shard(np.arange(n_words, dtype=np.uint64), np.arange(n_contexts, dtype=np.uint64), word, context, counts.T.ravel(), np.arange(word.size))
+
+
+def toy_model(counts, s, frequent=()):
+    """The passes over one shard; the probabilities as contexts by words."""
+    shard = toy_shard(counts)
+    known = counts.shape[1] - 1
+    words = np.array(frequent, np.uint64)
+    corpus = pitman_yor.Corpus(int(counts.sum()), known, words, counts.sum(axis=0)[list(frequent)])
+    once = np.minimum(shard.c, 1)
+
+    def sums(t):
+        at = pitman_yor.find(corpus.words, shard.words)[shard.word]
+        return np.bincount(shard.context, t).astype(float), np.bincount(at[at >= 0], t[at >= 0], len(words)).astype(np.int64)
+
+    seatings = [(once, None, None)]
+    after = pitman_yor.parent_of(np.array([once.sum()]), sums(once)[1][None], np.array([known - len(words)]), corpus, s, 0)
+    for turn in range(1, s.turns + 1):
+        seatings = list(pitman_yor.sample(shard, sums(seatings[-1][0])[0], corpus, after, s, 1, turn))
+        rare = np.array([w[pitman_yor.find(corpus.words, shard.words) < 0].sum() for _, _, w in seatings])
+        after = pitman_yor.parent_of(np.array([t.sum() for t, _, _ in seatings]), np.stack([sums(t)[1] for t, _, _ in seatings]), rare, corpus, s, turn)
+    p = pitman_yor.predict(shard, seatings, np.bincount(shard.context, shard.c), np.stack([sums(t)[0] for t, _, _ in seatings]), corpus, after, s)
+    return p.reshape(counts.shape[::-1]).T
+
+
+@pytest.mark.parametrize("frequent", [(), (0, 2), (0, 1, 2, 3)])
+def test_probabilities_sum_to_one(frequent):
+    """Over the known words and the unknown one, in every context, also in one never seen."""
+    counts = np.random.default_rng(2).integers(0, 400, (5, 5)) * np.array([1, 1, 0, 1, 1])
+    counts[:, 2] = np.array([1, 0, 2, 0, 70])
+    counts[3] = 0
+    counts[:, 4] = 0
+    p = toy_model(counts, pitman_yor.Settings(), frequent)
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-9) and (p > 0).all()
+
+
+def gibbs_brute(counts, s, sweeps, seed):
+    """Customer by customer: each leaves its table and sits down again, in the contexts and in the parent."""
+    rng = np.random.default_rng(seed)
+    n_contexts, n_words = counts.shape
+    known = n_words - 1
+    seats = [[[] for _ in range(n_words)] for _ in range(n_contexts)]  # customers of each table
+    parent = [[] for _ in range(n_words)]
+
+    def parent_p(w):
+        guests, tables = sum(map(sum, parent)), sum(map(len, parent))
+        return (sum(parent[w]) - s.parent_discount * len(parent[w]) + (s.parent_strength + s.parent_discount * tables) / (known + 1)) / (s.parent_strength + guests)
+
+    def sit(tables, discount, opening):
+        weight = np.array([n - discount for n in tables] + [opening])
+        k = int(rng.choice(len(weight), p=weight / weight.sum()))
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return k == len(tables) - 1 and tables[k] == 1
+
+    def leave(tables):
+        k = int(rng.choice(len(tables), p=np.array(tables) / sum(tables)))
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    def enter(u, w):
+        opened = sum(map(len, seats[u]))
+        if sit(seats[u][w], s.discount, (s.strength + s.discount * opened) * parent_p(w)):
+            sit(parent[w], s.parent_discount, (s.parent_strength + s.parent_discount * sum(map(len, parent))) / (known + 1))
+
+    customers = [(u, w) for u in range(n_contexts) for w in range(n_words) for _ in range(counts[u, w])]
+    for u, w in customers:
+        enter(u, w)
+    total = np.zeros(counts.shape)
+    for sweep in range(sweeps):
+        for u, w in customers:
+            if leave(seats[u][w]):
+                leave(parent[w])
+            enter(u, w)
+        if sweep >= sweeps // 4:
+            p_word = np.array([parent_p(w) for w in range(n_words)])
+            for u in range(n_contexts):
+                t = np.array([len(x) for x in seats[u]])
+                total[u] += (counts[u] - s.discount * t + (s.strength + s.discount * t.sum()) * p_word) / (s.strength + counts[u].sum())
+    return total / (sweeps - sweeps // 4)
+
+
+def test_probabilities_are_those_of_customer_by_customer_gibbs():
+    """After some turns; the default's two come near."""
+    counts = np.array([[9, 1, 0, 3, 0, 0], [0, 6, 1, 1, 1, 0], [2, 0, 0, 12, 0, 0], [1, 1, 1, 1, 1, 0]])
+    want = gibbs_brute(counts, pitman_yor.Settings(), 400, 3)
+    assert np.allclose(want.sum(axis=1), 1)
+    for turns, near in ((2, 0.09), (8, 0.06)):
+        got = np.mean([toy_model(counts, pitman_yor.Settings(turns=turns, burn_in=20, sweeps=100, seed=i)) for i in range(6)], axis=0)
+        assert np.abs(np.log10(got / want)).max() < near and np.abs(got - want).max() < 0.03
+
+
+def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "SHARD_CHARS", 60_000)
+    monkeypatch.setattr(pitman_yor, "BLOCK_CHARS", 30_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    out = [by_id(pitman_yor.score(docs.repartition(n), F.col("doc_id") % 7 == 2, pitman_yor.Settings(frequent_share=1 / 2_000)), "score", "base_score") for n in (1, 13, 60)]
+    assert len(out[0]) == 200
+    for other in out[1:]:
+        assert all(other[i] == pytest.approx(v, rel=1e-12) for i, v in out[0].items())
 
 
 def test_frequent_words_do_not_depend_on_the_batches(spark, rows):
