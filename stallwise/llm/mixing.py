@@ -11,7 +11,8 @@ all sources are at about the same part of their targets.
 
 Null texts have size 0. Null sources are one source, sorted last. Documents of
 size 0 are kept with ``taken`` 0. Repeated rows count one by one. With all sizes
-0 all targets are 0. The table of sources (one row each, aggregated) is the only
+0 all targets are 0. Columns called ``source_size``, ``target`` or ``taken`` are
+replaced; others may have any name. The table of sources (one row each, aggregated) is the only
 thing sorted as a whole.
 """
 
@@ -149,8 +150,9 @@ def mix(
     ``docs`` is read more than once, so give a cut or stored table.
     """
     keep = [c for c in (keep or docs.columns) if c not in ("source_size", "target", "taken")]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept"), F.col(row_id).alias("_id"), "source", "size")
     sources = cut_lineage(targets(docs, weights, share))
-    rows = shuffled(docs.select(*dict.fromkeys([*keep, row_id, "source", "size"])), sources, row_id, seed)
+    rows = shuffled(docs, sources, "_id", seed)
 
     def pieces(again: int):
         a = F.col("source_size") * again + F.col("_start")
@@ -169,7 +171,7 @@ def mix(
     slots = schedule(sources).select("sid", "rank", F.lit(True).alias("_slot"))
     return (
         taken.join(slots, ["sid", "rank"], "left")
-        .groupBy("sid", "_cell", "_no", "source_size", "target", *keep)
+        .groupBy("sid", "_cell", "_no", "source_size", "target", "_kept")
         .agg(F.coalesce(F.sum(F.when(F.col("_slot"), F.col("_words"))), F.lit(0)).cast("long").alias("taken"))
-        .drop("sid", "_cell", "_no")
+        .select("_kept.*", "source_size", "target", "taken")
     )
