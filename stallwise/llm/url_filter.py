@@ -12,6 +12,7 @@ smoothed by the overall share. A purity of ``threshold`` or more is rejected.
 
 Null urls and urls without ``://`` have an empty host and path; they are judged
 like the other urls of the empty template. Repeated rows are judged one by one.
+Columns called like a result column are replaced; others may have any name.
 """
 
 from __future__ import annotations
@@ -52,19 +53,21 @@ def templates(shapes: DataFrame, min_support: int, depth: int) -> DataFrame:
     )
     for level in range(1, depth + 1):
         segment = F.get("_segments", F.lit(level - 1))
-        support = F.sum("n").over(Window.partitionBy("host", "template", "_segment"))
+        out = out.withColumn("_segment", segment)
+        support = out.groupBy("host", "template", "_segment").agg(F.sum("n").alias("_support"))
+        support = support.filter((F.col("_support") >= min_support) & F.col("_segment").isNotNull())
         out = (
-            out.withColumn("_segment", segment)
-            .withColumn("_support", support)
-            .withColumn("_segment", F.when(F.col("_segment").isNull() | (F.col("_support") >= min_support), F.col("_segment")).otherwise("*"))
+            out.join(support, ["host", "template", "_segment"], "left")
+            .withColumn("_segment", F.when(F.col("_segment").isNull() | F.col("_support").isNotNull(), F.col("_segment")).otherwise("*"))
             .withColumn("parent", F.when(F.col("_segment").isNull(), F.col("parent")).otherwise(F.col("template")))
             .withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "_segment"), F.lit(""))))
+            .drop("_segment", "_support")
         )
     more = F.size("_segments") > depth
     return (
         out.withColumn("parent", F.when(more, F.col("template")).otherwise(F.col("parent")))
         .withColumn("template", F.when(more, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
-        .drop("_segments", "_segment", "_support")
+        .drop("_segments")
     )
 
 
@@ -78,8 +81,9 @@ def judge(
     threshold: float = 0.5,
 ) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``template``, ``purity`` and ``verdict``."""
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "template", "purity", "verdict")]
     host, path = split_url(F.col(url))
-    rows = pages.withColumns({"host": host, "path": path})
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_page"), host.alias("host"), path.alias("path"))
     rule, decision = match_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_decision": decision, "shape": F.regexp_replace("path", "[0-9]+", "0")})
     shapes = rows.groupBy("host", "shape").agg(
@@ -118,4 +122,4 @@ def judge(
         .select("host", "shape", "template", purity.alias("purity"))
     )
     verdict = F.coalesce("_decision", F.when(F.col("purity") >= threshold, "block").otherwise("allow"))
-    return rows.join(judged, ["host", "shape"]).withColumn("verdict", verdict).drop("shape", "_decision")
+    return rows.join(judged, ["host", "shape"]).select("_page.*", "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
