@@ -49,7 +49,7 @@ from stallwise.session import cut_lineage, stored_by
 END = np.uint64(0x5EED0FE7D0C5)
 EXACT = 64
 #: Characters of the corpus a shard stands for, and of a block of documents.
-SHARD_CHARS = 24_000_000
+SHARD_CHARS = 16_000_000
 BLOCK_CHARS = 8_000_000
 DEALT = "shard int, block bigint, ids array<bigint>, lengths binary, words binary, sizes binary, contexts binary, customers binary, docs binary, times binary"
 #: What shards ask of the contexts' and the frequent words' home shards, and the answers; a shard of -1 is for the driver.
@@ -106,11 +106,15 @@ class Shard:
 
 def stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The token hashes of the texts, each text with its end token, and their text numbers."""
+    parts = [_stream(texts[a:b], a) for a, b in runs(texts)]
+    return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def _stream(texts: list[str | None], first: int) -> tuple[np.ndarray, np.ndarray]:
     tokens = Tokens(texts)
     own = tokens.counts()
-    h, doc = np.empty(len(tokens) + len(texts), np.uint64), np.repeat(np.arange(len(texts)), own + 1)
-    ends = np.cumsum(own + 1) - 1
-    h[ends] = END
+    h, doc = np.empty(len(tokens) + len(texts), np.uint64), np.repeat(np.arange(first, first + len(texts)), own + 1)
+    h[np.cumsum(own + 1) - 1] = END
     h[np.arange(len(tokens)) + tokens.doc] = tokens.hashes()
     return h, doc
 
@@ -150,14 +154,17 @@ def pack(words: np.ndarray, corpus: Corpus) -> bytes:
     return at.tobytes() + words[at == 0].tobytes()
 
 
-def unpack(blob: bytes, n: int, corpus: Corpus) -> np.ndarray:
-    """The ``n`` hashes of ``pack``."""
+def unpack(blobs: list[bytes], sizes: list[int], corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of several ``pack`` results, and each hash's place among them."""
     kind = code_type(corpus)
-    at = np.frombuffer(blob, kind, n)
-    out = np.empty(n, np.uint64)
-    out[at > 0] = corpus.words[at[at > 0].astype(np.int64) - 1]
-    out[at == 0] = np.frombuffer(blob[n * kind.itemsize :], np.uint64)
-    return out
+    codes = np.concatenate([np.frombuffer(b, kind, n) for b, n in zip(blobs, sizes)])
+    others = np.concatenate([np.frombuffer(b[n * kind.itemsize :], np.uint64) for b, n in zip(blobs, sizes)])
+    used = np.flatnonzero(np.bincount(codes, minlength=len(corpus.words) + 1)[1:])
+    kinds = np.union1d(corpus.words[used], others)
+    places = np.concatenate(([0], np.searchsorted(kinds, corpus.words))).astype(np.int32)
+    out = places[codes]
+    out[codes == 0] = np.searchsorted(kinds, others)
+    return kinds, out
 
 
 def code_type(corpus: Corpus) -> np.dtype:
@@ -165,15 +172,16 @@ def code_type(corpus: Corpus) -> np.dtype:
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Small whole numbers, the bytes of one place beside each other."""
-    x = x.astype(np.int64)
-    return zlib.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Whole numbers from 0 on in little room: as narrow as they fit, the bytes of one place beside each other."""
+    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
+    planes = x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
+    return bytes([kind.itemsize]) + zlib.compress(planes.tobytes(), 1)
 
 
 def expand(blobs: list[bytes]) -> np.ndarray:
     """The numbers of ``squeeze``."""
-    parts = [np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for b in blobs]
-    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+    parts = [np.frombuffer(zlib.decompress(b[1:]), np.uint8).reshape(b[0], -1).T.copy().view(f"u{b[0]}").ravel() for b in blobs]
+    return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
 
 
 def rows_table(rows: list[tuple], schema: str) -> pa.Table:
@@ -347,17 +355,17 @@ def read_shard(group: pa.Table, corpus: Corpus) -> tuple[list[dict], Shard]:
     """A shard's rows, in the order of their blocks, and their dishes."""
     rows = sorted(group.select(["block", "shard", "words", "sizes", "contexts", "customers"]).to_pylist(), key=lambda r: r["block"])
     sizes = [expand([r["sizes"]]) for r in rows]
-    words = np.concatenate([np.repeat(unpack(r["words"], len(n), corpus), n) for r, n in zip(rows, sizes)])
-    contexts = np.concatenate([unpack(r["contexts"], int(n.sum()), corpus) for r, n in zip(rows, sizes)])
-    c = expand([r["customers"] for r in rows])
-    order = np.lexsort((contexts, words))
-    ws, cs = words[order], contexts[order]
-    new_word = np.concatenate(([True], ws[1:] != ws[:-1]))
-    new_dish = new_word | np.concatenate(([True], cs[1:] != cs[:-1]))
-    dish = np.empty(len(words), np.int64)
-    dish[order] = np.cumsum(new_dish) - 1
-    kinds, context = np.unique(cs[new_dish], return_inverse=True)
-    return rows, Shard(ws[new_word], kinds, (np.cumsum(new_word) - 1)[new_dish], context, np.bincount(dish, c).astype(np.int64), dish)
+    words, word = unpack([r["words"] for r in rows], [len(n) for n in sizes], corpus)
+    contexts, key = unpack([r["contexts"] for r in rows], [int(n.sum()) for n in sizes], corpus)
+    key = np.repeat(word, np.concatenate(sizes)) * np.int64(len(contexts)) + key
+    order = np.argsort(key, kind="stable")  # the blocks' rows are sorted already
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    dish = np.empty(len(key), np.int32)
+    dish[order] = np.cumsum(new) - 1
+    key = key[new]
+    c = np.bincount(dish, expand([r["customers"] for r in rows])).astype(np.int64)
+    return rows, Shard(words, contexts, (key // len(contexts)).astype(np.int32), (key % len(contexts)).astype(np.int32), c, dish)
 
 
 def read_totals(totals: pa.Table, turn: int, contexts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -399,7 +407,7 @@ def total(group: pa.Table, corpus: Corpus, turn: int) -> pa.Table:
     rows = sorted(group.to_pylist(), key=lambda r: r["shard"])
     asked = [expand([r["customers"]]) for r in rows]
     tables = [expand([r["tables"]]).reshape(-1, len(c)) if len(c) else None for r, c in zip(rows, asked)]
-    _, number = np.unique(np.concatenate([unpack(r["contexts"], len(c), corpus) for r, c in zip(rows, asked)]), return_inverse=True)
+    _, number = unpack([r["contexts"] for r in rows], [len(c) for c in asked], corpus)
     rare = sum(np.frombuffer(r["rare"], np.int64) for r in rows)
     sweeps = len(rare)
     customers = np.bincount(number, np.concatenate(asked))
