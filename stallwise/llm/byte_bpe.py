@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-A text of up to ``chunk_chars`` code points is one chunk. A longer one is cut
-into chunks that overlap their successor by ``overlap`` code points; the chunks
-are dealt over the cluster and pre-tokenised in parallel. The pattern looks
-ahead but never behind, so two pre-tokenisations that share one boundary agree
-from there on: neighbouring chunks are stitched at the first boundary both have
-inside their overlap. Chunks without such a boundary (one pre-token longer than
-the overlap) are joined and pre-tokenised as one segment. The pieces of each
-segment are then encoded, each piece on its own. A stitch never follows white
-space, whose pieces depend on what comes next, so a segment has the same pieces by
-itself as inside its text and the tokenizer library can encode it in one call.
+A text of up to ``chunk_chars`` code points is one chunk, whose pieces the tokenizer
+library finds and encodes in one call. A longer one is cut, in one pass over it, into
+chunks that overlap their successor by ``overlap`` code points; the chunks are dealt
+over the cluster and pre-tokenised in parallel. The pattern looks ahead but never
+behind, so two pre-tokenisations that share one boundary agree from there on:
+neighbouring chunks are stitched at the first boundary both have inside their overlap.
+Chunks without such a boundary (one pre-token longer than the overlap) are joined and
+pre-tokenised as one segment. The pieces between two stitches are then encoded, each
+piece on its own. A stitch never follows white space, whose pieces depend on what comes
+next, so the pieces are those of the whole text.
 
 Null and empty texts give an empty list of ids. Rows are never merged: repeated
 ids or texts each give a row. A column of ``docs`` that is called like a result
@@ -27,10 +27,13 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.session import cut_lineage
+
 #: Longest look-ahead of the pattern; boundaries closer to a cut are not trusted.
 LOOKAHEAD = 3
 #: Texts of a batch that are Python strings at once.
 ROWS = 256
+CACHED_PIECES = 500_000
 
 _codecs: dict = {}
 
@@ -47,6 +50,7 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str):
         table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}
         self.find = regex.compile(pattern).findall
+        self.pieces: dict[str, list[int]] = {}
         self.encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.bytes_of = [b""] * (max(table.values(), default=-1) + 1)
         for piece, rank in table.items():
@@ -56,6 +60,18 @@ class Codec:
         """The ids of a segment's pieces."""
         return self.encoder.encode_to_numpy(segment, disallowed_special=()).astype(np.int32)
 
+    def encode_pieces(self, pieces: list[str]) -> np.ndarray:
+        """The ids of pieces, each encoded by itself; pieces recur, so up to ``CACHED_PIECES`` are kept."""
+        known, out = self.pieces, []
+        if len(known) > CACHED_PIECES:
+            known.clear()
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                ids = known[piece] = self.encoder._encode_single_piece(piece)
+            out += ids
+        return np.array(out, np.int32)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -85,24 +101,29 @@ def _whole(df: DataFrame, text: Column, ranks, pattern: str) -> DataFrame:
 
 
 def _chunked(df: DataFrame, text: str, keep: list[str], ranks, pattern: str, size: int, overlap: int) -> DataFrame:
-    @F.arrow_udf("struct<head:array<int>,tail:array<int>>")
-    def boundaries(bodies: pa.Array) -> pa.Array:
-        """Piece starts inside the overlaps with the chunk before and the chunk after, from the chunk's start."""
-        find, heads, tails = _codec(ranks, pattern).find, [], []
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        """The chunks of each text, each with its overlap."""
+        return pa.array(([t[i : i + size + overlap] for i in range(0, len(t), size)] for t in texts.to_pylist()), pa.list_(pa.string()))
+
+    @F.arrow_udf("array<int>")
+    def piece_ends(bodies: pa.Array) -> pa.Array:
+        """Where each piece of a chunk ends; of a piece that ends in white space, negative."""
+        out = []
         for body in bodies.to_pylist():
-            pieces = find(body)
-            ends = np.cumsum(np.fromiter(map(len, pieces), np.int32), dtype=np.int32)
-            ends = ends[[not p[-1].isspace() for p in pieces]]
-            heads.append(np.append(np.int32(0), ends[ends < overlap]))
-            tails.append(ends[(ends >= size) & (ends <= size + overlap - LOOKAHEAD)])
-        return pa.StructArray.from_arrays([_lists(heads), _lists(tails)], ["head", "tail"])
+            pieces = _codec(ranks, pattern).find(body)
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int32, len(pieces)), dtype=np.int32)
+            out.append(np.where([p[-1].isspace() for p in pieces], -ends, ends).astype(np.int32))
+        return _lists(out)
 
     @F.arrow_udf("array<int>")
-    def encode_part(bodies: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
-        """The ids of each body from a true boundary up to the next chunk's first one."""
-        codec = _codec(ranks, pattern)
-        rows = zip(bodies.to_pylist(), starts.to_pylist(), stops.to_pylist())
-        return _lists([codec.encode(body[lo:hi]) for body, lo, hi in rows])
+    def encode_part(bodies: pa.Array, ends: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+        """The ids of each chunk's pieces from a stitch up to the next chunk's."""
+        codec, out = _codec(ranks, pattern), []
+        for body, own, lo, hi in zip(bodies.to_pylist(), ends.to_pylist(), starts.to_pylist(), stops.to_pylist()):
+            edges = [lo, *(abs(e) for e in own if abs(e) > lo and (hi is None or abs(e) <= hi))]
+            out.append(codec.encode_pieces([body[a:b] for a, b in zip(edges, edges[1:])]))
+        return _lists(out)
 
     def encode_joined(group: pa.Table) -> pa.Table:
         codec = _codec(ranks, pattern)
@@ -115,21 +136,19 @@ def _chunked(df: DataFrame, text: str, keep: list[str], ranks, pattern: str, siz
 
     same = [F.col(c) for c in dict.fromkeys([*keep, text])]
     rows = df.withColumn("_row", F.concat(F.hex(F.xxhash64(F.lit(0), *same)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *same))))
-    cuts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
-    chunks = rows.select(
-        "_row",
-        F.posexplode(F.transform(cuts, lambda i: F.substring(F.col(text), i * size + 1, F.lit(size + overlap)))).alias("_chunk", "_body"),
-    ).repartition("_row", "_chunk")
+    chunks = rows.select("_row", F.posexplode(cut(F.col(text))).alias("_chunk", "_body")).repartition("_row", "_chunk")
+    chunks = cut_lineage(chunks.withColumn("_ends", piece_ends("_body")))
+    trusted = F.filter("_ends", lambda e: (e >= size) & (e <= size + overlap - LOOKAHEAD))
+    near = F.concat(F.array(F.lit(0)), F.filter("_ends", lambda e: (e > 0) & (e < overlap)))
 
     start = F.col("_chunk") * size
     of_text = Window.partitionBy("_row").orderBy("_chunk")
     synced = (
-        chunks.select("_row", "_chunk", boundaries("_body").alias("_near"))
-        .select(
+        chunks.select(
             "_row",
             "_chunk",
-            F.transform("_near.head", lambda e: e + start).alias("_head"),
-            F.transform("_near.tail", lambda e: e + start).alias("_tail"),
+            F.transform(near, lambda e: e + start).alias("_head"),
+            F.transform(trusted, lambda e: e + start).alias("_tail"),
         )
         .dropDuplicates(["_row", "_chunk"])
         .withColumn("_sync", F.array_min(F.array_intersect(F.lag("_tail").over(of_text), "_head")))
@@ -141,7 +160,7 @@ def _chunked(df: DataFrame, text: str, keep: list[str], ranks, pattern: str, siz
     )
     placed = chunks.join(synced, ["_row", "_chunk"])
     single = placed.filter("_chunks = 1").select(
-        "_row", "_segment", encode_part("_body", F.col("_from") - start, F.col("_to") - start).alias("_ids")
+        "_row", "_segment", encode_part("_body", "_ends", F.col("_from") - start, F.col("_to") - start).alias("_ids")
     )
     joined = (
         placed.filter("_chunks > 1")
