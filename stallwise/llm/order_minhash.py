@@ -104,21 +104,24 @@ def with_next(docs: DataFrame, parts: int, row_id: str = "doc_id", text: str = "
     The parts' edges are quantiles of the ids, found from the ids alone; the first
     row of each part (of the first part for the last) is copied to the part before.
     The columns are ``_part``, ``_ahead`` (a copy), ``doc_id`` and ``text``. Rows
-    are ordered by id, nulls first, then by text.
+    are ordered by id, nulls first, then by text; the rows of one id (all null ids
+    are one) are in one part, as nothing else tells which of them comes first.
     """
     ids = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    edges = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) or []})
+    edges = np.array(sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) or []}), np.int64)
+
+    @F.arrow_udf("int")
+    def part_of(column: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, column.to_numpy(zero_copy_only=False)).astype(np.int32))
+
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    part = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e < key)) if edges else F.lit(0)
-    rows = ids.withColumn("_part", part.cast("int"))
-    # the smallest id of each part that has rows: ``parts`` rows at most
-    heads = sorted((r["_part"], r["id"]) for r in rows.groupBy("_part").agg(F.min(key).alias("id")).collect())
-    before = [(heads[i - 1][0], head) for i, (_, head) in enumerate(heads)]
-    copies = F.array(
-        F.struct(F.col("_part"), F.lit(False).alias("_ahead")),
-        *[F.when(key == head, F.struct(F.lit(p).alias("_part"), F.lit(True).alias("_ahead"))) for p, head in before],
-    )
-    dealt = rows.withColumn("_to", F.explode(F.filter(copies, lambda c: c.isNotNull())))
+    rows = ids.withColumn("_key", key).withColumn("_part", part_of("_key"))
+    # the smallest id of each part that has rows: ``parts`` rows at most, so a broadcast of them is bounded
+    heads = sorted((r["_part"], r["id"]) for r in rows.groupBy("_part").agg(F.min("_key").alias("id")).collect())
+    before = [(head, part, last) for (part, head), (last, _) in zip(heads, [*heads[-1:], *heads])]
+    ahead = docs.sparkSession.createDataFrame(before, "_key long, _part int, _before int")
+    to = F.array(F.struct("_part", F.lit(False).alias("_ahead")), F.when(F.col("_before").isNotNull(), F.struct(F.col("_before").alias("_part"), F.lit(True).alias("_ahead"))))
+    dealt = rows.join(F.broadcast(ahead), ["_key", "_part"], "left").withColumn("_to", F.explode(F.array_compact(to)))
     return (
         dealt.select("_to._part", "_to._ahead", "doc_id", "text")
         .repartitionById(max(1, len(edges) + 1), F.col("_part"))
