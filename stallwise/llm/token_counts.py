@@ -33,11 +33,16 @@ _counters: dict = {}
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
-    """The pieces and scores of a model file, in the order of their ids."""
+    """The pieces and scores of a model file, in the order of their ids.
+
+    Control, unknown, unused and byte pieces are no text: a text that holds their names,
+    such as ``<s>``, is counted by the letters of the name.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    special = (model.is_control, model.is_unknown, model.is_unused, model.is_byte)
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not any(f(i) for f in special)]
 
 
 class Counter:
