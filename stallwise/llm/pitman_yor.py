@@ -14,7 +14,8 @@ Documents are cut in blocks, and a block sends each of its distinct dishes (word
 context) once, with its customers, in blobs to hash shards; a row is sent for shards
 that a block has dishes of, so there are never more rows than dishes. A word's dishes
 are in one shard; those of the words that have ``frequent_share`` of all training
-tokens, at most ``1/frequent_share``, are dealt by word and context. The dealt table is
+tokens, at most ``1/frequent_share``, are dealt by word and context. Words that have ``coded_share``
+of all training tokens travel as their place in a shared list. The dealt table is
 stored by shard, so that the passes over it move no dish again:
 
 1. each shard counts the customers of its contexts, and one table a dish;
@@ -39,18 +40,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.llm.tokens import Tokens, mix64, runs
+from stallwise.llm.tokens import Tokens, mix64, runs, runs_of
 from stallwise.session import cut_lineage, stored_by
 
 END = np.uint64(0x5EED0FE7D0C5)
 EXACT = 64
 #: Characters of the corpus a shard stands for, and of a block of documents.
 SHARD_CHARS = 16_000_000
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 DEALT = "shard int, block bigint, ids array<bigint>, lengths binary, words binary, sizes binary, contexts binary, customers binary, docs binary, times binary"
 #: What shards ask of the contexts' and the frequent words' home shards, and the answers; a shard of -1 is for the driver.
 ASKED = "home int, shard int, contexts binary, customers binary, tables binary, frequent binary, rare binary"
@@ -71,16 +73,18 @@ class Settings:
     sweeps: int = 3
     seed: int = 7
     frequent_share: float = 1 / 65_536
+    coded_share: float = 1 / (1 << 20)
 
 
 @dataclass
 class Corpus:
-    """What all tasks share: training tokens, known words, and the frequent words, sorted, with their counts."""
+    """What all tasks share: training tokens, known words, the frequent words, sorted, with their counts, and the words that have a code."""
 
     n: int
     known: int
     words: np.ndarray
     counts: np.ndarray
+    coded: np.ndarray
 
 
 @dataclass
@@ -149,28 +153,25 @@ def joined(blobs: list[bytes], kind: type) -> np.ndarray:
 
 
 def pack(words: np.ndarray, corpus: Corpus) -> bytes:
-    """Hashes in little room: the frequent words' places, then the hashes of the others."""
-    at = (find(corpus.words, words) + 1).astype(code_type(corpus))
-    return at.tobytes() + words[at == 0].tobytes()
+    """Hashes in little room: the coded words' places, and then the hashes of the others."""
+    at = find(corpus.coded, words) + 1
+    codes = squeeze(at)
+    return len(codes).to_bytes(4, "little") + codes + words[at == 0].tobytes()
 
 
-def unpack(blobs: list[bytes], sizes: list[int], corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+def unpack(blobs: list[bytes], corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct hashes of several ``pack`` results, and each hash's place among them."""
-    kind = code_type(corpus)
-    codes = np.concatenate([np.frombuffer(b, kind, n) for b, n in zip(blobs, sizes)])
-    others = np.concatenate([np.frombuffer(b[n * kind.itemsize :], np.uint64) for b, n in zip(blobs, sizes)])
-    used = np.flatnonzero(np.bincount(codes, minlength=len(corpus.words) + 1)[1:])
-    kinds = np.union1d(corpus.words[used], others)
-    places = np.concatenate(([0], np.searchsorted(kinds, corpus.words))).astype(np.int32)
+    ends = [4 + int.from_bytes(b[:4], "little") for b in blobs]
+    codes = expand([b[4:e] for b, e in zip(blobs, ends)])
+    others = np.concatenate([np.frombuffer(b[e:], np.uint64) for b, e in zip(blobs, ends)])
+    used = np.flatnonzero(np.bincount(codes, minlength=len(corpus.coded) + 1)[1:])
+    kinds = np.union1d(corpus.coded[used], others)
+    places = np.concatenate(([0], np.searchsorted(kinds, corpus.coded))).astype(np.int32)
     out = places[codes]
     out[codes == 0] = np.searchsorted(kinds, others)
     return kinds, out
 
 
-def code_type(corpus: Corpus) -> np.dtype:
-    return np.dtype(np.uint16 if len(corpus.words) < 1 << 16 else np.uint32)
-
-
 def squeeze(x: np.ndarray) -> bytes:
     """Whole numbers from 0 on in little room: as narrow as they fit, the bytes of one place beside each other."""
     kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
@@ -284,7 +285,7 @@ def predict(shard: Shard, seatings, customers: np.ndarray, tables: np.ndarray, c
 
 
 def vocabulary(docs: DataFrame, s: Settings, shards: int) -> Corpus:
-    """Training tokens, known words and the frequent words, from sums over the whole corpus."""
+    """Training tokens, known words, the frequent words and the coded ones (``1/coded_share`` at most), from sums over the whole corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,7 +299,7 @@ def vocabulary(docs: DataFrame, s: Settings, shards: int) -> Corpus:
 
     def add(group: pa.Table) -> pa.Table:
         words, times = summed(joined(group["words"].to_pylist(), np.uint64), joined(group["counts"].to_pylist(), np.uint32))
-        keep = times >= s.frequent_share * times.sum()  # a part of the tokens, so none of the frequent words is missed
+        keep = times >= min(s.frequent_share, s.coded_share) * times.sum()  # a part of the tokens, so none of these words is missed
         return rows_table([(int(times.sum()), len(words), words[keep].tobytes(), times[keep].tobytes())], "n bigint, known bigint, words binary, counts binary")
 
     counted = docs.select("text", "held_out").mapInArrow(count, "shard int, words binary, counts binary")
@@ -308,13 +309,15 @@ def vocabulary(docs: DataFrame, s: Settings, shards: int) -> Corpus:
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, times = joined(batch["words"].to_pylist(), np.uint64), joined(batch["counts"].to_pylist(), np.int64)
-            keep = times >= max(1.0, s.frequent_share * n)
+            keep = times >= max(1.0, min(s.frequent_share, s.coded_share) * n)
             yield from rows_table([(words[keep].tobytes(), times[keep].tobytes())], "words binary, counts binary").to_batches()
 
     rows = list(found.select("words", "counts").mapInArrow(trim, "words binary, counts binary").toLocalIterator())
     words, counts = joined([bytes(r["words"]) for r in rows], np.uint64), joined([bytes(r["counts"]) for r in rows], np.int64)
     order = np.argsort(words)
-    return Corpus(n, known, words[order], counts[order])
+    words, counts = words[order], counts[order]
+    own = counts >= s.frequent_share * n
+    return Corpus(n, known, words[own], counts[own], words)
 
 
 def deal(docs: DataFrame, shared, shards: int) -> DataFrame:
@@ -324,10 +327,10 @@ def deal(docs: DataFrame, shared, shards: int) -> DataFrame:
         corpus: Corpus = shared.value
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            ids, chars = batch["doc_id"].to_pylist(), pc.fill_null(pc.utf8_length(batch["text"]), 0).to_pylist()
             out = np.array([bool(x) for x in batch["held_out"].to_pylist()], bool)
-            for a, b in runs(texts, BLOCK_CHARS):
-                h, doc = stream(texts[a:b])
+            for a, b in runs_of(chars, BLOCK_CHARS):
+                h, doc = stream(batch["text"].slice(a, b - a).to_pylist())
                 before, train = context_of(h, doc), ~out[a:b][doc]
                 key = np.where(find(corpus.words, h) >= 0, mix64(h ^ mix64(before)), h)
                 order = np.lexsort((before, h, shard_of(key, shards)))
@@ -355,8 +358,8 @@ def read_shard(group: pa.Table, corpus: Corpus) -> tuple[list[dict], Shard]:
     """A shard's rows, in the order of their blocks, and their dishes."""
     rows = sorted(group.select(["block", "shard", "words", "sizes", "contexts", "customers"]).to_pylist(), key=lambda r: r["block"])
     sizes = [expand([r["sizes"]]) for r in rows]
-    words, word = unpack([r["words"] for r in rows], [len(n) for n in sizes], corpus)
-    contexts, key = unpack([r["contexts"] for r in rows], [int(n.sum()) for n in sizes], corpus)
+    words, word = unpack([r["words"] for r in rows], corpus)
+    contexts, key = unpack([r["contexts"] for r in rows], corpus)
     key = np.repeat(word, np.concatenate(sizes)) * np.int64(len(contexts)) + key
     order = np.argsort(key, kind="stable")  # the blocks' rows are sorted already
     key = key[order]
@@ -407,7 +410,7 @@ def total(group: pa.Table, corpus: Corpus, turn: int) -> pa.Table:
     rows = sorted(group.to_pylist(), key=lambda r: r["shard"])
     asked = [expand([r["customers"]]) for r in rows]
     tables = [expand([r["tables"]]).reshape(-1, len(c)) if len(c) else None for r, c in zip(rows, asked)]
-    _, number = unpack([r["contexts"] for r in rows], [len(c) for c in asked], corpus)
+    _, number = unpack([r["contexts"] for r in rows], corpus)
     rare = sum(np.frombuffer(r["rare"], np.int64) for r in rows)
     sweeps = len(rare)
     customers = np.bincount(number, np.concatenate(asked))

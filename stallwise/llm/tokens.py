@@ -30,13 +30,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def runs(texts: list[str | None], chars: int = 2_000_000) -> list[tuple[int, int]]:
     """Bounds of consecutive runs of about ``chars`` characters, for bounded work memory; a longer text is a run."""
+    return runs_of([len(t or "") for t in texts], chars)
+
+
+def runs_of(lengths: list[int], chars: int) -> list[tuple[int, int]]:
+    """As ``runs``, from the texts' lengths."""
     out, start, held = [], 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "") + 1
+    for i, n in enumerate(lengths):
+        held += n + 1
         if held >= chars:
             out.append((start, i + 1))
             start, held = i + 1, 0
-    return [*out, (start, len(texts))] if start < len(texts) else out
+    return [*out, (start, len(lengths))] if start < len(lengths) else out
 
 
 class Tokens:

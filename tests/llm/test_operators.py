@@ -78,6 +78,15 @@ def test_bpe_is_the_librarys(docs, rows, size, overlap):
     assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in out)
 
 
+def test_bpe_of_a_very_long_text(spark):
+    """Many chunks, one pre-token longer than the overlap; the work is in proportion to the text."""
+    path, pattern, own = tokenizer()
+    long = (text(3, 400_000) + " \n" + "x" * 5_000 + " été ") * 3
+    out = byte_bpe.encode(spark.createDataFrame([(1, long), (1, long), (2, "")], "doc_id long, text string"), path, pattern).collect()
+    want = own.encode_ordinary(long)
+    assert sorted((r["doc_id"], r["ids"] == want) for r in out) == [(1, True), (1, True), (2, False)]
+
+
 def test_bpe_edges(none):
     path, pattern, _ = tokenizer()
     assert byte_bpe.encode(none, path, pattern).count() == 0
@@ -294,7 +303,7 @@ def toy_model(counts, s, frequent=()):
     shard = toy_shard(counts)
     known = counts.shape[1] - 1
     words = np.array(frequent, np.uint64)
-    corpus = pitman_yor.Corpus(int(counts.sum()), known, words, counts.sum(axis=0)[list(frequent)])
+    corpus = pitman_yor.Corpus(int(counts.sum()), known, words, counts.sum(axis=0)[list(frequent)], words)
     once = np.minimum(shard.c, 1)
 
     def sums(t):
@@ -398,9 +407,10 @@ def test_frequent_words_do_not_depend_on_the_batches(spark, rows):
     counts = Counter(w for r in rows for w in [*(r[1] or "").encode().lower().split(), None])
     n = sum(counts.values())
     for parts in (1, 40):
-        corpus = pitman_yor.vocabulary(df.repartition(parts), pitman_yor.Settings(frequent_share=5 / n), 3)
+        corpus = pitman_yor.vocabulary(df.repartition(parts), pitman_yor.Settings(frequent_share=5 / n, coded_share=3 / n), 3)
         assert (corpus.n, corpus.known) == (n, len(counts))
         assert sorted(corpus.counts.tolist()) == sorted(c for c in counts.values() if c >= 5)
+        assert len(corpus.coded) == sum(c >= 3 for c in counts.values())
 
 
 # ---- 7 ------------------------------------------------------------------------------------------------------------
@@ -418,7 +428,11 @@ def test_token_counts_are_the_librarys(docs, rows, none, spark):
     import public_tokenizers as tokenizers
 
     pieces = token_counts.load_pieces(tokenizers.path("piece_bpe_32k.model"))
-    own = unigram(pieces)
+    bytes_ = [(f"<0x{b:02X}>", -1e9) for b in range(256)]
+    own = unigram([("<unk>", 0.0), *bytes_, *pieces])
+    assert not {"<s>", "</s>", "<unk>", "<0x41>"} & {p for p, _ in pieces}
+    for t in ("a <s> <0x41>", "x<s>y<0x41>z</s><unk>"):
+        assert token_counts.Counter(pieces).text(t)[1] == len(own.encode(t, add_special_tokens=False).ids)
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in token_counts.count(docs, pieces).collect())
     assert got == sorted((i is None, i or 0, len(own.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
     assert token_counts.count(none, pieces).count() == 0
