@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The forms in which listings write prices, and the words that carry no product meaning.
 RANGE_SEPARATORS = (" - ", " to ", " – ")
@@ -23,14 +27,13 @@ SPECS = {
     "weight_kg": r"(?i)(\d{1,3}(?:\.\d)?)\s*kg\b",
     "pack_count": r"(?i)\b(\d{1,3})\s*(?:pcs|pieces|pack)\b",
 }
-STOPWORDS = (
-    "a an the in on at for of to and or me my i we you is are do does what whats how much many cost costs price prices "
-    "priced sell sells selling buy cheap cheapest best good please show tell find get want need looking kenya kenyan ksh "
-    "kes shillings bob"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "in", "on", "at", "for", "of", "to", "and", "or", "me", "my", "i", "we", "you", "is", "are",
+    "do", "does", "what", "whats", "how", "much", "many", "cost", "costs", "price", "prices", "priced", "sell",
+    "sells", "selling", "buy", "cheap", "cheapest", "best", "good", "please", "show", "tell", "find", "get", "want",
+    "need", "looking", "kenya", "kenyan", "ksh", "kes", "shillings", "bob",
+]
 #: Letters whose accents fold away without a Python function, and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def _split_range(raw: Column) -> tuple[Column, Column]:
@@ -86,9 +89,16 @@ def normalise_sku(platform: Column, key: Column) -> Column:
     return F.when(body != "", F.concat(platform, F.lit(":"), body))
 
 
+@F.arrow_udf(StringType())
+def _decomposed(texts: pa.Array) -> pa.Array:
+    """Compatibility forms without combining marks; Spark has no function for it."""
+    forms = (unicodedata.normalize("NFKD", t) for t in texts.to_pylist())
+    return pa.array(("".join(c for c in f if not unicodedata.combining(c)) for f in forms), pa.string())
+
+
 def fold(text: Column) -> Column:
-    """Lower case without accents or punctuation, single spaces; null is empty."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    """Lower case without accents, ligatures or punctuation, single spaces; null is empty."""
+    plain = F.lower(_decomposed(F.coalesce(text, F.lit(""))))
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"""[-_/\\.,+&()\[\]{}'"!?:;]+""", " "), r"\s+", " "))
 
 

@@ -11,17 +11,17 @@ LEAST_SELLERS = 3
 CROWDED, COMPETITIVE = 6.0, 3.0
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str = "price_kes") -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], value: str = "price_kes", weight: str | None = None) -> DataFrame:
     """Per group the exact 25 %, 50 % and 75 % quantiles of a decimal column, interpolated and rounded half up to 0.01.
 
     Rows are first counted by distinct value, so what is exchanged and sorted is
-    the values of a group and not its rows.
+    the values of a group and not its rows. With ``weight`` a row stands for so many.
     """
     by_value = Window.partitionBy(*keys).orderBy(value)
     cum = (
         rows.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count("*").alias("_n"))
+        .agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
         .withColumn("_to", F.sum("_n").over(by_value.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
     )

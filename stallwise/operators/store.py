@@ -39,7 +39,7 @@ def new_rows(batch: DataFrame, stored: DataFrame, arrival: list[str], key: list[
     """
     days = batch.select("observed_on").distinct()
     seen = stored.join(days, "observed_on", "left_semi").select(*key)
-    return first_of_key(batch, arrival, key).join(seen, key, "left_anti")
+    return first_of_key(batch.join(seen, key, "left_anti"), arrival, key)
 
 
 def append_listings(batch: DataFrame, path: str, arrival: list[str]) -> int:
@@ -91,7 +91,7 @@ def in_currency(currency: Column) -> Column:
 def seller_of(offer_seller: Column, brand: Column, platform_brand: str | None = None) -> Column:
     """The offer's seller, else the brand; null where that is the platform's own name."""
     seller = F.coalesce(F.nullif(offer_seller, F.lit("")), F.nullif(brand, F.lit("")))
-    return seller if platform_brand is None else F.when(F.lower(seller) != platform_brand.lower(), seller)
+    return seller if platform_brand is None else F.when(F.lower(F.trim(seller)) != platform_brand.lower(), seller)
 
 
 def run_summary(enriched: DataFrame) -> DataFrame:

@@ -81,7 +81,12 @@ def rollup_sql(source: str, keys: str, minimum: int) -> str:
 
 @query(f"SELECT platform_code, source_key, title, price_kes, observed_on, l_orderkey, l_linenumber FROM ({V.LISTING_SQL})")
 def a1_scan_listings(spark, sf_dir):
-    return V.listings(spark, sf_dir).select("platform_code", "source_key", "title", "price_kes", "observed_on", *ARRIVAL)
+    """The listings written as JSON lines and scanned; the arrival travels in the raw payload."""
+    rows = V.listings(spark, sf_dir).select("platform_code", "source_key", "title", "price_kes", "observed_on", F.to_json(F.struct(*ARRIVAL)).alias("raw"))
+    folder = _scratch(spark, "a1")
+    rows.withColumn("price_kes", F.col("price_kes").cast("string")).write.json(folder)
+    raw = F.from_json("raw", "l_orderkey long, l_linenumber int")
+    return store.scan_listings(spark, folder).withColumn("_raw", raw).select("platform_code", "source_key", "title", "price_kes", "observed_on", *[F.col(f"_raw.{c}") for c in ARRIVAL])
 
 
 _NEW_SQL = f"""
@@ -143,7 +148,7 @@ _CLEAN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 
 def _unescape(column: str) -> str:
     out = f"regexp_replace({column}, '<!--.*?-->|<[^>]*>', ' ', 'gs')"
-    for entity, char in P.ENTITIES:
+    for entity, char in [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#160;", " "), ("&amp;", "&")]:
         out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return _CLEAN.format(out)
 
@@ -235,9 +240,16 @@ def a12_sitemap_urls(spark, sf_dir):
     return P.sitemap_urls(maps, _U).select("url")
 
 
-@query("SELECT page_id, regexp_matches(lower(html[:4000]), '" + P.CHALLENGE + "') AS blocked FROM pages")
+#: Every third page has a challenge's words put in front, every seventh keeps 500 characters only, as the given ones are whole pages without a challenge.
+_CHALLENGED = """SELECT page_id, CASE page_id % 15 WHEN 0 THEN 'Captcha ' WHEN 3 THEN 'Are you a ROBOT? ' WHEN 6 THEN 'Access denied. ' WHEN 9 THEN 'cf-browser-verification ' WHEN 12 THEN 'Checking your browser ' WHEN 1 THEN 'Verify you are human ' ELSE '' END
+  || CASE WHEN page_id % 7 = 0 THEN substring(html, 1, 500) ELSE html END AS html FROM pages"""
+
+
+@query(f"""SELECT page_id, regexp_matches(lower(html[:4000]), 'captcha|are you a robot|access denied|cf-browser-verification|checking your browser') AS blocked,
+  length(html) < 800 AND regexp_matches(lower(html), 'captcha|access denied|are you a robot|verify you are human|cf-browser-verification') AS blocked_short FROM ({_CHALLENGED})""")
 def b10_blocked_page(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", P.blocked_page(F.col("html")).alias("blocked"))
+    pages = spark.sql(_CHALLENGED.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages"))
+    return pages.select("page_id", P.blocked_page(F.col("html")).alias("blocked"), P.blocked_page(F.col("html"), short_only=True).alias("blocked_short"))
 
 
 # ---- classification ----------------------------------------------------------------------------------------------
@@ -630,6 +642,14 @@ def h3_incremental_rollup(spark, sf_dir):
     return ingest.histogram_rows(spark.read.parquet(f"{folder}/store"))
 
 
+@query(f"SELECT category_code, platform_code, observed_on, p25, median, p75, observation_count, seller_count FROM ({rollup_sql(V.EVENT_SQL, _KEYS + ', observed_on', 1)})")
+def h3_histogram_figures(spark, sf_dir):
+    """Each day's figures from the stream-kept histogram alone."""
+    rows = V.event_listings(spark, sf_dir).select("category_code", "platform_code", "observed_on", "price_kes", "seller_name")
+    halves = [rows.filter(F.pmod(F.xxhash64("seller_name"), F.lit(2)) == k).groupBy(*rows.columns).agg(F.count("*").alias("n")) for k in (0, 1)]
+    return ingest.histogram_figures(halves[0].unionByName(halves[1])).select("category_code", "platform_code", "observed_on", "p25", "median", "p75", "observation_count", "seller_count")
+
+
 @query()
 def h4_windowed_activity(spark, sf_dir):
     rows = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category_code"), F.col("user_id").alias("seller_name"))

@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.functions.text import normalise_sku, parse_price
+from stallwise.operators.store import in_currency, seller_of
 
-# What a challenge page says.
-CHALLENGE = "(just a moment|checking your browser|captcha|access denied|cf-challenge)"
-ENTITIES = [("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#160;", " "), ("&amp;", "&")]
+# What a challenge page says in its first characters, and what one says that is short as a whole.
+CHALLENGE = ["captcha", "are you a robot", "access denied", "cf-browser-verification", "checking your browser"]
+SHORT_CHALLENGE = ["captcha", "access denied", "are you a robot", "verify you are human", "cf-browser-verification"]
+CHALLENGE_CHARS, SHORT_PAGE = 4000, 800
 LD_JSON = r"(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 
 
 def clean_markup(html: Column) -> Column:
-    """Text without tags, common entities decoded, single spaces."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Text without tags, entities decoded, single spaces."""
+    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", " ")), r"[\s\u00a0]+", " "))
+
+
+def decode_entities(text: Column) -> Column:
+    """Named entities of HTML 4 and the apostrophe, and decimal and hexadecimal ones; others stay as they are."""
+    found = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    names = {**{name: chr(point) for name, point in name2codepoint.items()}, "apos": "'"}
+    named = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, names.values())))
+
+    def char(entity: Column) -> Column:
+        is_hex = F.lower(F.substring(entity, 2, 1)) == "x"
+        digits = F.when(is_hex, F.substring(entity, 3, 7)).otherwise(F.conv(F.substring(entity, 2, 8), 10, 16))
+        point = F.conv(digits, 16, 10).cast("int")
+        real = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+        numeric = F.when(real, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(entity.startswith("#"), numeric).otherwise(named[entity]), F.concat(F.lit("&"), entity, F.lit(";")))
+
+    parts = F.split(text, found, -1)
+    entities = F.transform(F.regexp_extract_all(text, F.lit(found), 1), char)
+    return F.when(text.contains("&"), F.array_join(F.zip_with(parts, entities, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")).otherwise(text)
 
 
 def blocked_page(html: Column, short_only: bool = False) -> Column:
-    """Whether a page is a challenge: its markers stand in its first 4,000 characters, or in a page below 800."""
-    found = F.lower(F.substring(html, 1, 4000)).rlike(CHALLENGE)
-    return found & (F.length(html) < 800) if short_only else found
+    """Whether a page is a challenge: its markers stand in its first 4,000 characters, or, with ``short_only``, in a page below 800."""
+    text = F.lower(F.substring(html, 1, CHALLENGE_CHARS))
+    found = _any([text.contains(m) for m in (SHORT_CHALLENGE if short_only else CHALLENGE)])
+    return found & (F.length(html) < SHORT_PAGE) if short_only else found
 
 
 def heading(html: Column) -> Column:
@@ -42,48 +63,57 @@ def nav_breadcrumb(html: Column, drop: tuple[str, ...] = ("home",), most: int =
     return F.nullif(F.array_join(kept, " > "), F.lit(""))
 
 
-def extract_products(pages: DataFrame, platform: str) -> DataFrame:
+def ld_nodes(html: Column) -> Column:
+    """The JSON-LD objects of a page in page order: of all blocks, through arrays, ``@graph`` and ``mainEntity``."""
+    none = F.array().cast("array<variant>")
+    inside = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), none)
+    parsed = F.transform(F.coalesce(F.regexp_extract_all(html, F.lit(LD_JSON), 1), F.array().cast("array<string>")), F.try_parse_json)
+    of_block = lambda v: F.array_compact(F.concat(F.array(v, F.try_variant_get(v, "$.mainEntity", "variant")), inside(v, "$"), inside(v, '$["@graph"]')))
+    return F.flatten(F.transform(parsed, of_block))
+
+
+def _of_type(nodes: Column, kind: str) -> Column:
+    """The first node of a type, null without one."""
+    return F.get(F.filter(nodes, lambda n: F.coalesce(F.try_variant_get(n, '$["@type"]', "string") == kind, F.lit(False))), F.lit(0))
+
+
+def listed_breadcrumb(nodes: Column) -> Column:
+    """The names of the page's BreadcrumbList, joined by `` > ``."""
+    items = F.try_variant_get(_of_type(nodes, "BreadcrumbList"), "$.itemListElement", "array<variant>")
+    names = F.filter(F.transform(items, lambda i: F.try_variant_get(i, "$.name", "string")), lambda n: n.isNotNull() & (n != ""))
+    return F.nullif(F.array_join(names, " > "), F.lit(""))
+
+
+def extract_products(pages: DataFrame, platform: str, own_brand: str | None = None, short_challenges: bool = False) -> DataFrame:
     """Listings from the pages' JSON-LD, with the heading and ``data-price`` where it lacks a name or a price.
 
-    All blocks are read, through arrays, ``@graph`` and ``mainEntity``; the first
-    Product in page order counts. A page without title or price gives no row.
+    The first Product in page order counts; it is found inside the row, so pages are not
+    exchanged and each row of ``pages`` gives one row at most. A page without title or
+    price gives none. The seller is the offer's, else the brand, and null where that is
+    ``own_brand``, the platform's own name. ``short_challenges`` tells how the platform's
+    challenge pages are known.
     """
-    blocks = pages.select("url", "html", "fetched_on", F.posexplode_outer(F.regexp_extract_all("html", F.lit(LD_JSON), 1)).alias("_block", "_text"))
-    v = blocks.withColumn("_v", F.try_parse_json("_text"))
-    as_array = lambda c, path: F.try_variant_get(c, path, "array<variant>")
-    nodes = F.array_compact(
-        F.concat(
-            F.array(F.col("_v"), F.try_variant_get("_v", "$.mainEntity", "variant")),
-            F.coalesce(as_array(F.col("_v"), "$"), F.array().cast("array<variant>")),
-            F.coalesce(as_array(F.col("_v"), '$["@graph"]'), F.array().cast("array<variant>")),
-        )
-    )
-    n = v.select("url", "html", "fetched_on", "_block", F.posexplode_outer(nodes).alias("_at", "_n"))
-    get = lambda path, kind="string": F.try_variant_get("_n", path, kind)
-    first = lambda *paths: F.coalesce(*[F.nullif(get(p), F.lit("")) for p in paths])
-    product = n.withColumn("_is", F.coalesce(get('$["@type"]') == "Product", F.lit(False)))
-    order = Window.partitionBy("url", "fetched_on").orderBy(F.desc("_is"), "_block", "_at")
-    one = product.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    rows = pages.select("url", "html", "fetched_on", ld_nodes(F.col("html")).alias("_nodes")).withColumn("_n", _of_type(F.col("_nodes"), "Product"))
+    first = lambda *paths: F.coalesce(*[F.nullif(F.try_variant_get("_n", p, "string"), F.lit("")) for p in paths])
     offer = lambda field: first(f"$.offers.{field}", f"$.offers[0].{field}")
-    when = lambda c: F.when(F.col("_is"), c)
-    rows = one.select(
+    brand = first("$.brand.name", "$.brand")
+    out = rows.select(
         F.lit(platform).alias("platform_code"),
         F.col("url").alias("source_url"),
-        F.coalesce(when(first("$.name")), heading(F.col("html"))).alias("title"),
-        parse_price(F.coalesce(when(offer("price")), F.regexp_extract("html", r'data-price="([^"]+)"', 1))).cast("decimal(12,2)").alias("price_kes"),
-        when(offer("priceCurrency")).alias("currency"),
-        normalise_sku(F.lit(platform), when(first("$.sku", "$.mpn"))).alias("source_key"),
-        when(first("$.brand.name", "$.brand")).alias("brand"),
-        when(offer("seller.name")).alias("seller_name"),
-        when(offer("availability").contains("InStock")).alias("in_stock"),
-        when(get("$.aggregateRating.ratingValue")).try_cast("decimal(3,2)").alias("rating"),
-        when(first("$.aggregateRating.reviewCount", "$.aggregateRating.ratingCount")).try_cast("int").alias("rating_count"),
-        nav_breadcrumb(F.col("html")).alias("breadcrumb"),
+        F.coalesce(first("$.name"), heading(F.col("html"))).alias("title"),
+        parse_price(F.coalesce(offer("price"), F.regexp_extract("html", r'data-price="([^"]+)"', 1))).cast("decimal(12,2)").alias("price_kes"),
+        offer("priceCurrency").alias("currency"),
+        normalise_sku(F.lit(platform), first("$.sku", "$.mpn")).alias("source_key"),
+        brand.alias("brand"),
+        seller_of(offer("seller.name"), brand, own_brand).alias("seller_name"),
+        offer("availability").contains("InStock").alias("in_stock"),
+        first("$.aggregateRating.ratingValue").try_cast("decimal(3,2)").alias("rating"),
+        first("$.aggregateRating.reviewCount", "$.aggregateRating.ratingCount").try_cast("int").alias("rating_count"),
+        F.coalesce(nav_breadcrumb(F.col("html")), listed_breadcrumb(F.col("_nodes"))).alias("breadcrumb"),
         F.col("fetched_on").alias("observed_on"),
-        F.col("html"),
+        blocked_page(F.col("html"), short_challenges).alias("_blocked"),
     )
-    fit = rows.filter("title IS NOT NULL AND price_kes IS NOT NULL").filter(F.upper(F.coalesce("currency", F.lit("KES"))).isin("KES", "KSH"))
-    return fit.filter(~blocked_page(F.col("html"))).drop("html", "currency")
+    return out.filter("title IS NOT NULL AND price_kes IS NOT NULL AND NOT _blocked").filter(in_currency(F.col("currency"))).drop("_blocked", "currency")
 
 
 def extract_cards(pages: DataFrame, platform: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of ingestion, rollup upkeep, activity and freshness."""
+"""Structured Streaming forms of ingestion, rollup upkeep and activity."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stallwise.operators.rollup import quantiles
 from stallwise.operators.store import KEY, append_listings
 
 
@@ -44,6 +45,14 @@ def histogram_rows(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def histogram_figures(histogram: DataFrame) -> DataFrame:
+    """The exact quantiles, observations and sellers of each category, platform and day, without the listings."""
+    keys = ["category_code", "platform_code", "observed_on"]
+    rows = histogram_rows(histogram).filter("price_kes IS NOT NULL")
+    counts = rows.groupBy(*keys).agg(F.sum("n").alias("observation_count"), F.count_distinct(F.nullif("seller_name", F.lit(""))).alias("seller_count"))
+    return quantiles(rows, keys, weight="n").join(counts, keys)
+
+
 def daily_activity(events: DataFrame, event_time: str = "ts", delay: str = "1 day") -> DataFrame:
     """Listings and (approximately) distinct sellers of each category and day of a stream that goes on.
 

@@ -288,3 +288,54 @@ def test_rollups_are_replaced_by_day(spark, tmp_path):
     store.write_rollup(rows, path)
     store.write_rollup(rows.filter("n = 1").withColumn("n", F.lit(5)), path)
     assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [2, 5]
+
+
+def test_near_names_miss_no_pair_within_the_budget(spark):
+    """Against all pairs, with words of every length around the budgets' steps."""
+    import random
+
+    from stallwise.functions.text import typo_budget
+    from stallwise.operators import names
+
+    rnd = random.Random(4)
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 11))) for _ in range(120)}
+    for w in list(words)[:60]:
+        at = rnd.randrange(len(w) + 1)
+        words |= {w[:at] + "x" + w[at:], w[:at] + w[at + 1 :] or "z"}
+    texts = spark.createDataFrame([(w, w) for w in words], "typed string, _text string")
+    aliases = spark.createDataFrame([(w, w) for w in words], "code string, alias string")
+    for budget in (typo_budget(F.col("alias")), F.greatest(typo_budget(F.col("alias")), F.lit(2))):
+        d = F.levenshtein("_text", "alias")
+        want = texts.crossJoin(aliases).filter(d <= budget).select("_text", "alias")
+        got = names._near(texts, aliases, budget)
+        assert got.count() == got.select("_text", "alias").distinct().count() < len(words) ** 2
+        assert want.join(got, ["_text", "alias"], "left_anti").count() == 0 and want.count() > len(words)
+
+
+def test_entities_and_challenge_pages(spark):
+    from stallwise.sources import pages
+
+    given = "a &amp;&lt;b&gt; &eacute;&#233;&#xE9; &copy; &hellip; &nosuch; &#0; AT&T &#128512;"
+    df = spark.createDataFrame([(given, "verify you are human"), ("plain", "Captcha" + "x" * 900), (None, None)], "t string, html string")
+    got = df.select(pages.decode_entities(F.col("t")), pages.blocked_page(F.col("html")), pages.blocked_page(F.col("html"), short_only=True)).collect()
+    assert got[0][0] == "a &<b> ééé © … &nosuch; &#0; AT&T 😀" and got[1][0] == "plain" and got[2][0] is None
+    assert [tuple(r[1:]) for r in got] == [(False, True), (True, False), (None, None)]
+
+
+def test_product_pages_sellers_and_breadcrumbs(spark):
+    import datetime
+    import json
+
+    from stallwise.sources import pages
+
+    def page(**more):
+        product = {"@type": "Product", "name": "Lamp", "sku": "1", "offers": {"price": "500"}} | more
+        crumbs = {"@type": "BreadcrumbList", "itemListElement": [{"name": "Home"}, {"position": 2}, {"name": "Lamps"}]}
+        return f'<script type="application/ld+json">{json.dumps([crumbs])}</script><script type="application/ld+json">{json.dumps({"@graph": [product]})}</script>'
+
+    day = datetime.date(2026, 1, 1)
+    rows = [("u1", page(brand="Shiny"), day), ("u2", page(brand={"name": "Own Shop"}), day), ("u3", page(brand="Shiny", offers=[{"price": "7,000", "seller": {"name": "S"}}]), day), ("u4", "<h1>x</h1>", day), ("u5", None, day)]
+    out = pages.extract_products(spark.createDataFrame(rows, "url string, html string, fetched_on date"), "web", own_brand="own shop").collect()
+    assert {r["source_url"]: (r["seller_name"], r["breadcrumb"], int(r["price_kes"])) for r in out} == {
+        "u1": ("Shiny", "Home > Lamps", 500), "u2": (None, "Home > Lamps", 500), "u3": ("S", "Home > Lamps", 7000)
+    }
