@@ -22,6 +22,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.session import cut_lineage
+
 #: |z| above which two shares differ at the 5 % level.
 Z = 1.96
 
@@ -91,7 +93,7 @@ def judge(
         F.count_if(F.col("_decision") == "block").alias("blocked"),
         F.count_if(F.col("_decision").isNotNull()).alias("labelled"),
     )
-    tree = templates(shapes, min_support, depth)
+    tree = templates(cut_lineage(shapes), min_support, depth)
     nodes = tree.groupBy("host", "parent", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
 
     # merge neighbouring siblings whose shares do not differ
