@@ -116,7 +116,7 @@ cx AS (SELECT c7.r, unnest(counts)::DOUBLE / c7.n AS p, unnest(q)::DOUBLE / tota
 cd AS (SELECT r, sqrt(greatest(0, sum({_P_LOG('p', 'q')}) / 2)) AS dist FROM cx GROUP BY r),
 v AS (SELECT doc_id, base.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(cd.dist, 0) AS cdist, CASE WHEN n_words >= 60 THEN coalesce(wd.dist, 0) ELSE 0 END AS wdist
       FROM d JOIN base USING (r) LEFT JOIN cd USING (r) LEFT JOIN wd USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (cdist > 0.185 OR wdist > 0.62 + 1.2 / sqrt(greatest(n_words, 1))) AS kept FROM v
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (cdist > 0.185 OR wdist > greatest(0.4, 1.14 - 0.092 * ln(greatest(n_words, 1)))) AS kept FROM v
 """
 
 

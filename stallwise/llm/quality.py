@@ -6,7 +6,8 @@ of odd documents does not move it) and the histogram of common words over all it
 words. A document is rejected when the Jensen-Shannon distance (base 2, 0 to 1)
 between its own histogram and the reference's is above a limit. Short texts have
 noisy histograms: each comparison asks for a least number of characters or words,
-the word limit is wider for fewer words, and a language without enough text has no
+the word limit falls with the logarithm of the number of words down to a floor (set above
+the distances of labelled good documents of each length), and a language without enough text has no
 reference. What is not compared is kept.
 
 Common words are those with at least ``common_share`` of all words. Such a word
@@ -179,8 +180,9 @@ def judge(
     docs: DataFrame,
     refs: dict | None = None,
     class_limit: float = 0.185,
-    word_limit: float = 0.62,
-    word_spread: float = 1.2,
+    word_limit: float = 1.14,
+    word_slope: float = 0.092,
+    word_floor: float = 0.4,
     least_chars: int = 200,
     least_words: int = 60,
     least_common: int = 20,
@@ -220,6 +222,6 @@ def judge(
         "_stats.*",
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    widened = word_limit + word_spread / F.sqrt(F.greatest("n_words", F.lit(1)))
+    widened = F.greatest(F.lit(word_floor), word_limit - word_slope * F.log(F.greatest("n_words", F.lit(1))))
     far = (F.coalesce("class_distance", F.lit(0.0)) > class_limit) | (F.coalesce("word_distance", F.lit(0.0)) > widened)
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
