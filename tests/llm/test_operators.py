@@ -606,3 +606,15 @@ def test_sharding_evens_and_keeps_equal_texts(spark):
     mean = sum(sizes.values()) / 8
     assert all(abs(b - mean) <= 0.06 * mean for b in sizes.values())
     assert sum(len(h) > 1 for t, h in homes.items() if t != "same text") <= 7
+
+
+def test_quality_word_histogram_decides(spark):
+    """Texts with the reference's characters and other words: only the word rule can tell."""
+    rng = np.random.default_rng(9)
+    common = [f"{a}{b}" for a in "bcdfghjklm" for b in ("an", "el", "is", "or", "ut")]
+    others = ["".join(rng.choice(list("bcdfghjklmaneliosrut"), 3)) + "q" for _ in range(400)]
+    clean = [(i, " ".join(rng.choice(common, 400)), "en") for i in range(60)]
+    odd = [(100 + i, " ".join(w[:3] for w in rng.choice(others, 400)), "en") for i in range(3)]
+    out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(clean + odd, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i]["kept"] for i, *_ in clean)
+    assert all(not out[i]["kept"] and not out[i]["base_failed"] and out[i]["class_distance"] <= 0.185 for i, *_ in odd)

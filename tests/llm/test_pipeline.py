@@ -39,6 +39,53 @@ def test_one_document_of_each_group_stays(staged):
     assert sorted(r["doc_id"] for r in staged[3].collect()) == sorted(set(groups.values()))
 
 
+def test_no_text_of_a_shared_id_is_lost(spark):
+    """One id with two unlike texts, a copy of one of them, rows without an id, and columns called like the operators'."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rank string, score int, n_words string, predicted string, template string"
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(f"x{i}" for i in range(60)), " ".join([*words[:59], "y"])
+    more = ("r", 7, "n", "p", "t")
+    rows = [(1, a, "en", "s", 1, *more), (5, c, "en", "s", 1, *more), (5, b, "en", "s", 1, *more), (5, b, "en", "s", 1, *more), (6, c, "en", "s", 1, *more), (None, a, "en", "s", 1, *more)]
+    docs = spark.createDataFrame(rows, schema)
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(0, a), (1, a), (5, b), (5, c)])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = cut_lineage(stage(spark, docs, SF))
+        assert docs.schema == out.schema
+        assert {tuple(r[5:]) for r in docs.collect()} <= {more}
+
+
+def test_toxicity_stage_drops_what_the_field_calls_toxic(spark, staged):
+    """Against the tagger run text by text, with the model of the same sample."""
+    from stallwise.llm import toxicity
+    from stallwise.llm.queries import fold
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    sample = toxicity.training_rows(staged[0], labels, fold("doc_id", 4) == 2)
+    model = toxicity.fit(*zip(*sample))
+    want = {r["doc_id"] for r in staged[0].collect() if toxicity.tag(model, [r["text"]])[0][0] < 0.3}
+    assert {r["doc_id"] for r in staged[1].collect()} == want
+
+
+def test_near_copies_against_all_pairs(staged):
+    """The documents that stay are the smallest ids of the groups that all pairs of sets give."""
+    rows = [(r["doc_id"], set(zip(*[(r["text"] or "").encode().lower().split()[i:] for i in range(5)]))) for r in staged[2].collect()]
+    group = {i: i for i, _ in rows}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for k, (i, x) in enumerate(rows):
+        for j, y in rows[:k]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    assert {r["doc_id"] for r in staged[3].collect()} == {root(i) for i, _ in rows}
+
+
 def test_mixing_repeats_at_most_twice(staged):
     times = staged[4].groupBy("doc_id").count().agg(F.max("count"), F.sum("count")).first()
     assert times[0] <= 2
