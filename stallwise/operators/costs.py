@@ -110,6 +110,17 @@ def compare_market(rollups: DataFrame, wanted: DataFrame, policy: DataFrame, rat
     return rank_platforms(costs.withColumn("gaps", gaps), ["category_code", "county_code"], ["platform_code"]).drop("gap", "unconfirmed")
 
 
+def compare_at_price(sales: DataFrame, policy: DataFrame, rates: DataFrame, delivery: DataFrame) -> DataFrame:
+    """What one sale at the same price leaves on every platform that has a delivery row for its county, ranked.
+
+    ``sales`` has ``category_code`` (empty: no category's rate holds), ``county_code`` and ``sale_price``,
+    one row a category and county. A platform without a commission or a delivery figure comes last, with its gaps.
+    """
+    everywhere = sales.join(delivery.select("platform_code", "county_code"), "county_code")
+    out = platform_costs(everywhere, policy, rates, delivery).withColumnRenamed("unconfirmed", "gaps")
+    return rank_platforms(out, ["category_code", "county_code"], ["platform_code"])
+
+
 def verdicts(columns: DataFrame, symbol: str = "KSh") -> DataFrame:
     """One row a (category, county): who leaves the seller most, by how much, and whether the lead is proven."""
     ranked = F.col("comparable")
@@ -123,6 +134,7 @@ def verdicts(columns: DataFrame, symbol: str = "KSh") -> DataFrame:
         F.bool_or(ranked & F.exists("gaps", lambda g: g.contains("not confirmed"))).alias("_unknown_fee"),
         F.max(F.when(ranked, F.array_max(F.transform("other_fees", lambda f: f["amount_kes"])))).alias("_largest_fee"),
         F.max("fastest_payer").alias("_fastest"),
+        F.array_join(F.array_sort(F.collect_list(F.when(~ranked, F.col("platform_code")))), ", ").alias("_left_out"),
     )
     lead = F.col("lead_kes")
     unproven = F.coalesce(F.col("_unknown_fee") & (lead > 0) & (lead < SMALL_LEAD), F.lit(False))
@@ -138,6 +150,7 @@ def verdicts(columns: DataFrame, symbol: str = "KSh") -> DataFrame:
             F.when(lead <= 0, F.concat(F.col("runner_up"), F.lit(" is level with it."))),
             F.when(unproven, "The lead is unproven: a fee is not confirmed."),
             F.when(faster.isNotNull(), F.concat(faster, F.lit(" pays faster."))),
+            F.when(F.col("_left_out") != "", F.concat(F.lit("Not included, for lack of figures: "), "_left_out", F.lit("."))),
         ),
     ).otherwise("These cannot be compared yet.")
     return grouped.select(
@@ -147,9 +160,9 @@ def verdicts(columns: DataFrame, symbol: str = "KSh") -> DataFrame:
 
 
 def coverage(requested: DataFrame, counties: DataFrame, delivery: DataFrame) -> DataFrame:
-    """What is known of delivery for each requested (platform, county)."""
+    """What is known of delivery for each requested (platform, county), with all that ``delivery`` says of it."""
     out = requested.join(counties.select("county_code", "has_logistics"), "county_code", "left").join(
-        delivery.select("platform_code", "county_code", "door_delivery"), ["platform_code", "county_code"], "left"
+        delivery, ["platform_code", "county_code"], "left"
     )
     status = (
         F.when(F.col("has_logistics").isNull(), "unknown county")
@@ -161,13 +174,17 @@ def coverage(requested: DataFrame, counties: DataFrame, delivery: DataFrame) ->
 
 
 def policy_facts(policy: DataFrame) -> DataFrame:
-    """Onboarding, payout and returns of each platform as rows; what is not known says so."""
+    """Onboarding, payout and returns of each platform as rows; what is not known says so.
+
+    ``source`` and ``read``, where ``policy`` has them, say from which document and day.
+    """
     facts = F.array(
         F.struct(F.lit("payout").alias("topic"), F.concat(F.col("payout_days").cast("string"), F.lit(" day cycle")).alias("fact")),
         F.struct(F.lit("returns").alias("topic"), F.concat(F.col("return_window_days").cast("string"), F.lit(" day window")).alias("fact")),
         F.struct(F.lit("onboarding").alias("topic"), F.array_join("requirements", ", ").alias("fact")),
     )
-    rows = policy.select("platform_code", F.col("name").alias("platform_name"), F.inline(facts))
+    origin = [c for c in ("source", "read") if c in policy.columns]
+    rows = policy.select("platform_code", F.col("name").alias("platform_name"), *origin, F.inline(facts))
     return rows.withColumn("confirmed", F.col("fact").isNotNull()).withColumn("fact", F.coalesce("fact", F.lit("not confirmed")))
 
 

@@ -90,6 +90,15 @@ def rollup(enriched: DataFrame, keys: tuple[str, ...] = ("category_code", "platf
     return out
 
 
+def run_counts(rollups: DataFrame) -> DataFrame:
+    """One row a run: groups with figures, groups too thin for any, and the rows behind each."""
+    ok, n = F.col("available"), F.col("observation_count")
+    return rollups.agg(
+        F.count_if(ok).alias("with_figures"), F.count_if(~ok).alias("too_thin"),
+        F.coalesce(F.sum(F.when(ok, n)), F.lit(0)).alias("rows_with_figures"), F.coalesce(F.sum(F.when(~ok, n)), F.lit(0)).alias("rows_too_thin"),
+    )
+
+
 def price_trend(daily: DataFrame, keys: tuple[str, ...] = ("category_code", "platform_code"), minimum_points: int = 3) -> DataFrame:
     """Direction of a series of daily medians, by its first and last day; a short series is a refusal row."""
     at = [F.min_by("median", "observed_on"), F.max_by("median", "observed_on")]

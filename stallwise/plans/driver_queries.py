@@ -417,10 +417,18 @@ def c6_short_of_evidence(spark, sf_dir):
 
 
 _SELLER_SQL = f"SELECT brand AS category_code, platform_code, price_kes, seller_name, observed_on FROM ({V.LISTING_SQL})"
+_THIN_SQL = f"SELECT * REPLACE (title AS category_code) FROM ({V.LISTING_SQL})"
 _ACTIVE_SQL = f"""(SELECT *, round(seller_count + log10(observation_count), 2) AS activity_score, round(observation_count::DOUBLE / seller_count, 2) AS listings_per_seller
  FROM ({rollup_sql(_SELLER_SQL, _KEYS, 30)}) WHERE available)"""
 
 
+@query(f"""SELECT count_if(available) AS with_figures, count_if(NOT available) AS too_thin, CAST(coalesce(sum(observation_count) FILTER (available), 0) AS BIGINT) AS rows_with_figures,
+ CAST(coalesce(sum(observation_count) FILTER (NOT available), 0) AS BIGINT) AS rows_too_thin FROM ({rollup_sql(_THIN_SQL, _KEYS, 30)})""")
+def d11_run_counts(spark, sf_dir):
+    """Of the part names' groups, those with figures and those too thin for any."""
+    return rollup.run_counts(rollup.rollup(V.listings(spark, sf_dir).withColumn("category_code", F.col("title"))))
+
+
 def _by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.rollup(V.listings(spark, sf_dir).withColumn("category_code", F.col("brand")))
 
@@ -461,17 +469,29 @@ def g1_landed_cost_ceiling(spark, sf_dir):
 
 
 _POLICY_SQL = "(VALUES ('O', 'Open Market', true, 0.06, 0.20, 7, 27.50, false), ('F', 'Fixed House', false, 0.05, 0.12, 3, 0.00, true)) p(platform_code, platform_name, own, low, high, payout_days, other, unknown_fee)"
+_RANKED_SQL = f"""
+n AS (SELECT *, {_even('sale_price * rate')} AS commission_kes, CAST(sale_price - {_even('sale_price * rate')} - door_delivery - other AS DECIMAL(12,2)) AS net FROM sales),
+k AS (SELECT *, row_number() OVER (PARTITION BY category_code, county_code ORDER BY net IS NULL, net DESC, platform_code) AS rank FROM n),
+c AS (SELECT *, CASE WHEN net IS NOT NULL THEN CAST(net - lead(net) OVER (PARTITION BY category_code, county_code ORDER BY rank) AS DECIMAL(12,2)) END AS lead_kes,
+      arg_min(CASE WHEN net IS NOT NULL THEN platform_code END, CASE WHEN net IS NOT NULL THEN payout_days * 100 + rank END) OVER (PARTITION BY category_code, county_code) AS fastest FROM k)
+"""
+_VERDICT_SQL = """, g AS (SELECT category_code, county_code, max(CASE WHEN rank = 1 THEN platform_code END) AS first, max(CASE WHEN rank = 1 THEN net END) AS net, max(CASE WHEN rank = 1 THEN lead_kes END) AS lead,
+ max(CASE WHEN rank = 1 THEN sale_price END) AS price, string_agg(CASE WHEN net IS NULL THEN platform_code END, ', ' ORDER BY platform_code) AS left_out,
+ max(CASE WHEN rank = 2 AND net IS NOT NULL THEN platform_code END) AS runner_up, bool_or(net IS NOT NULL AND unknown_fee) AS unknown, max(CASE WHEN net IS NOT NULL AND platform_code = 'O' THEN 20.00 END) AS fee, max(fastest) AS fast FROM c GROUP BY 1, 2),
+v AS (SELECT category_code, county_code, net IS NOT NULL AS decided, CASE WHEN net IS NOT NULL THEN first END AS best, net AS net_receipt_kes, lead AS lead_kes, runner_up,
+ coalesce(unknown AND lead > 0 AND lead < 30, false) AS unproven, coalesce(unknown AND lead > 0 AND fee >= lead, false) AS may_flip, CASE WHEN net IS NOT NULL AND fast <> first THEN fast END AS faster_payer, price, left_out FROM g),
+verdict AS (SELECT * EXCLUDE (price, left_out), CASE WHEN decided THEN concat_ws(' ', concat(best, ' leaves the most: KSh ', net_receipt_kes, ' of a KSh ', price, ' sale.'),
+ CASE WHEN lead_kes > 0 THEN concat('That is KSh ', lead_kes, ' more than ', runner_up, '.') WHEN lead_kes <= 0 THEN concat(runner_up, ' is level with it.') END,
+ CASE WHEN unproven THEN 'The lead is unproven: a fee is not confirmed.' END, CASE WHEN faster_payer IS NOT NULL THEN concat(faster_payer, ' pays faster.') END,
+ CASE WHEN left_out IS NOT NULL THEN concat('Not included, for lack of figures: ', left_out, '.') END) ELSE 'These cannot be compared yet.' END AS text FROM v)
+"""
 _COLUMNS_SQL = f"""
 r AS ({rollup_sql(V.LISTING_SQL, _KEYS, 30)}),
 w AS (SELECT DISTINCT p_type AS category_code, d.platform_code, d.county_code, d.door_delivery FROM part, ({V.DELIVERY_SQL}) d),
-j AS (SELECT w.*, r.median AS sale_price, p.platform_name, p.payout_days, p.other, p.unknown_fee,
+sales AS (SELECT w.*, r.median AS sale_price, p.platform_name, p.payout_days, p.other, p.unknown_fee,
       coalesce(CASE WHEN own THEN k.commission_rate END, CAST((low + high) / 2 AS DECIMAL(5,4))) AS rate
       FROM w LEFT JOIN r USING ({_KEYS}) JOIN {_POLICY_SQL} USING (platform_code) LEFT JOIN ({V.RATES_SQL}) k USING (category_code)),
-n AS (SELECT *, {_even('sale_price * rate')} AS commission_kes, CAST(sale_price - {_even('sale_price * rate')} - door_delivery - other AS DECIMAL(12,2)) AS net FROM j),
-k AS (SELECT *, row_number() OVER (PARTITION BY category_code, county_code ORDER BY net IS NULL, net DESC, platform_code) AS rank FROM n),
-c AS (SELECT *, CASE WHEN net IS NOT NULL THEN CAST(net - lead(net) OVER (PARTITION BY category_code, county_code ORDER BY rank) AS DECIMAL(12,2)) END AS lead_kes,
-      arg_min(CASE WHEN net IS NOT NULL THEN platform_code END, CASE WHEN net IS NOT NULL THEN payout_days * 100 + rank END) OVER (PARTITION BY category_code, county_code) AS fastest FROM k)
-"""
+{_RANKED_SQL}"""
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,12 +507,35 @@ def g6_compare_columns(spark, sf_dir):
     )
 
 
-@query(f"""WITH {_COLUMNS_SQL}, g AS (SELECT category_code, county_code, max(CASE WHEN rank = 1 THEN platform_code END) AS first, max(CASE WHEN rank = 1 THEN net END) AS net, max(CASE WHEN rank = 1 THEN lead_kes END) AS lead,
- max(CASE WHEN rank = 2 AND net IS NOT NULL THEN platform_code END) AS runner_up, bool_or(net IS NOT NULL AND unknown_fee) AS unknown, max(CASE WHEN net IS NOT NULL AND platform_code = 'O' THEN 20.00 END) AS fee, max(fastest) AS fast FROM c GROUP BY 1, 2)
-SELECT category_code, county_code, net IS NOT NULL AS decided, CASE WHEN net IS NOT NULL THEN first END AS best, net AS net_receipt_kes, lead AS lead_kes, runner_up,
- coalesce(unknown AND lead > 0 AND lead < 30, false) AS unproven, coalesce(unknown AND lead > 0 AND fee >= lead, false) AS may_flip, CASE WHEN net IS NOT NULL AND fast <> first THEN fast END AS faster_payer FROM g""")
+@query(f"WITH {_COLUMNS_SQL}{_VERDICT_SQL} SELECT * FROM verdict")
 def g8_compare_verdicts(spark, sf_dir):
-    return costs.verdicts(_columns(spark, sf_dir)).drop("text")
+    return costs.verdicts(_columns(spark, sf_dir))
+
+
+_ONE_PRICE_SQL = f"""
+sales AS (SELECT t.category_code, t.sale_price, d.platform_code, d.county_code, d.door_delivery, p.platform_name, p.payout_days, p.other, p.unknown_fee,
+      coalesce(CASE WHEN own THEN k.commission_rate END, CAST((low + high) / 2 AS DECIMAL(5,4))) AS rate
+      FROM (SELECT p_type AS category_code, CAST(max(p_retailprice) AS DECIMAL(12,2)) AS sale_price FROM part GROUP BY 1) t, ({V.DELIVERY_SQL}) d JOIN {_POLICY_SQL} USING (platform_code)
+      LEFT JOIN ({V.RATES_SQL}) k ON k.category_code = t.category_code),
+{_RANKED_SQL}"""
+
+
+@query(f"WITH {_ONE_PRICE_SQL}{_VERDICT_SQL} SELECT * FROM verdict")
+def g4_compare_at_price(spark, sf_dir):
+    """Every category at its highest list price, in every county."""
+    dearest = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category_code")).agg(F.max("p_retailprice").cast("decimal(12,2)").alias("sale_price"))
+    sales = dearest.crossJoin(table(spark, sf_dir, "nation").select(F.col("n_name").alias("county_code")))
+    return costs.verdicts(costs.compare_at_price(sales, V.policy(spark), V.rates(spark, sf_dir), V.delivery(spark, sf_dir)))
+
+
+@query("""SELECT p_type AS category_code, CASE WHEN p_size > 25 THEN 'service' ELSE 'goods' END AS kind, CASE WHEN p_size > 25 THEN 0 ELSE i END AS place, CASE WHEN p_size > 25 OR i = 1 THEN 'F' ELSE 'O' END AS platform_code
+FROM (SELECT p_type, max(p_size) - min(p_size) AS p_size FROM part GROUP BY 1), (VALUES (0), (1)) t(i) WHERE p_size <= 25 OR i = 0""")
+def c8_platforms_of_country(spark, sf_dir):
+    """The categories as goods or services of a country whose goods have two platforms and whose services one."""
+    sizes = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category_code")).agg((F.max("p_size") - F.min("p_size")).alias("_size"))
+    kinds = sizes.select("category_code", F.when(F.col("_size") > 25, "service").otherwise("goods").alias("kind"))
+    countries = spark.sql("SELECT * FROM VALUES ('KE', 'goods', array('O', 'F')), ('KE', 'service', array('F')), ('UG', 'goods', array('F')) AS t(country_code, kind, platforms)")
+    return costs.platforms_of_country(kinds, countries, "KE")
 
 
 @query(f"""WITH q AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'NOWHERE' ELSE n_name END AS county_code, CASE WHEN c_acctbal > 0 THEN 'O' ELSE 'F' END AS platform_code FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)
@@ -555,18 +598,72 @@ def f12_question_metrics(spark, sf_dir):
     return questions.question_metrics(questions.route_questions(_asked(spark, sf_dir), V.VOCABULARIES))
 
 
-@query()
+_BRANDS_SQL = """SELECT b.brand, coalesce(n.n_name, 'NOWHERE') AS county FROM (SELECT DISTINCT p_brand AS brand FROM part) b LEFT JOIN nation n ON n.n_nationkey = CAST(split_part(b.brand, '#', 2) AS INTEGER) % 27"""
+_BRAND_SQL = f"SELECT * REPLACE (brand AS category_code) FROM ({V.LISTING_SQL})"
+_BRAND_YEARS_SQL = f"SELECT * REPLACE (date_trunc('year', observed_on)::DATE AS observed_on) FROM ({_BRAND_SQL})"
+_BRAND_POLICY = f"coalesce(CASE WHEN own THEN 0.1100 END, CAST((low + high) / 2 AS DECIMAL(5,4))) AS rate FROM b JOIN ({V.DELIVERY_SQL}) d ON d.county_code = b.county JOIN {_POLICY_SQL} ON p.platform_code = d.platform_code"
+_BRAND_MARKET_SQL = f"""
+sales AS (SELECT b.brand AS category_code, d.platform_code, d.county_code, d.door_delivery, p.payout_days, p.other, p.unknown_fee, (SELECT median FROM rolls r WHERE r.category_code = b.brand AND r.platform_code = d.platform_code) AS sale_price, {_BRAND_POLICY}),
+{_RANKED_SQL}{_VERDICT_SQL}"""
+_BRAND_PRICE_SQL = f"""
+sales AS (SELECT b.brand AS category_code, d.platform_code, d.county_code, d.door_delivery, p.payout_days, p.other, p.unknown_fee,
+  coalesce((SELECT max_by(median, (observation_count, platform_code)) FROM rolls r WHERE r.category_code = b.brand AND available), 1000.00) AS sale_price, {_BRAND_POLICY}),
+{_RANKED_SQL}{_VERDICT_SQL}"""
+_ASKED_SQL = """(VALUES (0, 'price_level', 'what is the price of '), (1, 'seller_count', 'how many sellers of '), (2, 'saturation', 'is X crowded'), (3, 'commission', 'what commission on '), (4, 'trend', 'price history of '),
+ (5, 'unknown', 'will we profit with '), (6, 'margin', 'what margin on '), (7, 'compare', 'compare '), (8, 'cost_of_business', 'total fees for '), (9, 'coverage', 'do you deliver to my county with '))"""
+
+
+@query(f"""WITH b AS ({_BRANDS_SQL}), rolls AS ({rollup_sql(_BRAND_SQL, _KEYS, 30)}), years AS ({rollup_sql(_BRAND_YEARS_SQL, _KEYS + ', observed_on', 1)}),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category_code ORDER BY available DESC, observation_count DESC, platform_code) AS nth FROM rolls) WHERE nth = 1),
+trend AS (SELECT *, CAST((l - f) / f AS DOUBLE) * 100 AS pct FROM (SELECT {_KEYS}, count(*) AS points, min(observed_on) AS a, max(observed_on) AS z, min_by(median, observed_on) AS f, max_by(median, observed_on) AS l FROM years GROUP BY 1, 2)),
+market AS (WITH {_BRAND_MARKET_SQL} SELECT * FROM verdict), atprice AS (WITH {_BRAND_PRICE_SQL} SELECT * FROM verdict),
+x AS (SELECT q.no, q.intent, b.brand, b.county, CASE WHEN q.no = 2 THEN concat('is ', b.brand, ' crowded') ELSE concat(q.start, b.brand) END AS question, r.observation_count AS n, r.seller_count AS sellers, r.available AS ok, r.platform_code AS pf,
+  r.median AS med, r.p25 AS lo, r.p75 AS hi, r.spread AS spread, r.saturation_label AS label, r.collected_on AS day, t.* EXCLUDE (category_code, platform_code), m.decided AS m_ok, m.text AS m_text, s.decided AS s_ok, s.text AS s_text,
+  d.door_delivery AS mile, {_even('r.median * 0.11')} AS com, {_even('r.median * 0.30')} AS need, nat.n_regionkey AS region, fd.door_delivery AS fmile
+  FROM {_ASKED_SQL} q(no, intent, start), b LEFT JOIN best r ON r.category_code = b.brand LEFT JOIN trend t ON t.category_code = b.brand AND t.platform_code = r.platform_code
+  LEFT JOIN market m ON m.category_code = b.brand LEFT JOIN atprice s ON s.category_code = b.brand LEFT JOIN ({V.DELIVERY_SQL}) d ON d.platform_code = r.platform_code AND d.county_code = b.county
+  LEFT JOIN ({V.DELIVERY_SQL}) fd ON fd.platform_code = 'F' AND fd.county_code = b.county LEFT JOIN nation nat ON nat.n_name = b.county),
+y AS (SELECT *, concat(' Based on ', format('{{:,}}', n), ' listings from ', format('{{:,}}', sellers), ' sellers on ', pf, ', collected ', day, '.') AS evidence, CAST(med - com - mile - need AS DECIMAL(12,2)) AS most,
+  CASE WHEN intent = 'unknown' THEN 'forecast' WHEN intent NOT IN ('cost_of_business', 'coverage') AND n IS NULL THEN 'no listings collected' WHEN intent NOT IN ('cost_of_business', 'coverage') AND NOT ok THEN concat(format('{{:,}}', n), ' listings are too few')
+   WHEN intent = 'margin' AND (pf <> 'O' OR mile IS NULL) THEN concat('not known: ', concat_ws(', ', CASE WHEN pf <> 'O' THEN 'category commission rate' END, CASE WHEN mile IS NULL THEN 'last mile cost for this county' END))
+   WHEN intent = 'compare' AND NOT coalesce(m_ok, false) OR intent = 'cost_of_business' AND NOT coalesce(s_ok, false) THEN 'not comparable yet' WHEN intent = 'coverage' AND region IS NULL THEN 'unknown county'
+   WHEN intent = 'commission' AND pf <> 'O' OR intent = 'trend' AND points < 3 THEN 'no figure for this question' END AS why FROM x)
+SELECT question, brand, no, intent, CASE WHEN intent = 'unknown' THEN 'forecast' END AS refusal, county AS county_code, brand AS category_code, concat(brand, '/', no) AS id, why IS NULL AS answered,
+ CASE WHEN why IS NOT NULL THEN why WHEN no = 0 THEN concat('The median price for ', brand, ' is KSh ', med, '; half lie between KSh ', lo, ' and KSh ', hi, '.', evidence)
+ WHEN no = 1 THEN concat(format('{{:,}}', sellers), ' sellers list ', brand, ' in ', format('{{:,}}', n), ' listings.', evidence)
+ WHEN no = 2 THEN concat(brand, ' looks ', label, ': ', round(n / greatest(sellers, 1), 1), ' listings per seller, prices spread KSh ', spread, ' around KSh ', med, '.', evidence)
+ WHEN no = 3 THEN concat(brand, ' attracts a 11.0% commission.', evidence)
+ WHEN no = 4 THEN concat('The median price for ', brand, ' is ', CASE WHEN abs(pct) < 3 THEN 'flat' WHEN l > f THEN 'rising' ELSE 'falling' END, ': KSh ', CAST(l - f AS DECIMAL(12,2)), ' (', round(pct, 1), '%) from ', a, ' to ', z, '.', evidence)
+ WHEN no = 6 THEN concat('The median price for ', brand, ' is KSh ', med, '. After 11.0% commission and KSh ', mile, ' delivery to ', county, ', a landed cost under KSh ', most, ' keeps a 30% margin.',
+   CASE WHEN most > 0 THEN '' ELSE ' That is not above zero: at this price no landed cost keeps the margin.' END, evidence)
+ WHEN no = 7 THEN concat('In ', county, ': ', m_text) WHEN no = 8 THEN concat('In ', county, ': ', s_text)
+ WHEN region = 3 THEN concat(county, ' has no confirmed logistics: neither collection nor delivery.') WHEN fmile IS NULL THEN concat(county, ' is served, but F has no published delivery figure there.')
+ ELSE concat('Door delivery to ', county, ' by F costs KSh ', fmile, '.') END AS text,
+ CASE WHEN why IS NULL AND no < 7 THEN n END AS observation_ct FROM y""")
 def f8_answer_questions(spark, sf_dir):
-    """One templated question for each brand and intent, answered from the brands' rollups."""
-    asks = ["what is the price of {}", "how many sellers of {}", "is {} crowded", "what commission on {}", "price history of {}", "will we profit with {}"]
+    """One templated question for each brand and intent, answered from the brands' rollups, the terms and the delivery fees.
+
+    Each brand asks of the nation whose key is its number modulo 27; keys above 24 name none.
+    """
+    asks = [
+        "what is the price of {}", "how many sellers of {}", "is {} crowded", "what commission on {}", "price history of {}", "will we profit with {}",
+        "what margin on {}", "compare {}", "total fees for {}", "do you deliver to my county with {}",
+    ]
     brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand")).distinct()
+    nation = table(spark, sf_dir, "nation")
     typed = brands.select("brand", F.posexplode(F.array(*[F.replace(F.lit(a), F.lit("{}"), F.col("brand")) for a in asks])).alias("no", "question"))
-    routed = questions.route_questions(typed, {}).withColumns({"category_code": F.col("brand"), "platform_code": F.lit(None).cast("string"), "id": F.concat("brand", F.lit("/"), F.col("no").cast("string"))})
+    typed = typed.join(nation.select(F.col("n_nationkey").alias("_key"), "n_name"), F.substring_index("brand", "#", -1).cast("int") % 27 == F.col("_key"), "left")
+    routed = questions.route_questions(typed, {}).withColumns(
+        {"category_code": F.col("brand"), "platform_code": F.lit(None).cast("string"), "county_code": F.coalesce("n_name", F.lit("NOWHERE")), "id": F.concat("brand", F.lit("/"), F.col("no").cast("string"))}
+    ).drop("_key", "n_name")
     listings = V.listings(spark, sf_dir).withColumn("category_code", F.col("brand"))
-    rolls = rollup.rollup(listings)
-    monthly = rollup.rollup(listings.withColumn("observed_on", F.trunc("observed_on", "year")), ("category_code", "platform_code", "observed_on"), minimum=1)
+    rolls = cut_lineage(rollup.rollup(listings))
+    yearly = rollup.rollup(listings.withColumn("observed_on", F.trunc("observed_on", "year")), ("category_code", "platform_code", "observed_on"), minimum=1)
     rates = brands.select(F.col("brand").alias("category_code"), F.lit("0.1100").cast("decimal(5,4)").alias("commission_rate"))
-    return questions.answer_questions(routed, rolls, rollup.price_trend(monthly), rates, "id").drop("matched_on", "window_days", "platform_code")
+    policy, delivery = V.policy(spark), V.delivery(spark, sf_dir)
+    counties = nation.select(F.col("n_name").alias("county_code"), (F.col("n_regionkey") != 3).alias("has_logistics"))
+    costly = questions.answer_costs(routed, rolls, policy, rates, delivery, counties, "id", "KENYA", "F")
+    return questions.answer_questions(routed, rolls, rollup.price_trend(yearly), rates, "id", policy, costly).drop("matched_on", "window_days", "platform_code")
 
 
 @query("SELECT n_nationkey, lower(trim(regexp_replace(regexp_replace(n_name, '[-_]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS folded FROM nation")
@@ -589,12 +686,52 @@ def _typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(typed.alias("query"))
 
 
-@query()
+_FOLD_SQL = "lower(trim(regexp_replace({0}, '[-_/.,+&()!?:;\\s]+', ' ', 'g')))"
+_ONE_SQL = """CASE WHEN length({0}) > 3 AND {0} LIKE '%ies' THEN left({0}, -3) || 'y' WHEN length({0}) > 3 AND {0} LIKE '%ses' THEN left({0}, -2)
+ WHEN length({0}) > 2 AND {0} LIKE '%s' AND {0} NOT LIKE '%ss' THEN left({0}, -1) ELSE {0} END"""
+_BUDGET_SQL = "CASE WHEN length({0}) <= 4 THEN 1 WHEN length({0}) <= 7 THEN 2 ELSE 3 END"
+
+
+def _words_sql(text: str) -> str:
+    return f"array_to_string(list_transform(string_split({text}, ' '), lambda w: {_ONE_SQL.format('w')}), ' ')"
+
+
+_NAMES_SQL = f"""
+WITH c AS (SELECT c_custkey, c_mktsegment, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS n FROM customer JOIN nation ON c_nationkey = n_nationkey),
+t AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN n WHEN 1 THEN n || 's' WHEN 2 THEN n || right(n, 1) ELSE 'price in ' || n || ' ' || c_mktsegment END AS typed FROM c),
+f AS (SELECT typed, {_FOLD_SQL.format('typed')} AS folded FROM t),
+g AS (SELECT *, array_to_string(list_filter(string_split(folded, ' '), lambda w: w NOT IN ('price', 'in')), ' ') AS trimmed FROM f),
+forms AS (SELECT *, {_words_sql('trimmed')} AS one, replace(folded, ' ', '') AS flat FROM g),
+a AS (SELECT *, {_words_sql('alias')} AS a_one, replace(alias, ' ', '') AS a_flat FROM (SELECT n_name AS code, n_name AS label, 'county' AS kind, n_nationkey AS place, i, {_FOLD_SQL.format("CASE i WHEN 0 THEN n_name ELSE 'land ' || n_name END")} AS alias
+ FROM nation, (VALUES (0), (2)) v(i)))
+"""
+_RESOLVED_SQL = _NAMES_SQL + f""",
+pairs AS (SELECT *, CASE WHEN alias = folded THEN 0 WHEN alias = trimmed THEN 1 WHEN alias = one THEN 2 END AS form,
+ CASE WHEN flat = a_flat THEN 0.98 WHEN one = a_one OR {_ONE_SQL.format('flat')} = {_ONE_SQL.format('a_flat')} THEN 0.96 END AS same,
+ length(alias) >= 4 AND (contains(folded, alias) OR contains(trimmed, alias) OR contains(one, alias) OR length(folded) >= 4 AND contains(alias, folded) OR length(trimmed) >= 4 AND contains(alias, trimmed)
+  OR length(one) >= 4 AND contains(alias, one)) AS inside FROM forms, a),
+near AS (SELECT *, 1.0::DOUBLE - d / greatest(length(alias), length(x)) AS score FROM (SELECT *, levenshtein(x, alias) AS d FROM (SELECT p.*, k, CASE k WHEN 0 THEN folded WHEN 1 THEN trimmed ELSE one END AS x FROM pairs p, (VALUES (0), (1), (2)) v(k)))
+ WHERE d <= least({_BUDGET_SQL.format('alias')}, {_BUDGET_SQL.format('x')})),
+tries AS (SELECT typed, code, label, kind, 'exact' AS how, 1.0::DOUBLE AS score, 1 AS step, row_number() OVER (PARTITION BY typed ORDER BY form, place, i, code) AS nth FROM pairs WHERE form IS NOT NULL
+ UNION ALL SELECT typed, code, label, kind, 'alias', same::DOUBLE, 2, row_number() OVER (PARTITION BY typed ORDER BY place, i, same DESC, code) FROM pairs WHERE same IS NOT NULL
+ UNION ALL SELECT typed, code, label, kind, 'partial', 0.9::DOUBLE, 3, row_number() OVER (PARTITION BY typed ORDER BY length(alias) DESC, code DESC, label DESC) FROM pairs WHERE inside
+ UNION ALL SELECT typed, code, label, kind, 'fuzzy', score, 4, row_number() OVER (PARTITION BY typed ORDER BY score DESC, place, i, k, code) FROM near WHERE score >= 0.6)
+SELECT typed, code, label, kind, how, round(score, 3) AS score, how IN ('exact', 'alias') OR score >= 0.92 AS certain
+FROM (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY step) AS first FROM tries WHERE nth = 1) WHERE first = 1
+"""
+_SUGGESTED_SQL = _NAMES_SQL + f""",
+near AS (SELECT typed, code, label, max(1.0::DOUBLE - d / greatest(length(alias), length(x))) AS score
+ FROM (SELECT *, levenshtein(x, alias) AS d FROM (SELECT forms.*, a.*, CASE k WHEN 0 THEN folded ELSE trimmed END AS x FROM forms, a, (VALUES (0), (1)) v(k))) WHERE d <= greatest({_BUDGET_SQL.format('alias')}, 2) GROUP BY 1, 2, 3)
+SELECT typed, rank, code, label, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY score DESC, code) AS rank FROM near) WHERE rank <= 5
+"""
+
+
+@query(_RESOLVED_SQL)
 def f2_resolve_names(spark, sf_dir):
     return names.resolve_names(_typed_names(spark, sf_dir), _nation_aliases(spark, sf_dir))
 
 
-@query()
+@query(_SUGGESTED_SQL)
 def f3_suggest_names(spark, sf_dir):
     return names.suggest_names(_typed_names(spark, sf_dir), _nation_aliases(spark, sf_dir))
 
@@ -650,7 +787,7 @@ def h3_histogram_figures(spark, sf_dir):
     return ingest.histogram_figures(halves[0].unionByName(halves[1])).select("category_code", "platform_code", "observed_on", "p25", "median", "p75", "observation_count", "seller_count")
 
 
-@query()
+@query("SELECT CAST(ts AS DATE) AS day, event_type AS category_code, count(*) AS listings, count(DISTINCT user_id) AS sellers FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def h4_windowed_activity(spark, sf_dir):
     rows = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category_code"), F.col("user_id").alias("seller_name"))
     folder = _scratch(spark, "h4")

@@ -179,6 +179,46 @@ def test_answers_carry_evidence_or_refuse(spark):
     assert "KSh 2195.00" in got[0]["text"] and "40 listings from 10 sellers on p" in got[0]["text"] and "too few" in got[1]["text"]
 
 
+def test_answers_on_costs(spark):
+    """Margins, coverage, comparison and costs: a rate holds on its own platform only, and what is missing is named."""
+    policy = spark.createDataFrame([("a", "A", True, None, None, 14, [("return", "per_return", D(150))]), ("b", "B", False, D("0.05"), D("0.12"), 3, [])], POLICY)
+    rates = spark.createDataFrame([("c", D("0.06")), ("e", D("0.06"))], "category_code string, commission_rate decimal(5,4)")
+    delivery = spark.createDataFrame([("a", "x", D(100), D(60), 4, 2), ("b", "x", D(90), None, 0, 1), ("a", "y", None, None, 0, 0)], "platform_code string, county_code string, door_delivery decimal(12,2), pickup_station decimal(12,2), stations int, typical_days int")
+    counties = spark.createDataFrame([("x", True), ("y", True), ("z", False)], "county_code string, has_logistics boolean")
+    rows = [listing(i, 1000) for i in range(40)] + [listing(i, 20, category="e", platform="b") for i in range(40)] + [listing(i, 90, category="cheap", platform="a") for i in range(40)]
+    rolls = rollup.rollup(spark.createDataFrame(rows, LISTING).withColumn("platform_code", F.when(F.col("platform_code") == "p", "a").otherwise(F.col("platform_code"))))
+    ask = [
+        (0, "what margin", "c", None), (1, "what margin", "e", None), (2, "what margin", "c", "y"), (3, "do you deliver to", None, "x"), (4, "do you deliver to", None, "y"), (5, "do you deliver to", None, "z"),
+        (6, "do you deliver to", None, "q"), (7, "do you deliver to", None, None), (8, "compare", "c", "x"), (9, "compare", None, "x"), (10, "total fees", None, "x"), (11, "total fees", "c", "q"), (12, "what commission", "e", None),
+        (13, "compare", "thin", "x"),
+    ]
+    routed = questions.route_questions(spark.createDataFrame(ask, "id int, question string, category_code string, county_code string"), {}).withColumn("platform_code", F.lit(None).cast("string"))
+    trends = spark.createDataFrame([], "category_code string, platform_code string, available boolean, direction string, change_kes decimal(12,2), change_percent double, from_date date, to_date date")
+    costly = questions.answer_costs(routed, rolls, policy, rates, delivery, counties, "id", "x", "a")
+    got = {r["id"]: (r["answered"], r["text"]) for r in questions.answer_questions(routed, rolls, trends, rates, "id", policy, costly).collect()}
+    assert len(got) == len(ask)
+    # 1000 less 6 %, less 100 to the door, less 30 %: 540
+    assert got[0][0] and "After 6.0% commission and KSh 100.00 delivery to x, a landed cost under KSh 540.00 keeps a 30% margin." in got[0][1] and "40 listings" in got[0][1]
+    assert got[1] == (False, "not known: category commission rate") and got[2] == (False, "not known: last mile cost for this county")
+    assert got[3] == (True, "Door delivery to x by a costs KSh 100.00, or KSh 60.00 to one of 4 pickup stations, in 2 days as a rule.")
+    assert got[4][0] and "no published delivery figure" in got[4][1] and got[5][0] and "no confirmed logistics" in got[5][1]
+    assert got[6] == (False, "unknown county") and got[7] == (False, "no county named")
+    # a keeps 1000 - 60 - 100 - 7.50 = 832.50; b has no listings of c
+    assert got[8] == (True, "In x: a leaves the most: KSh 832.50 of a KSh 1000.00 sale. Not included, for lack of figures: b.")
+    assert got[9] == (False, "no category named") and got[13] == (False, "no listings collected")
+    # at the usual price without a category, a has no rate and no band; b keeps 1000 - 85 - 90
+    assert got[10] == (True, "In x: b leaves the most: KSh 825.00 of a KSh 1000.00 sale. Not included, for lack of figures: a.")
+    assert got[11] == (False, "not comparable yet") and got[12] == (False, "no figure for this question")
+
+
+def test_metrics_by_day_and_origins(spark):
+    log = spark.createDataFrame([("margin", None, True, 1), ("margin", "x", False, 1), ("margin", None, False, 2)], "intent string, refusal string, answered boolean, day int")
+    assert sorted(map(tuple, questions.question_metrics(log, "day").collect())) == [("margin", 1, 2, 1, 1, 0.5), ("margin", 2, 1, 1, 0, 1.0)]
+    policy = spark.createDataFrame([("p", "P", 7, None, None, "schedule", DAY)], "platform_code string, name string, payout_days int, return_window_days int, requirements array<string>, source string, read date")
+    got = {r["topic"]: (r["fact"], r["confirmed"], r["source"], r["read"]) for r in costs.policy_facts(policy).collect()}
+    assert got["payout"] == ("7 day cycle", True, "schedule", DAY) and got["returns"][:2] == ("not confirmed", False)
+
+
 LD = '<script type="application/ld+json">{}</script>'
 
 
@@ -280,6 +320,10 @@ def test_catalogue_answers(spark):
     routed = questions.route_questions(asked, {"platform_code": {}})
     got = [r["text"] for r in questions.catalogue_answers(routed, ranked, ranked, facts, "p").orderBy("id").collect()]
     assert got[0].startswith("Most sellers list: audio on p, phone cases on p.") and got[1] == "Fewest listings a seller: phone cases on p, audio on p." and got[2] == "P: 7 day cycle." and got[3] is None
+    delivery = spark.createDataFrame([("p", "x", D(145))], "platform_code string, county_code string, door_delivery decimal(12,2)")
+    routed = routed.filter("id < 2").withColumn("county_code", F.when(F.col("id") == 0, "x"))
+    got = [r["text"] for r in questions.catalogue_answers(routed, ranked, ranked, facts, "p", delivery).orderBy("id").collect()]
+    assert got[0].endswith("delivery to x costs KSh 145.00.") and "delivery" not in got[1]
 
 
 def test_rollups_are_replaced_by_day(spark, tmp_path):
