@@ -72,10 +72,15 @@ def targets(docs: DataFrame, weights: list[int], share: float, block: int = 512,
 
 
 def schedule(sources: DataFrame) -> DataFrame:
-    """The slots: ``slot``, ``sid`` and ``rank``, which is the source's block that the slot takes."""
+    """The slots: ``slot``, ``sid`` and ``rank``, which is the source's block that the slot takes.
+
+    Each block of a source gets one: the few that the points leave without one, which only
+    small sources have, come after all points, in order.
+    """
     spark = sources.sparkSession
     n = sources.agg(F.max("all_blocks")).first()[0] or 0
-    points = spark.range(int(n * SPARE) + 64 if n else 0).select(
+    n_points = int(n * SPARE) + 64 if n else 0
+    points = spark.range(n_points).select(
         F.col("id").alias("slot"), (F.col("id") % ONE * GOLDEN % ONE).alias("_u")
     )
     spans = sources.filter("hi > lo").select(
@@ -94,15 +99,21 @@ def schedule(sources: DataFrame) -> DataFrame:
     )
     before = Window.partitionBy("sid").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = hit.groupBy("sid", "_cell").agg(F.count("*").alias("_n"))
-    starts = starts.select("sid", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = starts.select("sid", "_cell", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    have = starts.groupBy("sid").agg((F.max_by(F.col("_start") + F.col("_n"), "_cell")).alias("_have"))
+    short = sources.join(have, "sid", "left").select("sid", "blocks", F.coalesce("_have", F.lit(0)).alias("_have")).filter("_have < blocks")
+    earlier = F.coalesce(F.sum(F.col("blocks") - F.col("_have")).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    late = short.withColumn("_slot", n_points + earlier - F.col("_have")).withColumn("rank", F.explode(F.sequence("_have", F.col("blocks") - 1)))
+    late = late.select((F.col("_slot") + F.col("rank")).alias("slot"), "sid", "rank")
     inside = Window.partitionBy("sid", "_cell").orderBy("slot")
-    return (
+    ranked = (
         hit.withColumn("_at", F.row_number().over(inside) - 1)
-        .join(starts, ["sid", "_cell"])
+        .join(starts.drop("_n"), ["sid", "_cell"])
         .withColumn("rank", F.col("_start") + F.col("_at"))
         .filter("rank < blocks")
         .select("slot", "sid", "rank")
     )
+    return ranked.unionByName(late)
 
 
 def shuffled(docs: DataFrame, sources: DataFrame, row_id: str = "doc_id", seed: str = "mix") -> DataFrame:

@@ -23,7 +23,8 @@ m AS (SELECT *, coalesce(CAST(sum(blocks) OVER (ORDER BY sid ROWS BETWEEN UNBOUN
 src AS (SELECT *, CAST(floor(pos::DOUBLE / greatest(allb, 1) * 2147483648) AS BIGINT) AS lo, CAST(floor((pos + blocks)::DOUBLE / greatest(allb, 1) * 2147483648) AS BIGINT) AS hi FROM m),
 pts AS (SELECT j, j % 2147483648 * 1327217885 % 2147483648 AS u FROM (SELECT unnest(range(0, (SELECT CASE WHEN max(allb) > 0 THEN CAST(floor(max(allb) * 1.05::DOUBLE) AS BIGINT) + 64 ELSE 0 END FROM src))) AS j)),
 slots AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY j) - 1 AS rank, blocks FROM pts JOIN src ON u >= lo AND u < hi),
-used AS (SELECT sid, rank FROM slots WHERE rank < blocks),
+used AS (SELECT sid, rank FROM slots WHERE rank < blocks UNION ALL
+      SELECT sid, unnest(range(coalesce(n, 0), blocks)) FROM src LEFT JOIN (SELECT sid, count(*) AS n FROM slots GROUP BY 1) USING (sid)),
 o AS (SELECT s.doc_id, s.size, src.*, coalesce(CAST(sum(size) OVER (PARTITION BY sid ORDER BY md5(concat('mix:', s.doc_id)), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS st,
       row_number() OVER () AS r FROM s JOIN src ON s.source IS NOT DISTINCT FROM src.source),
 p AS (SELECT o.*, again, source_size * again + st AS x, least(source_size * again + st + size, goal) AS y FROM o, (VALUES (0), (1)) v(again)),

@@ -159,6 +159,22 @@ def test_mixing(docs, rows, none, spark):
     assert [(r["taken"], r["target"]) for r in mixing.mix(silent, [5, 2, 1]).collect()] == [(0, 0.0)]
 
 
+def test_every_block_has_a_slot(spark):
+    """Many sources of few blocks, which the points alone leave short, beside a large one."""
+    sizes = [(f"s{i:03d}", 1 + i % 7) for i in range(300)] + [("z", 200_000)]
+    sources = mixing.targets(spark.createDataFrame(sizes, "source string, size long"), [5, 2, 1], 1.5)
+    got = defaultdict(list)
+    slots = mixing.schedule(sources).collect()
+    for r in slots:
+        got[r["sid"]].append((r["slot"], r["rank"]))
+    assert len({r["slot"] for r in slots}) == len(slots)
+    for r in sources.collect():
+        assert [rank for _, rank in sorted(got[r["sid"]])] == list(range(r["blocks"]))
+    # the words taken are the targets, rounded down
+    docs = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes)], "doc_id long, source string, size long")
+    assert all(r["taken"] == int(r["target"]) for r in mixing.mix(docs, [5, 2, 1]).collect())
+
+
 def test_targets_reshare_the_excess(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sources, [5, 2, 1], 1.5).collect()}
@@ -236,6 +252,12 @@ def test_toxicity_learns_and_finds_spans(spark, docs, rows, none):
     assert "Héllo w1 w2 zoundsxyz w3"[span["start"] : span["end"]] == "zoundsxyz" and span["p"] >= 0.5
     assert toxicity.score(docs, model).count() == len(rows) and toxicity.score(none, model).count() == 0
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit([""], [0])).collect()} == {0.0}
+    texts = [t for t, _ in train] + ["", "some plain words", "x" * 3000, None]
+    for one, t in zip(toxicity.tag(model, texts)[0], texts):
+        _, _, p = toxicity.tag(model, [t])
+        p = np.empty(0) if p is None else p
+        strong = 1 - np.prod(1 - p[p >= toxicity.FLOOR]) if (p >= toxicity.FLOOR).any() else p.max(initial=0)
+        assert one == pytest.approx(strong, abs=1e-9)
 
 
 def test_training_rows_keep_the_fold(spark, docs):
