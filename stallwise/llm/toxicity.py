@@ -7,7 +7,9 @@ two-state linear-chain model with those features, the neighbours' and the state
 transitions is then trained on whole documents by its exact gradient, from
 forward and backward sums. Scoring runs forward-backward over each whole text and
 gives each token's marginal; tokens at 0.5 or more form the spans, and the
-document's score is one less the product of the tokens' chances of being clean.
+document's score is one less the product of the chances of being clean of the tokens
+with a marginal of ``FLOOR`` or more, so that a long text does not add up to a toxic
+one; without such a token it is the highest marginal, which orders clean texts too.
 
 Training uses at most ``sample`` toxic and twice as many clean labelled documents
 (the smallest by hash of their ids), none above ``longest`` characters, and at most
@@ -28,7 +30,7 @@ from stallwise.llm.tokens import Tokens, mix64, runs
 #: Features are hashed to so many weights.
 WEIGHTS = 1 << 21
 PREFIXES = (4, 5, 6)
-#: Marginals below this count as clean in a document's score.
+#: Marginals below this do not add up in a document's score; the highest alone counts.
 FLOOR = 0.25
 
 
@@ -179,7 +181,10 @@ def tag(model: dict | None, texts: list[str | None]) -> tuple[np.ndarray, Tokens
     e = _log_odds(model["weights"], slots)
     p, _, _ = _Chains(tokens.counts()).marginals(e, model["trans"])
     clean = np.log1p(-np.minimum(np.where(p >= FLOOR, p, 0), 1 - 1e-12))
-    return 1 - np.exp(np.bincount(tokens.doc, clean, tokens.n_docs)), tokens, p
+    first = np.flatnonzero(np.concatenate(([True], tokens.doc[1:] != tokens.doc[:-1])))
+    highest = np.zeros(tokens.n_docs)
+    highest[tokens.doc[first]] = np.maximum.reduceat(p, first)
+    return np.maximum(1 - np.exp(np.bincount(tokens.doc, clean, tokens.n_docs)), highest), tokens, p
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = 1_000, sample_chars: int = 4_000_000, longest: int = 10_000) -> list:
