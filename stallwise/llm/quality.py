@@ -10,10 +10,12 @@ the word limit falls with the logarithm of the number of words down to a floor (
 the distances of labelled good documents of each length), and a language without enough text has no
 reference. What is not compared is kept.
 
-Common words are those with at least ``common_share`` of all words. Such a word
-has that share in at least one batch of documents too, so one pass gathers the
-words frequent in some batch and a second counts just those exactly; no full
-vocabulary is shuffled, and a reference has ``1 / common_share`` words at most.
+Common words are those with at least ``common_share`` of all words. A first pass
+reports the words with half that share of a batch of documents. Where a word is not
+reported it has less than half the share, so its reported count bounds its exact
+one; the words that can still be common, ``2 / common_share`` at most however many
+batches there are, are counted exactly by a second pass. No full vocabulary is
+shuffled, and a reference has ``1 / common_share`` words at most.
 
 Null texts have no words and fail the base rules, as empty ones do. A null
 ``lang`` is a language of its own. Repeated rows are judged one by one and all
@@ -30,7 +32,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.session import cut_lineage
@@ -107,7 +109,8 @@ def _gather(df: DataFrame, common_share: float, least_chars: int, chosen) -> Dat
     """(lang, word, n) of each batch: with ``chosen`` those words' counts, else the words frequent in the batch.
 
     A null word carries the language's words in ``n``; one of a byte pair (class, share in
-    steps of 1/STEPS) counts the documents that have that share of that class.
+    steps of 1/STEPS) counts the documents that have that share of that class. ``batch_words``
+    are all words of the batch that reports a word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,49 +125,50 @@ def _gather(df: DataFrame, common_share: float, least_chars: int, chosen) -> Dat
                         steps = np.rint(class_counts(text) * (STEPS / len(text))).astype(int).tolist()
                         shares.update((lang, c, step) for c, step in enumerate(steps))
             if wanted is None:
-                least = common_share * sum(c.total() for c in words.values())
-                rows = [(lang, None, None, None, c.total()) for lang, c in words.items()]
-                rows += [(lang, None, c, step, n) for (lang, c, step), n in shares.items()]
-                rows += [(lang, w, None, None, n) for lang, c in words.items() for w, n in c.items() if n >= least]
+                total = sum(c.total() for c in words.values())
+                least = common_share / 2 * total
+                rows = [(lang, None, None, None, c.total(), 0) for lang, c in words.items()]
+                rows += [(lang, None, c, step, n, 0) for (lang, c, step), n in shares.items()]
+                rows += [(lang, w, None, None, n, total) for lang, c in words.items() for w, n in c.items() if n >= least]
             else:
-                rows = [(lang, w, None, None, c[w]) for lang, c in words.items() for w in wanted.get(lang, ()) if w in c]
-            columns = zip(*rows) if rows else [()] * 5
-            kinds = [pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "word", "class", "step", "n"])
+                rows = [(lang, w, None, None, c[w], 0) for lang, c in words.items() for w in wanted.get(lang, ()) if w in c]
+            columns = zip(*rows) if rows else [()] * 6
+            kinds = [pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            names = ["lang", "word", "class", "step", "n", "batch_words"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    return df.select("lang", "text").mapInArrow(run, "lang string, word binary, class int, step int, n bigint")
+    return df.select("lang", "text").mapInArrow(run, "lang string, word binary, class int, step int, n bigint, batch_words bigint")
 
 
-def _median_profile(steps: list) -> np.ndarray:
-    """The median share of each class from rows (class, step, n)."""
-    profile = np.zeros(len(CLASSES))
-    for c in range(len(CLASSES)):
-        rows = sorted((r["step"], r["n"]) for r in steps if r["class"] == c)
-        below = np.cumsum([n for _, n in rows])
-        profile[c] = rows[int(np.searchsorted(below, below[-1] / 2))][0]
-    return profile
+def _median_steps(first: DataFrame) -> DataFrame:
+    """The median step of each (lang, class); a language and class has ``STEPS`` + 1 rows at most."""
+    group = Window.partitionBy("lang", "class")
+    counted = first.filter("class IS NOT NULL").withColumns({"_below": F.sum("n").over(group.orderBy("step")), "_all": F.sum("n").over(group)})
+    return counted.filter("2 * _below >= _all").groupBy("lang", "class").agg(F.min("step").alias("step"))
 
 
 def references(docs: DataFrame, common_share: float = 1 / 20_000, least_words: int = 2_000, least_chars: int = 200) -> dict:
     """Per language: class profile, common words with their counts, and all words; from all documents."""
     spark = docs.sparkSession
     first = cut_lineage(
-        _gather(docs, common_share, least_chars, None).groupBy("lang", "word", "class", "step").agg(F.sum("n").alias("n"))
+        _gather(docs, common_share, least_chars, None)
+        .groupBy("lang", "word", "class", "step")
+        .agg(F.sum("n").alias("n"), F.sum("batch_words").alias("batch_words"))
     )
     totals = first.filter("word IS NULL AND class IS NULL")
     everything = totals.agg(F.sum("n")).first()[0] or 0
-    kept = totals.filter(F.col("n") >= max(least_words, common_share * everything)).collect()  # 1 / common_share at most
-    refs = {r["lang"]: {"classes": None, "n": r["n"], "words": {}} for r in kept}
-    steps: dict = defaultdict(list)
-    for r in first.filter("class IS NOT NULL").toLocalIterator():
-        if r["lang"] in refs:
-            steps[r["lang"]].append(r)
-    for lang, rows in steps.items():
-        refs[lang]["classes"] = _median_profile(rows)
+    enough = totals.filter(F.col("n") >= max(least_words, common_share * everything)).select("lang", "n")  # 1 / common_share rows at most
+    refs = {r["lang"]: {"classes": None, "n": r["n"], "words": {}} for r in enough.collect()}
+    langs = F.broadcast(enough.select(F.col("lang").alias("_lang")))
+    first = first.join(langs, F.col("lang").eqNullSafe(F.col("_lang")), "left_semi")
+    for r in _median_steps(first).collect():
+        ref = refs[r["lang"]]
+        ref["classes"] = np.zeros(len(CLASSES)) if ref["classes"] is None else ref["classes"]
+        ref["classes"][r["class"]] = r["step"]
+    most = F.col("n") + common_share / 2 * (everything - F.col("batch_words"))
     candidates: dict = defaultdict(list)
-    for r in first.filter("word IS NOT NULL").select("lang", "word").toLocalIterator():
-        if r["lang"] in refs:
-            candidates[r["lang"]].append(bytes(r["word"]))
+    for r in first.filter("word IS NOT NULL").filter(most >= common_share * everything - 1).select("lang", "word").collect():
+        candidates[r["lang"]].append(bytes(r["word"]))
     exact = (
         _gather(docs, common_share, least_chars, spark.sparkContext.broadcast(dict(candidates)))
         .groupBy("lang", "word")
