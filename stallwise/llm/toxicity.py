@@ -12,7 +12,7 @@ with a marginal of ``FLOOR`` or more, so that a long text does not add up to a t
 one; without such a token it is the highest marginal, which orders clean texts too.
 
 Training uses at most ``sample`` toxic and twice as many clean labelled documents
-(the smallest by hash of their ids), none above ``longest`` characters, and at most
+(of those with a text of at most ``longest`` characters the smallest by hash of their ids), and at most
 ``sample_chars`` characters of text in all; scoring covers all rows. Null and empty texts score 0. Without labels of both kinds all
 scores are 0. Repeated rows are scored one by one; of contradicting labels of a
 document the highest counts. Columns called like a result column are replaced.
@@ -94,11 +94,11 @@ class _Chains:
 
 def _pairs(e, forward, backward, trans, inner) -> np.ndarray:
     """Chances of the four state pairs, summed over neighbouring tokens (``inner``: not the last of a document)."""
-    f, b = np.clip(forward[:-1][inner], -40, 40), np.clip((e + backward)[1:][inner], -40, 40)
-    logs = np.stack([np.full_like(f, trans[0, 0]), trans[0, 1] + b, trans[1, 0] + f, trans[1, 1] + f + b])
-    logs -= logs.max(axis=0)
-    p = np.exp(logs)
-    return (p / p.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    t = np.exp(trans)
+    f = np.exp(np.clip(forward[:-1][inner], -40, 40))
+    b = np.exp(np.clip((e + backward)[1:][inner], -40, 40))
+    mass = 1 / (t[0, 0] + t[0, 1] * b + t[1, 0] * f + t[1, 1] * f * b)
+    return t * np.array([[mass.sum(), mass @ b], [mass @ f, (mass * f) @ b]])
 
 
 def mark_tokens(marks: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray, odds: float = 60.0, chance: float = 0.05) -> np.ndarray:
@@ -152,22 +152,26 @@ def fit(texts: list[str], labels: list[int], steps: int = 80, rate: float = 0.5,
     inner = doc[:-1] == doc[1:]
     a, b = y[:-1][inner], y[1:][inner]
     seen = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
-    w, trans = np.zeros(WEIGHTS), np.zeros((2, 2))
+    used, slots = np.unique(slots, return_inverse=True)  # other weights stay 0
+    slots = slots.reshape(-1, len(y)).astype(np.int32)
+    w, trans = np.zeros(len(used)), np.zeros((2, 2))
     m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))
     w[slots[-1][0] if slots.size else 0] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     for step in range(1, steps + 1):
         e = _log_odds(w, slots)
         p, forward, backward = chains.marginals(e, trans)
-        off = p - y
+        off = (p - y) / y.sum()
         g = l2 * w
         for own in slots:
-            g += np.bincount(own, off / y.sum(), WEIGHTS)
+            g += np.bincount(own, off, len(w))
         gt = (_pairs(e, forward, backward, trans, inner) - seen) / y.sum() + l2 * trans
         for value, grad, first, second in ((w, g, m, v), (trans, gt, mt, vt)):
             first += 0.1 * (grad - first)
             second += 0.01 * (grad * grad - second)
             value -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + damp)
-    return {"weights": w.astype(np.float32), "trans": trans}
+    weights = np.zeros(WEIGHTS, np.float32)
+    weights[used] = w
+    return {"weights": weights, "trans": trans}
 
 
 def tag(model: dict | None, texts: list[str | None]) -> tuple[np.ndarray, Tokens | None, np.ndarray | None]:
@@ -187,16 +191,18 @@ def tag(model: dict | None, texts: list[str | None]) -> tuple[np.ndarray, Tokens
     return np.maximum(1 - np.exp(np.bincount(tokens.doc, clean, tokens.n_docs)), highest), tokens, p
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = 1_000, sample_chars: int = 4_000_000, longest: int = 10_000) -> list:
-    """(text, label) of the bounded training sample, by hash order of the ids."""
+def training_rows(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = 1_500, sample_chars: int = 8_000_000, longest: int = 10_000) -> list:
+    """(text, label) of the bounded training sample, by hash order of the ids; of an id's several texts the least one."""
     fold = F.lit(True) if held_out is None else ~held_out
+    short = docs.filter(F.length("text") <= longest).select("doc_id")
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(short, "doc_id", "left_semi")
     order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
     chosen = [known.filter(F.col("toxic") == y).orderBy(*order).limit(sample * (2 - y)).select("doc_id", "toxic") for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 3 * sample rows at most
-    sized = docs.filter("text IS NOT NULL").join(chosen, "doc_id").dropDuplicates(["doc_id", "text"])
-    sized = sized.select("doc_id", "toxic", "text", F.length("text").alias("_n")).filter(F.col("_n") <= longest)
-    rows = sorted(sized.toLocalIterator(), key=lambda r: (mix64(np.array([r["doc_id"] % (1 << 63)], np.uint64))[0], r["text"]))
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(chosen, "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: mix64(np.array([r["doc_id"] % (1 << 63)], np.uint64))[0])
     return distinct_rows([(r["text"], r["toxic"]) for r in rows], sample_chars)
 
 
