@@ -216,6 +216,28 @@ def test_quality_divergence(spark):
     assert quality.js_distance(p, q) == pytest.approx(1) and quality.js_distance(p, 7 * p) == 0
 
 
+@pytest.mark.parametrize("parts", [1, 13])
+def test_references_do_not_depend_on_the_partitions(spark, parts):
+    """Exact common words and median profiles, also of words that only some batches hold."""
+    rng = np.random.default_rng(1)
+    made = []
+    for i in range(130):
+        ranks = np.minimum(rng.zipf(1.3, 40), 400) + (400 if i > 120 else 0)
+        made.append((i, " ".join(f"w{r}" for r in ranks) + "!" * int(rng.integers(9)), "en" if i % 3 else None))
+    made.append((999, "too little of a language", "xx"))
+    refs = quality.references(spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(parts), 1 / 100, 100, 20)
+    words = defaultdict(Counter)
+    for _, t, lang in made:
+        words[lang].update(quality.plain_words(t.encode()))
+    everything = sum(c.total() for c in words.values())
+    assert set(refs) == {"en", None}
+    for lang, ref in refs.items():
+        assert ref["n"] == words[lang].total()
+        assert ref["words"] == {w: n for w, n in words[lang].items() if 100 * n >= everything} and len(ref["words"]) > 2
+        shares = np.array([np.rint(quality.class_counts(t) * (quality.STEPS / len(t))) for _, t, own in made if own == lang])
+        assert ref["classes"].tolist() == np.sort(shares, axis=0)[(len(shares) - 1) // 2].tolist()
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------------
 
 
@@ -223,17 +245,23 @@ def test_forward_backward_is_exact():
     rng = np.random.default_rng(3)
     e, trans = rng.normal(size=11), rng.normal(size=(2, 2))
     lengths = np.array([4, 0, 6, 1])
-    p, _, _ = toxicity._Chains(lengths).marginals(e, trans)
-    at = 0
+    p, forward, backward = toxicity._Chains(lengths).marginals(e, trans)
+    inner = np.repeat(np.arange(4), lengths)
+    got_pairs = toxicity._pairs(e, forward, backward, trans, inner[:-1] == inner[1:])
+    at, all_pairs = 0, np.zeros((2, 2))
     for n in lengths:
-        total, ones = 0.0, np.zeros(n)
+        total, ones, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
         for path in range(2**n):
             y = [(path >> i) & 1 for i in range(n)]
             w = math.exp(sum(e[at + i] * y[i] for i in range(n)) + sum(trans[y[i], y[i + 1]] for i in range(n - 1)))
             total += w
             ones += w * np.array(y)
+            for i in range(n - 1):
+                pairs[y[i], y[i + 1]] += w
         assert np.allclose(p[at : at + n], ones / total if n else [])
         at += n
+        all_pairs += pairs / total
+    assert np.allclose(got_pairs, all_pairs)
 
 
 def test_toxicity_learns_and_finds_spans(spark, docs, rows, none):
@@ -264,6 +292,13 @@ def test_training_rows_keep_the_fold(spark, docs):
     labels = spark.createDataFrame([(1, 0), (1, 1), (20, 0), (21, None), (None, 1), (22, 1)], "doc_id long, toxic int")
     got = toxicity.training_rows(docs, labels, F.col("doc_id") == 22)
     assert sorted(y for _, y in got) == [0, 1]
+    # long and missing documents take no place of the sample, and an id with many texts gives one
+    made = [(i, f"text number {i} " * (900 if i < 40 else 1)) for i in range(60)] + [(50, f"other {j}") for j in range(30)] + [(51, None), (None, "x")]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    got = toxicity.training_rows(table, marks, sample=5)
+    assert Counter(y for _, y in got) == {0: 10, 1: 5}
+    assert all(len(t) <= 10_000 for t, _ in got) and toxicity.training_rows(table.limit(0), marks) == []
 
 
 # ---- 6 ------------------------------------------------------------------------------------------------------------
