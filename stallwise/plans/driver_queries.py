@@ -793,3 +793,14 @@ def h4_windowed_activity(spark, sf_dir):
     folder = _scratch(spark, "h4")
     _ended(ingest.activity_counts(rows, f"{folder}/store", f"{folder}/checkpoint"))
     return ingest.activity_rows(spark.read.parquet(f"{folder}/store"))
+
+
+@query(ORACLE_SQL["h2_freshness"])
+def h2_freshness_stream(spark, sf_dir):
+    """The freshness of ``h2_freshness`` from a streamed fetch log."""
+    log = _stream(spark, sf_dir, "events").select(F.col("event_type").alias("platform_code"), (F.col("user_id") % 7).alias("category_code"), F.col("ts").alias("fetched_at"))
+    folder = _scratch(spark, "h2")
+    _ended(ingest.last_fetches(log, f"{folder}/store", f"{folder}/checkpoint"))
+    kept = spark.read.parquet(f"{folder}/store")
+    now = kept.agg(F.max("fetched_at")).first()[0]
+    return store.fresh_units(kept, F.lit(now), 7200)

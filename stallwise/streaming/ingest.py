@@ -1,4 +1,4 @@
-"""Structured Streaming forms of ingestion, rollup upkeep and activity."""
+"""Structured Streaming forms of ingestion, rollup upkeep, activity and freshness."""
 
 from __future__ import annotations
 
@@ -82,3 +82,16 @@ def activity_rows(counts: DataFrame) -> DataFrame:
     """The listings and distinct sellers of each category and day over all micro-batches, exact since the counts are by seller."""
     by_seller = counts.groupBy("day", "category_code", "seller_name").agg(F.sum("n").alias("n"))
     return by_seller.groupBy("day", "category_code").agg(F.sum("n").alias("listings"), F.count("seller_name").alias("sellers"))
+
+
+def last_fetches(fetch_log: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Keep the last fetch of each (platform, category) as the log arrives, one file set a micro-batch.
+
+    ``store.fresh_units`` reads the kept rows like the log itself, so replays and late rows change nothing.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("platform_code", "category_code").agg(F.max("fetched_at").alias("fetched_at"))
+        last.write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    return fetch_log.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from stallwise.operators import store
 from stallwise.plans.driver_queries import ORACLE_SQL, QUERIES
 from stallwise.streaming import ingest
 
@@ -56,6 +57,19 @@ def test_activity_has_every_day(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_streamed_freshness_over_micro_batches(spark, tmp_path):
+    """Files whose fetches go backwards, one of them twice."""
+    log = spark.read.parquet(f"{SF}/events.parquet").select(F.col("event_type").alias("platform_code"), (F.col("user_id") % 7).alias("category_code"), F.col("ts").alias("fetched_at"))
+    for part in (1, 0, 1):
+        log.filter(F.dayofmonth("fetched_at") % 2 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    ingest.last_fetches(stream, f"{tmp_path}/store", f"{tmp_path}/checkpoint").awaitTermination()
+    now = F.lit(log.agg(F.max("fetched_at")).first()[0])
+    kept = spark.read.parquet(f"{tmp_path}/store")
+    assert kept.select("batch").distinct().count() == 3
+    assert sorted(map(tuple, store.fresh_units(kept, now, 7200).collect())) == sorted(map(tuple, store.fresh_units(log, now, 7200).collect()))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
