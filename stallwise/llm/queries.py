@@ -127,6 +127,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the id's checksum is a multiple of 7, the proof is tried with a leaf of one character more."""
+    from stallwise.llm import merkle
+
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    other = merkle.leaf_of(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS])
+    out = merkle.manifest(documents(spark, sf_dir), keep=(F.col("doc_id"), F.when(changed, other).alias("_other")))
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("_other", "leaf"), F.col("steps")))
+    proof = merkle.digest(F.array_join(F.transform("steps", lambda s: F.concat(s["left"], s["right"])), ""))
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_order_minhash": op2_order_minhash,
@@ -138,5 +150,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.OP3, "op4_quality": oracles.OP4, "op10_sharding": oracles.OP10, "op8_jaccard_join": oracles.OP8, "op9_url_filter": oracles.op9(URL_RULES)}
