@@ -148,3 +148,31 @@ ranked AS (SELECT k.*, coalesce(sum(size) OVER (ORDER BY key RANGE BETWEEN UNBOU
 placed AS (SELECT ranked.*, (SELECT count(*) FROM chosen WHERE edge <= below) AS shard FROM ranked)
 SELECT doc_id, size, v AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY key) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed JOIN crc USING (r)
 """
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned checksum of an ASCII text."""
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), "
+        f"lambda c, b: xor(({_CRC_TABLE})[1 + (xor(c, b) & 255)], c // 256)))"
+    )
+
+
+_ENDS = "sha256(coalesce(string_agg(CASE WHEN len(s) = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), ''))"
+
+OP11 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'k': left(sha256(strlen(r) || ':' || r || x), 32), 'b': strlen(x)}} ORDER BY turn NULLS FIRST, left(sha256(strlen(r) || ':' || r || x), 32)) AS t,
+      {crc32_sql('conv_id::VARCHAR')} % 9 AS h FROM t GROUP BY conv_id),
+s AS (SELECT o.conv_id, list_concat(coalesce(b.t, [])[:o.h], o.t[o.h + 1:]) AS s FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 5),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM s),
+q AS (SELECT *, array_to_string(list_transform(s[:d], lambda e: e.k), '') AS key, CASE WHEN d = 0 THEN 0 ELSE s[d].b END AS b FROM p),
+n AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b, {_ENDS} AS ends_sha256 FROM q GROUP BY key, d),
+up AS (SELECT n.*, left(key, greatest(32 * (d - 1), 0)) AS parent FROM n),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM up WHERE d > 0 GROUP BY 1),
+m AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (key)),
+sub AS (SELECT left(m.key, 32 * a.d) AS key, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.b) AS saved_tokens
+        FROM m, (SELECT unnest(range(0, (SELECT max(d) + 1 FROM n))) AS d) a WHERE a.d <= m.d GROUP BY 1)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, CASE WHEN m.d > 0 THEN up.conv_id END AS parent_conv_id, m.n_convs, m.n_children, sub.n_leaves, CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN sub USING (key) JOIN n up ON up.key = m.parent
+"""

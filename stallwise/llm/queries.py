@@ -127,6 +127,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Conversation c as the first h turns of conversation c - c % 5 and its own turns after its first h; h = crc32(c) % 9."""
+    heads = turns.filter("conv_id % 5 = 0").select(F.col("conv_id").alias("_base"), F.slice("turns", 1, 8).alias("_head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    own = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    joined = turns.withColumn("_base", F.expr("conv_id - conv_id % 5")).join(heads, "_base", "left")
+    return joined.select("conv_id", F.when(F.col("_head").isNull(), own).otherwise(F.concat(F.slice("_head", F.lit(1), h), own)).alias("turns"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stallwise.llm import prefix_trie
+
+    turns = cut_lineage(prefix_trie.sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return prefix_trie.trie(rebuilt(turns)).withColumnRenamed("saved", "saved_tokens")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the id's checksum is a multiple of 7, the proof is tried with a leaf of one character more."""
     from stallwise.llm import merkle
@@ -150,6 +166,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.OP3, "op4_quality": oracles.OP4, "op10_sharding": oracles.OP10, "op8_jaccard_join": oracles.OP8, "op9_url_filter": oracles.op9(URL_RULES)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.OP3, "op4_quality": oracles.OP4, "op10_sharding": oracles.OP10, "op8_jaccard_join": oracles.OP8, "op9_url_filter": oracles.op9(URL_RULES), "op11_prefix_trie": oracles.OP11}
