@@ -155,6 +155,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stallwise.llm import private_spans
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = private_spans.mark(docs, private_spans.fit(docs))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in private_spans.KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_order_minhash": op2_order_minhash,
@@ -168,5 +178,6 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_private_spans": op13_private_spans,
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing": oracles.OP3, "op4_quality": oracles.OP4, "op10_sharding": oracles.OP10, "op8_jaccard_join": oracles.OP8, "op9_url_filter": oracles.op9(URL_RULES), "op11_prefix_trie": oracles.OP11}
