@@ -55,23 +55,24 @@ def saturation_label(index: Column) -> Column:
     return F.when(index.isNull(), "unknown").when(index >= CROWDED, "crowded").when(index >= COMPETITIVE, "competitive").otherwise("room")
 
 
-def rollup(enriched: DataFrame, keys: tuple[str, ...] = ("category_code", "platform_code"), minimum: int = LEAST_ROWS, platforms: DataFrame | None = None) -> DataFrame:
+def rollup(enriched: DataFrame, keys: tuple[str, ...] = ("category_code", "platform_code"), minimum: int = LEAST_ROWS, platforms: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """One row a group of aggregatable rows: figures, saturation and evidence, or why not.
 
     Add ``observed_on`` to the keys for the daily series. ``platforms``
-    (``platform_code``, ``caveat``) adds the platform's caveat.
+    (``platform_code``, ``caveat``) adds the platform's caveat. With ``weight`` a row
+    stands for so many observations.
     """
     keys = list(keys)
     rows = enriched.filter("aggregatable") if "aggregatable" in enriched.columns else enriched
     seller = F.nullif(F.col("seller_name"), F.lit(""))
     evidence = rows.filter("price_kes IS NOT NULL").groupBy(*keys).agg(
-        F.count("*").alias("observation_count"),
+        (F.count("*") if weight is None else F.sum(weight)).alias("observation_count"),
         F.count_distinct(seller).alias("seller_count"),
         F.min("price_kes").alias("_min"),
         F.max("price_kes").alias("_max"),
         F.max("observed_on").alias("collected_on") if "observed_on" not in keys else F.lit(None).cast("date").alias("_"),
     )
-    out = evidence.join(quantiles(rows, keys), keys)
+    out = evidence.join(quantiles(rows, keys, weight=weight), keys)
     enough = F.col("observation_count") >= minimum
     out = out.withColumn("available", enough)
     for name, source in (("median", "median"), ("p25", "p25"), ("p75", "p75"), ("min", "_min"), ("max", "_max")):

@@ -17,7 +17,7 @@ from stallwise.operators import access, classify, costs, names, questions, rollu
 from stallwise.plans import views as V
 from stallwise.session import cut_lineage, table
 from stallwise.sources import pages as P
-from stallwise.streaming import ingest
+from stallwise.streaming import daily, ingest, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -768,39 +768,110 @@ def h1_stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{folder}/store").select("platform_code", "source_key", F.col("observed_on").cast("date").alias("observed_on"), "event_id")
 
 
-@query(f"SELECT category_code, platform_code, observed_on, price_kes, seller_name, count(*) AS n FROM ({V.EVENT_SQL}) GROUP BY ALL")
-def h3_incremental_rollup(spark, sf_dir):
-    rows = _stream(spark, sf_dir, "events").filter("value IS NOT NULL").select(
+#: A fifth of the events' time: of a row in SQL, and the rows of each.
+_FIFTH = "CAST(floor((epoch(ts) - (SELECT epoch(min(ts)) FROM events)) * 5 / ((SELECT epoch(max(ts)) - epoch(min(ts)) FROM events) + 1)) AS INTEGER)"
+
+
+def _fifth(events: DataFrame) -> DataFrame:
+    """``events`` with the ``_fifth`` of their time, 0 to 4; fifths begin and end within days."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    return events.withColumn("_fifth", F.floor((seconds - F.lit(first)) * 5 / (F.lit(last) - F.lit(first) + 1)).cast("int"))
+
+
+def _arriving(spark: SparkSession, folder: str, files: list[DataFrame]) -> DataFrame:
+    """A stream that meets the files one after the other, each a micro-batch."""
+    for rows in files:
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
+    return spark.readStream.schema(files[0].schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/arrived")
+
+
+def _as_listings(events: DataFrame) -> DataFrame:
+    return events.filter("value IS NOT NULL").select(
         F.col("event_type").alias("category_code"), F.lit("web").alias("platform_code"), F.col("ts").cast("date").alias("observed_on"),
         F.col("value").cast("decimal(12,2)").alias("price_kes"), F.col("user_id").cast("string").alias("seller_name"),
     )
-    folder = _scratch(spark, "h3")
-    _ended(ingest.price_histogram(rows, f"{folder}/store", f"{folder}/checkpoint"))
-    return ingest.histogram_rows(spark.read.parquet(f"{folder}/store"))
+
+
+@query(f"SELECT event_id, event_type, ts FROM events WHERE NOT ({_FIFTH} = 0 AND event_id % 50 = 0)")
+def h1_dedupe_recent(spark, sf_dir):
+    """Events by time with a watermark of ten days; the last fifth comes twice, and the first again at the end, with rows that were held back: too late."""
+    rows = _fifth(table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")))
+    fifths = [rows.filter(F.col("_fifth") == k).drop("_fifth") for k in range(5)]
+    folder = _scratch(spark, "h1d")
+    arriving = _arriving(spark, folder, [fifths[0].filter("event_id % 50 <> 0"), *fifths[1:], fifths[4], fifths[0]])
+    _ended(state.append_stream(state.dedupe_recent(arriving, "ts", "10 days", ["event_id"]), f"{folder}/kept", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/kept").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _histogram(spark: SparkSession, sf_dir: str, name: str, rollups: bool = False) -> str:
+    """The folder of a histogram kept over five micro-batches, and of the rollups kept beside it."""
+    folder = _scratch(spark, name)
+    arriving = _arriving(spark, folder, [_fifth(table(spark, sf_dir, "events")).filter(F.col("_fifth") == k).drop("_fifth") for k in (1, 0, 2, 4, 3)])
+    _ended(daily.price_histogram(_as_listings(arriving), f"{folder}/store", f"{folder}/checkpoint", f"{folder}/rollups" if rollups else None))
+    return folder
+
+
+@query(f"SELECT category_code, platform_code, observed_on, price_kes, seller_name, count(*) AS n FROM ({V.EVENT_SQL}) GROUP BY ALL")
+def h3_incremental_rollup(spark, sf_dir):
+    return spark.read.parquet(f"{_histogram(spark, sf_dir, 'h3')}/store").drop("through")
 
 
 @query(f"SELECT category_code, platform_code, observed_on, p25, median, p75, observation_count, seller_count FROM ({rollup_sql(V.EVENT_SQL, _KEYS + ', observed_on', 1)})")
 def h3_histogram_figures(spark, sf_dir):
     """Each day's figures from the stream-kept histogram alone."""
-    rows = V.event_listings(spark, sf_dir).select("category_code", "platform_code", "observed_on", "price_kes", "seller_name")
-    halves = [rows.filter(F.pmod(F.xxhash64("seller_name"), F.lit(2)) == k).groupBy(*rows.columns).agg(F.count("*").alias("n")) for k in (0, 1)]
-    return ingest.histogram_figures(halves[0].unionByName(halves[1])).select("category_code", "platform_code", "observed_on", "p25", "median", "p75", "observation_count", "seller_count")
+    kept = spark.read.parquet(f"{_histogram(spark, sf_dir, 'h3f')}/store")
+    return daily.figures(kept, minimum=1).select("category_code", "platform_code", "observed_on", "p25", "median", "p75", "observation_count", "seller_count")
+
+
+@query(rollup_sql(V.EVENT_SQL, _KEYS + ", observed_on", 30))
+def h3_daily_rollup(spark, sf_dir):
+    """The rollup of ``d4_rollup_daily``, kept current by a stream that rewrites the days its micro-batches touch."""
+    return spark.read.parquet(f"{_histogram(spark, sf_dir, 'h3d', rollups=True)}/rollups")
+
+
+_ACTIVITY_SQL = "SELECT CAST(ts AS DATE) AS day, event_type AS category_code, count(*) AS listings, count(DISTINCT user_id) AS sellers FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"
+
+
+def _activity(spark: SparkSession, sf_dir: str, name: str, keep) -> DataFrame:
+    """What ``keep`` stores of the events' activity over five micro-batches."""
+    rows = _fifth(table(spark, sf_dir, "events")).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category_code"), F.col("user_id").alias("seller_name"), "_fifth")
+    folder = _scratch(spark, name)
+    arriving = _arriving(spark, folder, [rows.filter(F.col("_fifth") == k).drop("_fifth") for k in (1, 0, 2, 4, 3)])
+    _ended(keep(arriving, f"{folder}/store", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/store")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_type AS category_code, count(*) AS listings, count(DISTINCT user_id) AS sellers FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+@query(_ACTIVITY_SQL)
 def h4_windowed_activity(spark, sf_dir):
-    rows = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category_code"), F.col("user_id").alias("seller_name"))
-    folder = _scratch(spark, "h4")
-    _ended(ingest.activity_counts(rows, f"{folder}/store", f"{folder}/checkpoint"))
-    return ingest.activity_rows(spark.read.parquet(f"{folder}/store"))
+    return daily.activity_rows(_activity(spark, sf_dir, "h4", daily.activity_counts))
+
+
+@query(_ACTIVITY_SQL)
+def h4_activity_sketches(spark, sf_dir):
+    """The activity from mergeable sketches: of sets as small as these the estimate is the count."""
+    return daily.activity(_activity(spark, sf_dir, "h4s", daily.activity_sketches))
+
+
+def _changes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The changes of freshness, by timers of two hours, while the events' fetch log arrives by time."""
+    log = _fifth(table(spark, sf_dir, "events")).select(F.col("event_type").alias("platform_code"), (F.col("user_id") % 7).alias("category_code"), F.col("ts").cast("timestamp").alias("fetched_at"), "_fifth")
+    folder = _scratch(spark, name)
+    arriving = _arriving(spark, folder, [log.filter(F.col("_fifth") == k).drop("_fifth") for k in range(5)])
+    _ended(state.append_stream(state.freshness_changes(arriving, 7200, "0 seconds"), f"{folder}/changes", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/changes").withColumns({"category_code": F.col("category_code").cast("long"), "last_fetch": F.col("last_fetch").cast("timestamp_ntz")})
 
 
 @query(ORACLE_SQL["h2_freshness"])
 def h2_freshness_stream(spark, sf_dir):
-    """The freshness of ``h2_freshness`` from a streamed fetch log."""
-    log = _stream(spark, sf_dir, "events").select(F.col("event_type").alias("platform_code"), (F.col("user_id") % 7).alias("category_code"), F.col("ts").alias("fetched_at"))
-    folder = _scratch(spark, "h2")
-    _ended(ingest.last_fetches(log, f"{folder}/store", f"{folder}/checkpoint"))
-    kept = spark.read.parquet(f"{folder}/store")
-    now = kept.agg(F.max("fetched_at")).first()[0]
-    return store.fresh_units(kept, F.lit(now), 7200)
+    """The freshness of ``h2_freshness`` from the fetches in the streamed changes."""
+    fetched = _changes(spark, sf_dir, "h2").filter("fresh").withColumnRenamed("last_fetch", "fetched_at")
+    now = fetched.agg(F.max("fetched_at")).first()[0]
+    return store.fresh_units(fetched, F.lit(now), 7200)
+
+
+@query("""WITH l AS (SELECT event_type AS platform_code, user_id % 7 AS category_code, max(ts) AS last_fetch FROM events GROUP BY 1, 2), n AS (SELECT max(ts) AS now FROM events)
+SELECT platform_code, category_code, last_fetch, epoch_ms(last_fetch) + 7200000 > epoch_ms(now) AS fresh FROM l, n""")
+def h2_freshness_state(spark, sf_dir):
+    """What the timers themselves say at the end of the log."""
+    return state.unit_states(_changes(spark, sf_dir, "h2s"))

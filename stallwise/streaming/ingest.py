@@ -1,13 +1,11 @@
-"""Structured Streaming forms of ingestion, rollup upkeep, activity and freshness."""
+"""Exactly-once ingestion of listings as a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stallwise.operators.rollup import quantiles
-from stallwise.operators.store import KEY, append_listings
+from stallwise.operators.store import append_listings
 
 
 def ingest_exact(listings: DataFrame, store: str, checkpoint: str, arrival: list[str]) -> StreamingQuery:
@@ -17,81 +15,3 @@ def ingest_exact(listings: DataFrame, store: str, checkpoint: str, arrival: list
         append_listings(batch, store, arrival)
 
     return listings.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def dedupe_recent(listings: DataFrame, event_time: str = "collected_at", delay: str = "2 days") -> DataFrame:
-    """A stream without repeats of a key within the watermark: bounded state, for replays that are never older."""
-    return listings.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(KEY)
-
-
-def price_histogram(listings: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Keep counts of (category, platform, day, price, seller) as they arrive, one file set a micro-batch.
-
-    The counts add up, so the exact quantiles and seller counts of any day come from
-    ``histogram_rows`` without the listings.
-    """
-    keys = ["category_code", "platform_code", "observed_on", "price_kes", "seller_name"]
-
-    def add(batch: DataFrame, number: int) -> None:
-        counts = batch.groupBy(*keys).agg(F.count("*").alias("n"))
-        counts.write.mode("overwrite").parquet(f"{store}/batch={number}")
-
-    return listings.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def histogram_rows(histogram: DataFrame) -> DataFrame:
-    """The histogram as weighted rows: each (price, seller) with its count over all micro-batches."""
-    keys = ["category_code", "platform_code", "observed_on", "price_kes", "seller_name"]
-    return histogram.groupBy(*keys).agg(F.sum("n").alias("n"))
-
-
-def histogram_figures(histogram: DataFrame) -> DataFrame:
-    """The exact quantiles, observations and sellers of each category, platform and day, without the listings."""
-    keys = ["category_code", "platform_code", "observed_on"]
-    rows = histogram_rows(histogram).filter("price_kes IS NOT NULL")
-    counts = rows.groupBy(*keys).agg(F.sum("n").alias("observation_count"), F.count_distinct(F.nullif("seller_name", F.lit(""))).alias("seller_count"))
-    return quantiles(rows, keys, weight="n").join(counts, keys)
-
-
-def daily_activity(events: DataFrame, event_time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Listings and (approximately) distinct sellers of each category and day of a stream that goes on.
-
-    In append mode a day comes out once the watermark has passed its end; for all days
-    of an input that ends there are ``activity_counts`` and ``activity_rows``.
-    """
-    return (
-        events.withWatermark(event_time, delay)
-        .groupBy(F.window(event_time, "1 day").alias("w"), "category_code")
-        .agg(F.count("*").alias("listings"), F.approx_count_distinct("seller_name").alias("sellers"))
-        .select(F.col("w.start").cast("date").alias("day"), "category_code", "listings", "sellers")
-    )
-
-
-def activity_counts(events: DataFrame, store: str, checkpoint: str, event_time: str = "ts") -> StreamingQuery:
-    """Keep counts of (day, category, seller) as they arrive, one file set a micro-batch; no row is too late."""
-    keys = ["day", "category_code", "seller_name"]
-    rows = events.filter(F.col(event_time).isNotNull()).select(F.to_date(event_time).alias("day"), *keys[1:])
-
-    def add(batch: DataFrame, number: int) -> None:
-        batch.groupBy(*keys).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{store}/batch={number}")
-
-    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def activity_rows(counts: DataFrame) -> DataFrame:
-    """The listings and distinct sellers of each category and day over all micro-batches, exact since the counts are by seller."""
-    by_seller = counts.groupBy("day", "category_code", "seller_name").agg(F.sum("n").alias("n"))
-    return by_seller.groupBy("day", "category_code").agg(F.sum("n").alias("listings"), F.count("seller_name").alias("sellers"))
-
-
-def last_fetches(fetch_log: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Keep the last fetch of each (platform, category) as the log arrives, one file set a micro-batch.
-
-    ``store.fresh_units`` reads the kept rows like the log itself, so replays and late rows change nothing.
-    """
-
-    def add(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("platform_code", "category_code").agg(F.max("fetched_at").alias("fetched_at"))
-        last.write.mode("overwrite").parquet(f"{store}/batch={number}")
-
-    return fetch_log.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,11 +5,8 @@ import decimal
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
-from stallwise.operators import store
 from stallwise.plans.driver_queries import ORACLE_SQL, QUERIES
-from stallwise.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events pages conversations".split()
@@ -43,33 +40,6 @@ def test_query(spark, duck, name):
     assert rows == sorted([tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()], key=repr)
 
 
-def test_activity_has_every_day(spark, tmp_path):
-    """Of one file, and of files in several micro-batches whose days go backwards."""
-    events = spark.read.parquet(f"{SF}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category_code"), F.col("user_id").alias("seller_name"))
-    want = sorted(map(tuple, events.groupBy(F.to_date("ts"), "category_code").agg(F.count("*"), F.count_distinct("seller_name")).collect()))
-    got = QUERIES["h4_windowed_activity"](spark, SF).select("day", "category_code", "listings", "sellers")
-    assert sorted(map(tuple, got.collect())) == want
-    for part in (1, 0):
-        events.filter(F.dayofmonth("ts") % 2 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    ingest.activity_counts(stream, f"{tmp_path}/store", f"{tmp_path}/checkpoint").awaitTermination()
-    got = ingest.activity_rows(spark.read.parquet(f"{tmp_path}/store")).select("day", "category_code", "listings", "sellers")
-    assert sorted(map(tuple, got.collect())) == want
-
-
-def test_streamed_freshness_over_micro_batches(spark, tmp_path):
-    """Files whose fetches go backwards, one of them twice."""
-    log = spark.read.parquet(f"{SF}/events.parquet").select(F.col("event_type").alias("platform_code"), (F.col("user_id") % 7).alias("category_code"), F.col("ts").alias("fetched_at"))
-    for part in (1, 0, 1):
-        log.filter(F.dayofmonth("fetched_at") % 2 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    ingest.last_fetches(stream, f"{tmp_path}/store", f"{tmp_path}/checkpoint").awaitTermination()
-    now = F.lit(log.agg(F.max("fetched_at")).first()[0])
-    kept = spark.read.parquet(f"{tmp_path}/store")
-    assert kept.select("batch").distinct().count() == 3
-    assert sorted(map(tuple, store.fresh_units(kept, now, 7200).collect())) == sorted(map(tuple, store.fresh_units(log, now, 7200).collect()))
-
-
 def test_entry(spark):
     import __spark_entry__ as entry
 
