@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stallwise.session import path_exists
+
 KEY = ["platform_code", "source_key", "observed_on"]
 LISTING = (
     "platform_code STRING, source_key STRING, source_url STRING, title STRING, price_kes STRING, observed_on DATE, "
@@ -32,23 +34,30 @@ def first_of_key(batch: DataFrame, arrival: list[str], key: list[str] = KEY) ->
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, arrival: list[str], key: list[str] = KEY) -> DataFrame:
-    """The rows of ``batch`` whose key is not stored yet, the first of each.
+    """The rows of ``batch`` whose key is not stored yet, the first of each."""
+    return first_of_key(batch.join(stored.select(*key), key, "left_anti"), arrival, key)
+
+
+def of_days(stored: DataFrame, batch: DataFrame, day: str = "observed_on", most: int = 1000) -> DataFrame:
+    """The stored rows of the batch's days, as a filter that prunes partitions while the query is planned.
 
-    With ``stored`` partitioned by ``observed_on`` the anti join reads just the batch's days:
-    dynamic partition pruning applies to the semi join on days.
+    A batch of more than ``most`` days gets their span instead of their list.
     """
-    days = batch.select("observed_on").distinct()
-    seen = stored.join(days, "observed_on", "left_semi").select(*key)
-    return first_of_key(batch.join(seen, key, "left_anti"), arrival, key)
+    days = [r[0] for r in batch.select(day).filter(F.col(day).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(days) > most:
+        first, last = batch.agg(F.min(day), F.max(day)).first()
+        return stored.filter(F.col(day).between(first, last))
+    return stored.filter(F.col(day).isin(days) if days else F.lit(False))
 
 
 def append_listings(batch: DataFrame, path: str, arrival: list[str]) -> int:
-    """Append what is new to the store at ``path``; the number appended. Running it again appends nothing."""
+    """Append what is new to the store at ``path``; the number appended. Running it again appends nothing.
+
+    Only the batch's days are read of the store.
+    """
     spark = batch.sparkSession
-    jvm = spark._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-    fresh = new_rows(batch, spark.read.parquet(path), arrival) if exists else first_of_key(batch, arrival)
+    exists = path_exists(spark, path)
+    fresh = new_rows(batch, of_days(spark.read.parquet(path), batch), arrival) if exists else first_of_key(batch, arrival)
     fresh = fresh.persist()
     try:
         n = fresh.count()
@@ -59,6 +68,52 @@ def append_listings(batch: DataFrame, path: str, arrival: list[str]) -> int:
         fresh.unpersist()
 
 
+class ListingTable:
+    """A store as a catalogue table, by period (day, month or year) and within periods bucketed by the listings' key.
+
+    The key is one column, ``unit``, so that the anti join of a batch meets the stored rows in
+    their buckets: the batch is exchanged by key, the store is not, however large it is. Of the
+    store, only the keys of the batch's periods are read. A period should hold a file's worth of
+    rows a bucket: each append adds a file to each bucket of the periods it has rows of. A row that lacks a part of the key is never a repeat.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int, period: str = "day") -> None:
+        self.spark, self.name, self.path, self.buckets, self.period = spark, name, path, buckets, period
+
+    def unit(self) -> Column:
+        """Different keys give different units."""
+        platform = F.col("platform_code").cast("string")
+        return F.concat(F.length(platform).cast("string"), F.lit(":"), platform, F.col("observed_on").cast("string"), F.lit(":"), F.col("source_key").cast("string"))
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name).drop("unit", "period")
+
+    def fresh(self, batch: DataFrame, arrival: list[str]) -> DataFrame:
+        """The first row of each key of the batch that the table does not have; batch and table meet bucket by bucket."""
+        marked = batch.withColumns({"unit": self.unit(), "period": F.trunc("observed_on", self.period) if self.period != "day" else F.col("observed_on").cast("date")})
+        if self.spark.catalog.tableExists(self.name):
+            seen = of_days(self.spark.table(self.name), marked, "period").select("unit")
+            marked = marked.join(seen, "unit", "left_anti")
+        first = F.row_number().over(Window.partitionBy("unit").orderBy(*arrival)) == 1
+        return marked.withColumn("_first", first | F.col("unit").isNull()).filter("_first").drop("_first")
+
+    def append(self, batch: DataFrame, arrival: list[str]) -> int:
+        """Append what is new; the number appended. Each bucket of a day gets one file an append."""
+        fresh = self.fresh(batch, arrival).persist()
+        try:
+            n = fresh.count()
+            if n:
+                placed = fresh.repartition(self.buckets, "unit").write.mode("append").format("parquet").partitionBy("period")
+                placed.bucketBy(self.buckets, "unit").option("path", self.path).saveAsTable(self.name)
+            return n
+        finally:
+            fresh.unpersist()
+
+    def forget(self) -> None:
+        """Take the table out of the catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def product_dim(listings: DataFrame, arrival: list[str]) -> DataFrame:
     """First and last day of each product, with its latest attributes."""
     latest = F.struct("observed_on", *arrival)

@@ -105,6 +105,21 @@ def a2_append_idempotent(spark, sf_dir):
     return fresh.select("platform_code", "source_key", "observed_on", "price_kes", *ARRIVAL)
 
 
+@query(f"""SELECT platform_code, source_key, observed_on, price_kes, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY platform_code, source_key, observed_on
+ ORDER BY l_returnflag <> 'A', l_orderkey, l_linenumber) AS nth FROM ({V.LISTING_SQL})) WHERE nth = 1""")
+def a2_append_table(spark, sf_dir):
+    """The table after the returned lines, then all others, and these once more; it is bucketed by key."""
+    rows = V.listings(spark, sf_dir).select("platform_code", "source_key", "observed_on", "price_kes", *ARRIVAL, "l_returnflag")
+    folder = _scratch(spark, "a2")
+    listings = store.ListingTable(spark, f"listings_{uuid.uuid4().hex}", folder, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), period="year")
+    try:
+        for flag in ("l_returnflag = 'A'", "l_returnflag <> 'A'", "l_returnflag <> 'A'"):
+            listings.append(rows.filter(flag).drop("l_returnflag"), ARRIVAL)
+    finally:
+        listings.forget()
+    return spark.read.parquet(folder).drop("unit", "period")
+
+
 @query(f"SELECT platform_code, count(*) AS n_rows FROM ({V.LISTING_SQL}) GROUP BY 1")
 def a3_count_store(spark, sf_dir):
     return V.listings(spark, sf_dir).groupBy("platform_code").agg(F.count("*").alias("n_rows"))
