@@ -37,6 +37,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,11 +90,12 @@ class Corpus:
 
 @dataclass
 class Parent:
-    """Of each sweep the parent's customers and the weight of a new dish, and the frequent words' probabilities."""
+    """Of each sweep the parent's customers and the weight of a new dish, and the frequent words' probabilities and customers there."""
 
     customers: np.ndarray
     opening: np.ndarray
     p: np.ndarray
+    frequent: np.ndarray
 
 
 @dataclass
@@ -142,6 +144,11 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
 
 
+def home_of(block: int, shards: int) -> int:
+    """The shard that a block's documents and sums meet in."""
+    return int(mix64(np.array([block], np.uint64))[0] % np.uint64(shards))
+
+
 def summed(words: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct words and the sums of their counts."""
     kinds, number = np.unique(words, return_inverse=True)
@@ -203,6 +210,129 @@ def stirling(discount: float, n: int = EXACT) -> np.ndarray:
     return log_s
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function of positive numbers."""
+    z = x + 8
+    shifted = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) - np.log(shifted)
+
+
+class LargeStirling:
+    """Logarithms of the generalised Stirling numbers S(c, t) for c above ``EXACT``, up to a term of c alone.
+
+    Up to 1.8 c^discount tables it is the series over j of C(t, j) Γ(c - dj) / Γ(-dj), beyond
+    that the saddle point of the generating function (1 - (1 - x)^d)^t, whose error there is below 2 %
+    and nearly the same for neighbouring t.
+    """
+
+    TERMS = 80
+
+    def __init__(self, discount: float) -> None:
+        d = self.d = discount
+        j = np.arange(1, self.TERMS + 1)
+        whole = np.abs(d * j - np.rint(d * j)) < 1e-9
+        self.size = np.array([-np.inf if w else -math.lgamma(-d * k) for k, w in zip(j.tolist(), whole.tolist())])
+        self.sign = np.where((j + np.ceil(d * j)) % 2 == 0, 1.0, -1.0)
+        y = np.concatenate((np.linspace(math.log(1e-80), math.log(0.5), 60_000), np.log1p(-np.exp(np.linspace(math.log(0.5), math.log(1e-7), 20_000)))[1:]))
+        self.log_y = y
+        self.log_share = np.log(-np.expm1(d * y)) - np.log(-np.expm1(y)) - math.log(d) - (d - 1) * y
+
+    def __call__(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Of whole ``c`` and ``t``, 1 to c."""
+        z, out = t / c**self.d, np.empty(len(c))
+        edges = ((0.0, 0.1, 8), (0.1, 0.5, 16), (0.5, 1.1, 36), (1.1, 1.8, self.TERMS))
+        for low, high, terms in edges:
+            w = np.flatnonzero((z >= low) & (z < high))
+            if len(w):
+                out[w] = self.series(c[w], t[w], terms)
+        w = np.flatnonzero(z >= 1.8)
+        out[w] = self.saddle(c[w], t[w])
+        out -= t * math.log(self.d) + log_gamma(t + 1.0)
+        # where all sit alone, or all but two
+        alone = -log_gamma(c)
+        out = np.where(t == c, alone, out)
+        return np.where(t == c - 1, alone + np.log((1 - self.d) * c * (c - 1) / 2), out)
+
+    def series(self, c: np.ndarray, t: np.ndarray, terms: int) -> np.ndarray:
+        j = np.arange(1, terms + 1)
+        gamma = log_gamma(np.maximum(c[:, None] - self.d * np.arange(terms + 1), 1.0))
+        ratio = gamma[:, 1:] - gamma[:, :1]
+        left = t[:, None] - np.arange(terms)
+        choose = np.cumsum(np.log(np.maximum(left, 1e-300)) - np.log(j), axis=1)
+        size = np.where(left > 0, ratio + choose + self.size[:terms], -np.inf)
+        top = size.max(axis=1)
+        return top + np.log(np.maximum((np.exp(size - top[:, None]) * self.sign[:terms]).sum(axis=1), 1e-300))
+
+    def saddle(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        d = self.d
+        log_y = np.interp(np.log(t / c), self.log_share, self.log_y)
+        y, x, g = np.exp(log_y), -np.expm1(log_y), -np.expm1(d * log_y)
+        slope = x * d * y ** (d - 1) / g
+        bend = t * x * slope * (1 / x + (1 - d) / y - d * y ** (d - 1) / g)
+        # both forms leave out Γ(c)
+        return np.log(c) + t * np.log(g) - c * np.log1p(-y) - 0.5 * np.log(2 * math.pi * np.maximum(bend, 1e-12))
+
+
+def typical_tables(c: np.ndarray, a: np.ndarray, d: float) -> np.ndarray:
+    """About the most likely number of tables: that where a Pitman-Yor restaurant of some strength, seen so far, opens tables with weight ``a``."""
+    low, high = np.full(len(c), math.log(1e-9)), np.log(a + 2.0)
+    for _ in range(18):
+        mid = (low + high) / 2
+        theta = np.exp(mid) - d
+        weight = log_gamma(theta + 1) - log_gamma(theta + d) + d * np.log(theta + c + (d - 1) / 2)
+        more = weight < np.log(np.maximum(a, 1e-300))
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    return np.clip((a - np.exp(low) + d) / d, 1, c)
+
+
+@lru_cache(maxsize=8)
+def large_stirling(discount: float) -> LargeStirling:
+    return LargeStirling(discount)
+
+
+def seat_large(c: np.ndarray, a: np.ndarray, log_s: LargeStirling, rng: np.random.Generator) -> np.ndarray:
+    """A sample of the tables of dishes with more than ``EXACT`` customers, from the weights a^t S(c, t).
+
+    Few tables are drawn from all their weights. For many, proposals are normal, with the
+    log-concave weights' own mode and curvature, and are taken or left by the weights (an
+    independence sampler, whose proposals fit the better the more tables there are).
+    """
+    c, a = c.astype(float), np.maximum(a, 1e-300)
+    t, typical = np.empty(len(c), np.int64), typical_tables(c, a, log_s.d)
+    for low, high, most in ((0, 3, 24), (3, 24, EXACT)):
+        w = np.flatnonzero((typical >= low) & (typical < high))
+        if len(w):
+            each = np.tile(np.arange(1.0, most + 1), len(w))
+            p = (each * np.repeat(np.log(a[w]), most) + log_s(np.repeat(c[w], most), each)).reshape(-1, most)
+            p = np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
+            t[w] = 1 + (p < rng.random(len(w))[:, None] * p[:, -1:]).sum(axis=1)
+    w = np.flatnonzero(typical >= 24)
+    if len(w):
+        t[w] = _seat_many(c[w], a[w], typical[w], log_s, rng)
+    return t
+
+
+def _seat_many(c: np.ndarray, a: np.ndarray, typical: np.ndarray, log_s: LargeStirling, rng: np.random.Generator, steps: int = 6) -> np.ndarray:
+    weight = lambda t: t * np.log(a) + log_s(c, t)
+    middle = np.clip(np.rint(typical), 2, c - 1)
+    for _ in range(2):  # to the weights' own mode
+        low, at, high = weight(middle - 1), weight(middle), weight(middle + 1)
+        bend = np.maximum(2 * at - low - high, 1e-6)
+        middle = np.clip(np.rint(middle + np.clip((high - low) / 2 / bend, -middle / 2, middle)), 2, c - 1)
+    width = 1.2 / np.sqrt(bend) + 0.7
+    log_q = lambda t: -0.5 * ((t - middle) / width) ** 2
+    t = middle.copy()
+    now = weight(t) - log_q(t)
+    for _ in range(steps):
+        other = np.rint(middle + width * rng.standard_normal(len(c)))
+        inside = (other >= 1) & (other <= c)
+        other = np.where(inside, other, t)
+        then = weight(other) - log_q(other)
+        take = inside & (np.log(rng.random(len(c))) < then - now)
+        t, now = np.where(take, other, t), np.where(take, then, now)
+    return t.astype(np.int64)
+
+
 def seat(c: np.ndarray, a: np.ndarray, discount: float, log_s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """A sample of the tables of dishes with ``c`` customers, ``a`` the weight of opening one."""
     t = np.minimum(c, 1).astype(np.int64)
@@ -217,53 +347,56 @@ def seat(c: np.ndarray, a: np.ndarray, discount: float, log_s: np.ndarray, rng:
             w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
             t[rows] = 1 + (w < u[rows, None] * w[:, -1:]).sum(axis=1)
     rows = np.flatnonzero(c > EXACT)
-    n = np.full(len(rows), EXACT, np.int64)
-    while len(rows):
-        step = np.minimum(np.maximum(n // 8, 1), c[rows] - n)
-        opened = rng.poisson(step * a[rows] / (a[rows] + n - discount * t[rows]))
-        t[rows] += np.minimum(opened, step)
-        n += step
-        more = n < c[rows]
-        rows, n = rows[more], n[more]
+    if len(rows):
+        t[rows] = seat_large(c[rows], a[rows], large_stirling(discount), rng)
     return t
 
 
 def parent_of(guests: np.ndarray, frequent: np.ndarray, rare: np.ndarray, corpus: Corpus, s: Settings, turn: int) -> Parent:
-    """The parent of each sweep, from all tables of the contexts, those of the frequent words and the rare words' parent tables."""
+    """The parent of each sweep, from all tables of the contexts, those of the frequent words and the rare words' parent tables.
+
+    The frequent words' tables and the weight of opening one, which counts them, are sampled in turns.
+    """
     rng = np.random.default_rng((s.seed, 1 << 32, turn))
     seats = stirling(s.parent_discount)
-    weight = np.full(len(corpus.words), (s.parent_strength + s.parent_discount * corpus.known) / (corpus.known + 1))
-    tables = np.array([seat(f, weight, s.parent_discount, seats, rng) for f in frequent]).reshape(frequent.shape)
-    opening = (s.parent_strength + s.parent_discount * (rare + tables.sum(axis=1))) / (corpus.known + 1)
+    opened = lambda tables: (s.parent_strength + s.parent_discount * (rare + tables.sum(axis=1))) / (corpus.known + 1)
+    tables = np.minimum(frequent, 1)
+    for _ in range(5):
+        weight = opened(tables)
+        tables = np.array([seat(f, np.full(len(f), a), s.parent_discount, seats, rng) for f, a in zip(frequent, weight)]).reshape(frequent.shape)
+    opening = opened(tables)
     p = (frequent - s.parent_discount * tables + opening[:, None]) / (s.parent_strength + guests[:, None])
-    return Parent(guests.astype(float), opening, p)
+    return Parent(guests.astype(float), opening, p, frequent)
 
 
 def sample(shard: Shard, tables: np.ndarray, corpus: Corpus, parent: Parent, s: Settings, seed: int, turn: int):
     """In a turn before the last one sweep's, in the last each kept sweep's tables of a shard's dishes, and its words' customers and tables in the parent.
 
     ``tables`` are the whole restaurants' of the shard's contexts, ``parent`` is the
-    state before the first sweep. Frequent words are not all in one shard: they keep
-    that state's probability.
+    state before the first sweep. Of a frequent word a shard has a part of the customers:
+    to the tables that they open it adds what the others' opened before, by their share.
     """
     rng, sweeps = np.random.default_rng((s.seed, seed, turn)), s.sweeps if turn == s.turns else 1
     below, above = stirling(s.discount), stirling(s.parent_discount)
     n_words = len(shard.words)
     at = find(corpus.words, shard.words)
+    hot = at >= 0
     many = np.flatnonzero(shard.c > 1)
     c, word = shard.c[many], shard.word[many]
     room = (s.strength + s.discount * tables)[shard.context[many]]
     once = np.bincount(shard.word, shard.c == 1, n_words).astype(np.int64)
     t = np.minimum(shard.c, 1).astype(np.int64)
-    p_word = np.bincount(shard.word, shard.c, n_words) / max(1, corpus.n)
-    p_word[at >= 0] = parent.p[0][at[at >= 0]]
+    customers = np.bincount(shard.word, shard.c, n_words)
+    p_word = customers / max(1, corpus.n)
+    p_word[hot] = parent.p[0][at[hot]]
+    elsewhere = np.zeros(n_words, np.int64)
+    elsewhere[hot] = np.rint(parent.frequent[0][at[hot]] * (1 - customers[hot] / np.maximum(corpus.counts[at[hot]], 1))).astype(np.int64)
     open_parent = np.full(n_words, parent.opening[0])
     for sweep in range(s.burn_in + sweeps):
         t[many] = seat(c, room * p_word[word], s.discount, below, rng)
         guests = once + np.bincount(word, t[many], n_words).astype(np.int64)
-        own = seat(guests, open_parent, s.parent_discount, above, rng)
-        p_new = (guests - s.parent_discount * own + parent.opening[0]) / (s.parent_strength + parent.customers[0])
-        p_word = np.where(at >= 0, p_word, p_new)
+        own = seat(guests + elsewhere, open_parent, s.parent_discount, above, rng)
+        p_word = (guests + elsewhere - s.parent_discount * own + parent.opening[0]) / (s.parent_strength + parent.customers[0])
         if sweep >= s.burn_in:
             yield t.copy(), guests, own
 
@@ -345,7 +478,7 @@ def deal(docs: DataFrame, shared, shards: int) -> DataFrame:
                 name = part * (1 << 32) + number
                 number += 1
                 lengths, times = squeeze(np.bincount(doc, minlength=b - a)), squeeze(np.diff(np.append(first, len(h))))
-                rows = [(name % shards, name, ids[a:b], lengths, None, None, None, None, squeeze(doc[order]), times)]
+                rows = [(home_of(name, shards), name, ids[a:b], lengths, None, None, None, None, squeeze(doc[order]), times)]
                 for k in np.unique(of_dish).tolist():
                     d, w = slice(*np.searchsorted(of_dish, (k, k + 1))), slice(*np.searchsorted(of_word, (k, k + 1)))
                     rows.append((k, name, None, None, pack(words[w], corpus), squeeze(sizes[w]), pack(contexts[d], corpus), squeeze(c[d]), None, None))
@@ -448,7 +581,7 @@ def score_shard(group: pa.Table, totals: pa.Table, corpus: Corpus, before: Paren
         own = shard.dish[start : start + int(sizes.sum())]
         start += len(own)
         of_word = shard.word[own[np.cumsum(sizes) - sizes]]
-        out.append((r["block"] % shards, r["block"], r["shard"], r["sizes"], logs[own].tobytes(), squeeze(seen[of_word])))
+        out.append((home_of(r["block"], shards), r["block"], r["shard"], r["sizes"], logs[own].tobytes(), squeeze(seen[of_word])))
     return rows_table(out, VALUES)
 
 

@@ -312,8 +312,35 @@ def test_stirling_and_seating():
     t = pitman_yor.seat(c, np.full(len(c), 2.0), 0.5, full, np.random.default_rng(1))
     w = np.array([np.exp(full[3, k]) * 2.0**k for k in (1, 2, 3)])
     assert np.allclose(np.bincount(t, minlength=4)[1:] / len(c), w / w.sum(), atol=0.01)
-    big = pitman_yor.seat(np.array([0, 1, 5000]), np.array([3.0, 3.0, 3.0]), 0.5, full, np.random.default_rng(1))
-    assert big[0] == 0 and big[1] == 1 and 1 < big[2] < 5000
+    assert pitman_yor.seat(np.array([0, 1]), np.array([3.0, 3.0]), 0.5, full, np.random.default_rng(1)).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("discount", [0.5, 0.8, 0.85])
+def test_large_dishes_have_the_models_tables(discount):
+    """Mean and spread of the tables by the exact weights, also far above the recurrence's table."""
+    row, rows, t = np.full(5002, -np.inf), {}, np.arange(5002)
+    row[1] = 0.0
+    for c in range(1, 5000):
+        stay = np.where(c > t * discount, np.log(np.maximum(c - t * discount, 1e-300)), -np.inf) + row
+        row = np.logaddexp(np.concatenate(([-np.inf], row[:-1])), stay)
+        if c + 1 in (65, 200, 1000, 5000):
+            rows[c + 1] = row[: c + 2].copy()
+    small = pitman_yor.stirling(discount)
+    for c, log_s in rows.items():
+        for a in (0.05, 0.5, 2.0, 20.0, 200.0):
+            k = np.arange(1, c + 1)
+            w = log_s[1 : c + 1] + k * np.log(a)
+            w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+            mean = (w * k).sum()
+            spread = np.sqrt((w * k * k).sum() - mean**2)
+            got = pitman_yor.seat(np.full(20_000, c), np.full(20_000, a), discount, small, np.random.default_rng(5))
+            assert abs(got.mean() - mean) < 0.03 * spread + 0.01 and abs(got.std() - spread) < 0.04 * spread, (c, a)
+
+
+def test_blocks_are_dealt_evenly():
+    for parts, blocks, shards in ((48, 1, 16), (400, 1, 64), (32, 4, 32)):
+        homes = Counter(pitman_yor.home_of(part * (1 << 32) + n, shards) for part in range(parts) for n in range(blocks))
+        assert len(homes) > shards * 0.6 and max(homes.values()) < 4 * parts * blocks / shards + 6
 
 
 @pytest.mark.parametrize("share", [1 / 65_536, 0.02])
@@ -438,13 +465,14 @@ def gibbs_brute(counts, s, sweeps, seed):
     return total / (sweeps - sweeps // 4)
 
 
-def test_probabilities_are_those_of_customer_by_customer_gibbs():
-    """After some turns; the default's two come near."""
+@pytest.mark.parametrize("frequent", [(), (0, 1, 3)])
+def test_probabilities_are_those_of_customer_by_customer_gibbs(frequent):
+    """After some turns, of rare and of frequent words; the default's two come near."""
     counts = np.array([[9, 1, 0, 3, 0, 0], [0, 6, 1, 1, 1, 0], [2, 0, 0, 12, 0, 0], [1, 1, 1, 1, 1, 0]])
-    want = gibbs_brute(counts, pitman_yor.Settings(), 400, 3)
+    want = np.mean([gibbs_brute(counts, pitman_yor.Settings(), 1000, k) for k in (3, 4)], axis=0)
     assert np.allclose(want.sum(axis=1), 1)
-    for turns, near in ((2, 0.09), (8, 0.06)):
-        got = np.mean([toy_model(counts, pitman_yor.Settings(turns=turns, burn_in=20, sweeps=100, seed=i)) for i in range(6)], axis=0)
+    for turns, near in ((2, 0.09), (8, 0.04)):
+        got = np.mean([toy_model(counts, pitman_yor.Settings(turns=turns, burn_in=20, sweeps=100, seed=i), frequent) for i in range(8)], axis=0)
         assert np.abs(np.log10(got / want)).max() < near and np.abs(got - want).max() < 0.03
 
 
