@@ -7,13 +7,16 @@ categories of condition that win over product types, and words of services.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwise.functions.text import clean_title
+from stallwise.session import path_exists
 
 
 @dataclass
@@ -91,6 +94,51 @@ def enrich(listings: DataFrame, rules: Taxonomy, title: str = "title", breadcrum
     return out.select(*kept, *[F.col(f"_r.{c}").alias(c) for c in added], fit.alias("aggregatable"))
 
 
+class TitleDictionary:
+    """The categories of titles seen so far, kept under the hash of the rules that gave them.
+
+    A market has many listings of few titles: ``learn`` classifies each distinct title (with
+    its breadcrumb) once, ``enrich`` joins. Other rules have another hash and so another
+    dictionary; rules that come back find theirs again.
+    """
+
+    def __init__(self, path: str, rules: Taxonomy, title: str = "title", breadcrumb: str | None = "breadcrumb") -> None:
+        self.rules, self.title, self.breadcrumb = rules, title, breadcrumb
+        self.path = f"{path}/rules={rules_hash(rules)}"
+
+    def _keys(self, rows: DataFrame) -> dict[str, Column]:
+        return {"_title": F.col(self.title), "_crumb": F.col(self.breadcrumb) if self.breadcrumb else F.lit(None).cast("string")}
+
+    def known(self, spark: SparkSession) -> DataFrame | None:
+        return spark.read.parquet(self.path) if path_exists(spark, self.path) else None
+
+    def learn(self, rows: DataFrame) -> None:
+        """Classify the titles of ``rows`` that are not known yet."""
+        titles = rows.withColumns(self._keys(rows)).select("_title", "_crumb").distinct()
+        known = self.known(rows.sparkSession)
+        if known is not None:
+            both = [titles[c].eqNullSafe(known[c]) for c in ("_title", "_crumb")]
+            titles = titles.join(known, both, "left_anti")
+        enrich(titles, self.rules, "_title", "_crumb").write.mode("append").parquet(self.path)
+
+    def enrich(self, listings: DataFrame) -> DataFrame:
+        """``listings`` as by ``enrich``; the rows of titles never learnt are left out, so ``learn`` from the listings, or from a table of all titles, before."""
+        known = self.known(listings.sparkSession)
+        added = [c for c in known.columns if c not in ("_title", "_crumb")]
+        rows = listings.drop(*added).withColumns({f"_own{c}": v for c, v in self._keys(listings).items()})
+        both = [rows[f"_own{c}"].eqNullSafe(known[c]) for c in ("_title", "_crumb")]
+        return rows.join(known, both).drop("_title", "_crumb", "_own_title", "_own_crumb")
+
+
+def rules_hash(rules: Taxonomy) -> str:
+    """A name for the rules: equal rules have equal names, however their tables are ordered."""
+    ordered = {k: sorted(v.items()) if isinstance(v, dict) else sorted(map(str, v)) for k, v in vars(rules).items()}
+    ordered["keywords"] = [(k, sorted(v)) for k, v in ordered["keywords"]]
+    # of equally long markers the first given decides, so their order is a part of the rules
+    ordered["accessory_markers"], ordered["qualified_markers"] = list(rules.accessory_markers.items()), rules.qualified_markers
+    return hashlib.sha256(json.dumps(ordered).encode()).hexdigest()[:16]
+
+
 def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """``rows`` with a column that is computed once a row.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stallwise.functions import text as X
 from stallwise.operators import access, classify, costs, names, questions, rollup, store
 from stallwise.plans import views as V
+from stallwise.plans.question_sql import ROUTED
 from stallwise.session import cut_lineage, table
 from stallwise.sources import pages as P
 from stallwise.streaming import daily, ingest, state
@@ -358,8 +359,11 @@ def d4_rollup_daily(spark, sf_dir):
 
 @query(rollup_sql(_classified_sql(f"SELECT platform_code, price_kes, seller_name, observed_on, title FROM ({V.LISTING_SQL})") + " SELECT found_code AS category_code, platform_code, price_kes, seller_name, observed_on FROM c WHERE found_code IS NOT NULL AND confidence IN ('high', 'medium') AND NOT is_service", _KEYS, 30))
 def d3_rollup_enriched(spark, sf_dir):
-    """Classification and rollup in one job."""
-    return rollup.rollup(_enriched(spark, sf_dir))
+    """Classification and rollup; the parts' names are classified once each."""
+    listings = V.listings(spark, sf_dir).drop("category_code")
+    titles = classify.TitleDictionary(_scratch(spark, "titles"), V.TAXONOMY, breadcrumb=None)
+    titles.learn(table(spark, sf_dir, "part").select(F.col("p_name").alias("title")))
+    return rollup.rollup(titles.enrich(listings))
 
 
 @query(_classified_sql(f"SELECT platform_code, title FROM ({V.LISTING_SQL})") + """
@@ -568,47 +572,16 @@ def g9_coverage(spark, sf_dir):
 # ---- text --------------------------------------------------------------------------------------------------------
 
 
-def _sql_text(pattern: str) -> str:
-    return "'(?i)" + pattern.replace("'", "''") + "'"
-
-
-def _first_sql(pairs: list[tuple[str, str]], value) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(t, {_sql_text(p)}) THEN {value(n, p)}" for n, p in pairs) + " END"
-
-
-def _vocabulary_sql(vocabulary: dict[str, list[str]]) -> str:
-    place = list(vocabulary)
-    aliases = sorted(((a, c) for c, own in vocabulary.items() for a in own), key=lambda x: (-len(x[0]), place.index(x[1])))
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower(t), '{questions.alias_pattern(a)}') THEN '{c}'" for a, c in aliases) + " END"
-
-
-_WINDOW_SQL = "CASE " + " ".join(
-    f"WHEN regexp_matches(t, {_sql_text(p)}) THEN " + (f"TRY_CAST(regexp_extract(t, {_sql_text(p)}, 1) AS INTEGER) * {n}" if "(\\d" in p else str(n)) for p, n in questions.WINDOWS
-) + " END"
-_NAME = lambda n, _: f"'{n}'"
-_HIT = lambda _, p: f"regexp_extract(t, {_sql_text(p)}, 0)"
-_ROUTED_SQL = f"""
-WITH q AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS t FROM conversations WHERE role = 'user'),
-i AS (SELECT *, {_first_sql(questions.REFUSALS, _NAME)} AS refused, {_first_sql(questions.INTENTS, _NAME)} AS found,
-      coalesce({_first_sql(questions.REFUSALS, _HIT)}, {_first_sql(questions.INTENTS, _HIT)}) AS matched_on, {_WINDOW_SQL} AS days,
-      {_vocabulary_sql(V.VOCABULARIES['category_code'])} AS cat, {_vocabulary_sql(V.VOCABULARIES['platform_code'])} AS plat, {_vocabulary_sql(V.VOCABULARIES['county_code'])} AS county FROM q),
-r AS (SELECT *, t = '' OR refused IS NOT NULL AS blank FROM i),
-routed AS (SELECT conv_id, turn, CASE WHEN refused IS NULL THEN coalesce(found, 'unknown') ELSE 'unknown' END AS intent,
-  CASE WHEN t = '' THEN 'empty' WHEN refused IS NOT NULL THEN refused WHEN found IS NULL THEN 'not understood' END AS refusal, matched_on,
-  CASE WHEN NOT blank THEN days END AS window_days, CASE WHEN NOT blank THEN cat END AS category_code, CASE WHEN NOT blank THEN plat END AS platform_code, CASE WHEN NOT blank THEN county END AS county_code FROM r)
-"""
-
-
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
 
 
-@query(_ROUTED_SQL + "SELECT * FROM routed")
+@query(ROUTED + "SELECT * FROM routed")
 def f1_route_questions(spark, sf_dir):
     return questions.route_questions(_asked(spark, sf_dir), V.VOCABULARIES).drop("question")
 
 
-@query(_ROUTED_SQL + "SELECT intent, count(*) AS asked, count_if(refusal IS NULL) AS routed, round(count_if(refusal IS NULL)::DOUBLE / count(*), 3) AS rate FROM routed GROUP BY 1")
+@query(ROUTED + "SELECT intent, count(*) AS asked, count_if(refusal IS NULL) AS routed, round(count_if(refusal IS NULL)::DOUBLE / count(*), 3) AS rate FROM routed GROUP BY 1")
 def f12_question_metrics(spark, sf_dir):
     return questions.question_metrics(questions.route_questions(_asked(spark, sf_dir), V.VOCABULARIES))
 
