@@ -159,6 +159,40 @@ def verdicts(columns: DataFrame, symbol: str = "KSh") -> DataFrame:
     )
 
 
+def comparison_sentences(columns: DataFrame, symbol: str = "KSh") -> DataFrame:
+    """The comparison of each (category, county) in words: ``text`` for those with a platform that can be compared.
+
+    It names what the best leaves after which commission and delivery, the lead over the next,
+    that the lead may turn while a return fee is unknown and the largest known fee reaches it,
+    a platform that pays sooner, and the best one's first caveat.
+    """
+    money = lambda c: F.concat(F.lit(f"{symbol} "), c.cast("string"))
+    known = F.col("comparable")
+    one = F.struct("platform_code", "platform_name", "sale_price", "net_receipt_kes", "commission_rate", "last_mile_kes", "lead_kes", "payout_days", "gaps")
+    unknown = F.exists("gaps", lambda g: g.contains("return handling fee not confirmed"))
+    soonest = F.when(known & (F.col("payout_days") > 0), F.struct("payout_days", "rank"))
+    g = columns.groupBy("category_code", "county_code").agg(
+        F.max(F.when(known & (F.col("rank") == 1), one)).alias("best"),
+        F.max(F.when(known & (F.col("rank") == 2), F.col("platform_name"))).alias("_next"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(known & unknown, F.struct("rank", "platform_name")))), lambda x: x["platform_name"]), ", ").alias("_unknown"),
+        F.max(F.when(known, F.array_max(F.transform("other_fees", lambda f: f["amount_kes"])))).alias("_largest"),
+        F.min_by(F.struct("platform_code", "platform_name", "payout_days"), soonest).alias("_soonest"),
+    )
+    best, lead = F.col("best"), F.col("best.lead_kes")
+    mile = F.when(best["last_mile_kes"] > 0, F.concat(F.lit(" and "), money(best["last_mile_kes"]), F.lit(" delivery"))).otherwise("")
+    turns = (F.col("_unknown") != "") & (lead > 0) & (F.col("_largest") >= lead)
+    other = F.col("_soonest.platform_code") != best["platform_code"]
+    text = F.concat_ws(
+        " ",
+        F.concat(F.lit("Of a sale at "), money(best["sale_price"]), F.lit(", "), best["platform_name"], F.lit(" leaves the most: "), money(best["net_receipt_kes"]), F.lit(" after "), F.round(best["commission_rate"] * 100, 0).cast("int").cast("string"), F.lit("% commission"), mile, F.lit(".")),
+        F.when(lead > 0, F.concat(F.lit("That is "), money(lead), F.lit(" a unit more than "), F.col("_next"), F.lit("."))).when(lead <= 0, F.concat(F.col("_next"), F.lit(" is level with it."))),
+        F.when(turns, F.concat(F.lit("The lead is not proven: "), F.col("_unknown"), F.lit(" has a return handling fee that is not confirmed, and such a fee is up to "), money(F.col("_largest")), F.lit(" elsewhere, so the order may turn."))),
+        F.when(best["payout_days"].isNotNull() & (best["payout_days"] > 0) & other, F.concat(F.col("_soonest.platform_name"), F.lit(" pays sooner: every "), F.col("_soonest.payout_days").cast("string"), F.lit(" days, not "), best["payout_days"].cast("string"), F.lit("."))),
+        F.when(F.size(best["gaps"]) > 0, F.concat(F.lit("Caveat: "), F.get(best["gaps"], F.lit(0)), F.lit("."))),
+    )
+    return g.filter(best.isNotNull()).select("category_code", "county_code", best["platform_code"].alias("best"), text.alias("text"))
+
+
 def coverage(requested: DataFrame, counties: DataFrame, delivery: DataFrame) -> DataFrame:
     """What is known of delivery for each requested (platform, county), with all that ``delivery`` says of it."""
     out = requested.join(counties.select("county_code", "has_logistics"), "county_code", "left").join(

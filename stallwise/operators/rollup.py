@@ -86,11 +86,34 @@ def rollup(enriched: DataFrame, keys: tuple[str, ...] = ("category_code", "platf
         .drop("_min", "_max", "_")
     )
     if platforms is not None:
-        caveats = platforms.select("platform_code", F.array_compact(F.array("caveat")).alias("caveats"))
-        out = out.join(caveats, "platform_code", "left")
+        caveats = platforms.select("platform_code", F.array_compact(F.array("caveat")).alias("caveats"), F.lit(True).alias("_known"))
+        out = known_platforms(out.join(caveats, "platform_code", "left")).drop("_known")
     return out
 
 
+def known_platforms(rows: DataFrame, known: str = "_known") -> DataFrame:
+    """``rows``, in a plan that fails on a platform whose ``known`` is null; as a filter it is not pruned."""
+    unknown = F.raise_error(F.concat(F.lit("unknown platform "), F.coalesce("platform_code", F.lit("(none)"))))
+    return rows.filter(F.when(F.col(known).isNull(), unknown.cast("boolean")).otherwise(True))
+
+
+def with_evidence(enriched: DataFrame, platforms: DataFrame, keys: tuple[str, ...] = ("category_code",), minimum: int = LEAST_ROWS) -> DataFrame:
+    """The rollup by ``keys`` with ``evidence``: rows, sellers, the platforms that they come from, the last day and those platforms' caveats.
+
+    Keys without the platform pool all platforms. Platforms and caveats are in the platforms'
+    order; a platform that ``platforms`` (``platform_code``, ``caveat``) does not have fails the job.
+    """
+    rows = enriched.filter("aggregatable") if "aggregatable" in enriched.columns else enriched
+    pairs = rows.filter("price_kes IS NOT NULL").groupBy(*keys, *[c for c in ["platform_code"] if c not in keys]).agg(F.count("*").alias("_n"))
+    pairs = known_platforms(pairs.join(platforms.select("platform_code", "caveat", F.lit(True).alias("_known")), "platform_code", "left"))
+    ordered = F.array_sort(F.collect_list(F.struct("platform_code", "caveat")))
+    seen = pairs.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(ordered.alias("_seen"))
+    out = rollup(enriched, keys, minimum)
+    out = out.join(seen, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    evidence = F.struct("observation_count", "seller_count", F.col("_seen.platform_code").alias("platforms"), "collected_on", F.array_compact("_seen.caveat").alias("caveats"))
+    return out.withColumn("evidence", evidence).drop("_seen", *[f"_{k}" for k in keys])
+
+
 def run_counts(rollups: DataFrame) -> DataFrame:
     """One row a run: groups with figures, groups too thin for any, and the rows behind each."""
     ok, n = F.col("available"), F.col("observation_count")
@@ -163,13 +186,21 @@ def with_activity(rollups: DataFrame) -> DataFrame:
     )
 
 
-def rank_activity(rollups: DataFrame, limit: int = 10) -> DataFrame:
-    """The busiest available groups."""
-    busy = with_activity(rollups.filter("available"))
+def of_choice(rollups: DataFrame, platforms: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """The groups of the chosen platforms and categories; none chosen: all."""
+    for column, chosen in (("platform_code", platforms), ("category_code", categories)):
+        if chosen is not None:
+            rollups = rollups.filter(F.col(column).isin(chosen) if chosen else F.lit(False))
+    return rollups
+
+
+def rank_activity(rollups: DataFrame, limit: int = 10, platforms: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """The busiest available groups of the chosen platforms and categories."""
+    busy = with_activity(of_choice(rollups, platforms, categories).filter("available"))
     return busy.orderBy(F.desc("activity_score"), "category_code", "platform_code").limit(limit)
 
 
-def rank_opportunity(rollups: DataFrame, limit: int = 5, pool: int = 100) -> DataFrame:
+def rank_opportunity(rollups: DataFrame, limit: int = 5, pool: int = 100, platforms: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
     """Of the busiest ``pool`` groups with enough sellers, those with the fewest listings a seller."""
-    pooled = rank_activity(rollups, pool).filter(F.col("seller_count") >= LEAST_SELLERS)
+    pooled = rank_activity(rollups, pool, platforms, categories).filter(F.col("seller_count") >= LEAST_SELLERS)
     return pooled.orderBy("listings_per_seller", F.desc("activity_score"), "category_code", "platform_code").limit(limit)

@@ -195,6 +195,28 @@ def guard_not_empty(rows: DataFrame, expected: DataFrame, minimum: int) -> DataF
     return joined.withColumn("passed", F.col("n_rows") >= minimum)
 
 
+def require_units(rows: DataFrame, expected: DataFrame, minimum: int) -> DataFrame:
+    """``rows``, in a plan that fails when an expected platform has fewer than ``minimum`` of them.
+
+    The check is a part of what is computed: it adds no row, and no projection, filter or
+    empty input takes it away, so the job that writes or counts the rows is the one that fails.
+    """
+    short = guard_not_empty(rows, expected, minimum).filter(~F.col("passed"))
+    message = F.concat(F.lit("too few rows of "), "platform_code", F.lit(": "), F.col("n_rows").cast("string"), F.lit(f", need {minimum}"))
+    none = short.filter(F.raise_error(message).cast("boolean"))
+    return rows.unionByName(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
+
+
+def with_payload(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """``rows`` with their raw JSON as a variant, which is stored parsed; text that is no JSON becomes null."""
+    return rows.withColumn(raw, F.try_parse_json(raw))
+
+
+def payload(path: str, kind: str, raw: str = "raw") -> Column:
+    """A field of the payload by its path; null where it is missing or of another kind."""
+    return F.try_variant_get(raw, path, kind)
+
+
 def write_rollup(rollups: DataFrame, path: str) -> None:
     """Store rollups by day; writing a day again replaces that day and no other."""
     rollups.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("observed_on").parquet(path)

@@ -863,3 +863,128 @@ SELECT platform_code, category_code, last_fetch, epoch_ms(last_fetch) + 7200000
 def h2_freshness_state(spark, sf_dir):
     """What the timers themselves say at the end of the log."""
     return state.unit_states(_changes(spark, sf_dir, "h2s"))
+
+
+# ---- payloads, sitemaps, evidence, runs ---------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS name FROM events")
+def a1_raw_payload(spark, sf_dir):
+    """The events' payload stored as a variant, and two of its fields read from the store, one that no payload has."""
+    folder = _scratch(spark, "a1p")
+    store.with_payload(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("raw"))).write.parquet(folder)
+    return spark.read.parquet(folder).select("event_id", store.payload("$.k", "int").alias("k"), store.payload("$.name", "string").alias("name"))
+
+
+_MAP = "page_id // 50"
+_MAP_NAME = f"(['products', 'categories', 'brands'])[1 + {_MAP} % 3] || '-sitemap-' || {_MAP} || '.xml'"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {_MAP} AS m, {_MAP_NAME} AS child, row_number() OVER (PARTITION BY {_MAP} ORDER BY page_id) - 1 AS pos FROM pages),
+c AS (SELECT m, child, row_number() OVER (PARTITION BY m // 100 ORDER BY NOT contains(child, 'products'), m) - 1 AS place FROM (SELECT DISTINCT m, child FROM p) WHERE NOT contains(child, 'brand'))
+SELECT 'index-' || m // 100 || '.xml' AS parent, place, 'http://x/' || child AS child, pos, url FROM p JOIN c USING (m, child)
+WHERE suffix(url, '.html') AND (suffix({_PATH_SQL}, '.html') OR starts_with({_PATH_SQL}, '/en/7') OR NOT (starts_with({_PATH_SQL}, '/es/') OR starts_with({_PATH_SQL}, '/en/1') OR contains({_PATH_SQL}, '/99')))""")
+def a12_sitemap_index(spark, sf_dir):
+    """The pages' urls in sitemaps of 50, which index files of 100 list."""
+    m = F.expr("page_id div 50")
+    name = F.concat(F.get(F.array(*map(F.lit, ("products", "categories", "brands"))), (m % 3).cast("int")), F.lit("-sitemap-"), m.cast("string"), F.lit(".xml"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", m.alias("m"), name.alias("name"))
+    ordered = lambda key, entry: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), entry.alias("e")))), lambda x: x["e"]), "")
+    maps = pages.groupBy("m", "name").agg(F.concat(F.lit("<urlset>"), ordered("page_id", F.concat(F.lit("<url><loc> "), "url", F.lit("</loc></url>"))), F.lit("</urlset>")).alias("content"))
+    entry = F.concat(F.lit("<sitemap><loc>http://x/"), "name", F.lit("</loc></sitemap>"))
+    index = maps.groupBy(F.expr("m div 100").alias("i")).agg(F.concat(F.lit("<sitemapindex>"), ordered("m", entry), F.lit("</sitemapindex>")).alias("content"))
+    files = maps.select("name", "content").unionByName(index.select(F.concat(F.lit("index-"), F.col("i").cast("string"), F.lit(".xml")).alias("name"), "content"))
+    return P.indexed_urls(cut_lineage(files), _U)
+
+
+@query("""SELECT 'web:' || p_partkey AS source_key, p_name AS title, CAST(p_size + 10 + least(1 + p_partkey % 12, 1 + p_partkey * 7 % 12) AS DECIMAL(12,2)) AS price_kes FROM part""")
+def a11_merge_cards(spark, sf_dir):
+    """A card of each part on two numbered result pages, dearer on later ones; the first page's card stays."""
+    part = table(spark, sf_dir, "part")
+    number = F.explode(F.array(1 + F.col("p_partkey") % 12, 1 + F.col("p_partkey") * 7 % 12))
+    key = F.col("p_partkey").cast("string")
+    rows = part.select("p_name", key.alias("k"), "p_size", number.alias("n"))
+    price = (F.col("p_size") + 10 + F.col("n")).cast("string")
+    html = F.concat(F.lit('<article class="prd"><a href="/p.html" data-sku="'), "k", F.lit('"><h3 class="name">'), "p_name", F.lit('</h3><div class="prc">KSh '), price, F.lit("</div></a></article>"))
+    pages = rows.select(F.concat(F.lit("http://x/all?page="), F.col("n").cast("string")).alias("url"), html.alias("html"), F.lit("2026-01-01").cast("date").alias("fetched_on"))
+    return P.extract_cards(pages, "web").select("source_key", "title", "price_kes")
+
+
+@query(f"""WITH r AS ({rollup_sql(V.LISTING_SQL, 'category_code', 30)}), s AS (SELECT category_code, list(DISTINCT platform_code ORDER BY platform_code) AS p FROM ({V.LISTING_SQL}) GROUP BY 1)
+SELECT category_code, median, observation_count, seller_count, array_to_string(p, ',') AS platforms, collected_on, CASE WHEN list_contains(p, 'F') THEN 'prices are fixed by the house' ELSE '' END AS caveats FROM r JOIN s USING (category_code)""")
+def d2_evidence(spark, sf_dir):
+    """Each category's figures over both platforms, with what they rest on."""
+    platforms = spark.sql("SELECT * FROM VALUES ('F', 'prices are fixed by the house'), ('O', CAST(NULL AS STRING)) AS t(platform_code, caveat)")
+    out = rollup.with_evidence(V.listings(spark, sf_dir), platforms)
+    return out.select(
+        "category_code", "median", "evidence.observation_count", "evidence.seller_count", F.array_join("evidence.platforms", ",").alias("platforms"), "evidence.collected_on", F.array_join("evidence.caveats", ",").alias("caveats")
+    )
+
+
+@query(f"""SELECT {_KEYS}, seller_count, activity_score FROM {_ACTIVE_SQL} WHERE platform_code = 'O' AND category_code IN ('Brand#1', 'Brand#7', 'Brand#13', 'Brand#none') ORDER BY activity_score DESC, 1, 2 LIMIT 10""")
+def b20_filtered_ranking(spark, sf_dir):
+    chosen = ["Brand#1", "Brand#7", "Brand#13", "Brand#none"]
+    return rollup.rank_activity(_by_brand(spark, sf_dir), platforms=["O"], categories=chosen).select("category_code", "platform_code", "seller_count", "activity_score")
+
+
+@query("""WITH l AS (SELECT *, CAST(floor((epoch(ts) - (SELECT epoch(min(ts)) FROM events)) * 5 / ((SELECT epoch(max(ts)) - epoch(min(ts)) FROM events) + 1)) AS BIGINT) AS run,
+ CASE WHEN value > 50 THEN 'ok' WHEN value > 20 THEN 'failed' ELSE 'blocked' END AS status FROM events),
+n AS (SELECT run, count(*) AS rows_written FROM (SELECT min(run) AS run FROM l WHERE status = 'ok' GROUP BY event_type, user_id, CAST(ts AS DATE)) GROUP BY 1)
+SELECT run, count(*) AS urls_seen, count_if(status = 'ok') AS urls_ok, count_if(status = 'failed') AS urls_failed, count_if(status = 'blocked') AS urls_blocked, min(ts) AS first_fetch, max(ts) AS last_fetch, any_value(coalesce(rows_written, 0)) AS rows_written
+FROM l LEFT JOIN n USING (run) GROUP BY run""")
+def d10_observed_runs(spark, sf_dir):
+    """The fetch log as a stream of five runs; each run's counts are taken while its rows are appended."""
+    log = _fifth(table(spark, sf_dir, "events"))
+    status = F.when(F.col("value") > 50, "ok").when(F.col("value") > 20, "failed").otherwise("blocked")
+    rows = log.select(
+        F.col("event_type").alias("platform_code"), F.col("user_id").cast("string").alias("source_key"), F.col("ts").cast("date").alias("observed_on"),
+        F.col("ts").cast("timestamp").alias("fetched_at"), status.alias("status"), "event_id", "_fifth",
+    )
+    folder = _scratch(spark, "d10")
+    arriving = _arriving(spark, folder, [rows.filter(F.col("_fifth") == k).drop("_fifth") for k in range(5)])
+    _ended(ingest.ingest_observed(arriving, f"{folder}/store", f"{folder}/runs", f"{folder}/checkpoint", ["event_id"]))
+    runs = spark.read.parquet(f"{folder}/runs").drop("batch")
+    return runs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_fetch", "last_fetch")})
+
+
+@query(f"""WITH {_COLUMNS_SQL}, b AS (SELECT * FROM c WHERE rank = 1 AND net IS NOT NULL),
+g AS (SELECT category_code, county_code, max(CASE WHEN rank = 2 AND net IS NOT NULL THEN platform_name END) AS runner, string_agg(CASE WHEN net IS NOT NULL AND unknown_fee THEN platform_name END, ', ' ORDER BY rank) AS unknown,
+ max(CASE WHEN net IS NOT NULL AND platform_code = 'O' THEN 20.00 END) AS largest, arg_min(platform_name, payout_days * 100 + rank) FILTER (net IS NOT NULL AND payout_days > 0) AS soon,
+ arg_min(platform_code, payout_days * 100 + rank) FILTER (net IS NOT NULL AND payout_days > 0) AS soon_code, min(payout_days) FILTER (net IS NOT NULL AND payout_days > 0) AS days FROM c GROUP BY 1, 2)
+SELECT b.category_code, b.county_code, b.platform_code AS best, concat_ws(' ',
+ concat('Of a sale at KSh ', b.sale_price, ', ', b.platform_name, ' leaves the most: KSh ', b.net, ' after ', CAST(round(b.rate * 100, 0) AS INTEGER), '% commission', CASE WHEN b.door_delivery > 0 THEN concat(' and KSh ', b.door_delivery, ' delivery') ELSE '' END, '.'),
+ CASE WHEN b.lead_kes > 0 THEN concat('That is KSh ', b.lead_kes, ' a unit more than ', g.runner, '.') WHEN b.lead_kes <= 0 THEN concat(g.runner, ' is level with it.') END,
+ CASE WHEN g.unknown IS NOT NULL AND b.lead_kes > 0 AND g.largest >= b.lead_kes THEN concat('The lead is not proven: ', g.unknown, ' has a return handling fee that is not confirmed, and such a fee is up to KSh ', g.largest, ' elsewhere, so the order may turn.') END,
+ CASE WHEN b.payout_days > 0 AND g.soon_code <> b.platform_code THEN concat(g.soon, ' pays sooner: every ', g.days, ' days, not ', b.payout_days, '.') END,
+ CASE WHEN b.platform_code = 'F' OR k.commission_rate IS NULL THEN 'Caveat: commission is the middle of the published band.' END) AS text
+FROM b JOIN g USING (category_code, county_code) LEFT JOIN ({V.RATES_SQL}) k ON k.category_code = b.category_code""")
+def g5_comparison_sentences(spark, sf_dir):
+    return costs.comparison_sentences(_columns(spark, sf_dir))
+
+
+@query(f"""SELECT sha256('salt:' || lower(trim(brand)))[:16] AS account_ref, question, intent, answered, text, observation_ct, DATE '2026-01-01' + no AS day FROM ({ORACLE_SQL['f8_answer_questions']})""")
+def a14_question_log(spark, sf_dir):
+    """The answers of ``f8_answer_questions`` logged by day under the askers' pseudonyms."""
+    answers = f8_answer_questions(spark, sf_dir).withColumns({"account_ref": X.pseudonym(F.col("brand"), "salt"), "asked_at": F.date_add(F.lit("2026-01-01").cast("date"), F.col("no")).cast("timestamp")})
+    folder = _scratch(spark, "a14")
+    store.append_question_log(answers, folder)
+    return spark.read.parquet(folder).drop("asked_at")
+
+
+_ASKED_FOR = "CASE p_partkey % 3 WHEN 0 THEN 'what do ' || p_name || 's cost?' WHEN 1 THEN 'Is the ' || upper(p_name) || ' of ' || p_brand || ' crowded' ELSE 'a' || p_name || ' or s' || p_brand || 'x' END"
+
+
+@query(f"""WITH q AS (SELECT p_partkey, {_ASKED_FOR} AS question FROM part),
+a AS (SELECT DISTINCT 'title' AS name, p_name AS code, p_name AS alias FROM part UNION SELECT DISTINCT 'brand', p_brand, lower(p_brand) FROM part UNION SELECT DISTINCT 'noun', upper(split_part(p_name, ' ', 2)), split_part(p_name, ' ', 2) FROM part
+ UNION SELECT DISTINCT 'noun', p_name, p_name FROM part WHERE p_name LIKE 'red %'),
+h AS (SELECT p_partkey, name, arg_max(code, (length(alias), alias)) AS code FROM q JOIN a ON regexp_matches(lower(question), '(^|[^a-z0-9_])' || alias || '(s|es)?($|[^a-z0-9_])') GROUP BY 1, 2)
+SELECT q.p_partkey, max(code) FILTER (name = 'title') AS title, max(code) FILTER (name = 'brand') AS brand, max(code) FILTER (name = 'noun') AS noun FROM q LEFT JOIN h USING (p_partkey) GROUP BY 1""")
+def c10_match_aliases(spark, sf_dir):
+    """Questions that name parts and brands, by a table of their names; red parts are also nouns of their own."""
+    part = table(spark, sf_dir, "part")
+    low, noun = F.lower("p_brand"), F.substring_index("p_name", " ", -1)
+    row = lambda name, code, alias: part.select(F.lit(name).alias("name"), code.alias("code"), alias.alias("alias"), F.lit(0).alias("place")).distinct()
+    aliases = row("title", F.col("p_name"), F.col("p_name")).unionByName(row("brand", F.col("p_brand"), low)).unionByName(row("noun", F.upper(noun), noun))
+    aliases = aliases.unionByName(row("noun", F.col("p_name"), F.col("p_name")).filter("code LIKE 'red %'"))
+    asked = part.select("p_partkey", F.expr(_ASKED_FOR).alias("question"))
+    return questions.match_aliases(asked, aliases, ["title", "brand", "noun"]).drop("question")

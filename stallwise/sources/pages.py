@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stallwise.functions.text import normalise_sku, parse_price
@@ -134,10 +134,15 @@ def extract_cards(pages: DataFrame, platform: str) -> DataFrame:
         pick(r'data-(?:ga4-item_)?brand="([^"]*)"').alias("brand"),
         F.col("fetched_on").alias("observed_on"),
     ).filter("source_url IS NOT NULL AND title IS NOT NULL AND price_kes IS NOT NULL")
-    order = Window.partitionBy("source_key", "observed_on").orderBy("url", "pos")
+    order = Window.partitionBy("source_key", "observed_on").orderBy(page_number(F.col("url")), "url", "pos")
     return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth", "url", "pos")
 
 
+def page_number(url: Column) -> Column:
+    """The number of a result page, by its ``page`` parameter; 1 without one."""
+    return F.coalesce(F.regexp_extract(url, r"[?&]page=(\d{1,9})", 1).try_cast("int"), F.lit(1))
+
+
 def extract_items(pages: DataFrame, platform: str, shortest_title: int = 6) -> DataFrame:
     """Listings from pages that mark each product as a ``product-item`` block; a product counts once a page."""
     item = r'(?is)<div[^>]*class="[^"]*product-item[^"]*"[^>]*>(.*?)(?=<div[^>]*class="[^"]*product-item|\z)'
@@ -182,3 +187,39 @@ def sitemap_urls(sitemaps: DataFrame, rules: dict, limit: int | None = None) ->
     kept = locs.filter(F.col("url").endswith(".html")).filter(url_allowed(F.col("url"), rules))
     kept = kept.orderBy(~F.lower("name").contains("product"), "name", "pos")
     return (kept.limit(limit) if limit is not None else kept).select("name", "pos", "url")
+
+
+def read_sitemaps(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Stored sitemap files, whole, as ``name`` (the file's path) and ``content``; files ending in ``.gz`` are unpacked while they are read."""
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("name"), F.col("value").alias("content"))
+
+
+def sitemap_index(sitemaps: DataFrame) -> DataFrame:
+    """The child sitemaps that index files name: ``parent``, ``place`` in it, ``child``; those of products first, those of brands left out."""
+    entry = F.regexp_extract_all("content", F.lit(r"(?s)<sitemap>.*?<loc>\s*(.*?)\s*</loc>.*?</sitemap>"), 1)
+    listed = sitemaps.select(F.col("name").alias("parent"), F.posexplode(entry).alias("_at", "child")).filter(~F.lower("child").contains("brand"))
+    order = Window.partitionBy("parent").orderBy(~F.lower("child").contains("product"), "_at")
+    return listed.select("parent", (F.row_number().over(order) - 1).alias("place"), "child")
+
+
+def indexed_urls(sitemaps: DataFrame, rules: dict, limit: int | None = None) -> DataFrame:
+    """The product urls of all sitemaps an index leads to: ``parent``, ``place``, ``child``, ``pos``, ``url``.
+
+    Index entries meet the stored files by name, or by its end where files are stored under a
+    folder (the part after the last slash). Files that are no index and in none stand for themselves.
+    A child that was not stored has no urls. ``limit`` keeps the first of each index.
+    """
+    last = lambda c: F.substring_index(c, "/", -1)
+    is_index = F.col("content").contains("<sitemapindex")
+    index = sitemap_index(sitemaps.filter(is_index))
+    maps = sitemaps.filter(~is_index).select(last(F.col("name")).alias("_file"), "name", "content")
+    children = index.withColumn("_file", last(F.col("child"))).join(maps, "_file")
+    alone = maps.join(index.select(last(F.col("child")).alias("_file")).distinct(), "_file", "left_anti")
+    alone = alone.filter(~F.lower("name").contains("brand")).select("_file", F.col("name").alias("parent"), F.lit(0).alias("place"), F.col("name").alias("child"), "name", "content")
+    locs = F.regexp_extract_all("content", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), 1)
+    urls = children.unionByName(alone).select("parent", "place", "child", F.posexplode(locs).alias("pos", "url"))
+    urls = urls.filter(F.col("url").endswith(".html") & url_allowed(F.col("url"), rules))
+    if limit is None:
+        return urls
+    first = Window.partitionBy("parent").orderBy("place", "pos")
+    return urls.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= limit).drop("_nth")
