@@ -203,8 +203,10 @@ def require_units(rows: DataFrame, expected: DataFrame, minimum: int) -> DataFra
     """
     short = guard_not_empty(rows, expected, minimum).filter(~F.col("passed"))
     message = F.concat(F.lit("too few rows of "), "platform_code", F.lit(": "), F.col("n_rows").cast("string"), F.lit(f", need {minimum}"))
-    none = short.filter(F.raise_error(message).cast("boolean"))
-    return rows.unionByName(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
+    failed = lambda kind: F.raise_error(message).cast(kind)
+    # also each column fails, so that a filter on one cannot be found empty beforehand
+    none = short.filter(failed("boolean")).select(*[failed(f.dataType).alias(f.name) for f in rows.schema])
+    return rows.unionByName(none)
 
 
 def with_payload(rows: DataFrame, raw: str = "raw") -> DataFrame:

@@ -140,7 +140,7 @@ def extract_cards(pages: DataFrame, platform: str) -> DataFrame:
 
 def page_number(url: Column) -> Column:
     """The number of a result page, by its ``page`` parameter; 1 without one."""
-    return F.coalesce(F.regexp_extract(url, r"[?&]page=(\d{1,9})", 1).try_cast("int"), F.lit(1))
+    return F.coalesce(F.regexp_extract(url, r"[?&]page=(\d{1,9})(?!\d)", 1).try_cast("int"), F.lit(1))
 
 
 def extract_items(pages: DataFrame, platform: str, shortest_title: int = 6) -> DataFrame:
