@@ -33,7 +33,8 @@ STOPWORDS = [
     "sells", "selling", "buy", "cheap", "cheapest", "best", "good", "please", "show", "tell", "find", "get", "want",
     "need", "looking", "kenya", "kenyan", "ksh", "kes", "shillings", "bob",
 ]
-#: Letters whose accents fold away without a Python function, and what they fold to.
+#: Plural endings in the order they are tried: the ending, the letters a word has at least, and what the ending becomes.
+SINGULARS = [("ies", 4, "y"), ("ses", 4, "s"), ("ss", 1, "ss"), ("s", 3, "")]
 
 
 def _split_range(raw: Column) -> tuple[Column, Column]:
@@ -91,14 +92,15 @@ def normalise_sku(platform: Column, key: Column) -> Column:
 
 @F.arrow_udf(StringType())
 def _decomposed(texts: pa.Array) -> pa.Array:
-    """Compatibility forms without combining marks; Spark has no function for it."""
-    forms = (unicodedata.normalize("NFKD", t) for t in texts.to_pylist())
-    return pa.array(("".join(c for c in f if not unicodedata.combining(c)) for f in forms), pa.string())
+    """Compatibility forms without combining marks, null for null; Spark has no function for it."""
+    forms = (t and unicodedata.normalize("NFKD", t) for t in texts.to_pylist())
+    return pa.array((f and "".join(c for c in f if not unicodedata.combining(c)) for f in forms), pa.string())
 
 
 def fold(text: Column) -> Column:
     """Lower case without accents, ligatures or punctuation, single spaces; null is empty."""
-    plain = F.lower(_decomposed(F.coalesce(text, F.lit(""))))
+    body = F.coalesce(text, F.lit(""))
+    plain = F.lower(F.coalesce(_decomposed(F.when(body.rlike(r"[^\x00-\x7F]"), body)), body))
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"""[-_/\\.,+&()\[\]{}'"!?:;]+""", " "), r"\s+", " "))
 
 
@@ -109,14 +111,12 @@ def strip_stopwords(folded: Column) -> Column:
 
 
 def singular(word: Column) -> Column:
-    """The regular English singular of a word."""
-    n = F.length(word)
-    return (
-        F.when((n > 3) & word.endswith("ies"), F.concat(F.left(word, n - 3), F.lit("y")))
-        .when((n > 3) & word.endswith("ses"), F.left(word, n - 2))
-        .when((n > 2) & word.endswith("s") & ~word.endswith("ss"), F.left(word, n - 1))
-        .otherwise(word)
-    )
+    """The regular English singular of a word, by the first ending that fits."""
+    out = word
+    for ending, least, becomes in reversed(SINGULARS):
+        cut = F.concat(F.left(word, F.length(word) - len(ending)), F.lit(becomes))
+        out = F.when((F.length(word) >= least) & word.endswith(ending), cut).otherwise(out)
+    return out
 
 
 def singularise(text: Column) -> Column:

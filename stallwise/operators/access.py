@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 def entitled_rows(rows: DataFrame, accounts: DataFrame, tiers: DataFrame, today: Column) -> DataFrame:
     """For every active account the rows of the platforms and days its tier may see.
 
-    ``tiers`` has ``tier``, ``platforms`` and ``history_days`` (null: all).
+    ``tiers`` has ``tier``, ``platforms`` and ``history_days`` (null: all). The rows meet the
+    tiers first, so they are filtered by day once a tier; accounts come last.
     """
-    rights = accounts.filter("active").join(tiers, "tier").select("account_ref", F.explode("platforms").alias("platform_code"), "history_days")
+    rights = tiers.select("tier", F.explode("platforms").alias("platform_code"), "history_days")
     seen = rows.join(rights, "platform_code").filter(
         F.col("history_days").isNull() | (F.col("observed_on") >= F.date_sub(today, F.coalesce("history_days", F.lit(0))))
     )
-    return seen.drop("history_days")
+    holders = accounts.filter("active").select("account_ref", F.col("tier").alias("tier"))
+    return seen.join(holders, "tier").drop("history_days", "tier")

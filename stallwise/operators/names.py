@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.functions.text import fold, singular, singularise, strip_stopwords, typo_budget
+from stallwise.session import cut_lineage
 
 
 def alias_dim(targets: DataFrame) -> DataFrame:
@@ -64,27 +65,27 @@ def _near(texts: DataFrame, aliases: DataFrame, budget: Column) -> DataFrame:
 def resolve_names(queries: DataFrame, aliases: DataFrame, query: str = "query") -> DataFrame:
     """The best match of every distinct typed name: exact, then alias, then partial, then within a typo budget.
 
-    Names are matched once each. Equal forms meet by keys; what is still open meets the
+    Names are matched once each; their forms, and what is still open, are stored between the steps. Equal forms meet by keys; what is still open meets the
     aliases that it can contain or be near to by shared parts, so no pairs of all names
     and aliases are made.
     """
-    forms = _forms(queries, query)
+    forms = cut_lineage(_forms(queries, query))
     a = aliases.select("code", "label", "kind", "alias", "alias_place").withColumn("_flat", F.replace("alias", F.lit(" "), F.lit("")))
-    a = a.withColumns({"_one": singularise(F.col("alias")), "_flat_one": singular(F.col("_flat"))})
+    a = cut_lineage(a.withColumns({"_one": singularise(F.col("alias")), "_flat_one": singular(F.col("_flat"))}))
 
     def best(rows: DataFrame, how: str, *order) -> DataFrame:
         w = Window.partitionBy("typed").orderBy(*order)
         return rows.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").select("typed", "code", "label", "kind", F.lit(how).alias("how"), "score")
 
     keyed = forms.select("typed", F.posexplode(F.array("folded", "trimmed", "singular")).alias("_form", "alias"))
-    exact = best(keyed.join(a, "alias").withColumn("score", F.lit(1.0)), "exact", "_form", "alias_place", "code")
+    exact = cut_lineage(best(keyed.join(a, "alias").withColumn("score", F.lit(1.0)), "exact", "_form", "alias_place", "code"))
     open_ = forms.join(exact, "typed", "left_anti")
 
     flat = open_.join(a, F.col("collapsed") == F.col("_flat")).withColumn("score", F.lit(0.98))
     one = open_.join(a, F.col("singular") == F.col("_one")).withColumn("score", F.lit(0.96))
     flat_one = open_.withColumn("_c", singular(F.col("collapsed"))).join(a, F.col("_c") == F.col("_flat_one")).drop("_c").withColumn("score", F.lit(0.96))
-    alias = best(flat.unionByName(one).unionByName(flat_one), "alias", "alias_place", F.desc("score"), "code")
-    open_ = open_.join(alias, "typed", "left_anti")
+    alias = cut_lineage(best(flat.unionByName(one).unionByName(flat_one), "alias", "alias_place", F.desc("score"), "code"))
+    open_ = cut_lineage(open_.join(alias, "typed", "left_anti"))
 
     def holds(form: str):
         f = F.col(form)
