@@ -27,8 +27,9 @@ stored by shard, so that the passes over it move no dish again:
 All counts are exact, and no result depends on how the rows are partitioned.
 
 Null and empty texts are one end token. Repeated rows each count and each get a
-row. With no training token all counts are 0 and the probabilities uniform. Only
-``doc_id`` and ``text`` are read, so other columns may have any name.
+row. With no training token all counts are 0 and the probabilities uniform. An empty
+table gives an empty result. A text is never cut: one longer than ``BLOCK_CHARS`` is a block
+of its own. There are no ties to break. Only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -217,6 +218,11 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) - np.log(shifted)
 
 
+def log_gamma_large(x: np.ndarray) -> np.ndarray:
+    """The same of numbers from 8 on."""
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3)
+
+
 class LargeStirling:
     """Logarithms of the generalised Stirling numbers S(c, t) for c above ``EXACT``, up to a term of c alone.
 
@@ -255,7 +261,7 @@ class LargeStirling:
 
     def series(self, c: np.ndarray, t: np.ndarray, terms: int) -> np.ndarray:
         j = np.arange(1, terms + 1)
-        gamma = log_gamma(np.maximum(c[:, None] - self.d * np.arange(terms + 1), 1.0))
+        gamma = log_gamma_large(np.maximum(c[:, None] - self.d * np.arange(terms + 1), 8.0))
         ratio = gamma[:, 1:] - gamma[:, :1]
         left = t[:, None] - np.arange(terms)
         choose = np.cumsum(np.log(np.maximum(left, 1e-300)) - np.log(j), axis=1)
@@ -293,25 +299,38 @@ def large_stirling(discount: float) -> LargeStirling:
 def seat_large(c: np.ndarray, a: np.ndarray, log_s: LargeStirling, rng: np.random.Generator) -> np.ndarray:
     """A sample of the tables of dishes with more than ``EXACT`` customers, from the weights a^t S(c, t).
 
-    Few tables are drawn from all their weights. For many, proposals are normal, with the
-    log-concave weights' own mode and curvature, and are taken or left by the weights (an
-    independence sampler, whose proposals fit the better the more tables there are).
+    Where opening has little weight, the tables but the first are nearly Poisson, and where it
+    has much, nearly normal with the weights' own mode and curvature: such proposals are taken
+    or left by the weights (independence samplers).
     """
     c, a = c.astype(float), np.maximum(a, 1e-300)
-    t, typical = np.empty(len(c), np.int64), typical_tables(c, a, log_s.d)
-    for low, high, most in ((0, 3, 24), (3, 24, EXACT)):
-        w = np.flatnonzero((typical >= low) & (typical < high))
+    t = np.empty(len(c), np.int64)
+    for low, high, steps in ((0.0, 3.0, 3), (3.0, 12.0, 6)):
+        w = np.flatnonzero((a >= low) & (a < high))
         if len(w):
-            each = np.tile(np.arange(1.0, most + 1), len(w))
-            p = (each * np.repeat(np.log(a[w]), most) + log_s(np.repeat(c[w], most), each)).reshape(-1, most)
-            p = np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
-            t[w] = 1 + (p < rng.random(len(w))[:, None] * p[:, -1:]).sum(axis=1)
-    w = np.flatnonzero(typical >= 24)
+            rate = a[w] / log_s.d if low == 0 else np.maximum(typical_tables(c[w], a[w], log_s.d) - 0.5, 1.0)
+            t[w] = _seat_few(c[w], a[w], rate, log_s, rng, steps)
+    w = np.flatnonzero(a >= 12)
     if len(w):
-        t[w] = _seat_many(c[w], a[w], typical[w], log_s, rng)
+        t[w] = _seat_many(c[w], a[w], typical_tables(c[w], a[w], log_s.d), log_s, rng)
     return t
 
 
+def _seat_few(c: np.ndarray, a: np.ndarray, rate: np.ndarray, log_s: LargeStirling, rng: np.random.Generator, steps: int) -> np.ndarray:
+    shift = np.log(a / rate)
+    # the weights over those of the proposal
+    more = lambda w, t: log_s(c[w], t) + t * shift[w] + log_gamma(t)
+    t = np.minimum(1.0 + rng.poisson(rate), c)
+    now = more(np.arange(len(c)), t)
+    for _ in range(steps):
+        other = np.minimum(1.0 + rng.poisson(rate), c)
+        moved = np.flatnonzero(other != t)
+        then = more(moved, other[moved])
+        take = np.log(rng.random(len(moved))) < then - now[moved]
+        t[moved[take]], now[moved[take]] = other[moved[take]], then[take]
+    return t.astype(np.int64)
+
+
 def _seat_many(c: np.ndarray, a: np.ndarray, typical: np.ndarray, log_s: LargeStirling, rng: np.random.Generator, steps: int = 6) -> np.ndarray:
     weight = lambda t: t * np.log(a) + log_s(c, t)
     middle = np.clip(np.rint(typical), 2, c - 1)
