@@ -624,22 +624,44 @@ def test_jaccard_join_of_sizes_at_the_threshold(spark, size):
     assert got == components_brute(rows) and got[-1][-1] == 100
 
 
-def test_links_of_a_large_group_are_few(spark):
-    """2,000 copies that mostly do not link with each other: the rows made are in proportion to them."""
+@pytest.mark.parametrize("copies", [2000, 6000])
+def test_searches_of_a_large_group_are_few(spark, monkeypatch, copies):
+    """Copies that mostly do not link with each other: the rows made are in proportion to them, linked sets meet and others stay apart."""
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in range(64)]
     rows = []
-    for i in range(2000):
+    for i in range(copies):
         w = list(base)
         for at in rng.choice(64, 2, replace=False):
             w[at] = f"e{i}x{at}"
         rows.append((i, " ".join(w), "en", "a", 1))
+    made = []
+
+    def counted(*args, search=jaccard_join.searches):
+        found, shards = search(*args)
+        made.append(found.count())
+        return found, shards
+
+    monkeypatch.setattr(jaccard_join, "searches", counted)
     out = jaccard_join.join(spark.createDataFrame(rows, SCHEMA).repartition(4))
-    sets = {r[0]: {tuple(r[1].split()[j : j + 5]) for j in range(60)} for r in rows}
     got = {r["doc_id"]: r["component_id"] for r in out.collect()}
-    for i, j in rng.integers(0, 2000, (4000, 2)).tolist():
-        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-            assert got[i] == got[j]
+    assert sum(made) < 3 * copies
+    # all pairs, by the positions that a set still shares with the original; further edits never agree
+    kept = np.array([[w == f"w{j}" for j, w in enumerate(r[1].split())] for r in rows])
+    shingle = np.stack([kept[:, j : j + 5].all(axis=1) for j in range(60)], axis=1).astype(np.float32)
+    parent = list(range(copies))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(copies):
+        both = shingle[i] @ shingle[:i].T
+        for j in np.flatnonzero(100 * both >= 80 * (120 - both)).tolist():
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    assert got == {i: root(i) for i in range(copies)}
 
 
 # ---- 9 ------------------------------------------------------------------------------------------------------------
