@@ -12,7 +12,8 @@ all sources are at about the same part of their targets.
 Null texts have size 0. Null sources are one source, sorted last. Documents of
 size 0 are kept with ``taken`` 0. Repeated rows count one by one. With all sizes
 0 all targets are 0. Columns called ``source_size``, ``target`` or ``taken`` are
-replaced; others may have any name. The table of sources (one row each, aggregated) is the only
+replaced; others may have any name. An empty table gives an empty result. Texts are only
+measured, whatever their length; documents of one hash are ordered by size and are otherwise alike. The table of sources (one row each, aggregated) is the only
 thing sorted as a whole.
 """
 

@@ -9,7 +9,10 @@ falls with their edit distance and not only with their k-mer sets.
 
 Null and empty texts have no k-mer and the all-zero fingerprint; two of them are
 alike (1), one of them and any other text are not (0). Equal texts have equal
-fingerprints.
+fingerprints. Of k-mers with equal hashes the earlier in the text is selected. Very long texts are
+hashed whole, in time and memory in proportion to their length. Repeated rows each give a row, in the order
+of their texts where ids are equal. An empty table gives an empty result. Only
+``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations

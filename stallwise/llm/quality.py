@@ -20,7 +20,8 @@ shuffled, and a reference has ``1 / common_share`` words at most.
 Null texts have no words and fail the base rules, as empty ones do. A null
 ``lang`` is a language of its own. Repeated rows are judged one by one and all
 count for the references. An empty table gives an empty result. Columns called
-like a result column are replaced.
+like a result column are replaced. Very long texts are counted whole. There are no ties to
+break: words of equal counts are all common, or all not.
 """
 
 from __future__ import annotations

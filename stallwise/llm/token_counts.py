@@ -12,7 +12,8 @@ token a UTF-8 byte.
 The vocabulary is given as pieces with scores; it is read on the driver and shared
 (tens of thousands of pieces). Words repeat, so each task keeps the counts of up to
 ``CACHE_WORDS`` words. Null and empty texts have no tokens. Repeated rows each get
-a row; columns called like a result column are replaced.
+a row; columns called like a result column are replaced. An empty table gives an empty
+result. Very long texts are counted whole, in time in proportion to their length.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Training uses at most ``sample`` toxic and twice as many clean labelled document
 (of those with a text of at most ``longest`` characters the smallest by hash of their ids), and at most
 ``sample_chars`` characters of text in all; scoring covers all rows. Null and empty texts score 0. Without labels of both kinds all
 scores are 0. Repeated rows are scored one by one; of contradicting labels of a
-document the highest counts. Columns called like a result column are replaced.
+document the highest counts. An empty table gives an empty result. Very long texts are tagged
+whole, in memory in proportion to their tokens; of training rows with equal hashes the smaller id is first. Columns called like a result column are replaced.
 """
 
 from __future__ import annotations

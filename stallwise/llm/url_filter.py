@@ -12,7 +12,9 @@ smoothed by the overall share. A purity of ``threshold`` or more is rejected.
 
 Null urls and urls without ``://`` have an empty host and path; they are judged
 like the other urls of the empty template. Repeated rows are judged one by one.
-Columns called like a result column are replaced; others may have any name.
+Columns called like a result column are replaced; others may have any name. An empty
+table gives an empty result. Very long urls are split like others, and what lies below
+``depth`` segments is one template. Siblings of equal shares are ordered by their template.
 """
 
 from __future__ import annotations
