@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -357,6 +358,60 @@ def test_training_rows_keep_the_fold(spark, docs):
     assert all(len(t) <= 10_000 for t, _ in got) and toxicity.training_rows(table.limit(0), marks) == []
 
 
+def chain_loss(e, trans, y):
+    """The negative logarithm of the chance of the labels ``y``, by all labellings."""
+    score = lambda z: sum(x for x, k in zip(e, z) if k) + sum(trans[i][j] for i, j in zip(z, z[1:]))
+    every = [score(z) for z in itertools.product((0, 1), repeat=len(e))]
+    return math.log(sum(map(math.exp, every))) - score(y)
+
+
+def test_gradient_is_that_of_the_loss():
+    """What training follows, against differences of the loss over all labellings."""
+    rng = np.random.default_rng(6)
+    lengths = np.array([4, 1, 6, 2])
+    e, trans = rng.normal(0, 2, lengths.sum()), rng.normal(0, 1, (2, 2))
+    y = rng.integers(0, 2, lengths.sum())
+    ends = np.cumsum(lengths)
+    spans = list(zip(ends - lengths, ends))
+    loss = lambda e, trans: sum(chain_loss(e[a:b].tolist(), trans.tolist(), y[a:b].tolist()) for a, b in spans)
+    p, forward, backward = toxicity._Chains(lengths).marginals(e, trans)
+    doc = np.repeat(np.arange(4), lengths)
+    inner = doc[:-1] == doc[1:]
+    pairs = toxicity._pairs(e, forward, backward, trans, inner)
+    step = 1e-6
+    for i in range(len(e)):
+        d = np.eye(len(e))[i] * step
+        assert (loss(e + d, trans) - loss(e - d, trans)) / (2 * step) == pytest.approx(p[i] - y[i], abs=1e-5)
+    for i in (0, 1):
+        for j in (0, 1):
+            d = np.zeros((2, 2))
+            d[i, j] = step
+            seen = ((y[:-1][inner] == i) & (y[1:][inner] == j)).sum()
+            assert (loss(e, trans + d) - loss(e, trans - d)) / (2 * step) == pytest.approx(pairs[i, j] - seen, abs=1e-5)
+
+
+def test_training_lowers_the_loss_and_marks_are_counted():
+    texts = [f"{'vile ' * (i % 2)}word {i} and {'vile slur' if i % 2 else 'good day'} w{i % 7}" for i in range(60)]
+    labels = [i % 2 for i in range(60)]
+    words = [t.split() for t in texts]
+    codes = {w: k for k, w in enumerate(sorted({w for own in words for w in own}))}
+    marks = np.array([codes[w] for own in words for w in own])
+    doc = np.repeat(np.arange(60), [len(own) for own in words])
+    toxic = np.array(labels, bool)
+    got = toxicity.mark_tokens([marks], doc, toxic)
+    rate = toxic[doc].mean()
+    for at, (w, d) in enumerate(zip([w for own in words for w in own], doc)):
+        seen1, seen0 = (sum(w in own for own, t in zip(words, labels) if t == y) for y in (1, 0))
+        part = min(max(seen1 / (seen1 + seen0), 1e-9), 1 - 1e-9)
+        surprise = (seen1 + seen0) * (part * math.log(part / rate) + (1 - part) * math.log((1 - part) / (1 - rate)))
+        marked = part > rate and surprise >= math.log(len(codes) / 0.05) and seen1 / 30 >= 60 * (seen0 + 0.5) / 30
+        assert got[at] == (marked and labels[d] == 1)
+    assert got.any()
+    scores = [toxicity.tag(toxicity.fit(texts, labels, steps=n), texts)[0] for n in (1, 20, 80)]
+    gap = [s[toxic].mean() - s[~toxic].mean() for s in scores]
+    assert gap[0] < gap[1] <= gap[2] + 1e-3 and scores[2][toxic].min() > 0.9 > 0.1 > scores[2][~toxic].max()
+
+
 # ---- 6 ------------------------------------------------------------------------------------------------------------
 
 
