@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stallwise.operators import access, classify, costs, names, questions, rollup, store
 from stallwise.sources import pages
-from stallwise.streaming import ingest
+from stallwise.streaming import daily, ingest
 
 DAY = dt.date(2026, 9, 9)
 RULES = classify.Taxonomy(
@@ -275,8 +275,8 @@ def test_stream_equals_batch(spark, tmp_path):
     for _ in range(2):
         ingest.ingest_exact(stream, str(tmp_path / "store"), str(tmp_path / "ckpt"), ["at"]).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "store")).count() == 5
-    ingest.price_histogram(stream, str(tmp_path / "hist"), str(tmp_path / "ckpt2")).awaitTermination()
-    hist = ingest.histogram_rows(spark.read.parquet(str(tmp_path / "hist")))
+    daily.price_histogram(stream, str(tmp_path / "hist"), str(tmp_path / "ckpt2")).awaitTermination()
+    hist = spark.read.parquet(str(tmp_path / "hist"))
     assert hist.agg(F.sum("n")).first()[0] == 20
 
 
