@@ -15,6 +15,10 @@ like the other urls of the empty template. Repeated rows are judged one by one.
 Columns called like a result column are replaced; others may have any name. An empty
 table gives an empty result. Very long urls are split like others, and what lies below
 ``depth`` segments is one template. Siblings of equal shares are ordered by their template.
+
+A host, a shape or a template may be that of most urls: the facts of such keys (at most
+1,024 a join) are broadcast, and their rows are dealt evenly. The sibling templates of one
+parent, each of ``min_support`` pages or more, are ordered in one task.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.llm.joins import with_facts
 from stallwise.session import cut_lineage
 
 #: |z| above which two shares differ at the 5 % level.
@@ -50,18 +55,18 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tupl
     return best, verdict
 
 
-def templates(shapes: DataFrame, min_support: int, depth: int) -> DataFrame:
-    """``shapes`` (host, shape, n) with ``parent`` and ``template``, level by level from the root."""
+def templates(shapes: DataFrame, min_support: int, depth: int, total: int) -> DataFrame:
+    """The ``total`` ``shapes`` (host, shape, n) with ``parent`` and ``template``, level by level from the root."""
     out = shapes.withColumn("_segments", F.filter(F.split("shape", "/"), lambda s: s != "")).withColumns(
         {"parent": F.lit(""), "template": F.lit("")}
     )
     for level in range(1, depth + 1):
         segment = F.get("_segments", F.lit(level - 1))
         out = out.withColumn("_segment", segment)
-        support = out.groupBy("host", "template", "_segment").agg(F.sum("n").alias("_support"))
+        support = out.groupBy("host", "template", "_segment").agg(F.sum("n").alias("_support"), F.count("*").alias("_rows"))
         support = support.filter((F.col("_support") >= min_support) & F.col("_segment").isNotNull())
-        out = (
-            out.join(support, ["host", "template", "_segment"], "left")
+        out = cut_lineage(
+            with_facts(out, support, ["host", "template", "_segment"], total, ["host", "shape"])
             .withColumn("_segment", F.when(F.col("_segment").isNull() | F.col("_support").isNotNull(), F.col("_segment")).otherwise("*"))
             .withColumn("parent", F.when(F.col("_segment").isNull(), F.col("parent")).otherwise(F.col("template")))
             .withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "_segment"), F.lit(""))))
@@ -87,7 +92,9 @@ def judge(
     """``pages`` with ``host``, ``path``, ``rule``, ``template``, ``purity`` and ``verdict``."""
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "template", "purity", "verdict")]
     host, path = split_url(F.col(url))
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_page"), host.alias("host"), path.alias("path"))
+    # what tells a page from others of its url, as far as it can be hashed
+    hashed = [F.col(f"`{c}`") for c, kind in pages.dtypes if c in own and not any(k in kind for k in ("map<", "variant"))]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_page"), F.xxhash64(*hashed).alias("_key"), host.alias("host"), path.alias("path"))
     rule, decision = match_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_decision": decision, "shape": F.regexp_replace("path", "[0-9]+", "0")})
     shapes = rows.groupBy("host", "shape").agg(
@@ -95,8 +102,12 @@ def judge(
         F.count_if(F.col("_decision") == "block").alias("blocked"),
         F.count_if(F.col("_decision").isNotNull()).alias("labelled"),
     )
-    tree = templates(cut_lineage(shapes), min_support, depth)
-    nodes = tree.groupBy("host", "parent", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+    shapes = cut_lineage(shapes)
+    n_shapes, n_pages = shapes.agg(F.count("*"), F.sum("n")).first()
+    tree = templates(shapes, min_support, depth, n_shapes)
+    nodes = cut_lineage(
+        tree.groupBy("host", "parent", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), F.count("*").alias("_rows"))
+    )
 
     # merge neighbouring siblings whose shares do not differ
     siblings = Window.partitionBy("host", "parent").orderBy("_share", "template")
@@ -114,16 +125,15 @@ def judge(
     )
 
     overall = nodes.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("_overall"))
-    any_host = nodes.groupBy("template").agg(F.sum("blocked").alias("_any_blocked"), F.sum("labelled").alias("_any_labelled"))
+    any_host = nodes.groupBy("template").agg(F.sum("blocked").alias("_any_blocked"), F.sum("labelled").alias("_any_labelled"), F.count("*").alias("_rows"))
     any_host = any_host.join(F.broadcast(overall)).select(
-        "template", ((F.col("_any_blocked") + strength * F.col("_overall")) / (F.col("_any_labelled") + strength)).alias("_prior")
+        "template", "_rows", ((F.col("_any_blocked") + strength * F.col("_overall")) / (F.col("_any_labelled") + strength)).alias("_prior")
     )
     purity = (F.coalesce("branch_blocked", F.lit(0)) + strength * F.col("_prior")) / (F.coalesce("branch_labelled", F.lit(0)) + strength)
-    judged = (
-        tree.select("host", "shape", "template")
-        .join(any_host, "template")
-        .join(seen, ["host", "template"], "left")
-        .select("host", "shape", "template", purity.alias("purity"))
-    )
+    priors = with_facts(nodes.select("host", "template", "_rows"), any_host, ["template"], n_shapes, ["host", "template"])
+    pure = cut_lineage(priors.join(seen, ["host", "template"], "left").select("host", "template", "_rows", purity.alias("purity")))
+    judged = with_facts(tree.select("host", "shape", "template", F.col("n").alias("_n")), pure, ["host", "template"], n_shapes, ["host", "shape"])
+    judged = cut_lineage(judged.withColumnRenamed("_n", "_rows"))
     verdict = F.coalesce("_decision", F.when(F.col("purity") >= threshold, "block").otherwise("allow"))
-    return rows.join(judged, ["host", "shape"]).select("_page.*", "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
+    rows = with_facts(rows, judged, ["host", "shape"], n_pages or 0, ["path", "_key"])
+    return rows.select("_page.*", "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
