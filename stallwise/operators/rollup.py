@@ -123,6 +123,11 @@ def run_counts(rollups: DataFrame) -> DataFrame:
     )
 
 
+def tenths(value: Column) -> Column:
+    """A double to one decimal, in doubles: halves of the tenfold value go away from zero, and what is just below zero is -0.0."""
+    return F.signum(value) * F.round(F.abs(value) * 10, 0) / 10
+
+
 def price_trend(daily: DataFrame, keys: tuple[str, ...] = ("category_code", "platform_code"), minimum_points: int = 3) -> DataFrame:
     """Direction of a series of daily medians, by its first and last day; a short series is a refusal row."""
     at = [F.min_by("median", "observed_on"), F.max_by("median", "observed_on")]
@@ -130,14 +135,14 @@ def price_trend(daily: DataFrame, keys: tuple[str, ...] = ("category_code", "pla
         F.count("*").alias("points"), F.min("observed_on").alias("from_date"), F.max("observed_on").alias("to_date"), at[0].alias("_first"), at[1].alias("_last")
     )
     change = F.col("_last") - F.col("_first")
-    percent = F.coalesce((change / F.nullif(F.col("_first"), F.lit(0).cast("decimal(12,2)"))).cast("double") * 100, F.lit(0.0))
+    percent = F.coalesce(F.try_divide(change.cast("double"), F.col("_first").cast("double")) * 100, F.lit(0.0))
     enough = F.col("points") >= minimum_points
     direction = F.when(F.abs(percent) < 3.0, "flat").when(change > 0, "rising").otherwise("falling")
     return out.select(
         *keys, "points", enough.alias("available"),
         F.when(enough, direction).alias("direction"),
         F.when(enough, change.cast("decimal(12,2)")).alias("change_kes"),
-        F.when(enough, F.round(percent, 1)).alias("change_percent"),
+        F.when(enough, tenths(percent)).alias("change_percent"),
         F.when(enough, F.col("from_date")).alias("from_date"),
         F.when(enough, F.col("to_date")).alias("to_date"),
         F.when(~enough, F.concat(F.col("points").cast("string"), F.lit(f" days of history, need at least {minimum_points}"))).alias("reason"),
