@@ -109,6 +109,33 @@ def activity_sketches(events: DataFrame, store: str, checkpoint: str, event_time
     return run_to_end(rows, checkpoint, each)
 
 
+def activity_bitmaps(events: DataFrame, store: str, checkpoint: str, event_time: str = "ts") -> StreamingQuery:
+    """As ``activity_sketches``, exact: the sellers are whole numbers and each (day, category) keeps a bit for every one seen.
+
+    A row holds the bits of 32,768 neighbouring numbers (4 KB, few bytes when stored if few are
+    set), so rows and memory are in proportion to the ranges of numbers that occur. Bits merge as
+    sketches do.
+    """
+    seller = F.col("seller_name").cast("long")
+    rows = events.select(F.to_date(event_time).alias("day"), "category_code", F.bitmap_bucket_number(seller).alias("bucket"), F.bitmap_bit_position(seller).alias("_bit"))
+    keys = ["day", "category_code", "bucket"]
+
+    def each(batch: DataFrame, number: int) -> None:
+        seen = batch.groupBy(*keys).agg(F.count("*").alias("listings"), F.bitmap_construct_agg("_bit").alias("sellers")).persist()
+        try:
+            merge_days(seen, store, number, keys, [F.sum("listings").alias("listings"), F.bitmap_or_agg("sellers").alias("sellers")], day="day")
+        finally:
+            seen.unpersist()
+
+    return run_to_end(rows, checkpoint, each)
+
+
+def exact_activity(bitmaps: DataFrame, keys: tuple[str, ...] = ("day", "category_code")) -> DataFrame:
+    """Listings and distinct sellers, both exact, by ``keys``, which may leave out day or category."""
+    merged = bitmaps.groupBy(*keys, "bucket").agg(F.sum("listings").alias("listings"), F.bitmap_count(F.bitmap_or_agg("sellers")).alias("sellers"))
+    return merged.groupBy(*keys).agg(F.sum("listings").alias("listings"), F.sum("sellers").alias("sellers"))
+
+
 def activity(sketches: DataFrame, keys: tuple[str, ...] = ("day", "category_code")) -> DataFrame:
     """Listings and distinct sellers (estimated, with the error of ``SKETCH_SIZE``) by ``keys``, which may leave out day or category."""
     merged = sketches.groupBy(*keys).agg(F.sum("listings").alias("listings"), F.hll_union_agg("sketch").alias("sketch"))
