@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -37,6 +38,11 @@ STOPWORDS = [
 SINGULARS = [("ies", 4, "y"), ("ses", 4, "s"), ("ss", 1, "ss"), ("s", 3, "")]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once a row however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _split_range(raw: Column) -> tuple[Column, Column]:
     """The text before and after the first range separator in their order; null after when there is none."""
     low, high = raw, F.lit(None).cast("string")
@@ -49,24 +55,32 @@ def _split_range(raw: Column) -> tuple[Column, Column]:
 
 def parse_price(raw: Column) -> Column:
     """Price text to DECIMAL(18,4): the low end of a range, ``k`` as thousands; null if unreadable or implausible."""
-    return _parse_one(_split_range(F.trim(raw))[0])
+    return once(F.trim(raw), lambda text: _parse_one(_split_range(text)[0]))
 
 
 def _parse_one(raw: Column) -> Column:
-    """``parse_price`` of a text that is no range."""
-    text = F.regexp_replace(raw, CURRENCY_NOISE, " ")
-    digits = F.replace(F.regexp_extract(text, NUMBER, 1), F.lit(","), F.lit(""))
-    value = F.nullif(digits, F.lit("")).try_cast("decimal(18,4)")
-    value = F.when(F.regexp_extract(text, NUMBER, 2) != "", value * 1000).otherwise(value).try_cast("decimal(18,4)")
-    return F.when(value.between(LEAST_PRICE, MOST_PRICE), value)
+    """``parse_price`` of a text that is no range; each pattern is matched once."""
+    found = F.regexp_extract(F.regexp_replace(raw, CURRENCY_NOISE, " "), NUMBER, 0)
+
+    def value(number: Column) -> Column:
+        digits = F.translate(number, ", \t\n\x0b\f\rkK", "").try_cast("decimal(18,4)")
+        return (digits * F.when(F.lower(F.right(number, F.lit(1))) == "k", 1000).otherwise(1)).try_cast("decimal(18,4)")
+
+    return F.get(F.filter(F.transform(F.array(found), value), lambda v: v.between(LEAST_PRICE, MOST_PRICE)), F.lit(0))
 
 
 def parse_price_range(raw: Column) -> Column:
     """Both ends in ascending order; one price is both ends; null if an end is unreadable."""
-    low_text, high_text = _split_range(F.trim(raw))
-    low, high = _parse_one(low_text), _parse_one(_split_range(high_text)[0])
-    both = F.array_sort(F.array(low, F.when(high_text.isNull(), low).otherwise(high)))
-    return F.transform(F.array(both), lambda p: F.when(p[1].isNotNull() & p[0].isNotNull(), F.struct(p[0].alias("low"), p[1].alias("high"))))[0]
+
+    def ends(text: Column) -> Column:
+        low, high = _split_range(text)
+        return F.struct(_parse_one(low).alias("a"), once(high, lambda h: _parse_one(_split_range(h)[0])).alias("b"), high.isNull().alias("single"))
+
+    def ordered(e: Column) -> Column:
+        a, b = e["a"], F.when(e["single"], e["a"]).otherwise(e["b"])
+        return F.when(a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")))
+
+    return once(once(F.trim(raw), ends), ordered)
 
 
 def clean_title(raw: Column) -> Column:
@@ -87,7 +101,7 @@ def extract_specs(title: Column) -> Column:
 def normalise_sku(platform: Column, key: Column) -> Column:
     """``platform:key`` with the key's letters and digits joined by dashes; null without any."""
     body = F.regexp_replace(F.regexp_replace(F.lower(F.trim(key)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(body != "", F.concat(platform, F.lit(":"), body))
+    return once(body, lambda b: F.when(b != "", F.concat(platform, F.lit(":"), b)))
 
 
 @F.arrow_udf(StringType())

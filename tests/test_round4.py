@@ -5,6 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from stallwise.functions import text
 from stallwise.operators import access, rollup
 from stallwise.streaming import daily
 
@@ -47,3 +48,17 @@ def test_activity_is_exact(spark, tmp_path):
     for keys in (("day", "category_code"), ("category_code",)):
         got = daily.exact_activity(kept, keys).collect()
         assert [(r["listings"], r["sellers"]) for r in got] == [tuple(want)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_price_patterns_are_matched_once(spark):
+    """Each end of a range is matched once in the plan."""
+    rows = spark.createDataFrame([("KSh 1.5k - KSh 500",), ("1,299/=",), ("KSh 5 - 90",), ("900 to contact us",), (" 2500 K bob",), ("40 – 30 – 20",), (None,)], "raw string")
+    ranges = rows.select(text.parse_price_range(F.col("raw")).alias("r")).select("r.low", "r.high")
+    money = lambda *p: tuple(None if v is None else Decimal(v).quantize(Decimal("0.0001")) for v in p)
+    assert [tuple(r) for r in ranges.collect()] == [money(500, 1500), money(1299, 1299), (None, None), (None, None), money(2_500_000, 2_500_000), money(30, 40), (None, None)]
+    assert plan(ranges).count("shillings") <= 2
+    assert plan(rows.select(text.parse_price(F.col("raw")))).count("shillings") == 1
