@@ -7,7 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallwise.functions.text import normalise_sku, parse_price
+from stallwise.functions.text import normalise_sku, once, parse_price
 from stallwise.operators.store import in_currency, seller_of
 
 # What a challenge page says in its first characters, and what one says that is short as a whole.
@@ -17,6 +17,12 @@ CHALLENGE_CHARS, SHORT_PAGE = 4000, 800
 LD_JSON = r"(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 
 
+def _parsed(rows: DataFrame, kept: list[str], **fields: Column) -> DataFrame:
+    """``kept`` columns and ``fields``, each computed once a row: filters and orders on them stay above."""
+    made = rows.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))).alias("_f"))
+    return made.select(*kept, *[F.col(f"_f.{n}").alias(n) for n in fields])
+
+
 def clean_markup(html: Column) -> Column:
     """Text without tags, entities decoded, single spaces."""
     return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", " ")), r"[\s\u00a0]+", " "))
@@ -36,9 +42,12 @@ def decode_entities(text: Column) -> Column:
         numeric = F.when(real, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
         return F.coalesce(F.when(entity.startswith("#"), numeric).otherwise(named[entity]), F.concat(F.lit("&"), entity, F.lit(";")))
 
-    parts = F.split(text, found, -1)
-    entities = F.transform(F.regexp_extract_all(text, F.lit(found), 1), char)
-    return F.when(text.contains("&"), F.array_join(F.zip_with(parts, entities, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")).otherwise(text)
+    def decoded(t: Column) -> Column:
+        entities = F.transform(F.regexp_extract_all(t, F.lit(found), 1), char)
+        joined = F.array_join(F.zip_with(F.split(t, found, -1), entities, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
+        return F.when(t.contains("&"), joined).otherwise(t)
+
+    return once(text, decoded)
 
 
 def blocked_page(html: Column, short_only: bool = False) -> Column:
@@ -124,16 +133,16 @@ def extract_cards(pages: DataFrame, platform: str) -> DataFrame:
     card = r'(?is)<article[^>]*class="[^"]*prd[^"]*"[^>]*>(.*?)</article>'
     cards = pages.select("url", "fetched_on", F.posexplode(F.regexp_extract_all("html", F.lit(card), 1)).alias("pos", "_card"))
     pick = lambda pattern: F.nullif(F.regexp_extract("_card", pattern, 1), F.lit(""))
-    rows = cards.select(
-        F.lit(platform).alias("platform_code"),
-        "url", "pos",
-        pick(r'(?is)<a[^>]*href="([^"]+)"').alias("source_url"),
-        clean_markup(pick(r'(?is)<h3[^>]*class="[^"]*name[^"]*"[^>]*>(.*?)</h3>')).alias("title"),
-        parse_price(clean_markup(pick(r'(?is)<div[^>]*class="[^"]*prc[^"]*"[^>]*>(.*?)</div>'))).cast("decimal(12,2)").alias("price_kes"),
-        normalise_sku(F.lit(platform), F.coalesce(pick(r'data-(?:sku|id)="([^"]*)"'), pick(r'(?is)<a[^>]*href="([^"]+)"'))).alias("source_key"),
-        pick(r'data-(?:ga4-item_)?brand="([^"]*)"').alias("brand"),
-        F.col("fetched_on").alias("observed_on"),
+    rows = _parsed(
+        cards, ["url", "pos", "fetched_on"],
+        platform_code=F.lit(platform),
+        source_url=pick(r'(?is)<a[^>]*href="([^"]+)"'),
+        title=clean_markup(pick(r'(?is)<h3[^>]*class="[^"]*name[^"]*"[^>]*>(.*?)</h3>')),
+        price_kes=parse_price(clean_markup(pick(r'(?is)<div[^>]*class="[^"]*prc[^"]*"[^>]*>(.*?)</div>'))).cast("decimal(12,2)"),
+        source_key=normalise_sku(F.lit(platform), F.coalesce(pick(r'data-(?:sku|id)="([^"]*)"'), pick(r'(?is)<a[^>]*href="([^"]+)"'))),
+        brand=pick(r'data-(?:ga4-item_)?brand="([^"]*)"'),
     ).filter("source_url IS NOT NULL AND title IS NOT NULL AND price_kes IS NOT NULL")
+    rows = rows.select("platform_code", "url", "pos", "source_url", "title", "price_kes", "source_key", "brand", F.col("fetched_on").alias("observed_on"))
     order = Window.partitionBy("source_key", "observed_on").orderBy(page_number(F.col("url")), "url", "pos")
     return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth", "url", "pos")
 
@@ -148,15 +157,15 @@ def extract_items(pages: DataFrame, platform: str, shortest_title: int = 6) -> D
     item = r'(?is)<div[^>]*class="[^"]*product-item[^"]*"[^>]*>(.*?)(?=<div[^>]*class="[^"]*product-item|\z)'
     items = pages.select("url", "fetched_on", F.posexplode(F.regexp_extract_all("html", F.lit(item), 1)).alias("pos", "_item"))
     link = F.nullif(F.regexp_extract("_item", r'(?is)<a[^>]*href="([^"]+)"', 1), F.lit(""))
-    rows = items.select(
-        F.lit(platform).alias("platform_code"),
-        "url", "pos",
-        link.alias("source_url"),
-        clean_markup(F.regexp_extract("_item", r'(?is)<[^>]*class="[^"]*title[^"]*"[^>]*>(.*?)</', 1)).alias("title"),
-        parse_price(clean_markup(F.regexp_extract("_item", r'(?is)<[^>]*class="[^"]*price[^"]*"[^>]*>(.*?)</', 1))).cast("decimal(12,2)").alias("price_kes"),
-        normalise_sku(F.lit(platform), link).alias("source_key"),
-        F.col("fetched_on").alias("observed_on"),
+    rows = _parsed(
+        items, ["url", "pos", "fetched_on"],
+        platform_code=F.lit(platform),
+        source_url=link,
+        title=clean_markup(F.regexp_extract("_item", r'(?is)<[^>]*class="[^"]*title[^"]*"[^>]*>(.*?)</', 1)),
+        price_kes=parse_price(clean_markup(F.regexp_extract("_item", r'(?is)<[^>]*class="[^"]*price[^"]*"[^>]*>(.*?)</', 1))).cast("decimal(12,2)"),
+        source_key=normalise_sku(F.lit(platform), link),
     ).filter((F.length("title") >= shortest_title) & F.col("price_kes").isNotNull() & F.col("source_key").isNotNull())
+    rows = rows.select("platform_code", "url", "pos", "source_url", "title", "price_kes", "source_key", F.col("fetched_on").alias("observed_on"))
     order = Window.partitionBy("url", "source_key", "observed_on").orderBy("pos")
     return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth", "url", "pos")
 

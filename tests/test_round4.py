@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions import text
 from stallwise.operators import access, rollup
+from stallwise.sources import pages
 from stallwise.streaming import daily
 
 
@@ -62,3 +63,13 @@ def test_price_patterns_are_matched_once(spark):
     assert [tuple(r) for r in ranges.collect()] == [money(500, 1500), money(1299, 1299), (None, None), (None, None), money(2_500_000, 2_500_000), money(30, 40), (None, None)]
     assert plan(ranges).count("shillings") <= 2
     assert plan(rows.select(text.parse_price(F.col("raw")))).count("shillings") == 1
+
+
+def test_cards_and_items_are_picked_once(spark):
+    """A filter on a card's fields does not match its patterns again."""
+    html = '<article class="prd"><a href="/p" data-sku="k"><h3 class="name">A &amp; B</h3><div class="prc">KSh 900</div></a></article><div class="product-item"><a href="/i"><p class="title">Six letters</p><i class="price">70</i></a>'
+    found = spark.createDataFrame([("http://x/", html, datetime.date(2024, 1, 1))], "url string, html string, fetched_on date")
+    cards, items = pages.extract_cards(found, "web"), pages.extract_items(found, "web")
+    assert [(r["title"], r["price_kes"], r["source_key"]) for r in cards.collect()] == [("A & B", Decimal("900.00"), "web:k")]
+    assert [(r["title"], r["price_kes"]) for r in items.collect()] == [("Six letters", Decimal("70.00"))]
+    assert plan(cards).count("prc[^") == 1 and plan(items).count("price[^") == 1
