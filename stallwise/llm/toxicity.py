@@ -33,6 +33,8 @@ WEIGHTS = 1 << 21
 PREFIXES = (4, 5, 6)
 #: Marginals below this do not add up in a document's score; the highest alone counts.
 FLOOR = 0.25
+#: Shingles of training rows that are kept as a set before they are merged.
+RECENT = 1 << 16
 
 
 def _slots(tokens: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -114,7 +116,7 @@ def mark_tokens(marks: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray, odd
     hit = np.zeros(len(doc), bool)
     for m in marks:
         kinds, number = np.unique(m, return_inverse=True)
-        pairs = np.unique(number.astype(np.int64) * len(toxic) + doc)
+        pairs = np.unique(number * len(toxic) + doc)
         in_toxic = toxic[pairs % len(toxic)]
         seen1 = np.bincount(pairs[in_toxic] // len(toxic), minlength=len(kinds))
         seen0 = np.bincount(pairs[~in_toxic] // len(toxic), minlength=len(kinds))
@@ -139,9 +141,11 @@ def fit(texts: list[str], labels: list[int], steps: int = 80, rate: float = 0.5,
         tokens = Tokens(texts[a:b], letters=True)
         parts.append((*_slots(tokens), tokens.doc + a))
     doc = np.concatenate([p[2] for p in parts])
-    y = mark_tokens([np.concatenate(m) for m in zip(*(p[1] for p in parts))], doc, toxic)
     slots = np.concatenate([p[0] for p in parts], axis=1)
+    marks = [np.concatenate(m) for m in zip(*(p[1] for p in parts))]
     del parts
+    y = mark_tokens(marks, doc, toxic)
+    del marks
     if not y.any():
         return None
     # a toxic document without any marked token says nothing of its tokens
@@ -153,8 +157,14 @@ def fit(texts: list[str], labels: list[int], steps: int = 80, rate: float = 0.5,
     inner = doc[:-1] == doc[1:]
     a, b = y[:-1][inner], y[1:][inner]
     seen = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
-    used, slots = np.unique(slots, return_inverse=True)  # other weights stay 0
-    slots = slots.reshape(-1, len(y)).astype(np.int32)
+    # the used weights numbered in order, by a table of all: sorting the slots takes ten times their memory; other weights stay 0
+    number = np.zeros(WEIGHTS, np.int32)
+    for own in slots:
+        number[own] = 1
+    used = np.flatnonzero(number)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    for own in slots:
+        own[:] = number[own]
     w, trans = np.zeros(len(used)), np.zeros((2, 2))
     m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))
     w[slots[-1][0] if slots.size else 0] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
@@ -209,14 +219,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out=None, sample: int
 
 def distinct_rows(rows: list[tuple[str, int]], sample_chars: int, overlap: float = 0.3) -> list[tuple[str, int]]:
     """The rows up to ``sample_chars`` characters, less near copies of earlier ones, whose every word would seem to mark them."""
-    seen: set[int] = set()
+    # shingles seen: the last ones as a set, the others as a sorted array of a tenth of its memory
+    recent: set[int] = set()
+    earlier = np.empty(0, np.int64)
     out, used = [], 0
     for text, label in rows:
         words = text.lower().split()
         shingles = {hash(w) for w in zip(words, words[1:], words[2:])} or {hash(text)}
-        if len(shingles & seen) >= overlap * len(shingles):
+        fresh = np.fromiter(shingles - recent, np.int64)
+        known = len(shingles) - len(fresh)
+        if len(earlier):
+            at = np.minimum(np.searchsorted(earlier, fresh), len(earlier) - 1)
+            known += int((earlier[at] == fresh).sum())
+        if known >= overlap * len(shingles):
             continue
-        seen |= shingles
+        recent |= shingles
+        if len(recent) > RECENT:
+            earlier = np.union1d(earlier, np.fromiter(recent, np.int64))
+            recent = set()
         used += len(text)
         if used > sample_chars:
             break
