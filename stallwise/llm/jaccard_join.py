@@ -25,14 +25,15 @@ smallest id. The join of the classes is exact:
 
 The blobs of step 1 are a row for each block and shard with shingles in common, so
 never more than there are shingles. Rows of one id are one document here: what the
-text of either links with is in the component of both.
+text of either links with is in the component of both. Each different set of such an id,
+and of a null one, is joined under a number of its own, and the components are then merged by id.
 
 Null and empty texts have an empty set, link with nothing and are their own
 component. Fewer words than ``k`` are one shingle. Repeated rows each give a row.
 An empty table gives an empty result. Very long texts are blocks of their own. Shingles of
 equal frequency are ordered by hash, hubs that are equally central by id. Only ``doc_id`` and
 ``text`` are read, so other columns may have any name.
-A null id has the null component unless its set has another id.
+A null id has the component of what its set links with, null if no id is there; it links as any other.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def _shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def _set_ids(docs: DataFrame, k: int) -> DataFrame:
+def _set_ids(docs: DataFrame, k: int, *kept: str) -> DataFrame:
     @F.arrow_udf("struct<n:bigint,set_id:string,chars:bigint>")
     def run(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
@@ -95,7 +96,7 @@ def _set_ids(docs: DataFrame, k: int) -> DataFrame:
         n = pa.array([len(s) for s in sets], pa.int64())
         return pa.StructArray.from_arrays([n, pa.array(ids, pa.string()), pa.array([len(t or "") for t in rows], pa.int64())], ["n", "set_id", "chars"])
 
-    return docs.select("doc_id", run("text").alias("_s")).select("doc_id", F.col("_s.n").alias("n_shingles"), "_s.set_id", "_s.chars")
+    return docs.select("doc_id", *kept, run("text").alias("_s")).select("doc_id", *kept, F.col("_s.n").alias("n_shingles"), "_s.set_id", "_s.chars")
 
 
 def _block_sets(texts: pa.Table, chosen: set, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -364,6 +365,42 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = cut_lineage(_set_ids(docs, k))
+    own = F.coalesce("set_id", F.lit(""))
+    odd = ids.groupBy("doc_id").agg(F.min(own).alias("_a"), F.max(own).alias("_b")).filter("_a <> _b OR doc_id IS NULL AND _b <> ''").select("doc_id")
+    return _join_one_set_an_id(docs, ids, k, percent) if odd.isEmpty() else _join_numbered(docs, ids, cut_lineage(odd), k, percent)
+
+
+def _join_numbered(docs: DataFrame, ids: DataFrame, odd: DataFrame, k: int, percent: int) -> DataFrame:
+    """``join`` where the ``odd`` ids have several sets or are null: each of their sets gets a number beyond all ids."""
+    lowest, highest = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    room = 1 << 62
+    if (highest or 0) >= room and (lowest or 0) <= -room:
+        raise ValueError("ids leave no room for numbers beside them")
+    number = F.monotonically_increasing_id()
+    node = F.lit((highest or 0) + 1) + number if (highest or 0) < room else F.lit(lowest - 1) - number
+    is_odd = lambda rows, how: rows.join(odd.select(F.col("doc_id").alias("_odd")), F.col("doc_id").eqNullSafe(F.col("_odd")), how)
+    sets = cut_lineage(_set_ids(is_odd(docs, "left_semi"), k, "text").dropDuplicates(["doc_id", "set_id"]).withColumn("node", node))
+    numbered = sets.select(F.col("node").alias("doc_id"), "text", "n_shingles", "set_id", "chars")
+    plain = is_odd(ids, "left_anti")
+    all_docs = is_odd(docs, "left_anti").unionByName(numbered.select("doc_id", "text"))
+    joined = _join_one_set_an_id(all_docs, plain.unionByName(numbered.drop("text")), k, percent)
+    of = sets.select(F.col("node").alias("doc_id"), F.col("doc_id").alias("_id"), F.col("set_id").alias("_set"), F.lit(True).alias("_odd"))
+    joined = cut_lineage(joined.join(of, "doc_id", "left"))
+
+    same = joined.filter("_odd AND _id IS NOT NULL").select("_id", F.col("component_id").alias("x"))
+    links = same.join(same.groupBy("_id").agg(F.min("x").alias("y")), "_id").filter("x <> y").select("x", "y").distinct()
+    merged = components(links).select(F.col("node").alias("component_id"), F.col("component").alias("_merged"))
+    joined = joined.join(merged, "component_id", "left").withColumn("_merged", F.coalesce("_merged", "component_id"))
+    labels = joined.groupBy("_merged").agg(F.min(F.when(F.col("_odd"), F.col("_id")).otherwise(F.col("doc_id"))).alias("_label"))
+    joined = cut_lineage(joined.join(labels, "_merged"))
+    rest = joined.filter("_odd IS NULL").select("doc_id", "n_shingles", F.col("_label").alias("component_id"))
+    label = joined.filter("_odd").select("_id", "_set", F.col("_label").alias("component_id"))
+    back = is_odd(ids, "left_semi").join(label, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("set_id").eqNullSafe(F.col("_set")))
+    return rest.unionByName(back.select("doc_id", "n_shingles", "component_id"))
+
+
+def _join_one_set_an_id(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
+    """``join`` where no id has two sets and none with a set is null; ``ids`` are those of ``_set_ids``."""
     reps = ids.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     chars, shingles = ids.agg(F.sum("chars"), F.sum("n_shingles")).first()
     blocks = max(1, math.ceil((chars or 0) / BLOCK_CHARS))
