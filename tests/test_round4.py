@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from stallwise.functions import text
-from stallwise.operators import access, rollup
+from stallwise.operators import access, questions, rollup
 from stallwise.sources import pages
 from stallwise.streaming import daily
 
@@ -73,3 +73,15 @@ def test_cards_and_items_are_picked_once(spark):
     assert [(r["title"], r["price_kes"], r["source_key"]) for r in cards.collect()] == [("A & B", Decimal("900.00"), "web:k")]
     assert [(r["title"], r["price_kes"]) for r in items.collect()] == [("Six letters", Decimal("70.00"))]
     assert plan(cards).count("prc[^") == 1 and plan(items).count("price[^") == 1
+
+
+def test_small_vocabularies_take_no_exchange(spark):
+    """Aliases of a dictionary are tried in the row, with the results of the table of aliases."""
+    vocabularies = {"category_code": {"gears": ["gear", "city gear"], "cities": ["city"]}, "county_code": {"n1": ["c++ 4", "one two three four five six seven"]}}
+    asked = spark.createDataFrame([("Price of CITY gears?",), ("cities, agear",), ("c++ 4s", ), ("gear_x",), ("one two three four five six seven",), ("",), (None,), ("égear",)], "question string")
+    routed = questions.route_questions(asked, vocabularies)
+    table = questions.route_questions(asked, (questions.alias_table(spark, vocabularies), list(vocabularies)))
+    assert "Exchange" not in routed._jdf.queryExecution().executedPlan().toString()
+    columns = sorted(routed.columns)
+    assert sorted(map(str, routed.select(*columns).collect())) == sorted(map(str, table.select(*columns).collect()))
+    assert [r["category_code"] for r in routed.select("category_code").collect()] == ["gears", "cities", None, None, None, None, None, None]
