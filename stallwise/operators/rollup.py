@@ -152,21 +152,28 @@ def price_trend(daily: DataFrame, keys: tuple[str, ...] = ("category_code", "pla
 def example_listings(enriched: DataFrame, order: list[str], limit: int = 3) -> DataFrame:
     """Up to ``limit`` listings of each group priced nearest its upper middle price; ``order`` breaks ties.
 
-    The middle price comes from counts by price. Each task then keeps its best rows by a
-    bounded heap (a rank filter below the exchange), so no group is gathered whole.
+    The middle price comes from counts by price, and so does the distance from it that holds
+    ``limit`` rows; only rows within that distance are ordered, so no group is sorted or gathered whole.
     """
     keys = ["category_code", "platform_code"]
     priced = enriched.filter("price_kes IS NOT NULL AND price_kes > 0 AND source_url IS NOT NULL")
     by_price = Window.partitionBy(*keys).orderBy("price_kes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = priced.groupBy(*keys, "price_kes").agg(F.count("*").alias("_n"))
     middle = (
-        priced.groupBy(*keys, "price_kes").agg(F.count("*").alias("_n"))
-        .withColumn("_to", F.sum("_n").over(by_price))
+        counts.withColumn("_to", F.sum("_n").over(by_price))
         .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
         .groupBy(*keys).agg(F.min(F.when(F.col("_to") > F.floor(F.col("_all") / 2), F.col("price_kes"))).alias("_middle"))
     )
-    nearest = Window.partitionBy(*keys).orderBy(F.abs(F.col("price_kes") - F.col("_middle")), *order)
+    away = F.abs(F.col("price_kes") - F.col("_middle"))
+    within = Window.partitionBy(*keys).orderBy("_away")  # rows as far away as this one included
+    reach = (
+        counts.join(middle, keys).withColumn("_away", away)
+        .withColumn("_near", F.sum("_n").over(within))
+        .groupBy(*keys, "_middle").agg(F.coalesce(F.min(F.when(F.col("_near") >= limit, F.col("_away"))), F.max("_away")).alias("_reach"))
+    )
+    nearest = Window.partitionBy(*keys).orderBy(away, *order)
     return (
-        priced.join(middle, keys)
+        priced.join(reach, keys).filter(away <= F.col("_reach"))
         .withColumn("rank", F.row_number().over(nearest))
         .filter(F.col("rank") <= limit)
         .select(*keys, "rank", F.left("title", F.lit(90)).alias("title"), "price_kes", F.col("seller_name").alias("seller"), F.col("source_url").alias("url"))

@@ -85,3 +85,12 @@ def test_small_vocabularies_take_no_exchange(spark):
     columns = sorted(routed.columns)
     assert sorted(map(str, routed.select(*columns).collect())) == sorted(map(str, table.select(*columns).collect()))
     assert [r["category_code"] for r in routed.select("category_code").collect()] == ["gears", "cities", None, None, None, None, None, None]
+
+
+def test_examples_order_only_near_rows(spark):
+    """Ties at the last distance are broken by the order; groups of fewer rows than the limit are whole."""
+    rows = [("c", "p", 10 + i % 5, f"t{i}", "s", f"u{i}", i) for i in range(40)] + [("d", "p", 7, "t", "s", "u", 1), ("d", "p", 9, "t", "s", "v", 2)]
+    listings = spark.createDataFrame(rows, "category_code string, platform_code string, price_kes int, title string, seller_name string, source_url string, at int")
+    out = rollup.example_listings(listings, ["at"])
+    assert sorted((r["category_code"], r["rank"], r["url"]) for r in out.collect()) == [("c", 1, "u2"), ("c", 2, "u7"), ("c", 3, "u12"), ("d", 1, "v"), ("d", 2, "u")]
+    assert "_reach" in plan(out)
