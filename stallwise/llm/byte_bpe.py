@@ -35,7 +35,8 @@ from stallwise.session import cut_lineage
 LOOKAHEAD = 3
 #: Texts of a batch that are Python strings at once.
 ROWS = 256
-CACHED_PIECES = 500_000
+#: Pieces of long texts that a worker keeps, about 200 bytes each.
+CACHED_PIECES = 100_000
 
 _codecs: dict = {}
 
@@ -93,6 +94,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
 
 
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _whole(df: DataFrame, text: Column, ranks, pattern: str) -> DataFrame:
     @F.arrow_udf("array<int>")
     def encode_text(texts: pa.Array) -> pa.Array:
@@ -102,6 +107,23 @@ def _whole(df: DataFrame, text: Column, ranks, pattern: str) -> DataFrame:
     return df.withColumn("ids", encode_text(text))
 
 
+def _whole_and_back(df: DataFrame, text: Column, ranks, pattern: str) -> DataFrame:
+    """As ``_whole``, with ``decoded``: the ids are decoded where they are made, so that a task needs one worker and not two."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def there_and_back(texts: pa.Array) -> pa.Array:
+        codec, ids, decoded = _codec(ranks, pattern), [], []
+        for i in range(0, len(texts), ROWS):
+            own = [codec.encode(t or "") for t in texts.slice(i, ROWS).to_pylist()]
+            ids.append(_lists(own))
+            # one text's ids at a time become Python numbers
+            decoded.append(pa.array((codec.decode(a.tolist()) for a in own), pa.binary()))
+        both = [_joined(ids, pa.list_(pa.int32())), _joined(decoded, pa.binary())]
+        return pa.StructArray.from_arrays(both, ["ids", "decoded"])
+
+    return df.withColumn("_both", there_and_back(text)).withColumns({"ids": F.col("_both.ids"), "decoded": F.col("_both.decoded")})
+
+
 def _chunked(df: DataFrame, text: str, keep: list[str], ranks, pattern: str, size: int, overlap: int) -> DataFrame:
     @F.arrow_udf("array<string>")
     def cut(texts: pa.Array) -> pa.Array:
@@ -182,16 +204,19 @@ def encode(
     keep: list[str] | None = None,
     chunk_chars: int = 32_768,
     overlap: int = 256,
+    decoded: bool = False,
 ) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all of them by default) and ``ids array<int>``."""
+    """The columns ``keep`` of ``docs`` (all of them by default), ``ids array<int>`` and, if asked for, what ``decode`` adds."""
     if chunk_chars <= 2 * overlap or overlap <= LOOKAHEAD:
         raise ValueError("chunk_chars must exceed twice the overlap, and the overlap the pattern's look-ahead")
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    made = ["ids", "decoded"] if decoded else ["ids"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     rows = docs.select(*dict.fromkeys([*keep, text]))
     is_long = F.coalesce(F.length(text), F.lit(0)) > chunk_chars
-    short = _whole(rows.filter(~is_long), F.col(text), ranks, pattern).select(*keep, "ids")
-    return short.unionByName(_chunked(rows.filter(is_long), text, keep, ranks, pattern, chunk_chars, overlap))
+    short = (_whole_and_back if decoded else _whole)(rows.filter(~is_long), F.col(text), ranks, pattern).select(*keep, *made)
+    long = _chunked(rows.filter(is_long), text, keep, ranks, pattern, chunk_chars, overlap)
+    return short.unionByName(decode(long, ranks_path, pattern) if decoded else long)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:

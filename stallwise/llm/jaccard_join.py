@@ -51,6 +51,8 @@ from stallwise.llm.tokens import Tokens, mix64, runs
 from stallwise.session import cut_lineage
 
 BLOCK_CHARS = 8_000_000
+#: Characters whose shingles are made at once; a worker keeps the memory that its largest run took.
+RUN_CHARS = 500_000
 SHARD_SHINGLES = 2_000_000
 #: Sets that meet one copy of their hub, sets of a star that are searched together, and sets that one task searches for, about.
 MEMBERS = 1024
@@ -62,7 +64,7 @@ EXACT_FREQUENCY = 200
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Each text's sorted distinct 64-bit hashes of its ``k``-word shingles."""
-    return [s for a, b in runs(texts) for s in _shingle_sets(texts[a:b], k)]
+    return [s for a, b in runs(texts, RUN_CHARS) for s in _shingle_sets(texts[a:b], k)]
 
 
 def _shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:

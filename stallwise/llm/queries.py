@@ -20,8 +20,7 @@ def encoded_digests(docs: DataFrame, keep: list[str]) -> DataFrame:
     from stallwise.llm import byte_bpe
 
     ranks = tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(docs, ranks, tokenizers.PATTERN, keep=keep)
-    return byte_bpe.decode(encoded, ranks, tokenizers.PATTERN).select(
+    return byte_bpe.encode(docs, ranks, tokenizers.PATTERN, keep=keep, decoded=True).select(
         *keep,
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -35,6 +35,8 @@ PREFIXES = (4, 5, 6)
 FLOOR = 0.25
 #: Shingles of training rows that are kept as a set before they are merged.
 RECENT = 1 << 16
+#: Characters scored at once; a worker keeps the memory that its largest run took.
+RUN_CHARS = 500_000
 
 
 def _slots(tokens: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -272,7 +274,7 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.3, spans: bo
     def run(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
         scores, found = [], []
-        for a, b in runs(rows):
+        for a, b in runs(rows, RUN_CHARS):
             own_scores, tokens, p = tag(shared.value, rows[a:b])
             scores.append(own_scores)
             found += _spans(rows[a:b], tokens, p) if spans else [[]] * (b - a)

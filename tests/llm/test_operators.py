@@ -88,6 +88,19 @@ def test_bpe_of_a_very_long_text(spark):
     assert sorted((r["doc_id"], r["ids"] == want) for r in out) == [(1, True), (1, True), (2, False)]
 
 
+@pytest.mark.parametrize("size, overlap", [(32_768, 256), (60, 4)])
+def test_bpe_decodes_where_it_encodes(docs, size, overlap):
+    """Short texts, which are nearly all, take one Python worker a task for ids and decoded bytes, with the same rows as apart."""
+    path, pattern, _ = tokenizer()
+    both = byte_bpe.encode(docs, path, pattern, keep=["doc_id"], chunk_chars=size, overlap=overlap, decoded=True)
+    apart = byte_bpe.decode(byte_bpe.encode(docs, path, pattern, keep=["doc_id"], chunk_chars=size, overlap=overlap), path, pattern)
+    assert both.columns == apart.columns == ["doc_id", "ids", "decoded"]
+    count = lambda df: Counter((r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in df.collect())
+    assert count(both) == count(apart)
+    short = both._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert short.count("ArrowEvalPython") == 1, short
+
+
 def test_bpe_edges(none):
     path, pattern, _ = tokenizer()
     assert byte_bpe.encode(none, path, pattern).count() == 0
