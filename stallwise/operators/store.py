@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stallwise.session import path_exists
@@ -91,23 +91,23 @@ class ListingTable:
     def fresh(self, batch: DataFrame, arrival: list[str]) -> DataFrame:
         """The first row of each key of the batch that the table does not have; batch and table meet bucket by bucket."""
         marked = batch.withColumns({"unit": self.unit(), "period": F.trunc("observed_on", self.period) if self.period != "day" else F.col("observed_on").cast("date")})
+        placed = marked.repartition(self.buckets, "unit")  # the batch's one exchange; a task stays a bucket
         if self.spark.catalog.tableExists(self.name):
             seen = of_days(self.spark.table(self.name), marked, "period").select("unit")
-            marked = marked.join(seen, "unit", "left_anti")
+            placed = placed.join(seen, "unit", "left_anti")
         first = F.row_number().over(Window.partitionBy("unit").orderBy(*arrival)) == 1
-        return marked.withColumn("_first", first | F.col("unit").isNull()).filter("_first").drop("_first")
+        return placed.withColumn("_first", first | F.col("unit").isNull()).filter("_first").drop("_first")
 
     def append(self, batch: DataFrame, arrival: list[str]) -> int:
-        """Append what is new; the number appended. Each bucket of a day gets one file an append."""
-        fresh = self.fresh(batch, arrival).persist()
-        try:
-            n = fresh.count()
-            if n:
-                placed = fresh.repartition(self.buckets, "unit").write.mode("append").format("parquet").partitionBy("period")
-                placed.bucketBy(self.buckets, "unit").option("path", self.path).saveAsTable(self.name)
-            return n
-        finally:
-            fresh.unpersist()
+        """Append what is new; the number appended. Each bucket of a period gets one file an append.
+
+        The rows are counted as they are written, so that none are kept beside the store. An append without
+        a new row adds no file.
+        """
+        written = Observation()
+        placed = self.fresh(batch, arrival).repartition(self.buckets, "unit").observe(written, F.count(F.lit(1)).alias("n"))
+        placed.write.mode("append").format("parquet").partitionBy("period").bucketBy(self.buckets, "unit").option("path", self.path).saveAsTable(self.name)
+        return written.get.get("n", 0)
 
     def forget(self) -> None:
         """Take the table out of the catalogue; its files stay."""
