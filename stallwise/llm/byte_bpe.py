@@ -29,6 +29,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.llm.memory import give_back
 from stallwise.session import cut_lineage
 
 #: Longest look-ahead of the pattern; boundaries closer to a cut are not trusted.
@@ -118,6 +119,8 @@ def _whole_and_back(df: DataFrame, text: Column, ranks, pattern: str) -> DataFra
             ids.append(_lists(own))
             # one text's ids at a time become Python numbers
             decoded.append(pa.array((codec.decode(a.tolist()) for a in own), pa.binary()))
+        del own
+        give_back()
         both = [_joined(ids, pa.list_(pa.int32())), _joined(decoded, pa.binary())]
         return pa.StructArray.from_arrays(both, ["ids", "decoded"])
 

@@ -46,7 +46,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.llm.graph import components
+from stallwise.llm.graph import components, extended
+from stallwise.llm.memory import give_back
 from stallwise.llm.tokens import Tokens, mix64, runs
 from stallwise.session import cut_lineage
 
@@ -96,6 +97,8 @@ def _set_ids(docs: DataFrame, k: int, *kept: str) -> DataFrame:
         sets = shingle_sets(rows, k)
         ids = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
         n = pa.array([len(s) for s in sets], pa.int64())
+        del sets
+        give_back()
         return pa.StructArray.from_arrays([n, pa.array(ids, pa.string()), pa.array([len(t or "") for t in rows], pa.int64())], ["n", "set_id", "chars"])
 
     return docs.select("doc_id", *kept, run("text").alias("_s")).select("doc_id", *kept, F.col("_s.n").alias("n_shingles"), "_s.set_id", "_s.chars")
@@ -344,16 +347,15 @@ def link_rest(sets: DataFrame, labels: DataFrame, known: DataFrame, percent: int
 
 def link_sets(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """The components of the sets that link at all: ``node``, ``component``."""
-    labels, known, links = None, None, None
+    labels, known = None, None
     for turn in range(rounds):
         labelled = sets.withColumn("component", F.col("node")) if labels is None else _labelled(sets, labels)
         starred = cut_lineage(measure(star_pairs(labelled, percent), sets).withColumn("turn", F.lit(turn)))
         known = starred if known is None else known.unionByName(starred)
         found = starred.filter(100 * F.col("both") >= percent * F.col("either")).select("x", "y")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = components(found) if labels is None else extended(labels, found)
     rest = cut_lineage(link_rest(sets, labels, known, percent))
-    return components(links.unionByName(rest))
+    return extended(labels, rest)
 
 
 def _labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:

@@ -72,10 +72,14 @@ def fold(column: str, parts: int) -> Column:
 def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``, learnt from the labels outside the held-out fold."""
     from stallwise.llm import toxicity
+    from stallwise.llm.memory import give_back
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     sample = toxicity.training_rows(docs, labels, fold("doc_id", 4) == 2) or [("", 0)]
-    return toxicity.score(docs, toxicity.fit(*zip(*sample)), spans=False)
+    model = toxicity.fit(*zip(*sample))
+    del sample
+    give_back()
+    return toxicity.score(docs, model, spans=False)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

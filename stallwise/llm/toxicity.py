@@ -21,11 +21,14 @@ whole, in memory in proportion to their tokens; of training rows with equal hash
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallwise.llm.memory import give_back
 from stallwise.llm.tokens import Tokens, mix64, runs
 
 #: Features are hashed to so many weights.
@@ -39,19 +42,25 @@ RECENT = 1 << 16
 RUN_CHARS = 500_000
 
 
-def _slots(tokens: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The weight numbers of each token's features, and the hashes that can mark a token."""
+def _marks(tokens: Tokens) -> list[np.ndarray]:
+    """The hashes that can mark a token: of the word, and of its first bytes where it is long enough."""
     word = tokens.hashes()
     prefixes = tokens.prefixes(max(PREFIXES))
     long_enough = [(tokens.ends - tokens.starts) >= k for k in PREFIXES]
-    marks = [word, *(np.where(ok, prefixes[k - 1], word) for k, ok in zip(PREFIXES, long_enough))]
+    return [word, *(np.where(ok, prefixes[k - 1], word) for k, ok in zip(PREFIXES, long_enough))]
+
+
+def _slots(tokens: Tokens) -> np.ndarray:
+    """The weight numbers of each token's features."""
+    marks = _marks(tokens)
+    word = marks[0]
     first = np.concatenate(([True], tokens.doc[1:] != tokens.doc[:-1])) if len(tokens) else np.empty(0, bool)
     last = np.roll(first, -1)
     before = np.where(first, np.uint64(1), np.roll(word, 1))
     after = np.where(last, np.uint64(2), np.roll(word, -1))
     features = [*marks, before + np.uint64(3), after + np.uint64(5), np.zeros(len(word), np.uint64)]
     mask = np.uint64(WEIGHTS - 1)
-    return np.stack([(mix64(f + np.uint64(977 * i)) & mask).astype(np.int32) for i, f in enumerate(features)]), marks
+    return np.stack([(mix64(f + np.uint64(977 * i)) & mask).astype(np.int32) for i, f in enumerate(features)])
 
 
 def _log_odds(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -94,19 +103,33 @@ class _Chains:
             at = self.begin[:k] + step
             r = np.exp(np.clip(e[at + 1] + backward[at + 1], -40, 40))
             backward[at] = np.log((t[1, 0] + r * t[1, 1]) / (t[0, 0] + r * t[0, 1]))
-        return 1 / (1 + np.exp(-np.clip(forward + backward, -40, 40))), forward, backward
+        p = forward + backward
+        np.clip(p, -40, 40, out=p)
+        np.exp(np.negative(p, out=p), out=p)
+        p += 1
+        return np.divide(1, p, out=p), forward, backward
 
 
 def _pairs(e, forward, backward, trans, inner) -> np.ndarray:
-    """Chances of the four state pairs, summed over neighbouring tokens (``inner``: not the last of a document)."""
+    """Chances of the four state pairs, summed over neighbouring tokens (``inner``: not the last of a document). ``e`` is used up."""
     t = np.exp(trans)
-    f = np.exp(np.clip(forward[:-1][inner], -40, 40))
-    b = np.exp(np.clip((e + backward)[1:][inner], -40, 40))
-    mass = 1 / (t[0, 0] + t[0, 1] * b + t[1, 0] * f + t[1, 1] * f * b)
+    f = forward[:-1][inner]
+    e += backward
+    b = e[1:][inner]
+    for x in (f, b):
+        np.exp(np.clip(x, -40, 40, out=x), out=x)
+    mass = t[0, 1] * b
+    mass += t[0, 0]
+    mass += t[1, 0] * f
+    more = t[1, 1] * f
+    more *= b
+    mass += more
+    np.divide(1, mass, out=mass)
+    del more
     return t * np.array([[mass.sum(), mass @ b], [mass @ f, (mass * f) @ b]])
 
 
-def mark_tokens(marks: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray, odds: float = 60.0, chance: float = 0.05) -> np.ndarray:
+def mark_tokens(marks: Iterable[np.ndarray], doc: np.ndarray, toxic: np.ndarray, odds: float = 60.0, chance: float = 0.05) -> np.ndarray:
     """Token labels from document labels, by the marks' document counts.
 
     A mark is toxic when its smoothed odds are high and its share of toxic
@@ -130,35 +153,52 @@ def mark_tokens(marks: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray, odd
     return hit & toxic[doc]
 
 
+def _marked(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each token's text number and marks."""
+    parts = []
+    for a, b in runs(texts, RUN_CHARS):
+        tokens = Tokens(texts[a:b], letters=True)
+        parts.append([tokens.doc + a, *_marks(tokens)])
+    doc, *marks = (np.concatenate([p.pop(0) for p in parts]) for _ in range(2 + len(PREFIXES)))
+    return doc, marks
+
+
+def _slotted(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's text number and weight numbers; there are ``n`` tokens."""
+    doc, slots, at = np.empty(n, np.int64), np.empty((len(PREFIXES) + 4, n), np.int32), 0
+    for a, b in runs(texts, RUN_CHARS):
+        tokens = Tokens(texts[a:b], letters=True)
+        doc[at : at + len(tokens)] = tokens.doc + a
+        slots[:, at : at + len(tokens)] = _slots(tokens)
+        at += len(tokens)
+    return doc, slots
+
+
 def fit(texts: list[str], labels: list[int], steps: int = 80, rate: float = 0.5, l2: float = 1e-4, damp: float = 0.05) -> dict | None:
     """Weights and transitions of the model; None without labels of both kinds or any marked token.
 
+    The marks are made and used before the weight numbers, so that the driver does not hold both.
     ``damp`` keeps the steps of rare features (a neighbour seen once) in proportion to their gradient.
     """
     toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
         return None
-    parts = []
-    for a, b in runs(texts):
-        tokens = Tokens(texts[a:b], letters=True)
-        parts.append((*_slots(tokens), tokens.doc + a))
-    doc = np.concatenate([p[2] for p in parts])
-    slots = np.concatenate([p[0] for p in parts], axis=1)
-    marks = [np.concatenate(m) for m in zip(*(p[1] for p in parts))]
-    del parts
-    y = mark_tokens(marks, doc, toxic)
-    del marks
+    doc, marks = _marked(texts)
+    y = mark_tokens((marks.pop(0) for _ in range(len(marks))), doc, toxic)
     if not y.any():
         return None
     # a toxic document without any marked token says nothing of its tokens
     told = np.ones(len(texts), bool)
     told[toxic] = np.bincount(doc[y], minlength=len(texts))[toxic] > 0
-    use = told[doc]
-    slots, y, doc = slots[:, use], y[use].astype(float), doc[use]
+    y = y[told[doc]].astype(float)
+    texts = [t for t, use in zip(texts, told) if use]
+    doc, slots = _slotted(texts, len(y))
     chains = _Chains(np.bincount(doc, minlength=len(texts)))
     inner = doc[:-1] == doc[1:]
+    del doc
     a, b = y[:-1][inner], y[1:][inner]
     seen = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
+    del a, b
     # the used weights numbered in order, by a table of all: sorting the slots takes ten times their memory; other weights stay 0
     number = np.zeros(WEIGHTS, np.int32)
     for own in slots:
@@ -173,15 +213,18 @@ def fit(texts: list[str], labels: list[int], steps: int = 80, rate: float = 0.5,
     for step in range(1, steps + 1):
         e = _log_odds(w, slots)
         p, forward, backward = chains.marginals(e, trans)
-        off = (p - y) / y.sum()
+        off = np.subtract(p, y, out=p)
+        off /= y.sum()
         g = l2 * w
         for own in slots:
             g += np.bincount(own, off, len(w))
+        del p, off
         gt = (_pairs(e, forward, backward, trans, inner) - seen) / y.sum() + l2 * trans
         for value, grad, first, second in ((w, g, m, v), (trans, gt, mt, vt)):
             first += 0.1 * (grad - first)
             second += 0.01 * (grad * grad - second)
             value -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + damp)
+        del e, forward, backward
     weights = np.zeros(WEIGHTS, np.float32)
     weights[used] = w
     return {"weights": weights, "trans": trans}
@@ -194,7 +237,7 @@ def tag(model: dict | None, texts: list[str | None]) -> tuple[np.ndarray, Tokens
     tokens = Tokens(texts, letters=True)
     if not len(tokens):
         return np.zeros(len(texts)), tokens, np.empty(0)
-    slots, _ = _slots(tokens)
+    slots = _slots(tokens)
     e = _log_odds(model["weights"], slots)
     p, _, _ = _Chains(tokens.counts()).marginals(e, model["trans"])
     clean = np.log1p(-np.minimum(np.where(p >= FLOOR, p, 0), 1 - 1e-12))
@@ -278,6 +321,8 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.3, spans: bo
             own_scores, tokens, p = tag(shared.value, rows[a:b])
             scores.append(own_scores)
             found += _spans(rows[a:b], tokens, p) if spans else [[]] * (b - a)
+            del tokens, p
+        give_back()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         values = np.concatenate(scores) if scores else np.empty(0)
         return pa.StructArray.from_arrays([pa.array(values, pa.float64()), pa.array(found, kind)], ["score", "spans"])
