@@ -152,29 +152,46 @@ def price_trend(daily: DataFrame, keys: tuple[str, ...] = ("category_code", "pla
 def example_listings(enriched: DataFrame, order: list[str], limit: int = 3) -> DataFrame:
     """Up to ``limit`` listings of each group priced nearest its upper middle price; ``order`` breaks ties.
 
-    The middle price comes from counts by price, and so does the distance from it that holds
-    ``limit`` rows; only rows within that distance are ordered, so no group is sorted or gathered whole.
+    Rows are counted by price, and these counts by cells of about 0.1 % of a price. Only the prices in
+    the cells around the middle are sorted, and only rows at the prices within the distance that holds
+    ``limit`` rows are gathered by group. These cells and prices, a few a group, are broadcast, since a
+    join by shuffle would give a task all rows of a group.
     """
     keys = ["category_code", "platform_code"]
-    priced = enriched.filter("price_kes IS NOT NULL AND price_kes > 0 AND source_url IS NOT NULL")
-    by_price = Window.partitionBy(*keys).orderBy("price_kes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = priced.groupBy(*keys, "price_kes").agg(F.count("*").alias("_n"))
-    middle = (
-        counts.withColumn("_to", F.sum("_n").over(by_price))
-        .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-        .groupBy(*keys).agg(F.min(F.when(F.col("_to") > F.floor(F.col("_all") / 2), F.col("price_kes"))).alias("_middle"))
+    # null keys, which the joins leave out, are left out before, so that Spark makes the counts once for both their uses
+    priced = enriched.filter("price_kes IS NOT NULL AND price_kes > 0 AND source_url IS NOT NULL AND category_code IS NOT NULL AND platform_code IS NOT NULL")
+    group = Window.partitionBy(*keys)
+    upward = lambda column: group.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cell = F.coalesce(F.rint(F.log10("price_kes") * 2000), F.lit(0.0))  # never null, or the join below would filter one use
+    counts = priced.groupBy(*keys, "price_kes").agg(F.count("*").alias("_n")).withColumn("_cell", cell)
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_prices")).select(
+        *keys, "_cell", "_rows", "_prices",
+        F.sum("_rows").over(upward("_cell")).alias("_to"),
+        F.sum("_prices").over(upward("_cell")).alias("_last"),
+        F.floor(F.sum("_rows").over(group) / 2).alias("_half"),
+    )
+    before, first = F.col("_to") - F.col("_rows"), F.col("_last") - F.col("_prices")
+    in_middle = (F.col("_to") > F.col("_half")) & (before <= F.col("_half"))
+    # prices are numbered upward: the middle one's cell, and those that hold `limit` prices on each side of it
+    around = (
+        cells.withColumns({"_from": F.max(F.when(in_middle, first)).over(group), "_till": F.max(F.when(in_middle, F.col("_last"))).over(group)})
+        .filter((F.col("_last") > F.col("_from") - limit) & (first < F.col("_till") + limit))
+        .select(*keys, "_cell", before.alias("_before"), "_half")
     )
-    away = F.abs(F.col("price_kes") - F.col("_middle"))
-    within = Window.partitionBy(*keys).orderBy("_away")  # rows as far away as this one included
-    reach = (
-        counts.join(middle, keys).withColumn("_away", away)
+    within = group.orderBy("_away")  # rows as far away as this one included
+    near = (
+        counts.join(F.broadcast(around), [*keys, "_cell"])
+        .withColumn("_to", F.min("_before").over(group) + F.sum("_n").over(upward("price_kes")))
+        .withColumn("_middle", F.min(F.when(F.col("_to") > F.col("_half"), F.col("price_kes"))).over(group))
+        .withColumn("_away", F.abs(F.col("price_kes") - F.col("_middle")))
         .withColumn("_near", F.sum("_n").over(within))
-        .groupBy(*keys, "_middle").agg(F.coalesce(F.min(F.when(F.col("_near") >= limit, F.col("_away"))), F.max("_away")).alias("_reach"))
+        .withColumn("_reach", F.min(F.when(F.col("_near") >= limit, F.col("_away"))).over(group))  # null: the group has fewer rows
+        .filter("_reach IS NULL OR _away <= _reach")
+        .select(*keys, "price_kes", "_away")
     )
-    nearest = Window.partitionBy(*keys).orderBy(away, *order)
     return (
-        priced.join(reach, keys).filter(away <= F.col("_reach"))
-        .withColumn("rank", F.row_number().over(nearest))
+        priced.join(F.broadcast(near), [*keys, "price_kes"])
+        .withColumn("rank", F.row_number().over(group.orderBy("_away", *order)))
         .filter(F.col("rank") <= limit)
         .select(*keys, "rank", F.left("title", F.lit(90)).alias("title"), "price_kes", F.col("seller_name").alias("seller"), F.col("source_url").alias("url"))
     )
