@@ -111,11 +111,11 @@ class _Chains:
 
 
 def _pairs(e, forward, backward, trans, inner) -> np.ndarray:
-    """Chances of the four state pairs, summed over neighbouring tokens (``inner``: not the last of a document). ``e`` is used up."""
+    """Chances of the four state pairs, summed over neighbouring tokens (``inner``: not the last of a document)."""
     t = np.exp(trans)
     f = forward[:-1][inner]
-    e += backward
     b = e[1:][inner]
+    b += backward[1:][inner]
     for x in (f, b):
         np.exp(np.clip(x, -40, 40, out=x), out=x)
     mass = t[0, 1] * b
