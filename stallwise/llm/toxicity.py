@@ -87,22 +87,23 @@ class _Chains:
         ``e`` is the log-odds of state 1 by the token's own features; ``trans`` the
         2x2 log weights. Messages are kept as log-odds, so nothing overflows.
         """
-        t = np.exp(trans)
+        (t00, t01), (t10, t11) = np.exp(trans).tolist()
         forward, backward = np.zeros_like(e), np.zeros_like(e)
-        message = np.zeros(len(self.begin))
+        bounded = lambda x: np.minimum(np.maximum(x, -40), 40)  # noqa: E731 - for a few numbers a third of the time of np.clip
+        own = np.zeros(len(self.begin))
         for step, k in enumerate(self.active):
             at = self.begin[:k] + step
+            before, own = own[:k], e[at]
             if step:
-                r = np.exp(np.clip(forward[at - 1], -40, 40))
-                message = np.log((t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0]))
-                forward[at] = message + e[at]
-            else:
-                forward[at] = e[at]
+                r = np.exp(bounded(before))
+                own += np.log((t01 + r * t11) / (t00 + r * t10))
+            forward[at] = own
         for step in range(len(self.active) - 2, -1, -1):
             k = self.active[step + 1]
             at = self.begin[:k] + step
-            r = np.exp(np.clip(e[at + 1] + backward[at + 1], -40, 40))
-            backward[at] = np.log((t[1, 0] + r * t[1, 1]) / (t[0, 0] + r * t[0, 1]))
+            after = at + 1
+            r = np.exp(bounded(e[after] + backward[after]))
+            backward[at] = np.log((t10 + r * t11) / (t00 + r * t01))
         p = forward + backward
         np.clip(p, -40, 40, out=p)
         np.exp(np.negative(p, out=p), out=p)
